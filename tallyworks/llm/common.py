@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word of the quality, size and mixing operators: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,3 +48,9 @@ def let(value, body):
     argument is evaluated once.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)

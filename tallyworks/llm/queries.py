@@ -2,21 +2,90 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language, toxicity
 from .common import read_table
+from .decontaminate import contamination
+from .mixing import mix
+from .neardup import near_duplicates
 from .quality import quality
+from .tokens import read_tokens, write_tokens
+
+#: Path of the tokenizer file; any file of the tokenizers library with a byte-level pattern will do.
+TOKENIZER = os.environ.get("TALLYWORKS_TOKENIZER", "")
+
+
+def tokenizer_path() -> str:
+    if TOKENIZER:
+        return TOKENIZER
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _crc_mod(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents")).drop("text")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_crc_mod(4) == 2, F.lit(False))
+    model = language.fit_on(docs.where(~held_out))
+    return language.languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_crc_mod(5) == 0, F.lit(False))
+    model = toxicity.fit_on(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.toxicity(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return read_tokens(spark, folder)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_near_duplicates": op2_near_duplicates,
+        "op3_language": op3_language,
+        "op5_toxicity": op5_toxicity,
+        "op6_token_ids": op6_token_ids,
+        "op7_mixing": op7_mixing,
+        "op10_decontamination": op10_decontamination,
     }
 
 
