@@ -1,13 +1,62 @@
-"""Corpus pipeline: five stages over ``documents``, each written and read again."""
+"""Corpus pipeline: five stages over ``documents``, each written and read again.
+
+Toxic documents go, one document of each near-duplicate class stays, documents
+with benchmark passages go, sources are mixed to their target weights, and the
+mix is written as token ids, which the last stage reads back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyworks.llm import queries as q
+from tallyworks.llm import toxicity as tox
 from tallyworks.llm.common import materialize, read_table
+from tallyworks.llm.decontaminate import contamination
+from tallyworks.llm.mixing import mixed_documents
+from tallyworks.llm.neardup import near_duplicates
+from tallyworks.llm.tokens import read_tokens, write_tokens
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores under 0.5; it learns from the labels that op5 learns from."""
+    return tox.keep_ordinary(docs, tox.fit_on(docs, q.training_labels(spark, sf_dir)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of every class; rows without an id have no class and stay."""
+    classes = near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    one = docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside a benchmark window; rows without an id stay only if no such row is hit."""
+    hit = contamination(docs, read_table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id").distinct()
+    key = hit.select(F.struct("doc_id").alias("_key"))
+    return docs.withColumn("_key", F.struct("doc_id")).join(key, "_key", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per document and pass that the mix takes, with the words taken."""
+    return mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the token files."""
+    return read_tokens(spark, write_tokens(docs, q.tokenizer_path()))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_ids", token_ids),
+]
 
+#: SQL can express neither the classifier nor the sampling nor the tokenizer.
 ORACLE_SQL = None
 
 

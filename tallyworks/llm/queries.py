@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import chat, language, pii, secrets, toxicity
 from .common import read_table
 from .decontaminate import contamination
 from .mixing import mix
@@ -47,10 +47,36 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    )
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string"
+    )
+    got = chat.read_back(chat.format_conversations(chat.threads(rows.unionByName(extra))))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return got.select(
+        F.col("tree_id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of documents that aren't held out."""
+    return read_table(spark, sf_dir, "labels").where(F.coalesce(_crc_mod(5) != 0, F.lit(False)))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(_crc_mod(5) == 0, F.lit(False))
-    model = toxicity.fit_on(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    model = toxicity.fit_on(docs, training_labels(spark, sf_dir))
     return toxicity.toxicity(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
@@ -65,6 +91,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    findings, _ = secrets.scan(docs)
+    return secrets.digest(findings, "doc_id")
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(read_table(spark, sf_dir, "documents")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -82,9 +118,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_language": op3_language,
+        "op4_chat": op4_chat,
         "op5_toxicity": op5_toxicity,
         "op6_token_ids": op6_token_ids,
         "op7_mixing": op7_mixing,
+        "op8_secrets": op8_secrets,
+        "op9_personal_data": op9_personal_data,
         "op10_decontamination": op10_decontamination,
     }
 
