@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import usage
+from .plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+FAMILIES = (usage.R,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for family in FAMILIES for name, q in family.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for family in FAMILIES for name, q in family.oracles.items()}
