@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import usage
+from .plans import ledger, usage
 from .plans.registry import Query
 
-FAMILIES = (usage.R,)
+FAMILIES = (usage.R, ledger.R)
 
 
 def queries() -> dict[str, Query]:
