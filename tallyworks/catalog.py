@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import ledger, usage
+from .plans import bench, ledger, usage
 from .plans.registry import Query
 
-FAMILIES = (usage.R, ledger.R)
+FAMILIES = (usage.R, ledger.R, bench.R)
 
 
 def queries() -> dict[str, Query]:
