@@ -93,8 +93,9 @@ def with_carbon(energy: DataFrame, grid: DataFrame, region: str | None = None) -
     """Add grams of CO2 per band at ``region`` or the default one; an unknown region raises when run."""
     pick = F.col("is_default") if region is None else F.col("region") == region
     row = grid.where(pick).select("region", "g_per_kwh")
-    known = row.agg(F.assert_true(F.count("*") == 1, "unknown grid region").alias("ok"), F.first("region").alias("region"), F.first("g_per_kwh").alias("g_per_kwh"))
-    found = energy.crossJoin(F.broadcast(known)).drop("ok")  # one row
+    one = lambda c, kind: F.when(F.count("*") == 1, F.first(c)).otherwise(F.raise_error(F.lit("unknown grid region")).cast(kind)).alias(c)
+    known = row.agg(one("region", "string"), one("g_per_kwh", "double"))
+    found = energy.crossJoin(F.broadcast(known))  # one row
     return found.withColumns({f"g_{b}": F.col(f"wh_{b}") / 1000 * F.col("g_per_kwh") for b in ("base", "low", "high")})
 
 
