@@ -5,14 +5,15 @@ size. For each block:
 
 1. count in how many documents each of the block's terms occurs;
 2. every window (ten consecutive words of an item, or the whole of a shorter
-   item) takes its three rarest terms as anchors;
+   item) takes its two rarest terms as anchors;
 3. index: one posting per occurrence of an anchor term in the corpus (term,
-   document row, place, and the nine words on either side);
-4. shift the postings of a window's anchors by the anchors' places in it; the
-   starts on which all lists agree are its candidates, and their words are
-   compared one by one, from the rarest anchor's posting.
+   document row, place); the rarest anchors' postings also carry the nine words
+   on either side;
+4. from the rarest list, every posting is shifted by its anchor's place in the
+   window and kept if the second list has the place where that window wants its
+   second anchor; the words around the kept ones are then compared one by one.
 
-Proximity matches are the starts on which the lists agree up to a slop.
+Proximity matches want the second anchor within a slop of its place.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from .common import map_arrow, materialize
 from .words import TRANSLATE
 
 WIDTH = 10
-ANCHORS = 3
 #: Benchmark text handled at once, in bytes: this bounds the term table that goes to the tasks.
 BLOCK_BYTES = 8 << 20
 #: The anchor table is broadcast up to so many rows and joined by shuffle beyond.
@@ -59,7 +59,7 @@ def windows(items: DataFrame) -> DataFrame:
 
     items = items.select(F.col("item_id").cast("string").alias("item"), "text")
     found = map_arrow(items, run, "item string, place int, size int, words array<string>")
-    return found.withColumn("window", F.sha2(F.concat_ws(" ", "words"), 256))
+    return found.withColumn("window", F.xxhash64("words"))
 
 
 def _document_counts(terms: dict[bytes, int]):
@@ -77,46 +77,56 @@ def _document_counts(terms: dict[bytes, int]):
     return run
 
 
-def _postings(anchors: dict[bytes, int]):
-    """Per document: its row, number of words, and the postings of the anchor terms."""
-    posting = pa.struct([("id", pa.int32()), ("at", pa.int32()), ("left", pa.int32()), ("near", pa.list_(pa.string()))])
+def _postings(first: dict[bytes, int], second: dict[bytes, int]):
+    """Per document: its row, id, number of words, and the postings of the anchor terms."""
+    near = pa.list_(pa.struct([("id", pa.int32()), ("at", pa.int32()), ("words", pa.string())]))
+    plain = pa.list_(pa.struct([("id", pa.int32()), ("at", pa.int32())]))
 
     def run(batches):
-        get = anchors.get
         for batch in batches:
-            ids = batch.column("row")
             for lo in range(0, batch.num_rows, 500):
-                counts, lists = [], []
-                for text in batch.column("text").slice(lo, 500).to_pylist():
+                part = batch.slice(lo, 500)
+                counts, nears, plains = [], [], []
+                for text in part.column("text").to_pylist():
                     w = split_words(text)
                     counts.append(len(w))
-                    lists.append(
+                    nears.append(
                         [
-                            {
-                                "id": t,
-                                "at": i,
-                                "left": min(i, WIDTH - 1),
-                                "near": [x.decode("utf-8", "replace") for x in w[max(0, i - WIDTH + 1) : i + WIDTH]],
-                            }
-                            for i, t in enumerate(map(get, w))
+                            {"id": t, "at": i, "words": b" ".join(w[max(0, i - WIDTH + 1) : i + WIDTH]).decode("utf-8", "replace")}
+                            for i, t in enumerate(map(first.get, w))
                             if t is not None
                         ]
                     )
+                    plains.append([{"id": t, "at": i} for i, t in enumerate(map(second.get, w)) if t is not None])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, 500), pa.array(counts, pa.int64()), pa.array(lists, pa.list_(posting))],
-                    ["row", "n_words", "postings"],
+                    [
+                        part.column("row"),
+                        part.column("doc_id"),
+                        pa.array(counts, pa.int64()),
+                        pa.array(nears, near),
+                        pa.array(plains, plain),
+                    ],
+                    ["row", "doc_id", "n_words", "near", "plain"],
                 )
 
     return run
 
 
 def anchor_table(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """(window, rank, term, offset): the rarest terms of every distinct window; ties by place."""
+    """(window, id, offset, id2, offset2): the two rarest places of every distinct window; the earlier one at ties.
+
+    ``counts`` has term, id and n; a window of one word has no second anchor.
+    """
     each = wins.dropDuplicates(["window"]).select("window", F.posexplode("words").alias("offset", "term"))
-    each = each.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    order = Window.partitionBy("window").orderBy("n", "offset")
-    ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ANCHORS)
-    return ranked.select("window", "rank", "term", "offset", "n")
+    each = each.join(counts, "term").select("window", F.struct("n", "offset", "id").alias("a"))
+    two = each.groupBy("window").agg(F.slice(F.sort_array(F.collect_list("a")), 1, 2).alias("a"))
+    return two.select(
+        "window",
+        F.col("a")[0]["id"].alias("id"),
+        F.col("a")[0]["offset"].alias("offset"),
+        F.get("a", F.lit(1))["id"].alias("id2"),
+        F.get("a", F.lit(1))["offset"].alias("offset2"),
+    )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, slop: int | None = None) -> DataFrame:
@@ -132,7 +142,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slop: int | None = None
     window; rows that share a doc_id are judged one by one; equal items all
     count. Other columns of the tables are not read.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     items = benchmark.select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -143,7 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slop: int | None = None
         mine = wins if blocks == 1 else wins.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
         index, anchors = _index(docs, mine)
         if stats is None:
-            stats = index.select("row", "n_words")
+            stats = index.select("row", "doc_id", "n_words")
         found, close = _matches(index, anchors, mine, slop)
         hits = found if hits is None else hits.union(found)
         if slop is not None:
@@ -176,7 +185,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slop: int | None = None
         near_items = near.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("near_items"))
         out = out.join(near_items, "row", "left")
         columns.append(F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"))
-    return out.withColumn("doc_id", F.col("row.doc_id")).select(*columns)
+    return out.select(*columns)
 
 
 def _index(docs: DataFrame, wins: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -187,49 +196,48 @@ def _index(docs: DataFrame, wins: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = spark.createDataFrame(list(enumerate(vocabulary)), "id int, term string")
     counted = map_arrow(docs.select("text"), _document_counts(numbers), "id int, n long")
     counts = ids.join(counted.groupBy("id").agg(F.sum("n").alias("n")), "id", "left")
-    anchors = materialize(anchor_table(wins, counts.select("term", "n")).join(ids, "term"), "decon-anchors")
-    chosen = {r.term.encode(): r.id for r in anchors.select("term", "id").distinct().collect()}
-    rows = docs.select(F.struct("doc_id", "row").alias("row"), "text")
-    index = map_arrow(rows, _postings(chosen),
-        "row struct<doc_id:long,row:long>, n_words long, "
-        "postings array<struct<id:int,at:int,left:int,near:array<string>>>",
+    counts = counts.withColumn("n", F.coalesce("n", F.lit(0)))
+    anchors = materialize(anchor_table(wins, counts), "decon-anchors")
+    chosen = anchors.select("id", "id2").distinct().collect()
+    first = {vocabulary[r.id].encode(): r.id for r in chosen}
+    second = {vocabulary[r.id2].encode(): r.id2 for r in chosen if r.id2 is not None}
+    index = map_arrow(
+        docs.select("row", "doc_id", "text"),
+        _postings(first, second),
+        "row long, doc_id long, n_words long, near array<struct<id:int,at:int,words:string>>, plain array<struct<id:int,at:int>>",
     )
     return materialize(index, "decon-index"), anchors
 
 
 def _matches(index: DataFrame, anchors: DataFrame, wins: DataFrame, slop: int | None):
-    lists = index.where(F.size("postings") > 0).select("row", F.explode("postings").alias("p")).select("row", "p.*")
-    needed = anchors.groupBy("window").agg(F.count("*").alias("lists"))
-    wanted = anchors.join(needed, "window").select("id", "window", "rank", "offset", "lists")
-    small = wanted.count() <= BROADCAST_ROWS
+    small = anchors.count() <= BROADCAST_ROWS
     held = F.broadcast if small else (lambda df: df)
-    shifted = lists.join(held(wanted), "id").select(
+    rarest = index.where(F.size("near") > 0).select("row", F.explode("near").alias("p")).select("row", "p.*")
+    begun = rarest.join(held(anchors), "id").select(
         "row",
         "window",
-        "rank",
-        "lists",
         (F.col("at") - F.col("offset")).alias("start"),
-        F.when(F.col("rank") == 1, F.struct((F.col("left") - F.col("offset")).alias("from"), "near")).alias("seen"),
-    )
-    # lists that agree on a start
-    met = shifted.groupBy("row", "window", "start").agg(
-        F.count_distinct("rank").alias("n"), F.first("lists").alias("lists"), F.max("seen").alias("seen")
+        (F.least(F.col("at"), F.lit(WIDTH - 1)) - F.col("offset")).alias("from"),
+        F.col("words").alias("seen"),
+        "id2",
+        (F.col("at") - F.col("offset") + F.col("offset2")).alias("at2"),
     )
-    met = met.where((F.col("n") == F.col("lists")) & (F.col("start") >= 0)).drop("n", "lists")
+    begun = begun.where(F.col("start") >= 0)
+    second = index.where(F.size("plain") > 0).select("row", F.explode("plain").alias("q"))
+    second = second.select("row", F.col("q.id").alias("id2"), F.col("q.at").alias("at2"))
+    met = begun.where("id2 is not null").join(second, ["row", "id2", "at2"], "left_semi")
+    met = met.select(*begun.columns).unionByName(begun.where("id2 is null"))
     texts = wins.dropDuplicates(["window"]).select("window", "size", "words")
     exact = met.join(held(texts), "window")
     exact = exact.where(
-        (F.col("seen.from") >= 0) & (F.slice("seen.near", F.col("seen.from") + 1, F.col("size")) == F.col("words"))
-    )
-    hits = exact.join(held(wins.select("window", "item").distinct()), "window").select(
-        "row", "item", "start", (F.col("start") + F.col("size")).alias("end")
+        (F.col("from") >= 0) & (F.slice(F.split("seen", " "), F.col("from") + 1, F.col("size")) == F.col("words"))
     )
+    items = held(wins.select("window", "item").distinct())
+    hits = exact.join(items, "window").select("row", "item", "start", (F.col("start") + F.col("size")).alias("end"))
     if slop is None:
         return hits, None
-    # anchors near their places: starts in one bucket of the slop, or in neighbouring ones
-    wide = shifted.select(
-        "row", "window", "rank", "lists", F.explode(F.array(*[F.floor(F.col("start") / (slop + 1)) + k for k in (0, 1)])).alias("bucket")
-    )
-    close = wide.groupBy("row", "window", "bucket").agg(F.count_distinct("rank").alias("n"), F.first("lists").alias("lists"))
-    close = close.where(F.col("n") == F.col("lists")).select("row", "window").distinct()
-    return hits, close.join(held(wins.select("window", "item").distinct()), "window").select("row", "item")
+    far = second.select(F.col("row").alias("r"), F.col("id2").alias("i"), F.col("at2").alias("a"))
+    close = (F.col("row") == F.col("r")) & (F.col("id2") == F.col("i")) & (F.abs(F.col("at2") - F.col("a")) <= slop)
+    near = begun.where("id2 is not null").join(far, close, "left_semi").select("row", "window")
+    near = near.union(begun.where("id2 is null").select("row", "window")).distinct()
+    return hits, near.join(items, "window").select("row", "item")
