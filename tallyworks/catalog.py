@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import bench, distill, ledger, usage
+from .plans import bench, distill, ledger, mining, sections, usage
 from .plans.registry import Query
 
-FAMILIES = (usage.R, ledger.R, bench.R, distill.R)
+FAMILIES = (usage.R, ledger.R, bench.R, distill.R, sections.R, mining.R)
 
 
 def queries() -> dict[str, Query]:
