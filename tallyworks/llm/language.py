@@ -27,7 +27,7 @@ KNOWN_GRAMS = 5_000
 LONGEST = 5
 PENALTY = 0.5
 SMOOTH = 0.5
-CACHE = 200_000
+CACHE = 500_000
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -49,20 +49,25 @@ class LanguageModel:
     tables: list[dict[str, tuple]]  # [0]: words; [n]: n-grams
     totals: np.ndarray  # table x language
 
-    def log_frequencies(self, table: int, counts: np.ndarray) -> np.ndarray:
-        total = self.totals[table]
-        return np.log((counts + SMOOTH) / (total + SMOOTH * (len(self.tables[table]) + 1)))
+    def __post_init__(self):
+        self.logs = []  # per table: word or n-gram -> log frequency in each language
+        for table, total in zip(self.tables, self.totals):
+            below = total + SMOOTH * (len(table) + 1)
+            rows = np.log((np.array(list(table.values()) or np.zeros((0, len(total)))) + SMOOTH) / below)
+            self.logs.append(dict(zip(table, map(tuple, rows.tolist()))))
 
-    def word(self, word: str) -> np.ndarray:
-        found = self.tables[0].get(word)
+    def word(self, word: str) -> tuple:
+        """Score of one word in each language."""
+        found = self.logs[0].get(word)
         if found is not None:
-            return self.log_frequencies(0, np.array(found))
+            return found
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            known = [c for c in map(self.tables[n].get, _grams(word, n)) if c is not None]
+            get = self.logs[n].get
+            known = [c for c in map(get, _grams(word, n)) if c is not None]
             if known:
-                steps = LONGEST - n + 1
-                return self.log_frequencies(n, np.array(known)).mean(0) - PENALTY * steps
-        return np.zeros(len(self.langs))
+                k, low = len(known), PENALTY * (LONGEST - n + 1)
+                return tuple([sum(column) / k - low for column in zip(*known)])
+        return (0.0,) * len(self.langs)
 
 
 def fit_on(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
