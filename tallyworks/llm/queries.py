@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, pii, secrets, toxicity
+from . import chat, language, oracles, pii, secrets, toxicity
 from .common import read_table
 from .decontaminate import contamination
 from .mixing import mix
@@ -129,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
