@@ -21,7 +21,7 @@ that Spark reaches will do. Documents lie in ascending doc_id order.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import uuid
 import zlib
@@ -38,9 +38,8 @@ MAGIC = b"DAC1"
 END_ID = 2
 #: A record is closed at so many ids; one document is never split.
 RECORD_IDS = 1 << 19
-#: Pieces of text whose ids a worker remembers.
-CACHE = 300_000
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]|\x00|\A\s|\s\Z")
+#: Pieces of text whose ids a worker remembers, about 200 bytes each.
+CACHE = 2_000_000
 
 
 def encode_record(ids: np.ndarray, offsets: np.ndarray) -> bytes:
@@ -106,70 +105,107 @@ class Record:
             at = rank + np.bitwise_count(below).astype(np.int64)
         return out
 
+    def _rank(self, level: int, at: int) -> int:
+        """Ones before place ``at`` of the level's bitmap."""
+        _, bitmap, directory = self.levels[level]
+        if at >> 9 >= len(directory) - 1:
+            return int(directory[-1])
+        words = bitmap[(at >> 9) << 3 : at >> 6]
+        rank = int(directory[at >> 9]) + int(np.bitwise_count(words).sum())
+        if at & 63:
+            rank += (int(bitmap[at >> 6]) & ((1 << (at & 63)) - 1)).bit_count()
+        return rank
+
+    def span(self, start: int, end: int) -> np.ndarray:
+        """The ids of places ``start`` to ``end``: two ranks per level, the rest is copying."""
+        out = np.zeros(end - start, np.uint32)
+        which: np.ndarray | slice = slice(None)
+        for k, (chunks, bitmap, _) in enumerate(self.levels):
+            out[which] |= chunks[start:end].astype(np.uint32) << np.uint32(8 * k)
+            if k + 1 == len(self.levels):
+                break
+            bits = np.unpackbits(bitmap[start >> 6 : (end + 63) >> 6].view(np.uint8), bitorder="little")
+            on = np.flatnonzero(bits[start & 63 : (start & 63) + end - start])
+            which = on if isinstance(which, slice) else which[on]
+            start, end = self._rank(k, start), self._rank(k, end)
+            if start == end:
+                break
+        return out
+
     def document(self, i: int) -> np.ndarray:
-        return self.ids(np.arange(int(self.offsets[i]), int(self.offsets[i + 1])))
+        return self.span(int(self.offsets[i]), int(self.offsets[i + 1]))
 
 
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
     The byte-level pattern always starts a new token at a space before a
-    non-space and on both sides of a single line break, so in a text with only
-    such white space the pieces between are encoded alone without changing any
-    id. Other texts go to the library whole. Strings of special tokens in a
+    non-space, on both sides of a single line break, and at a mark between a
+    letter and white space. So in a text with no other white space the pieces
+    between those places are encoded alone without changing any id. Texts with
+    other white space go to the library whole. Strings of special tokens in a
     text are ordinary text.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.marks = {m: self._library(m).tobytes() for m in ".,"}
+        newline = self._library("\n")
+        self.newline = int(newline[0]) if len(newline) == 1 else None
         self._reset()
 
-    def _reset(self):
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE:
-            self._reset()
-        for enc, piece in zip(self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), pieces):
-            ids = enc.ids
-            n = len(self.known)
-            if n == len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * n), np.resize(self.sizes, 2 * n)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[n], self.sizes[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[piece] = n
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _reset(self) -> None:
+        #: ids of a piece as bytes; None for what can't stand alone: no text, or other white space
+        self.known: dict[str, bytes | None] = {"": None, " ": None, "\n": self._library("\n").tobytes()}
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, bases = self.known, {}
+        for p in pieces:
+            core = p[1:] if p[0] == " " else p
+            if core.split() != [core]:
+                known[p] = None
+            elif p[-1] in self.marks and len(p) > 1 and p[-2].isalpha():
+                bases[p] = p[:-1]
+        new = [p for p in {bases.get(p, p) for p in pieces} if p not in known]
+        if new:
+            ids = self._library("\n".join(new))
+            ends = np.flatnonzero(ids == self.newline) if self.newline is not None else []
+            if len(ends) == len(new) - 1:
+                cut = [0, *(ends + 1).tolist(), len(ids) + 1]
+                raw = ids.tobytes()
+                for p, a, b in zip(new, cut, cut[1:]):
+                    known[p] = raw[4 * a : 4 * (b - 1)]
+            else:
+                for p in new:
+                    known[p] = self._library(p).tobytes()
+        for p, base in bases.items():
+            known[p] = known[base] + self.marks[p[-1]]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if _ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        at = list(map(self.known.get, pieces))
-        if None in at:
-            new = list({p for p, i in zip(pieces, at) if i is None})
+        pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in text else [""]
+        try:
+            return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32)
+        except KeyError:
+            new = {p for p in pieces if p not in self.known}
             if len(self.known) + len(new) > CACHE:
-                new = list(set(pieces))  # the cache begins anew
+                self._reset()
+                new = {p for p in pieces if p not in self.known}
             self._learn(new)
-            at = list(map(self.known.__getitem__, pieces))
-        at = np.array(at)
-        size = self.sizes[at]
-        stop = np.cumsum(size)
-        step = np.arange(int(stop[-1])) - np.repeat(stop - size, size)
-        return self.flat[np.repeat(self.starts[at], size) + step]
+        except TypeError:
+            return self._library(text)
+        try:
+            return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32)
+        except TypeError:
+            return self._library(text)
 
 
 def _records(path: str, key: str):
@@ -246,7 +282,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
             for row in range(batch.num_rows):
                 record = Record(batch.column("record")[row].as_py())
                 bounds = record.offsets.astype(np.int64)
-                ids = record.ids(np.arange(record.n_ids)).astype("<u4").tobytes()
+                ids = record.span(0, record.n_ids).astype("<u4").tobytes()
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 n = record.n_docs
                 yield pa.RecordBatch.from_arrays(
