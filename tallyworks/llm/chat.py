@@ -25,6 +25,8 @@ from .common import let, materialize
 CONTROL = r"([<\[])(\||INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>)"
 END = "<|end|>\n"
 LOSS_ROLE = "assistant"
+#: A thread of 2 ** MAX_ROUNDS messages can't be; links that need more go in circles.
+MAX_ROUNDS = 48
 
 
 def escape(text):
@@ -45,7 +47,7 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
 
     ``messages`` has tree_id, msg_id (unique), parent_id (null at a root) and
     score. A parent that isn't there makes its child a root; a null score
-    counts 0. Paths rank by mean score, then length, then the leaf's id.
+    counts 0; parents in a circle raise ValueError. Paths rank by mean score, then length, then the leaf's id.
     """
     base = messages.select(
         "tree_id", "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
@@ -58,25 +60,31 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
         base.select("msg_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum")),
         "chat-jump",
     )
-    rounds = [jump.select("msg_id", "up")]
-    while not jump.where(F.col("up").isNotNull()).isEmpty():
-        far = jump.select(F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("sum").alias("sum2"))
-        jump = jump.join(far, "up", "left").select(
+    done, active = jump.where("up IS NULL"), jump.where("up IS NOT NULL")
+    rounds = []
+    while not active.isEmpty():
+        if len(rounds) > MAX_ROUNDS:
+            raise ValueError("parent links form a cycle")
+        rounds.append(active.select("msg_id", "up"))
+        far = done.unionByName(active).select(
+            F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("sum").alias("sum2")
+        )
+        step = active.join(far, "up").select(
             "msg_id",
             F.col("up2").alias("up"),
-            (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"),
-            (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"),
+            (F.col("steps") + F.col("s2")).alias("steps"),
+            (F.col("sum") + F.col("sum2")).alias("sum"),
         )
-        jump = materialize(jump, "chat-jump")
-        rounds.append(jump.select("msg_id", "up"))
+        step = materialize(step, "chat-jump")  # only the messages that haven't reached their root
+        done, active = done.unionByName(step.where("up IS NULL")), step.where("up IS NOT NULL")
+    jump = done
     leaves = base.join(base.select(F.col("parent_id").alias("msg_id")).where("msg_id is not null").distinct(), "msg_id", "left_anti")
     scored = leaves.select("tree_id", "msg_id").join(jump.select("msg_id", "steps", "sum"), "msg_id")
     order = Window.partitionBy("tree_id").orderBy((F.col("sum") / F.col("steps")).desc(), F.desc("steps"), "msg_id")
     chosen = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     path = chosen.select("tree_id", "rank", "msg_id", F.col("steps").alias("place"))
     for k in range(len(rounds) - 1, -1, -1):  # from the leaf up, by halving jumps: each place is reached once
-        up = rounds[k].where("up is not null")
-        higher = path.join(up, "msg_id").select("tree_id", "rank", F.col("up").alias("msg_id"), (F.col("place") - 2**k).alias("place"))
+        higher = path.join(rounds[k], "msg_id").select("tree_id", "rank", F.col("up").alias("msg_id"), (F.col("place") - 2**k).alias("place"))
         path = path.unionByName(higher)
         if k % 4 == 0:
             path = materialize(path, "chat-path")

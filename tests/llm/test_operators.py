@@ -465,3 +465,13 @@ def test_short_and_repeated_items(spark):
     got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, slop=2).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r.items) for r in got} == brute_hits(docs, items)
     assert all(set(r["items"]) <= set(r.near_items) for r in got)
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(300)]
+    back = [(2000 - i, 1999 - i) for i in range(100)]
+    star = [(1000, 1000 + i) for i in range(1, 50)] + [(1049, 1048), (5000, 5000), (6000, 6001), (6001, 6000)]
+    df = spark.createDataFrame(chain + back + star, "a long, b long")
+    got = {r["node"]: r["class"] for r in neardup.components(df).collect()}
+    expected = {i: 0 for i in range(301)} | {i: 1900 for i in range(1900, 2001)} | {1000 + i: 1000 for i in range(50)} | {6000: 6000, 6001: 6000}
+    assert got == expected
