@@ -117,7 +117,9 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED, **kw) -> DataFram
     cells = cells.withColumn("blocks", blocks).withColumn("quota", F.least("quota", F.col("blocks") * MOST))
     cells = cells.withColumn("passes", F.floor(F.col("quota") / F.col("blocks")))
     cells = cells.withColumn("rest", F.col("quota") - F.col("passes") * F.col("blocks"))
-    drawn = cells.where("rest > 0").select("rank", "shard", "rest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # the blocks are many though the shards are few: keep them spread, and never broadcast them
+    spread = cells.where("rest > 0").repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "shard")
+    drawn = spread.select("rank", "shard", "rest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     draw = Window.partitionBy("rank", "shard").orderBy(
         F.md5(F.concat_ws(":", F.lit(seed), F.col("rank").cast("string"), F.col("shard").cast("string"), F.col("block").cast("string"))),
         "block",
@@ -133,7 +135,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED, **kw) -> DataFram
         "end",
         F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block"),
     )
-    parts = touched.join(drawn, ["rank", "shard", "block"]).select(
+    parts = touched.join(drawn.hint("merge"), ["rank", "shard", "block"]).select(
         "row",
         (F.greatest(F.col("start"), F.col("block") * block) - F.col("start")).alias("from"),
         (F.least(F.col("end"), (F.col("block") + 1) * block) - F.col("start")).alias("to"),
