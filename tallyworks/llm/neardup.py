@@ -13,16 +13,14 @@
    ROWS samples make a band key.
 3. *Exact copies* (same words in the same order) fall together by a 128-bit
    hash; only one of them goes on.
-4. *Links.* Within a bucket of equal band keys the least id leads and is
-   compared with all others by exact weighted Jaccard similarity; members that
-   don't get into its class have a second leader among them, compared with all
-   members outside its class. That takes members times two comparisons and
-   gathers hot groups of copies. For buckets with members still outside a
-   leader's class, PROBES further samples are drawn, and such a member is
-   compared exactly with the members of other classes that agree with it on
-   SURE of them: a pair at the threshold passes with probability 0.99, one at
-   0.85 with 0.9999, and a group of texts that are merely alike doesn't make
-   all its pairs.
+4. *Links.* Within a bucket of equal band keys the least id leads, is compared
+   with all others by exact weighted Jaccard similarity and leaves the bucket;
+   so does a second leader. That takes members times LEADERS comparisons and
+   gathers hot groups of copies. Buckets in which members of several classes are left
+   are cut into blocks of about BLOCK_BYTES of text; every block meets itself
+   and every other, and all pairs of different classes are compared exactly. No
+   pair becomes a row: a block pair is worked off in arrays and gives a
+   spanning forest of its links.
 5. *Classes* are the connected components of the links, by contraction;
    exact copies then take the class of the one that went on.
 """
@@ -36,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import map_arrow, materialize
 from .words import mix, shingles, text_slices, word_hashes
 
@@ -43,7 +42,10 @@ WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 8, 3
 SAMPLES = BANDS * ROWS
-PROBES, SURE = 128, 92
+#: So many rounds of leaders come before the blocks.
+LEADERS = 2
+#: Text of one block of a bucket, in bytes, about.
+BLOCK_BYTES = 1 << 20
 #: Shingles in at most this share of the documents have the full idf.
 RARE = 0.1
 #: A chunk of the search for common shingles has so many documents.
@@ -62,7 +64,7 @@ def _gamma_table(size: int = 1 << 14, seed: int = 7) -> np.ndarray:
 
 _GAMMA = _gamma_table()
 _LOG_GAMMA = np.log(_GAMMA)
-_SALTS = mix(np.arange(1, SAMPLES + PROBES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_SALTS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _weighted(data, offsets, common_ids, common_idf, full_idf):
@@ -179,7 +181,7 @@ def _signatures(weights: _Weights):
             if not len(has):
                 continue
             starts = np.searchsorted(text, has)
-            rows = _samples(ids, w, starts, _SALTS[:SAMPLES])
+            rows = _samples(ids, w, starts, _SALTS)
             rows = rows.reshape(len(has), BANDS, ROWS).astype(np.uint64)
             bands = np.zeros((len(has), BANDS), np.uint64) + mix(np.arange(1, BANDS + 1, dtype=np.uint64))
             for k in range(ROWS):
@@ -201,35 +203,6 @@ def _signatures(weights: _Weights):
     return run
 
 
-def _probes(weights: _Weights):
-    """PROBES more samples of each text, a byte of each, eight to a long."""
-
-    def run(batches):
-        for doc_ids, data, offsets in _rows(batches):
-            ids, text, w, _, counts = weights.apply(data, offsets)
-            has = np.flatnonzero(counts > 0)
-            if len(has):
-                got = mix(_samples(ids, w, np.searchsorted(text, has), _SALTS[SAMPLES:]).astype(np.uint64))
-                packed = np.ascontiguousarray(got.astype(np.uint8)).view(np.int64)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, packed.size + 1, packed.shape[1]), pa.int32()), pa.array(packed.ravel())
-                )
-                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(has)), lists], ["node", "probes"])
-
-    return run
-
-
-def _agreement(a, b):
-    """How many of the probes' bytes are equal, in integer arithmetic."""
-    differ = F.lit(0)
-    for k in range(PROBES // 8):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return F.lit(PROBES) - differ
-
-
 def _similarity(weights: _Weights):
     """Exact weighted Jaccard similarity of the texts of each pair."""
 
@@ -312,7 +285,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = keys.join(reps.drop("bands"), ["copy1", "copy2"]).where(F.col("doc_id") != F.col("node"))
     copies = copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
 
-    member = reps.select(F.posexplode("bands").alias("i", "band"), "node", "bands")
+    member = reps.select(F.explode("bands").alias("band"), "node")
     shared = member.groupBy("band").count().where("count > 1").select("band")
     member = materialize(member.join(shared, "band"), "neardup-members")
     nodes = member.select(F.col("node").alias("doc_id")).distinct()
@@ -331,15 +304,58 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.join(sizes, "class_id", "left").select("doc_id", "class_id", "n_class")
 
 
-def _outside(pairs: DataFrame, classes: DataFrame, a: str, b: str) -> DataFrame:
-    """The rows of ``pairs`` whose ids in ``a`` and ``b`` aren't in one class."""
-    of = lambda c, k: classes.select(F.col("node").alias(c), F.col("class").alias(k))
-    pairs = pairs.join(of(a, "_ca"), a, "left").join(of(b, "_cb"), b, "left")
-    return pairs.where(~F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False))).drop("_ca", "_cb")
+def _blocks(weights: _Weights, threshold: float):
+    """Links between different classes of a block pair's members, a spanning forest of them, every pair compared exactly."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        nodes, classes, block = (table.column(c).to_numpy() for c in ("node", "class", "block"))
+        mine = pa.RecordBatch.from_arrays([table.column("text").combine_chunks()], ["text"])
+        parts, starts, done = [], [], 0
+        for a, b, data, offsets in text_slices(mine, "text", 1 << 18):
+            ids, text, w, *_ = weights.apply(data, offsets)
+            parts.append((ids, w))
+            starts.append(np.searchsorted(text, np.arange(b - a)) + done)
+            done += len(ids)
+        ids, w = (np.concatenate(x) for x in zip(*parts))
+        cut = np.append(np.concatenate(starts), done)
+        _, ids = np.unique(ids, return_inverse=True)
+        mass = np.add.reduceat(w, cut[:-1], dtype=np.float64)
+        row = np.zeros(ids.max() + 1, np.float32)
+        root = {c: c for c in set(classes.tolist())}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        first, second = [], []
+        low = block.min()
+        within = block.max() == low
+        for x in np.flatnonzero(block == low):
+            at = slice(cut[x], cut[x + 1])
+            row[ids[at]] = w[at]
+            inter = np.add.reduceat(np.minimum(row[ids], w), cut[:-1], dtype=np.float64)
+            row[ids[at]] = 0
+            alike = inter / (mass + mass[x] - inter) >= threshold
+            alike &= (nodes > nodes[x]) if within else (block != low)
+            for y in np.flatnonzero(alike & (classes != classes[x])):
+                cx, cy = top(int(classes[x])), top(int(classes[y]))
+                if cx != cy:
+                    root[cx] = cy
+                    first.append(min(nodes[x], nodes[y]))
+                    second.append(max(nodes[x], nodes[y]))
+        return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(second, pa.int64())})
+
+    return run
 
 
 def _linked(member: DataFrame, texts: DataFrame, weights: _Weights, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket and reach the threshold, enough to join every class."""
+    """Pairs (a, b) of nodes that share a bucket and reach the threshold, enough to join every class.
+
+    A member that has led has met all others of its bucket and leaves it; a
+    bucket is done when those left in it are of one class.
+    """
 
     def judge(pairs):
         ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
@@ -348,52 +364,28 @@ def _linked(member: DataFrame, texts: DataFrame, weights: _Weights, threshold: f
         both = map_arrow(both, _similarity(weights), "a long, b long, sim double")
         return materialize(both.where(F.col("sim") >= threshold).select("a", "b"), "neardup-links")
 
-    def led(open_, tried, classes):
-        leader = open_.groupBy("band").agg(F.min("node").alias("lead"))
-        pairs = member.join(leader, "band").where("node <> lead")
-        pairs = pairs.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-        if tried is not None:
-            pairs = _outside(pairs.join(tried, ["a", "b"], "left_anti"), classes, "a", "b")
-        return leader, materialize(pairs, "neardup-pairs")
-
-    def still_open(open_, leader, classes):
-        rest = open_.join(leader, "band").where("node <> lead")
-        return materialize(_outside(rest, classes, "node", "lead").select("band", "node"), "neardup-open")
-
-    leader, pairs = led(member, None, None)
-    links = judge(pairs)
-    classes = components(links, "neardup-round")
-    open_ = still_open(member, leader, classes)
-    if open_.isEmpty():
-        return links
-    leader, more = led(open_, pairs, classes)
-    if not more.isEmpty():
-        tried = pairs.union(more)
-        links = links.union(judge(more))
-        classes = components(links, "neardup-round")
-    else:
-        tried = pairs
-    open_ = still_open(open_, leader, classes)
-    if open_.isEmpty():
-        return links
-    # what is left: pairs of different classes, at least one of them open in the bucket
-    left = member.join(open_.select("band").distinct(), "band", "left_semi")
-    left = left.join(open_.withColumn("open", F.lit(True)), ["band", "node"], "left").na.fill(False, ["open"])
-    left = _classed(left, classes)
-    texts_left = texts.join(left.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    probes = map_arrow(texts_left, _probes(weights), "node long, probes array<long>")
-    left = materialize(left.join(probes.hint("merge"), "node"), "neardup-left")
-    x, y = left.where("open").alias("x"), left.alias("y")
-    once = ~F.col("y.open") | (F.col("x.node") < F.col("y.node"))
-    for k in range(BANDS - 1):  # a pair that shares several bands counts in the first
-        once = once & ((F.col("x.i") <= k) | (F.get("x.bands", F.lit(k)) != F.get("y.bands", F.lit(k))))
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.class") != F.col("y.class")) & once
-    last = x.join(y, met & (_agreement("x.probes", "y.probes") >= SURE)).select(
-        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-    )
-    last = materialize(last.distinct().join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
-    return links if last.isEmpty() else links.union(judge(last))
-
-
-def _classed(df: DataFrame, classes: DataFrame) -> DataFrame:
-    return df.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    left = member.select("band", "node", F.col("node").alias("class"))
+    links = tried = None
+    for _ in range(LEADERS):
+        leader = left.groupBy("band").agg(F.min("node").alias("lead"), F.min_by("class", "node").alias("led"))
+        met = left.join(leader, "band")
+        pairs = met.where("class <> led").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = judge(pairs) if links is None else links.union(judge(pairs))
+        rest = met.where("node <> lead").select("band", "node")
+        rest = rest.join(components(links, "neardup-round"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+        several = rest.groupBy("band").agg((F.min("class") < F.max("class")).alias("more")).where("more").select("band")
+        left = materialize(rest.join(several, "band", "left_semi").select("band", "node", "class"), "neardup-left")
+        if left.isEmpty():
+            return links
+    sized = left.join(texts.select(F.col("doc_id").alias("node"), F.octet_length("text").alias("size")).hint("merge"), "node")
+    n_blocks = sized.groupBy("band").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("n_blocks"))
+    sized = sized.join(n_blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    # a bucket of one block is compared within; of more, every block also meets every other
+    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    dealt = dealt.select("node", "class", "band", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    dealt = dealt.join(texts.select(F.col("doc_id").alias("node"), "text").hint("merge"), "node")
+    ship(dealt.sparkSession)
+    found = dealt.groupBy("band", "p", "q").applyInArrow(_blocks(weights, threshold), "a long, b long")
+    return links.union(materialize(found.distinct(), "neardup-links"))

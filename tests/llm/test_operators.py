@@ -142,6 +142,27 @@ def test_hot_group_of_near_copies(spark):
     assert got == brute_classes(dict(rows))
 
 
+def test_links_between_followers_of_different_leaders(spark):
+    """One bucket with L1 < L2 < a, b: a is like L1, b like L2 and a, but neither like the other's leader."""
+    base = [f"w{i}" for i in range(400)]
+
+    def shifted(k):
+        return " ".join(base[k : k + 300])
+
+    rows = [(1, shifted(0)), (2, shifted(75)), (3, shifted(25)), (4, shifted(50))]
+    rows += [(100 + k, " ".join(f"far{k}x{i}" for i in range(50))) for k in range(6)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    member = spark.createDataFrame([(0, 7, k, [7]) for k, _ in rows], "i int, band long, node long, bands array<long>")
+    for block_bytes in (neardup.BLOCK_BYTES, 2000):
+        kept, neardup.BLOCK_BYTES = neardup.BLOCK_BYTES, block_bytes
+        try:
+            links = neardup._linked(member, texts, neardup._Weights({}, len(rows)), neardup.THRESHOLD)
+            got = {r["node"]: r["class"] for r in neardup.components(links).collect()}
+        finally:
+            neardup.BLOCK_BYTES = kept
+        assert got == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_common_shingles_weigh_less(spark):
     notice = " ".join(f"notice{i}" for i in range(60))
     rows = [(i, f"{notice} own{i} words{i} of{i} text{i} number{i} here{i}") for i in range(50)]
