@@ -24,18 +24,27 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tox.keep_ordinary(docs, tox.fit_on(docs, q.training_labels(spark, sf_dir)))
 
 
+def _numbered(docs: DataFrame, tag: str) -> DataFrame:
+    """``docs`` with a number ``_row`` of each row; written, so that it stays the same."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), tag)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every class; rows without an id have no class and stay."""
-    classes = near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    one = docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of every class of rows: the one with the least id, rows without an id last."""
+    rows = _numbered(docs, "pipeline-dedup-rows")
+    classes = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    classes = classes.select(F.col("doc_id").alias("_row"), "class_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    first = rows.select("_row", rank.alias("_rank")).join(classes, "_row").groupBy("class_id").agg(F.min("_rank").alias("_rank"))
+    return rows.join(first.select("_rank._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a benchmark window; rows without an id stay only if no such row is hit."""
-    hit = contamination(docs, read_table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id").distinct()
-    key = hit.select(F.struct("doc_id").alias("_key"))
-    return docs.withColumn("_key", F.struct("doc_id")).join(key, "_key", "left_anti").select(*docs.columns)
+    """Rows without a word inside a benchmark window, each judged by its own text."""
+    rows = _numbered(docs, "pipeline-decontamination-rows")
+    found = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_row"))
+    return rows.join(hit, "_row", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

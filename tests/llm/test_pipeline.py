@@ -52,3 +52,19 @@ def test_stages(spark, sf):
     assert sorted((r.doc_id, r.ids_crc32) for r in got) == sums
     assert [r.doc_id for r in got] == sorted(r.doc_id for r in got)
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
+def test_rows_without_or_with_shared_ids(spark, sf):
+    """A row is judged by its own text, whatever other rows share its id or have none."""
+    leak = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r.text.split()) > 12)
+    one, two, other = (" ".join(f"{p}{i}" for i in range(60)) for p in ("one", "two", "other"))
+    stages = dict(pipeline.STAGES)
+
+    def texts(stage, rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        return sorted((r.doc_id or 0, r.text) for r in stages[stage](spark, df, sf).collect())
+
+    got = texts("decontamination", [(None, leak, "a"), (None, one, "a"), (5, leak, "a"), (5, two, "a"), (6, other, "a")])
+    assert got == sorted([(0, one), (5, two), (6, other)])
+    got = texts("near_dedup", [(5, one, "a"), (5, two, "a"), (8, one, "a"), (9, two, "a"), (None, other, "a"), (None, other, "b")])
+    assert got == sorted([(5, one), (5, two), (0, other)])
