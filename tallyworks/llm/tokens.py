@@ -22,10 +22,12 @@ that Spark reaches will do. Documents lie in ascending doc_id order.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +35,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, shared_folder
+from .words import _powers, mix, text_slices
 
 MAGIC = b"DAC1"
 END_ID = 2
-#: A record is closed at so many ids; one document is never split.
+#: A record is closed at so many ids, after the slice of texts that reaches them; one document is never split.
 RECORD_IDS = 1 << 19
-#: Pieces of text whose ids a worker remembers, about 200 bytes each.
-CACHE = 2_000_000
+#: Pieces of text whose ids a worker remembers, about 50 bytes each; then it starts anew.
+CACHE = 1_000_000
+#: Pieces of more bytes are not remembered.
+LONGEST = 255
 
 
 def encode_record(ids: np.ndarray, offsets: np.ndarray) -> bytes:
@@ -136,15 +141,43 @@ class Record:
         return self.span(int(self.offsets[i]), int(self.offsets[i + 1]))
 
 
+#: Classes of bytes. The tokenizer's byte-level pattern never joins two of SPACE, LETTER, DIGIT and MARK in one
+#: piece, but for one space before a piece; at OTHER (apostrophes, controls, most of non-ASCII) no cut is made.
+OTHER, SPACE, LETTER, DIGIT, MARK = range(5)
+
+
+def _byte_classes() -> np.ndarray:
+    out = np.full(256, OTHER, np.uint8)
+    for b in range(0x21, 0x7F):
+        out[b] = LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else MARK
+    out[ord("'")] = OTHER
+    out[[*range(0x09, 0x0E), 0x20]] = SPACE
+    return out
+
+
+_CLASSES = _byte_classes()
+#: White space beyond ASCII in UTF-8; a text with any goes to the library whole.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes take the code points from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
-    The byte-level pattern always starts a new token at a space before a
-    non-space, on both sides of a single line break, and at a mark between a
-    letter and white space. So in a text with no other white space the pieces
-    between those places are encoded alone without changing any id. Texts with
-    other white space go to the library whole. Strings of special tokens in a
-    text are ordinary text.
+    Texts are cut, in arrays, where the byte-level pattern surely begins a new
+    piece: between letters, digits and marks, and before the last white space
+    ahead of a word (a space goes with the word, another one stands alone). The
+    distinct pieces of a slice of texts are found by hash, looked up in a table
+    of packed ids that the worker keeps from task to task, and only unseen ones
+    go to the library. A piece of more than LONGEST bytes and a text with white
+    space beyond ASCII go to it every time. Strings of special tokens in a text
+    are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -153,91 +186,147 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.marks = {m: self._library(m).tobytes() for m in ".,"}
-        newline = self._library("\n")
-        self.newline = int(newline[0]) if len(newline) == 1 else None
+        self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
         self._reset()
 
-    def _library(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
     def _reset(self) -> None:
-        #: ids of a piece as bytes; None for what can't stand alone: no text, or other white space
-        self.known: dict[str, bytes | None] = {"": None, " ": None, "\n": self._library("\n").tobytes()}
-
-    def _learn(self, pieces: set[str]) -> None:
-        known, bases = self.known, {}
-        for p in pieces:
-            core = p[1:] if p[0] == " " else p
-            if core.split() != [core]:
-                known[p] = None
-            elif p[-1] in self.marks and len(p) > 1 and p[-2].isalpha():
-                bases[p] = p[:-1]
-        new = [p for p in {bases.get(p, p) for p in pieces} if p not in known]
-        if new:
-            ids = self._library("\n".join(new))
-            ends = np.flatnonzero(ids == self.newline) if self.newline is not None else []
-            if len(ends) == len(new) - 1:
-                cut = [0, *(ends + 1).tolist(), len(ids) + 1]
-                raw = ids.tobytes()
-                for p, a, b in zip(new, cut, cut[1:]):
-                    known[p] = raw[4 * a : 4 * (b - 1)]
-            else:
-                for p in new:
-                    known[p] = self._library(p).tobytes()
-        for p, base in bases.items():
-            known[p] = known[base] + self.marks[p[-1]]
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in text else [""]
-        try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32)
-        except KeyError:
-            new = {p for p in pieces if p not in self.known}
-            if len(self.known) + len(new) > CACHE:
-                self._reset()
-                new = {p for p in pieces if p not in self.known}
-            self._learn(new)
-        except TypeError:
-            return self._library(text)
-        try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32)
-        except TypeError:
-            return self._library(text)
+        self.keys = np.zeros(0, np.uint64)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.filled = np.zeros(1 << 16, np.uint32), 0
+
+    def _put(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Append id lists to the pool; return where each begins and its length."""
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(count.sum()))
+        if self.filled + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.uint32)])
+        self.pool[self.filled : self.filled + len(flat)] = flat
+        first = self.filled + np.cumsum(count) - count
+        self.filled += len(flat)
+        return first, count
+
+    def _library(self, pieces: list[bytes]) -> list[list[int]]:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learned(self, pieces: list[bytes], words: np.ndarray) -> list[list[int]]:
+        """Ids of new pieces; a word (letters, perhaps after a space) is one unit of the pattern and goes to the model at once."""
+        out: list[list[int]] = [[]] * len(pieces)
+        rest = [i for i, w in enumerate(words.tolist()) if not w]
+        tokenize, alphabet = self.model.tokenize, self.alphabet
+        for i in np.flatnonzero(words).tolist():
+            out[i] = [t.id for t in tokenize(pieces[i].decode("latin-1").translate(alphabet))]
+        for i, ids in zip(rest, self._library([pieces[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each text) of the texts laid end to end in ``data``."""
+        n, n_texts = len(data), len(offsets) - 1
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(n_texts, np.int64)
+        if len(self.keys) > CACHE or self.filled > 8 * CACHE:
+            self._reset()
+        kind = _CLASSES[data]
+        # two-byte Latin letters (U+00C0 to U+00FF without the signs for times and divided)
+        lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+        kind[lead] = kind[lead + 1] = LETTER
+        begin = np.zeros(n, bool)
+        begin[offsets[:-1][np.diff(offsets) > 0]] = True
+        fresh = begin.copy()  # the first byte of a text
+        before, after = kind[:-1], kind[1:]
+        begin[1:] |= (before != after) & (before > SPACE) & (after > SPACE)
+        space = kind == SPACE
+        begin[1:] |= space[1:] & ~space[:-1]  # white space begins
+        ends = np.zeros(n, bool)  # the last white space before something else of the same text
+        ends[:-1] = space[:-1] & ~space[1:] & ~fresh[1:]
+        begin |= ends
+        begin[1:] |= ends[:-1] & (data[:-1] != 0x20)
+        for m in _WIDE_SPACE.finditer(data.tobytes()) if (data >= 0xC2).any() else ():
+            t = int(np.searchsorted(offsets, m.start(), "right")) - 1
+            begin[offsets[t] + 1 : offsets[t + 1]] = False
+            kind[offsets[t] : offsets[t + 1]] = OTHER
+        first = np.flatnonzero(begin)
+        size = np.diff(np.append(first, n))
+        whole = np.zeros(len(first), bool)  # those that no table remembers
+        whole[size > LONGEST] = True
+        wide = kind[first] == OTHER
+        if wide.any():
+            whole[wide] |= [bool(_WIDE_SPACE.search(data[a : a + s])) for a, s in zip(first[wide], size[wide])]
+        up, down = _powers(1 << max(16, (n - 1).bit_length()))
+        sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n])
+        last = first + size - 1
+        key = mix((sums[last] - np.where(first > 0, sums[first - 1], 0)) * down[first] + size.astype(np.uint64))
+        at, n_ids = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+
+        known = np.flatnonzero(~whole)
+        unique, where, back = np.unique(key[known], return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
+        seen = self.keys[place] == unique if len(self.keys) else np.zeros(len(unique), bool)
+        if not seen.all():
+            new = known[where[~seen]]
+            letter = np.concatenate([[0], np.cumsum(kind == LETTER)])
+            inner = first[new] + (data[first[new]] == 0x20)
+            words = (letter[first[new] + size[new]] - letter[inner] == first[new] + size[new] - inner) & (first[new] + size[new] > inner)
+            raw = data.tobytes()
+            got = self._put(self._learned([raw[a : a + s] for a, s in zip(first[new].tolist(), size[new].tolist())], words))
+            order = np.searchsorted(self.keys, unique[~seen])
+            self.keys = np.insert(self.keys, order, unique[~seen])
+            self.first, self.count = np.insert(self.first, order, got[0]), np.insert(self.count, order, got[1])
+            place = np.searchsorted(self.keys, unique)
+        if len(known):
+            at[known], n_ids[known] = self.first[place][back], self.count[place][back]
+        if whole.any():
+            alone = np.flatnonzero(whole)
+            raw = [data[a : a + s].tobytes() for a, s in zip(first[alone], size[alone])]
+            at[alone], n_ids[alone] = self._put(self._library(raw))
+        done = np.cumsum(n_ids)
+        ids = self.pool[np.repeat(at - (done - n_ids), n_ids) + np.arange(done[-1])]
+        per_text = np.diff(np.append(0, done)[np.searchsorted(first, offsets)])
+        return ids, per_text
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The worker's encoder for the tokenizer at ``path``; its table of pieces outlives the task."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 def _records(path: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder = PieceEncoder(path)
-        ids, offsets, docs, seq = [], [0], [], 0
+        encode = encoder(path).encode
+        shard, seq, held, sizes, docs = None, 0, [], [np.zeros(1, np.int64)], []
 
         def close():
-            data = encode_record(np.concatenate(ids), np.array(offsets, np.uint64))
+            offsets = np.cumsum(np.concatenate(sizes))
+            data = encode_record(np.concatenate(held), offsets.astype(np.uint64))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard], pa.int32()),
                     pa.array([seq], pa.int64()),
-                    pa.array([offsets[-1]], pa.int64()),
+                    pa.array([int(offsets[-1])], pa.int64()),
                     pa.array([docs], pa.list_(pa.int64())),
                     pa.array([data], pa.binary()),
                 ],
                 ["shard", "seq", "n_ids", "docs", "record"],
             )
 
-        shard = None
         for batch in batches:
             if shard is None and batch.num_rows:
                 shard = batch.column("shard")[0].as_py()
-            for doc, text in zip(batch.column(key).to_pylist(), batch.column("text")):
-                got = encoder.encode(text.as_py())
-                ids += [got, np.array([END_ID], np.uint32)]
-                offsets.append(offsets[-1] + len(got) + 1)
-                docs.append(doc)
-                if offsets[-1] >= RECORD_IDS:
+            for a, b, data, offsets in text_slices(batch, "text"):
+                ids, per_text = encode(data, offsets)
+                held.append(np.insert(ids, np.cumsum(per_text), np.uint32(END_ID)))
+                sizes.append(per_text + 1)
+                docs += batch.column(key).slice(a, b - a).to_pylist()
+                if sum(map(len, held)) >= RECORD_IDS:
                     yield close()
-                    ids, offsets, docs, seq = [], [0], [], seq + 1
+                    held, sizes, docs, seq = [], [np.zeros(1, np.int64)], [], seq + 1
         if docs:
             yield close()
 
