@@ -1,13 +1,14 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 1. *Shingle weights.* A shingle is five words. Its weight in a text is
-   tf * idf, idf = 1 + ln(N / max(df, N * RARE)): all shingles in at most a
-   tenth of the documents weigh alike, commoner ones less. Only shingles above
-   that share need an exact count, and there are at most (mean distinct
-   shingles of a document) / RARE of them. They are found without shuffling the
-   rare rest: a shingle with df >= RARE * N has a local df >= RARE * n in some
-   chunk of n documents, so each chunk offers those, and one more pass counts
-   exactly these.
+   tf * idf, idf = 1 + ln(N / max(df, N * RARE)). Every shingle in more than
+   RARE of the documents is counted exactly: all documents are first counted
+   into CELLS cells by shingle hash; a shingle above RARE lies in a cell above
+   RARE, so only the shingles of such cells are then counted one by one. At
+   most (mean distinct shingles of a document) / RARE of them are kept,
+   whatever the size of the corpus; all rarer ones weigh alike. Without that
+   floor an edit's own shingles outweigh the text around them and hot groups
+   of near copies fall apart (figures in the README).
 2. *Samples.* Every text gets SAMPLES consistent weighted samples; two texts
    share a sample with the probability of their weighted Jaccard similarity.
    ROWS samples make a band key.
@@ -16,11 +17,11 @@
 4. *Links.* Within a bucket of equal band keys the least id leads, is compared
    with all others by exact weighted Jaccard similarity and leaves the bucket;
    so does a second leader. That takes members times LEADERS comparisons and
-   gathers hot groups of copies. Buckets in which members of several classes are left
-   are cut into blocks of about BLOCK_BYTES of text; every block meets itself
-   and every other, and all pairs of different classes are compared exactly. No
-   pair becomes a row: a block pair is worked off in arrays and gives a
-   spanning forest of its links.
+   gathers hot groups of copies. In a bucket where members of several classes
+   are left, those outside its largest class are compared exactly with all
+   members of other classes, in blocks of about BLOCK_BYTES of text. No pair
+   becomes a row: a block pair is worked off in arrays and gives a spanning
+   forest of its links.
 5. *Classes* are the connected components of the links, by contraction;
    exact copies then take the class of the one that went on.
 """
@@ -47,9 +48,9 @@ LEADERS = 2
 #: Text of one block of a bucket, in bytes, about.
 BLOCK_BYTES = 1 << 20
 #: Shingles in at most this share of the documents have the full idf.
-RARE = 0.1
-#: A chunk of the search for common shingles has so many documents.
-CHUNK = 4096
+RARE = 0.01
+#: Cells of the first count of shingles; a power of two.
+CELLS = 1 << 18
 _ID_BITS = np.uint64(0xFFFFFFFFFFFF)
 
 
@@ -114,27 +115,38 @@ def _rows(batches: Iterator[pa.RecordBatch], most: int = 1 << 18):
                 yield batch.column("doc_id").slice(a + c, d - c), data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c]
 
 
-def _offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that may be common: those in at least RARE of the documents of some chunk."""
-    held, n, seen = [], 0, 0
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by cell of their distinct shingles, summed over the task."""
+    total = np.zeros(CELLS, np.int64)
+    for _, data, offsets in _rows(batches):
+        ids, *_ = _weighted(data, offsets, (), (), 1.0)
+        total += np.bincount((ids & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
-    def flush():
-        ids = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-        at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-        df = np.diff(np.append(at, len(ids)))
-        ids = ids[at[df >= max(RARE * n, 1)]]
-        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64))], ["shingle"])
 
-    for doc_ids, data, offsets in _rows(batches):
-        ids, *_ = _weighted(data, offsets, (), (), 1.0)
-        held.append(ids)
-        n, seen = n + len(doc_ids), seen + len(ids)
-        if n >= CHUNK or seen > 8_000_000:
-            yield flush()
-            held, n, seen = [], 0, 0
-    if n:
+def _counted(heavy: np.ndarray):
+    """df of the shingles in heavy cells, summed over some documents at a time."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            ids, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(n)], ["shingle", "n"])
+
+        for _, data, offsets in _rows(batches):
+            ids, *_ = _weighted(data, offsets, (), (), 1.0)
+            ids = ids[heavy[(ids & np.uint64(CELLS - 1)).astype(np.int64)]]
+            held.append(ids)
+            size += len(ids)
+            if size > 2_000_000:
+                yield flush()
+                held, size = [], 0
         yield flush()
 
+    return run
+
 
 def common_shingles(docs: DataFrame, n_docs: int) -> dict[int, int]:
     """df of every shingle that is in more than RARE of the documents.
@@ -142,21 +154,12 @@ def common_shingles(docs: DataFrame, n_docs: int) -> dict[int, int]:
     At most (mean distinct shingles of a document) / RARE entries, whatever the corpus' size.
     """
     texts = docs.select("doc_id", "text")
-    offered = [r[0] for r in map_arrow(texts, _offered, "shingle long").distinct().collect()]
-    if not offered:
+    cells = map_arrow(texts, _cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    heavy = np.zeros(CELLS, bool)
+    heavy[[r[0] for r in cells.where(F.col("n") > RARE * n_docs).select("cell").collect()]] = True
+    if not heavy.any():
         return {}
-    wanted = np.sort(np.array(offered, np.int64).astype(np.uint64))
-
-    def count(batches):
-        total = np.zeros(len(wanted), np.int64)
-        for _, data, offsets in _rows(batches):
-            ids, *_ = _weighted(data, offsets, (), (), 1.0)
-            pos = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
-            total += np.bincount(pos[wanted[pos] == ids], minlength=len(wanted))
-        some = total > 0
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].astype(np.int64)), pa.array(total[some])], ["shingle", "n"])
-
-    counted = map_arrow(texts, count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = map_arrow(texts, _counted(heavy), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     return {int(r[0]): int(r[1]) for r in counted.where(F.col("n") > RARE * n_docs).collect()}
 
 
@@ -380,10 +383,19 @@ def _linked(member: DataFrame, texts: DataFrame, weights: _Weights, threshold: f
         if left.isEmpty():
             return links
     sized = left.join(texts.select(F.col("doc_id").alias("node"), F.octet_length("text").alias("size")).hint("merge"), "node")
-    n_blocks = sized.groupBy("band").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("n_blocks"))
-    sized = sized.join(n_blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    # a bucket of one block is compared within; of more, every block also meets every other
-    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    by_class = sized.groupBy("band", "class").agg(F.count("*").alias("n"))
+    largest = by_class.groupBy("band").agg(F.max(F.struct("n", "class"))["class"].alias("largest"))
+    sized = sized.join(largest, "band").withColumn("main", F.col("class") == F.col("largest"))
+    n_blocks = sized.groupBy("band").agg(*[
+        F.ceil(F.coalesce(F.sum(F.when(F.col("main") == flag, F.col("size"))), F.lit(0)) / BLOCK_BYTES).cast("int").alias(name)
+        for name, flag in (("n_others", False), ("n_main", True))
+    ])
+    # blocks of others come first; each meets itself, the later ones and every block of the largest class
+    sized = sized.join(n_blocks, "band")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    sized = sized.withColumn("block", F.when(F.col("main"), F.col("n_others") + own(F.col("n_main"))).otherwise(own(F.col("n_others"))))
+    last = F.when(F.col("main"), F.col("n_others") - 1).otherwise(F.col("n_others") + F.col("n_main") - 1)
+    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     dealt = dealt.select("node", "class", "band", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     dealt = dealt.join(texts.select(F.col("doc_id").alias("node"), "text").hint("merge"), "node")
     ship(dealt.sparkSession)
