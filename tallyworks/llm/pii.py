@@ -1,12 +1,21 @@
 """Personal data: base patterns, and bootstrapped contextual extraction from them.
 
-The base patterns give seed entities. The words before a seed, where they end
-in a cue such as a colon, make a lexical pattern; the identifier-like tokens
-that stand behind the same words anywhere are its instances. Patterns and
-instances form a graph that is scored in ROUNDS: a pattern's score is the
-smoothed mean of its instances', an instance's the best of its patterns', and
-seeds stay at 1. Instances of confident patterns that no base pattern knows are
-added as spans of kind ``context``. DataFrame functions only.
+The base patterns give seed entities. The one or two words before a token on
+its line, or a cue inside it (``id=``, ``tel:``), are its lexical pattern; the
+tokens behind a pattern are its instances. Tokens with a digit or an at sign
+are instances behind any words, tokens of letters behind or around a cue (``:``, ``=``,
+``#``). The graph of patterns and instances is scored in rounds:
+
+- a pattern's confidence is the share of its distinct instances that are
+  trusted, smoothed by PRIOR; it counts from MIN_SEEDS trusted instances and
+  from LEAST on;
+- an instance is trusted if a base pattern knows it, or if its patterns that
+  count are confident enough together: 1 - prod(1 - confidence) >= CONFIDENT.
+
+What becomes trusted in a round supports patterns in the next, until nothing
+new does. Trust only grows, so that ends. Trusted instances behind patterns
+that count, where no base span stands, are added as spans of kind ``context``.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, materialize
-from .spans import count_kind, find_spans, spans_text
+from .spans import count_kind, find_spans, matches, spans_text
 
 BASE = ("email", "ip", "card", "phone")
 #: The base patterns, written so that each is linear on long runs.
@@ -25,14 +34,18 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 CARD_GUARD = r"(?:[0-9][\x20-]?){13}[0-9]"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A token with a digit, an at sign or a cue inside it, or any token behind a cue and one blank.
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@:=#]*+(?:[0-9@]|[:=#](?=[^\x20\x09-\x0D]))[^\x20\x09-\x0D]*+|(?<=[:=#][\x20\x09])[^\x20\x09-\x0D]++"
+TOKEN_GUARD = r"[0-9@:=#]"
+#: What stands in a token before its identifier.
+INNER_CUE = r"^[^0-9@]*[:=#](?=.)"
 
-ROUNDS = 3
 MIN_SEEDS = 5
+LEAST = 0.5
 CONFIDENT = 0.8
 PRIOR = 1.0
-#: An instance has so many digits at least, or an at sign.
-MIN_DIGITS = 5
+#: An instance has so many characters at least.
+MIN_CHARS = 4
 
 
 def _digits(m: Column) -> Column:
@@ -78,80 +91,77 @@ def find_personal(text: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Identifier-like tokens behind a cue: start, end, instance, pattern.
+    """Tokens that may be identifiers: start, end, instance, pattern, both lowered.
 
-    The pattern is the last two words before the token, lowered, where the last
-    one ends in a cue character.
+    Every step is linear in the text: words are cut off from the right by their
+    delimiters, not searched for.
     """
-
-    def located(parts, found):
-        pairs = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-        step = lambda a, x: let(
-            a["at"] + F.length(x["p"]),
-            lambda start: F.struct(
-                (start + F.length(x["m"])).alias("at"),
-                F.concat(
-                    a["out"],
-                    F.array(F.struct(start.alias("start"), x["m"].alias("m"), F.lower(F.regexp_extract(x["p"], CUE, 1)).alias("pattern"))),
-                ).alias("out"),
+    none = F.array().cast("array<struct<start:int,end:int,instance:string,pattern:string>>")
+
+    def words_before(between):
+        line = F.translate(F.substring_index(between, "\n", -1), "\t\x0b\x0c\r", "    ")
+        return F.trim(F.substring_index(F.regexp_replace(F.trim(line), "\x20{2,}+", " "), " ", -2))
+
+    def one(start, m, between):
+        return let(
+            F.struct(words_before(between).alias("words"), F.regexp_extract(m, INNER_CUE, 0).alias("cue")),
+            lambda c: let(
+                F.substring(m, F.length(c["cue"]) + 1, F.length(m)),
+                lambda rest: let(
+                    F.length(F.regexp_extract(rest, r"^[(\[<{\"']*+", 0)),
+                    lambda head: let(
+                        F.regexp_replace(rest, r"^[(\[<{\"']++|[)\]>}\"',.;:!?]++$", ""),
+                        lambda core: F.struct(
+                            (start + F.length(c["cue"]) + head).alias("start"),
+                            (start + F.length(c["cue"]) + head + F.length(core)).alias("end"),
+                            F.lower(core).alias("instance"),
+                            F.lower(
+                                F.when(c["cue"] == "", c["words"]).otherwise(
+                                    F.trim(F.concat(F.substring_index(c["words"], " ", -1), F.lit(" "), c["cue"]))
+                                )
+                            ).alias("pattern"),
+                        ),
+                    ),
+                ),
             ),
         )
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string,pattern:string>>").alias("out"))
-        return F.filter(F.aggregate(pairs, zero, step, lambda a: a["out"]), lambda x: x["pattern"] != "")
-
-    found = let(
-        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)),
-        lambda m: F.when(F.size(m) == 0, F.array().cast("array<struct<start:int,m:string,pattern:string>>")).otherwise(
-            let(F.split(text, TOKEN, -1), lambda parts: located(parts, m))
-        ),
-    )
-    none = F.array().cast("array<struct<start:int,m:string,pattern:string>>")
-    tidy = lambda x: let(
-        F.regexp_extract(x["m"], r"^[(\[<{\"']*", 0),
-        lambda head: let(
-            F.regexp_replace(x["m"], r"^[(\[<{\"']+|[)\]>}\"',.;:!?]+$", ""),
-            lambda core: F.struct(
-                (x["start"] + F.length(head)).alias("start"),
-                (x["start"] + F.length(head) + F.length(core)).alias("end"),
-                F.lower(core).alias("instance"),
-                x["pattern"].alias("pattern"),
-            ),
-        ),
-    )
-    enough = lambda x: (F.length(_digits(x["instance"])) >= MIN_DIGITS) | F.contains(x["instance"], F.lit("@"))
-    return F.filter(F.transform(F.when(text.rlike(CUE_GUARD), found).otherwise(none), tidy), enough)
 
+    def body(starts, found, between):
+        each = F.zip_with(F.arrays_zip(starts.alias("at"), between.alias("b")), found, lambda x, m: one(x["at"], m, x["b"]))
+        return F.filter(each, lambda x: (x["pattern"] != "") & (F.length(x["instance"]) >= MIN_CHARS))
 
-#: The last one or two words before a token, the last with a cue at its end.
-CUE = r"((?:[^\x20\x09-\x0D]+[\x20\x09]+)?[^\x20\x09-\x0D]*[\p{L}][^\x20\x09-\x0D]*[:=#])[\x20\x09]*$"
-CUE_GUARD = r"[:=#][\x20\x09]+[^\x20\x09-\x0D]*[0-9@]"
+    return F.when(text.rlike(TOKEN_GUARD), matches(text, TOKEN, none, body)).otherwise(none)
 
 
-def scored_patterns(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(patterns, instances) with scores after ROUNDS, from distinct ``edges`` (pattern, instance, seed)."""
-    instances = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
-    instances = materialize(instances.withColumn("score", F.col("seed").cast("double")), "pii-instances")
-    patterns = None
-    for _ in range(ROUNDS):
-        scored = edges.select("pattern", "instance").join(instances, "instance")
-        patterns = scored.groupBy("pattern").agg(
-            (F.sum("score") / (F.count("*") + PRIOR)).alias("score"), F.sum("seed").alias("seeds")
-        )
+def scored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patterns that count, trusted instances) of distinct ``edges`` (pattern, instance, seed).
+
+    patterns: pattern, n, trusted, confidence; instances: instance, round (0 for seeds).
+    """
+    seeds = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
+    trusted = materialize(seeds.where("seed = 1").select("instance", F.lit(0).alias("round")), "pii-trusted")
+    turn = 0
+    while True:
+        turn += 1
+        held = edges.select("pattern", "instance").join(trusted, "instance", "left")
+        patterns = held.groupBy("pattern").agg(F.count("*").alias("n"), F.count("round").alias("trusted"))
+        patterns = patterns.withColumn("confidence", F.col("trusted") / (F.col("n") + PRIOR))
+        patterns = patterns.where((F.col("trusted") >= MIN_SEEDS) & (F.col("confidence") >= LEAST))
         patterns = materialize(patterns, "pii-patterns")
-        best = edges.join(patterns.where(F.col("seeds") >= MIN_SEEDS).select("pattern", F.col("score").alias("p")), "pattern")
-        best = best.groupBy("instance").agg(F.max("p").alias("p"))
-        instances = instances.join(best, "instance", "left").select(
-            "instance", "seed", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("p", F.lit(0.0))).alias("score")
-        )
-        instances = materialize(instances, "pii-instances")
-    return patterns, instances
+        doubt = F.exp(F.sum(F.log(1 - F.col("confidence"))))
+        sure = edges.join(patterns, "pattern").groupBy("instance").agg((1 - doubt).alias("score")).where(F.col("score") >= CONFIDENT)
+        new = materialize(sure.join(trusted, "instance", "left_anti").select("instance", F.lit(turn).alias("round")), "pii-new")
+        if new.isEmpty():
+            return patterns, trusted
+        trusted = materialize(trusted.unionByName(new), "pii-trusted")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): base spans and those that confident patterns add, by start and then kind.
 
     One row per row of ``docs``; a null text is empty and has no spans; rows
-    that share a doc_id are searched one by one. Other columns are not read. The
+    that share a doc_id are searched one by one; an empty table gives an empty
+    result. Other columns are not read. The
     text is scanned once; what the graph needs is written to the shared folder.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -166,10 +176,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     overlaps = F.exists("spans", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start")))
     at = materialize(at.select("row", "c.*", overlaps.cast("int").alias("seed")), "pii-occurrences")
     edges = materialize(at.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    patterns, instances = scored_patterns(edges)
-    sure = patterns.where((F.col("score") >= CONFIDENT) & (F.col("seeds") >= MIN_SEEDS)).select("pattern")
-    new = instances.where((F.col("seed") == 0) & (F.col("score") >= CONFIDENT)).select("instance")
-    more = at.where("seed = 0").join(sure, "pattern", "left_semi").join(new, "instance", "left_semi")
+    patterns, trusted = scored(edges)
+    more = at.where("seed = 0").join(patterns.select("pattern"), "pattern", "left_semi").join(trusted, "instance", "left_semi")
     more = more.groupBy("row").agg(
         F.collect_list(
             F.struct("start", F.lit(len(BASE)).alias("order"), "end", F.lit("context").alias("kind"))
