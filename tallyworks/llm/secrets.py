@@ -1,23 +1,28 @@
 """Secret scans with an incremental blob ledger, in DataFrame functions only.
 
 Every version of every path is addressed by the SHA-256 of its text (its blob).
-A ledger keeps, per blob and rule version, the spans found; only blobs that the
-ledger lacks at the present rule version are scanned, each once, however many
-paths and versions share it. The findings are then joined back to all of them.
+The ledger is a folder of Parquet files with the spans of every blob scanned so
+far at a version of the rules. Only pairs of blob and rule version that it lacks
+are scanned, each once, however many paths and versions share the blob; their
+rows are appended in one write, and the findings of all versions are read from
+the ledger. A row that a retried write left twice counts once.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import count_kind, find_spans, spans_text
+from .common import materialize, shared_folder
+from .spans import SPAN, count_kind, find_spans, spans_text
 
 #: Raise this when a rule changes: the ledger then has nothing for it.
 RULES = "1"
+LEDGER = f"blob string, rules string, spans array<{SPAN}>"
 BASE = ("assign", "access", "hex")
 #: The rules' patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,7 +32,7 @@ HEX = r"[0-9a-f]{24,}"
 MORE = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ"),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "PRIVATE KEY-----"),
-    ("github", r"gh[pousr]_[A-Za-z0-9]{20,}", "gh"),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", "gh"),
     ("slack", r"xox[abeprs]-[A-Za-z0-9-]{10,}", "xox"),
     ("bearer", r"sk-[A-Za-z0-9]{20,}", "sk-"),
 )
@@ -56,26 +61,47 @@ def find_secrets(text: Column) -> Column:
     return F.array_sort(F.concat(*lists))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scan ``versions`` (path, text) and return (findings, new ledger rows).
+def new_ledger(spark: SparkSession) -> str:
+    """An empty ledger in the shared folder; return its path."""
+    path = f"{shared_folder(spark)}/ledgers/{uuid.uuid4().hex}"
+    spark.createDataFrame([], LEDGER).write.parquet(path)
+    return path
 
-    findings: path, blob, spans, one row per row of ``versions``. New ledger
-    rows: blob, rules, spans, one per blob that ``ledger`` lacks at RULES;
-    append them to the ledger. A null text is the empty blob. Equal texts are
-    one blob: each task drops its own repeats before the shuffle, so a hot blob
-    sends one row per task. Other columns are not read.
+
+def known_blobs(spark: SparkSession, ledger: str) -> DataFrame:
+    """(blob, spans) of every blob in the ledger at RULES, once each."""
+    rows = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rules") == RULES)
+    return rows.groupBy("blob").agg(F.first("spans").alias("spans"))
+
+
+def _addressed(versions: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return versions.withColumn("text", text).withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256))
+
+
+def scan_unseen(versions: DataFrame, ledger: str) -> None:
+    """Scan the blobs of ``versions`` (text) that the ledger lacks at RULES and append them.
+
+    Equal texts are one blob: each task drops its own repeats before the
+    shuffle, so a hot blob sends one row per task. A null text is the empty blob.
     """
-    named = versions.select("path", F.coalesce("text", F.lit("")).alias("text"))
-    named = named.withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256))
-    blobs = named.select("blob", "text").dropDuplicates(["blob"])
-    if ledger is not None:
-        known = ledger.where(F.col("rules") == RULES).select("blob", "spans")
-        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
+    blobs = _addressed(versions.select("text")).select("blob", "text").dropDuplicates(["blob"])
+    blobs = blobs.join(known_blobs(versions.sparkSession, ledger).select("blob").hint("merge"), "blob", "left_anti")
     fresh = blobs.select("blob", F.lit(RULES).alias("rules"), find_secrets(F.col("text")).alias("spans"))
-    found = fresh.select("blob", "spans")
-    if ledger is not None:
-        found = found.unionByName(known)
-    return named.select("path", "blob").join(found, "blob"), fresh
+    fresh.write.mode("append").parquet(ledger)
+
+
+def scan(versions: DataFrame, ledger: str) -> DataFrame:
+    """Bring the ledger up to date with ``versions`` and return their findings.
+
+    ``versions`` has path and text, one row per historical version of a path;
+    other columns are not read. Returns path, blob, spans, one row per row of
+    ``versions``: repeated rows give repeated results, a null text has none, a
+    null path stays null, an empty table gives an empty result.
+    """
+    scan_unseen(versions, ledger)
+    known = materialize(known_blobs(versions.sparkSession, ledger), "secrets-known")
+    return _addressed(versions.select("path", "text")).select("path", "blob").join(known.hint("merge"), "blob").select("path", "blob", "spans")
 
 
 def digest(findings: DataFrame, key: str) -> DataFrame:
