@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame functions.
 
-The text of each source is cut into blocks of BLOCK words, shard by shard. A
-source's target becomes a number of blocks, which its shards get by the
-highest quotients words / (2 k + 1); a shard takes its quota as whole passes
-and, for the rest, the blocks with the least seeded hash.
+The text of each source is cut into blocks of BLOCK words, shard by shard. The
+blocks of the mix go to the sources by the highest quotients target / (2 k + 1),
+and a source's to its regions and their shards by words / (2 k + 1); a shard
+takes its quota as whole passes and, for the rest, the blocks with the least
+seeded hash.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, let, materialize
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -20,6 +21,10 @@ BLOCK = 64
 SEED = "mix-1"
 #: A shard holds about so many documents, so a hot source has many shards.
 SHARD_DOCS = 2000
+#: So many shards are a region.
+REGION_SHARDS = 1000
+#: So often the range of a divisor is halved: enough to part any two quotients that doubles part.
+BISECTIONS = 100
 
 
 def targets(sources: DataFrame, share: float = SHARE, most: float = MOST, weights=WEIGHTS) -> DataFrame:
@@ -56,23 +61,50 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MOST, weight
 
 
 def apportion(cells: DataFrame, group: list[str], cell: list[str], size: str, seats: str) -> DataFrame:
-    """Add ``quota``: ``seats`` (equal within a group) dealt to the cells by the quotients size / (2 k + 1).
+    """Add ``quota``: ``seats`` (equal within a group) dealt to the cells by the highest quotients size / (2 k + 1).
 
-    Every cell surely has all its seats below floor(share) - 2 and none above
-    share + 3; only the quotients between compete, so the rows are seven times
-    the cells, not the seats. Ties go to the earlier cell.
+    A cell has as many seats as it has quotients above the group's last winning
+    one, which is floor(size / d + 1/2) for a divisor d; d is found by
+    bisection over the sizes of the group, one array per group. Quotients equal
+    to the last one go to the earlier cells. Sizes are positive.
     """
-    whole = Window.partitionBy(*group)
-    share = F.col(seats) * F.col(size) / F.sum(size).over(whole)
-    cells = cells.withColumn("_sure", F.greatest(F.floor(F.coalesce(share, F.lit(0.0))) - 2, F.lit(0)))
-    cells = cells.withColumn("_open", F.col(seats) - F.sum("_sure").over(whole))
-    bids = cells.withColumn("_k", F.explode(F.sequence(F.col("_sure"), F.col("_sure") + 6)))
-    order = Window.partitionBy(*group).orderBy((F.col(size) / (2 * F.col("_k") + 1)).desc(), *cell, "_k")
-    won = bids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_open"))
-    won = won.groupBy(*group, *cell).agg(F.count("*").alias("_won"))
-    keep = [c for c in cells.columns if not c.startswith("_")]
-    out = cells.join(won, [*group, *cell], "left")
-    return out.select(*keep, (F.col("_sure") + F.coalesce("_won", F.lit(0))).cast("long").alias("quota"))
+    held = lambda sizes, d: F.aggregate(sizes, F.lit(0.0), lambda a, x: a + F.floor(x / d + 0.5).cast("double"))
+    groups = cells.groupBy(*group).agg(F.collect_list(F.col(size).cast("double")).alias("_sizes"), F.max(seats).cast("double").alias("_seats"))
+    halved = F.aggregate(
+        F.sequence(F.lit(1), F.lit(BISECTIONS)),
+        F.struct(F.lit(0.0).alias("lo"), (2 * F.array_max("_sizes") + 1).alias("hi")),
+        lambda r, _: let(
+            (r["lo"] + r["hi"]) / 2,
+            lambda mid: let(
+                held(F.col("_sizes"), mid) <= F.col("_seats"),
+                lambda fits: F.struct(F.when(fits, r["lo"]).otherwise(mid).alias("lo"), F.when(fits, mid).otherwise(r["hi"]).alias("hi")),
+            ),
+        ),
+        lambda r: r["hi"],
+    )
+    divisors = groups.select(*group, halved.alias("_d"))
+    dealt = cells.join(divisors, group).withColumn("_sure", F.floor(F.col(size) / F.col("_d") + 0.5))
+    order = Window.partitionBy(*group).orderBy((F.col(size) / (2 * F.col("_sure") + 1)).desc(), *cell)
+    dealt = dealt.withColumn("_open", F.col(seats) - F.sum("_sure").over(Window.partitionBy(*group))).withColumn("_r", F.row_number().over(order))
+    return dealt.select(*cells.columns, (F.col("_sure") + (F.col("_r") <= F.col("_open")).cast("long")).cast("long").alias("quota"))
+
+
+def quotas(aims: DataFrame, cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Add ``quota``, a number of blocks, to ``cells`` (rank, region, shard, words): source by source, then region, then shard.
+
+    The blocks of the whole mix go to the sources by the highest quotients of
+    their targets, each source's to its regions and each region's to its shards
+    by those of their words. So no window holds more than the sources, the
+    regions of a source or the shards of a region.
+    """
+    seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block).cast("long")
+    sources = aims.where("target > 0").select(F.lit(1).alias("mix"), "rank", "target", seats.alias("seats"))
+    sources = apportion(sources, ["mix"], ["rank"], "target", "seats")
+    regions = cells.groupBy("rank", "region").agg(F.sum("words").alias("held"))
+    regions = regions.join(sources.select("rank", F.col("quota").alias("seats")), "rank")
+    regions = materialize(apportion(regions, ["rank"], ["region"], "held", "seats"), "mix-regions")
+    shards = cells.join(regions.select("rank", "region", F.col("quota").alias("seats")), ["rank", "region"])
+    return apportion(shards, ["rank", "region"], ["shard"], "words", "seats").drop("seats")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED, **kw) -> DataFrame:
@@ -110,9 +142,9 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED, **kw) -> DataFram
     rows = rows.withColumn("end", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     rows = materialize(rows.withColumn("start", F.col("end") - F.col("size")), "mix-rows")
 
-    cells = rows.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"))
-    cells = cells.where("words > 0").withColumn("seats", F.round(F.col("target") / block).cast("long"))
-    cells = apportion(cells, ["rank"], ["shard"], "words", "seats")
+    cells = rows.groupBy("rank", "shard").agg(F.sum("size").alias("words")).where("words > 0")
+    cells = materialize(cells.withColumn("region", F.floor(F.col("shard") / REGION_SHARDS)), "mix-cells")
+    cells = quotas(aims, cells, block)
     blocks = F.ceil(F.col("words") / block)
     cells = cells.withColumn("blocks", blocks).withColumn("quota", F.least("quota", F.col("blocks") * MOST))
     cells = cells.withColumn("passes", F.floor(F.col("quota") / F.col("blocks")))
@@ -174,20 +206,24 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
 
     A document taken whole keeps its text; of one taken in part the text is its
     picked words in order, joined by spaces. n_chars, if there, is counted anew.
+    Rows without words aren't taken; rows are taken one by one whatever their
+    doc_id; an empty table gives an empty result; further columns, of any name,
+    are carried along.
     """
-    plain = docs.select(*docs.columns)
-    numbered = materialize(plain.withColumn("_row", F.monotonically_increasing_id()), "mix-numbered")
-    named = numbered.select(
-        F.col("_row").alias("doc_id"), "source", "text"
-    )
-    taken = mix(named, **kw).where("taken > 0").select(F.col("doc_id").alias("_row"), F.col("size").alias("_size"), F.explode("picks").alias("_p"))
-    taken = taken.groupBy("_row", "_size", F.col("_p.pass").alias("_pass")).agg(
-        F.sort_array(F.collect_list(F.struct("_p.start", "_p.end"))).alias("_picks")
+    numbered = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("row", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "mix-numbered")
+    named = numbered.select(F.col("row").alias("doc_id"), "doc.source", "doc.text")
+    taken = mix(named, **kw).where("taken > 0").select(F.col("doc_id").alias("row"), "size", F.explode("picks").alias("p"))
+    taken = taken.groupBy("row", "size", "p.pass").agg(F.sort_array(F.collect_list(F.struct("p.start", "p.end"))).alias("picks"))
+    whole = (F.size("picks") == 1) & (F.col("picks")[0]["start"] == 0) & (F.col("picks")[0]["end"] == F.col("size"))
+    pieces = let(
+        F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)),
+        lambda w: F.array_join(
+            F.flatten(F.transform("picks", lambda p: F.slice(w, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))), " "
+        ),
     )
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    whole = (F.size("_picks") == 1) & (F.col("_picks")[0]["start"] == 0) & (F.col("_picks")[0]["end"] == F.col("_size"))
-    pieces = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_picks", lambda p: F.slice(w, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))), " "))[0]
-    out = numbered.join(taken, "_row").withColumn("text", F.when(whole, F.col("text")).otherwise(pieces))
+    out = numbered.join(taken, "row").select("doc", F.when(whole, F.col("doc.text")).otherwise(pieces).alias("picked"))
+    new = {"text": F.col("picked")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("picked").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
