@@ -15,15 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-#: The fit reads about so many labelled documents, those with the least hashes of their ids.
-FIT_DOCS = 20_000
-KNOWN_WORDS = 20_000
-KNOWN_GRAMS = 5_000
+#: The fit reads about so many labelled documents, those with the least hashes of their ids; all of their words and
+#: n-grams are learned.
+FIT_DOCS = 4_000
 LONGEST = 5
 PENALTY = 0.5
 SMOOTH = 0.5
@@ -43,18 +42,20 @@ def _grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Counts per language of the commonest words and n-grams; its size is bounded by the parameters above."""
+    """Log frequencies per language of the words and n-grams of the sampled documents."""
 
     langs: list[str]
-    tables: list[dict[str, tuple]]  # [0]: words; [n]: n-grams
-    totals: np.ndarray  # table x language
-
-    def __post_init__(self):
-        self.logs = []  # per table: word or n-gram -> log frequency in each language
-        for table, total in zip(self.tables, self.totals):
-            below = total + SMOOTH * (len(table) + 1)
-            rows = np.log((np.array(list(table.values()) or np.zeros((0, len(total)))) + SMOOTH) / below)
-            self.logs.append(dict(zip(table, map(tuple, rows.tolist()))))
+    logs: list[dict[str, tuple]]  # [0]: words; [n]: n-grams -> log frequency in each language
+
+    @classmethod
+    def of_counts(cls, langs: list[str], tables: list[dict[str, tuple]]) -> LanguageModel:
+        """``tables`` hold counts per language. Equal counts share one row: most words are seen once, in one language."""
+        logs = []
+        for table in tables:
+            below = np.array(list(table.values()) or [(0,) * len(langs)], float).sum(0) + SMOOTH * (len(table) + 1)
+            rows = {c: tuple((np.log(np.array(c) + SMOOTH) - np.log(below)).tolist()) for c in set(table.values())}
+            logs.append({k: rows[c] for k, c in table.items()})
+        return cls(langs, logs)
 
     def word(self, word: str) -> tuple:
         """Score of one word in each language."""
@@ -106,19 +107,14 @@ def fit_on(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
         yield flush()
 
     counted = map_arrow(docs, count, "lang string, size int, gram string, n long")
-    counted = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")))
-    ranked = ranked.withColumn("total", F.sum("n").over(Window.partitionBy("lang", "size")))
-    kept = ranked.where(F.col("r") <= F.when(F.col("size") == 0, KNOWN_WORDS).otherwise(KNOWN_GRAMS)).collect()
-    langs = sorted({r["lang"] for r in kept})
-    place = {k: i for i, k in enumerate(langs)}
+    counted = counted.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy("size", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("counts"))
+    kept = counted.collect()  # what about FIT_DOCS documents hold
+    langs = sorted({k for r in kept for k in r["counts"]})
     tables: list[dict] = [{} for _ in range(LONGEST + 1)]
-    totals = np.ones((LONGEST + 1, max(1, len(langs))))
-    for r in kept:
-        row = tables[r["size"]].setdefault(r["gram"], [0] * len(langs))
-        row[place[r["lang"]]] = r["n"]
-        totals[r["size"], place[r["lang"]]] = r["total"]
-    return LanguageModel(langs, [{k: tuple(v) for k, v in t.items()} for t in tables], totals)
+    for r in sorted(kept, key=lambda r: (r["size"], r["gram"])):
+        tables[r["size"]][r["gram"]] = tuple(r["counts"].get(k, 0) for k in langs)
+    return LanguageModel.of_counts(langs, tables)
 
 
 def languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
