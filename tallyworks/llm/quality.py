@@ -14,7 +14,7 @@ from .common import WORD, let
 SPACE = " \t\n\x0b\x0c\r"
 TERMINAL = (".", "!", "?", ":", ";", ",", "…", '"', "'", "”", "’", "»", ")", "]", "}")
 SEPARATOR = r"(?:^|[\x20\x09])(?:[|»›•·]|>{1,2})(?=[\x20\x09]|$)"
-NAVIGATION = r"(?i)^[\x20\x09]*(?:home|menu|search|log ?in|log ?out|sign ?(?:in|up)|register|next|previous|back to top|share|tweet|read more|skip to content|site ?map|contact us|about us)[\x20\x09.:>»|]*$"
+NAVIGATION = r"(?i)^[\x20\x09]*+(?:home|menu|search|log ?in|log ?out|sign ?(?:in|up)|register|next|previous|back to top|share|tweet|read more|skip to content|site ?map|contact us|about us)[\x20\x09.:>»|]*+$"
 BOILERPLATE = (
     "all rights reserved",
     "copyright ©",
@@ -99,7 +99,7 @@ def line_verdict(line, has_separator, has_phrase):
     closed = F.right(F.rtrim(line, F.lit(SPACE)), F.lit(1)).isin(*TERMINAL)
     return (
         F.when(has_separator & (F.regexp_count(line, F.lit(SEPARATOR)) >= MIN_SEPARATORS), "navigation")
-        .when((F.length(line) <= 40) & line.rlike(NAVIGATION), "navigation")
+        .when(line.rlike(NAVIGATION), "navigation")
         .when(has_phrase & phrase, "boilerplate")
         .when(~closed & (_words(line) < MIN_UNPUNCTUATED), "punctuation")
     )
