@@ -1,26 +1,26 @@
 """Toxicity by compression distance: two zstandard dictionaries and calibrated thresholds.
 
-One dictionary is trained on ordinary text, the other on ordinary text and the
-segments of toxic text that set it apart. Every window of a text is compressed
-with both; what the toxic dictionary saves in bytes is the window's evidence,
-and the document's score is a logistic function of how much and how often.
-
-Dictionary training follows the COVER idea: the toxic dictionary takes, one
-after another, the byte segments that cover most of the toxic text's telling
-words not covered yet. A word is telling if it holds a segment that stands in
-toxic text CONTRAST times as often, per distinct place (word with both
-neighbours, so that copied passages count once), as in ordinary text.
+Two dictionaries are trained by zstandard: one on windows of ordinary text, one
+on the telling words of toxic text. Every window of a text is compressed with
+the ordinary one alone and with both; the difference in bytes is the window's
+evidence, and the document's score is a logistic function of how many windows
+pass each of four thresholds and by how much the best ones do.
+
+A word is telling if it holds a segment that stands in toxic text CONTRAST times
+as often, per distinct place (word with both neighbours, so that copied passages
+count once), as in ordinary text. Trained on all of the toxic documents' text,
+the dictionary is filled with ordinary words, which most of it is (figures in
+the README).
 
 The model is fitted on the driver on a bounded sample: at most TOXIC_DOCS and
-ORDINARY_DOCS labelled documents with the least hashes of their ids, of each
-the first SAMPLE_CHARS characters. Scoring covers every window of every text.
+ORDINARY_DOCS labelled documents with the least hashes of their ids, whole
+texts. Scoring covers every window of every text.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,14 +33,16 @@ from .common import map_arrow
 
 TOXIC_DOCS = 600
 ORDINARY_DOCS = 1500
-SAMPLE_CHARS = 20_000
 WINDOW_WORDS = 12
 LEVEL = 6
-ORDINARY_BYTES = 6144
+#: Sizes of the dictionaries, and segment and unit lengths for the trainer.
+ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
+ORDINARY_COVER, TOXIC_COVER = {"k": 32, "d": 6}, {"k": 16, "d": 6}
+#: The trainer gets toxic samples of about so many bytes.
+SAMPLE_BYTES = 400
 SEGMENTS = (5, 6, 7, 8, 9)
-CONTRAST = 20
-MIN_PLACES = 3
-MIN_SHARE = 0.01
+CONTRAST = 40
+MIN_PLACES = 5
 _NOT_LETTER = re.compile(rb"[^a-z\x80-\xff]+")
 
 
@@ -61,8 +63,8 @@ def _places(texts: list[list[bytes]]) -> set[tuple[bytes, bytes, bytes]]:
     return {p for w in texts for p in zip([b""] + w, w, w[1:] + [b""])}
 
 
-def _telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Segments of toxic text for its dictionary, by greedy cover, the widest first."""
+def _telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
+    """Words of toxic text with a segment that ordinary text lacks."""
     ours, theirs = _places(toxic), _places(ordinary)
     forms: Counter = Counter(w for _, w, _ in ours)
     count: Counter = Counter()
@@ -75,29 +77,19 @@ def _telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[byte
         for s in _segments(word):
             if s in count:
                 usual[s] += n
-    told = {
-        s for s, n in count.items() if n / len(ours) >= CONTRAST * (usual[s] + 0.5) / max(1, len(theirs))
-    }
-    at: dict[bytes, set[bytes]] = defaultdict(set)
-    for word in forms:
-        for s in _segments(word) & told:
-            at[s].add(word)
-    weight = lambda words: sum(forms[w] for w in words)
-    queue = [(-weight(words), -len(s), s) for s, words in at.items()]
-    heapq.heapify(queue)
-    covered: set[bytes] = set()
-    chosen, least = [], max(MIN_PLACES, MIN_SHARE * len(toxic))
-    while queue:
-        n, size, s = heapq.heappop(queue)
-        left = weight(at[s] - covered)
-        if left < least:
-            continue
-        if left < -n:
-            heapq.heappush(queue, (-left, size, s))
-            continue
-        chosen.append(s)
-        covered |= at[s]
-    return chosen
+    told = {s for s, n in count.items() if n / len(ours) >= CONTRAST * (usual[s] + 0.5) / max(1, len(theirs))}
+    return {w for w in forms if _segments(w) & told}
+
+
+def _trained(samples: list[bytes], size: int, cover: dict) -> bytes:
+    """A dictionary of zstandard's trainer; of too few samples for it, their own last bytes."""
+    import zstandard as z
+
+    samples = [x for x in samples if len(x) >= 8]
+    try:
+        return z.train_dictionary(size, samples, **cover).as_bytes()
+    except z.ZstdError:
+        return b" ".join(samples)[-size:]
 
 
 @dataclass
@@ -145,16 +137,11 @@ def fit(toxic_texts: list[str], ordinary_texts: list[str], share: float) -> Toxi
         none = ToxicityModel()
         none.weights[-1] = -20.0 if not toxic else 20.0
         return none
-    common: list[bytes] = []
-    size = 0
-    for word, _ in sorted(Counter(w for t in ordinary for w in set(t)).items(), key=lambda x: (-x[1], x[0])):
-        if size + len(word) + 1 > ORDINARY_BYTES:
-            break
-        common.append(word)
-        size += len(word) + 1
+    telling = _telling(toxic, ordinary)
+    said = [b" " + b" ".join(x for x in w if x in telling) + b" " for w in toxic]
     model = ToxicityModel(
-        ordinary=b" ".join(reversed(common)) + b" ",
-        toxic=b"\n".join(reversed(_telling(toxic, ordinary))) + b"\n",
+        ordinary=_trained([x for w in ordinary for x in _windows(w)], ORDINARY_BYTES, ORDINARY_COVER),
+        toxic=_trained([x[i : i + SAMPLE_BYTES] for x in said for i in range(0, len(x), SAMPLE_BYTES)], TOXIC_BYTES, TOXIC_COVER),
     )
     pair = model.compressors()
     x = np.array([model.features(w, pair) for w in toxic + ordinary])
@@ -186,7 +173,7 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         for k, n in ((1, TOXIC_DOCS), (0, ORDINARY_DOCS))
     ]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most TOXIC_DOCS + ORDINARY_DOCS rows
-    texts = docs.where("text is not null").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    texts = docs.where("text is not null").select("doc_id", "text")
     rows = texts.join(ids, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     of = lambda k: [r["text"] for r in rows if r["toxic"] == k]
     total = sum(counts.values())
@@ -212,7 +199,12 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def keep_ordinary(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores under ``threshold``."""
+    """The rows of ``docs``, all columns of whatever names, whose text scores under ``threshold``.
+
+    Each row is judged by its own text: repeated rows stay or go together, rows
+    with a null or empty text have the score of no evidence, and an empty table
+    gives an empty result.
+    """
 
     at = docs.columns.index("text")
 
