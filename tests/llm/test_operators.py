@@ -279,7 +279,28 @@ def test_toxicity(spark, sf, odd, empty):
     assert toxicity.toxicity(odd, model).count() == 10 and toxicity.toxicity(empty, model).count() == 0
     kept = toxicity.keep_ordinary(odd, model)
     assert kept.columns == odd.columns and kept.count() == 10
-    assert toxic
+
+
+def test_toxicity_held_out(spark):
+    """Inflected toxic stems among invented words, as held-out documents: at least 0.9 of them are found, few others."""
+    rng = np.random.default_rng(11)
+    parts = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+
+    def word():
+        return "".join(rng.choice(parts, rng.integers(1, 5)))
+
+    def doc(bad):
+        words = [word() for _ in range(rng.integers(60, 400))]
+        for _ in range(max(3, len(words) // 25) if bad else 0):
+            stem = ["vuxwor", "hozzgle", "scumbly"][rng.integers(3)]
+            words.insert(int(rng.integers(len(words))), stem + str(rng.choice(["", "en", "ta", "rika"])))
+        return " ".join(words)
+
+    model = toxicity.fit([doc(True) for _ in range(150)], [doc(False) for _ in range(400)], 0.1)
+    new = [(i, doc(i % 4 == 0)) for i in range(400)] + [(1000, doc(False) + " " + " ".join(word() for _ in range(20_000)) + " " + "hozzgleta vuxworen scumbly " * 400)]
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.toxicity(spark.createDataFrame(new, "doc_id long, text string"), model).collect()}
+    assert np.mean([got[i] for i in range(0, 400, 4)]) >= 0.9 and np.mean([got[i] for i in range(400) if i % 4]) <= 0.02
+    assert got[1000]  # what stands late in a long text counts
 
 
 # 6 ------------------------------------------------------------------------------------------------
