@@ -20,9 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is made only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a local one for a session on one machine (tests), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-tally-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -13,7 +13,8 @@ size. For each block:
    window and kept if the second list has the place where that window wants its
    second anchor; the words around the kept ones are then compared one by one.
 
-Proximity matches want the second anchor within a slop of its place.
+Proximity matches of a window start from either of its anchors and want AGREE of
+its terms, each within a slop of its place from there.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ WIDTH = 10
 BLOCK_BYTES = 8 << 20
 #: The anchor table is broadcast up to so many rows and joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
+#: Proximity: terms may stand so many words off their places, and this share of them must be there.
+SLOP = 2
+AGREE = 0.8
 
 
 def split_words(text) -> list[bytes]:
@@ -77,7 +81,7 @@ def _document_counts(terms: dict[bytes, int]):
     return run
 
 
-def _postings(first: dict[bytes, int], second: dict[bytes, int]):
+def _postings(first: dict[bytes, int], second: dict[bytes, int], reach: int):
     """Per document: its row, id, number of words, and the postings of the anchor terms."""
     near = pa.list_(pa.struct([("id", pa.int32()), ("at", pa.int32()), ("words", pa.string())]))
     plain = pa.list_(pa.struct([("id", pa.int32()), ("at", pa.int32())]))
@@ -92,7 +96,7 @@ def _postings(first: dict[bytes, int], second: dict[bytes, int]):
                     counts.append(len(w))
                     nears.append(
                         [
-                            {"id": t, "at": i, "words": b" ".join(w[max(0, i - WIDTH + 1) : i + WIDTH]).decode("utf-8", "replace")}
+                            {"id": t, "at": i, "words": b" ".join(w[max(0, i - reach) : i + reach + 1]).decode("utf-8", "replace")}
                             for i, t in enumerate(map(first.get, w))
                             if t is not None
                         ]
@@ -135,8 +139,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slop: int | None = None
     Returns one row per row of ``docs``: doc_id, n_words, n_hit (words inside
     any occurrence of a window), items (sorted item ids, as strings, with an
     occurring window), spans (array of start, end in words, end exclusive) and,
-    if ``slop`` is given, near_items (items of which some window's anchors lie
-    within ``slop`` words of their places, exact occurrences included).
+    if ``slop`` is given, near_items (items with a window of which an anchor
+    occurs with AGREE of the window's terms within ``slop`` words of their
+    places around it, exact occurrences included).
 
     A null or empty text has no words and no hits; a null or empty item has no
     window; rows that share a doc_id are judged one by one; equal items all
@@ -150,7 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slop: int | None = None
     hits = near = stats = None
     for block in range(blocks):
         mine = wins if blocks == 1 else wins.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        index, anchors = _index(docs, mine)
+        index, anchors = _index(docs, mine, WIDTH - 1 + (slop or 0))
         if stats is None:
             stats = index.select("row", "doc_id", "n_words")
         found, close = _matches(index, anchors, mine, slop)
@@ -188,7 +193,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slop: int | None = None
     return out.select(*columns)
 
 
-def _index(docs: DataFrame, wins: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _index(docs: DataFrame, wins: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
     """The postings of the block's anchor terms, by document, and the anchor table with term numbers."""
     spark = docs.sparkSession
     vocabulary = [r[0] for r in wins.select(F.explode("words")).distinct().collect()]  # bounded by BLOCK_BYTES
@@ -199,25 +204,29 @@ def _index(docs: DataFrame, wins: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = counts.withColumn("n", F.coalesce("n", F.lit(0)))
     anchors = materialize(anchor_table(wins, counts), "decon-anchors")
     chosen = anchors.select("id", "id2").distinct().collect()
-    first = {vocabulary[r.id].encode(): r.id for r in chosen}
+    first = {vocabulary[i].encode(): i for r in chosen for i in ((r.id, r.id2) if reach >= WIDTH else (r.id,)) if i is not None}
     second = {vocabulary[r.id2].encode(): r.id2 for r in chosen if r.id2 is not None}
     index = map_arrow(
         docs.select("row", "doc_id", "text"),
-        _postings(first, second),
+        _postings(first, second, reach),
         "row long, doc_id long, n_words long, near array<struct<id:int,at:int,words:string>>, plain array<struct<id:int,at:int>>",
     )
     return materialize(index, "decon-index"), anchors
 
 
 def _matches(index: DataFrame, anchors: DataFrame, wins: DataFrame, slop: int | None):
-    small = anchors.count() <= BROADCAST_ROWS
+    # wins has a row for every item and window, equal items included, so it bounds all three tables
+    small = wins.count() <= BROADCAST_ROWS
     held = F.broadcast if small else (lambda df: df)
     rarest = index.where(F.size("near") > 0).select("row", F.explode("near").alias("p")).select("row", "p.*")
+    reach = WIDTH - 1 + (slop or 0)
+    begin = (F.col("at") - F.col("offset")).alias("start")
+    place = (F.least(F.col("at"), F.lit(reach)) - F.col("offset")).alias("from")
     begun = rarest.join(held(anchors), "id").select(
         "row",
         "window",
-        (F.col("at") - F.col("offset")).alias("start"),
-        (F.least(F.col("at"), F.lit(WIDTH - 1)) - F.col("offset")).alias("from"),
+        begin,
+        place,
         F.col("words").alias("seen"),
         "id2",
         (F.col("at") - F.col("offset") + F.col("offset2")).alias("at2"),
@@ -236,8 +245,15 @@ def _matches(index: DataFrame, anchors: DataFrame, wins: DataFrame, slop: int |
     hits = exact.join(items, "window").select("row", "item", "start", (F.col("start") + F.col("size")).alias("end"))
     if slop is None:
         return hits, None
-    far = second.select(F.col("row").alias("r"), F.col("id2").alias("i"), F.col("at2").alias("a"))
-    close = (F.col("row") == F.col("r")) & (F.col("id2") == F.col("i")) & (F.abs(F.col("at2") - F.col("a")) <= slop)
-    near = begun.where("id2 is not null").join(far, close, "left_semi").select("row", "window")
-    near = near.union(begun.where("id2 is null").select("row", "window")).distinct()
-    return hits, near.join(items, "window").select("row", "item")
+    around = F.split("words", " ")
+
+    def there(word, j):
+        """Whether the window's j-th word stands within ``slop`` of its place."""
+        lo, hi = F.greatest(F.col("from") + j - slop, F.lit(0)), F.col("from") + j + slop
+        return F.array_contains(F.slice(F.col("around"), (lo + 1).cast("int"), F.greatest(hi - lo + 1, F.lit(0)).cast("int")), word)
+
+    either = anchors.select("window", "id", "offset").union(anchors.where("id2 is not null").select("window", "id2", "offset2"))
+    close = rarest.join(held(either), "id").select("row", "window", begin, place, around.alias("around")).where("start >= 0")
+    close = close.join(held(texts), "window")
+    close = close.where(F.size(F.filter("words", there)) >= F.ceil(F.lit(AGREE) * F.col("size")))
+    return hits, close.select("row", "window").distinct().join(items, "window").select("row", "item")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
+from . import decontaminate, quality, secrets
 
 
 def _q(text: str) -> str:
@@ -23,13 +23,23 @@ def op10_decontamination() -> str:
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = rf"regexp_extract_all(coalesce({lower}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return rf"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+ pl AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
  bs AS (SELECT item, w, least(10, len(w)) AS size FROM b WHERE len(w) > 0),
  bw AS (SELECT DISTINCT item, size, list_slice(w, p, p + size - 1) AS win FROM (SELECT item, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM bs) x),
  dw AS (SELECT doc_id, p, size, list_slice(w, p, p + size - 1) AS win FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, (SELECT DISTINCT size FROM bs) s WHERE len(w) >= size) x),
  h AS (SELECT dw.doc_id, dw.p, dw.size, bw.item FROM dw JOIN bw ON bw.size = dw.size AND bw.win = dw.win),
  hw AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS pos FROM (SELECT DISTINCT doc_id, p, size FROM h) y) z GROUP BY doc_id),
+ df AS (SELECT word, count(DISTINCT doc_id) AS n FROM pl GROUP BY word),
+ win AS (SELECT DISTINCT size, win FROM bw),
+ terms AS (SELECT size, win, o, win[o + 1] AS word FROM (SELECT size, win, unnest(range(0, size)) AS o FROM win) x),
+ rare AS (SELECT size, win, t.word, o FROM terms t LEFT JOIN df ON df.word = t.word QUALIFY row_number() OVER (PARTITION BY size, win ORDER BY coalesce(n, 0), o) <= 2),
+ begun AS (SELECT DISTINCT pl.doc_id, size, win, pos - o AS start FROM rare JOIN pl ON pl.word = rare.word WHERE pos >= o),
+ agree AS (SELECT b.doc_id, b.size, b.win, b.start FROM begun b JOIN terms t ON t.size = b.size AND t.win = b.win JOIN pl ON pl.doc_id = b.doc_id AND pl.word = t.word AND abs(pl.pos - b.start - t.o) <= {decontaminate.SLOP}
+ GROUP BY b.doc_id, b.size, b.win, b.start HAVING count(DISTINCT t.o) >= ceil({decontaminate.AGREE} * b.size)),
+ ni AS (SELECT doc_id, count(DISTINCT item) AS n_near_items, string_agg(DISTINCT item, ',' ORDER BY item) AS near_items FROM agree JOIN bw ON bw.size = agree.size AND bw.win = agree.win GROUP BY doc_id),
  hi AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
- SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)"""
+ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items, coalesce(near_items, '') AS near_items
+ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id) LEFT JOIN ni USING (doc_id)"""
 
 
 def op8_secrets() -> str:
@@ -59,7 +69,7 @@ def op1_quality() -> str:
     phrase = " OR ".join(f"contains(lower(line), {_q(x)})" for x in quality.BOILERPLATE)
     marks = r"len(list_filter(string_split_regex(line, '[\x20\x09]'), lambda x: list_contains(['|', '»', '›', '•', '·', '>', '>>'], x)))"
     closed = rf"right(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), 1) IN ({ends})"
-    rule = f"""CASE WHEN {marks} >= {quality.MIN_SEPARATORS} OR (length(line) <= 40 AND regexp_matches(line, {_q(quality.NAVIGATION)})) THEN 'navigation'
+    rule = f"""CASE WHEN {marks} >= {quality.MIN_SEPARATORS} OR regexp_matches(line, {_q(quality.NAVIGATION)}) THEN 'navigation'
  WHEN {phrase} THEN 'boilerplate' WHEN NOT {closed} AND len(regexp_extract_all(line, {word})) < {quality.MIN_UNPUNCTUATED} THEN 'punctuation' END"""
     rules = ("punctuation", "navigation", "boilerplate")
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {word}) AS w FROM documents),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import chat, language, oracles, pii, secrets, toxicity
 from .common import read_table
-from .decontaminate import contamination
+from .decontaminate import SLOP, contamination
 from .mixing import mix
 from .neardup import near_duplicates
 from .quality import quality
@@ -104,7 +104,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), slop=SLOP)
     return found.select(
         "doc_id",
         "n_words",
@@ -112,6 +112,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+        F.array_join("near_items", ",").alias("near_items"),
     )
 
 
