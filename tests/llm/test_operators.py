@@ -619,6 +619,8 @@ def test_decontamination(spark, sf, texts, odd, empty):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(found), sha(",".join(found)), hit > 0)
     assert decontaminate.contamination(empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontaminate.contamination(odd, spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
+    found = decontaminate.contamination(odd, spark.createDataFrame([(1, "words here today"), (2, "gamma delta")], "item_id long, text string"), slop=1)
+    assert sorted((r.doc_id or 0, r.n_hit, r["items"]) for r in found.where("n_hit > 0").collect()) == [(4, 60_000, ["2"]), (5, 3, ["1"]), (6, 3, ["1"]), (6, 3, ["1"])]
 
 
 def test_short_and_repeated_items(spark):
@@ -630,6 +632,39 @@ def test_short_and_repeated_items(spark):
     assert all(set(r["items"]) <= set(r.near_items) for r in got)
 
 
+def brute_near(docs, items, slop, agree):
+    docs = {d: lowered(t) for d, t in docs}
+    df = Counter(w for words in docs.values() for w in set(words))
+    out = {d: set() for d in docs}
+    for k, t in items:
+        w = lowered(t)
+        n = min(10, len(w))
+        for p in range(len(w) - n + 1 if w else 0):
+            win = w[p : p + n]
+            anchors = sorted(range(n), key=lambda j: (df[win[j]], j))[:2]
+            for d, words in docs.items():
+                for at in (i - o for o in anchors for i, x in enumerate(words) if x == win[o] and i >= o):
+                    near = sum(win[j] in words[max(0, at + j - slop) : max(0, at + j + slop + 1)] for j in range(n))
+                    if near >= agree * n - 1e-9:
+                        out[d].add(str(k))
+    return out
+
+
+def test_edited_passages_are_near(spark):
+    """A word changed, dropped or put in every few words leaves no window whole; proximity still finds the item."""
+    passage = [f"term{i}" for i in range(40)]
+    changed = [f"new{i}" if i % 6 == 3 else w for i, w in enumerate(passage)]
+    longer = [x for i, w in enumerate(passage) for x in ([w, "extra"] if i % 7 == 2 else [w])]
+    shuffled = [passage[(i * 17) % 40] for i in range(40)]
+    docs = [(1, " ".join(["lead"] * 5 + passage)), (2, " ".join(changed)), (3, " ".join(longer)), (4, " ".join(shuffled)), (5, None), (6, "term1 term2 term3")]
+    items = [(1, " ".join(passage)), (2, "term1 term2"), (3, " ".join(passage[:12])), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, slop=2).collect()
+    assert {r.doc_id: set(r.near_items) for r in got} == brute_near(docs, items, 2, decontaminate.AGREE)
+    near = {r.doc_id: (r["items"], r.near_items) for r in got}
+    assert "1" not in near[2][0] and "1" in near[2][1] and "1" in near[3][1] and "1" not in near[4][1]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(300)]
     back = [(2000 - i, 1999 - i) for i in range(100)]
