@@ -20,40 +20,62 @@ from tallyworks.llm.tokens import read_tokens, write_tokens
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores under 0.5; it learns from the labels that op5 learns from."""
+    """Rows whose text the classifier scores under 0.5; it learns from the labels that op5 learns from.
+
+    Each row is judged by its own text: a null or empty one has the score of no
+    evidence and repeated rows stay or go together. An empty table gives an
+    empty result; further columns, of any name, are carried along.
+    """
     return tox.keep_ordinary(docs, tox.fit_on(docs, q.training_labels(spark, sf_dir)))
 
 
 def _numbered(docs: DataFrame, tag: str) -> DataFrame:
-    """``docs`` with a number ``_row`` of each row; written, so that it stays the same."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), tag)
+    """(doc, row): every row as a struct, so that no column name clashes, and its number; written, so that it stays the same."""
+    return materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), tag)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every class of rows: the one with the least id, rows without an id last."""
+    """One row of every class of rows: the one with the least id, rows without an id last.
+
+    Rows without words are classes of their own and all stay; repeated rows
+    leave one. An empty table gives an empty result; further columns, of any
+    name, are carried along.
+    """
     rows = _numbered(docs, "pipeline-dedup-rows")
-    classes = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
-    classes = classes.select(F.col("doc_id").alias("_row"), "class_id")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
-    first = rows.select("_row", rank.alias("_rank")).join(classes, "_row").groupBy("class_id").agg(F.min("_rank").alias("_rank"))
-    return rows.join(first.select("_rank._row"), "_row", "left_semi").select(*docs.columns)
+    classes = near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text"))
+    classes = classes.select(F.col("doc_id").alias("row"), "class_id")
+    rank = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), "doc.doc_id", F.xxhash64("doc.text").alias("hash"), "row")
+    first = rows.select("row", rank.alias("rank")).join(classes, "row").groupBy("class_id").agg(F.min("rank").alias("rank"))
+    return rows.join(first.select("rank.row"), "row", "left_semi").select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a word inside a benchmark window, each judged by its own text."""
+    """Rows without a word inside a benchmark window, each judged by its own text.
+
+    Rows with a null or empty text stay. An empty table gives an empty result;
+    further columns, of any name, are carried along.
+    """
     rows = _numbered(docs, "pipeline-decontamination-rows")
-    found = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_row"))
-    return rows.join(hit, "_row", "left_anti").select(*docs.columns)
+    found = contamination(rows.select(F.col("row").alias("doc_id"), "doc.text"), read_table(spark, sf_dir, "benchmark"))
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("row"))
+    return rows.join(hit, "row", "left_anti").select("doc.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per document and pass that the mix takes, with the words taken."""
+    """A row per row of ``docs`` and pass that the mix takes, with the words taken.
+
+    Rows without words are never taken; an empty table gives an empty result;
+    further columns, of any name, are carried along.
+    """
     return mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's place, length and checksum, read back from the token files."""
+    """Every row's place, length and checksum, read back from the token files.
+
+    A null or empty text is the end id alone; rows of one doc_id follow each
+    other, by text; an empty table gives an empty result.
+    """
     return read_tokens(spark, write_tokens(docs, q.tokenizer_path()))
 
 
