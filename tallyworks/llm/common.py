@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,50 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{tag}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that each open ``scratch`` has made.
+_scratch: list[list[str]] = []
+
+
+def scratch(operator):
+    """Decorate a function that returns a DataFrame: its result is written, then the tables it made on the way go."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kw) -> DataFrame:
+        _scratch.append([])
+        try:
+            out = operator(docs, *args, **kw)
+        finally:
+            made = _scratch.pop()
+        out = materialize(out, operator.__name__)
+        spark = docs.sparkSession
+        path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+        for path in made:
+            at = path_of(path)
+            at.getFileSystem(conf).delete(at, True)
+        return out
+
+    return run
+
+
+def by_row(docs: DataFrame, tag: str) -> DataFrame:
+    """(doc, row): every row as a struct, so that no column name clashes, and a number of its own.
+
+    Where doc_id tells all rows apart it is the number; else, with nulls or
+    repeats, the rows are numbered in a written copy, so that they stay the same.
+    """
+    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    doc = F.struct(*docs.columns).alias("doc")
+    if n == ids:
+        return docs.select(doc, F.col("doc_id").cast("long").alias("row"))
+    return materialize(docs.select(doc, F.monotonically_increasing_id().alias("row")), tag)
+
+
 def let(value, body):
     """Bind ``value`` once and use it many times in ``body``.
 

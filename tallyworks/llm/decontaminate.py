@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, scratch
 from .words import TRANSLATE
 
 WIDTH = 10
@@ -133,6 +133,7 @@ def anchor_table(wins: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+@scratch
 def contamination(docs: DataFrame, benchmark: DataFrame, slop: int | None = None) -> DataFrame:
     """Hits of every benchmark window in every document.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, let, materialize
+from .common import WORD, by_row, let, materialize, scratch
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -107,6 +107,7 @@ def quotas(aims: DataFrame, cells: DataFrame, block: int = BLOCK) -> DataFrame:
     return apportion(shards, ["rank", "region"], ["shard"], "words", "seats").drop("seats")
 
 
+@scratch
 def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED, **kw) -> DataFrame:
     """What the mix takes of every document.
 
@@ -210,8 +211,7 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     doc_id; an empty table gives an empty result; further columns, of any name,
     are carried along.
     """
-    numbered = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("row", F.monotonically_increasing_id())
-    numbered = materialize(numbered, "mix-numbered")
+    numbered = by_row(docs, "mix-numbered")
     named = numbered.select(F.col("row").alias("doc_id"), "doc.source", "doc.text")
     taken = mix(named, **kw).where("taken > 0").select(F.col("doc_id").alias("row"), "size", F.explode("picks").alias("p"))
     taken = taken.groupBy("row", "size", "p.pass").agg(F.sort_array(F.collect_list(F.struct("p.start", "p.end"))).alias("picks"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, scratch
 from .words import mix, shingles, text_slices, word_hashes
 
 WIDTH = 5
@@ -266,6 +266,7 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     return materialize(label.join(least, "label").select("node", "class"), f"{tag}-classes")
 
 
+@scratch
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_class): one row per row of ``docs``; class_id is the least doc_id of its class.
 

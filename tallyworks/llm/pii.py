@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let, materialize, scratch
 from .spans import count_kind, find_spans, matches, spans_text
 
 BASE = ("email", "ip", "card", "phone")
@@ -156,6 +156,7 @@ def scored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         trusted = materialize(trusted.unionByName(new), "pii-trusted")
 
 
+@scratch
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): base spans and those that confident patterns add, by start and then kind.
 

@@ -68,3 +68,20 @@ def test_rows_without_or_with_shared_ids(spark, sf):
     assert got == sorted([(0, one), (5, two), (6, other)])
     got = texts("near_dedup", [(5, one, "a"), (5, two, "a"), (8, one, "a"), (9, two, "a"), (None, other, "a"), (None, other, "b")])
     assert got == sorted([(5, one), (5, two), (0, other)])
+
+
+def test_stages_take_odd_rows(spark, sf):
+    """Null, empty, repeated and long rows and columns named like the operators' own: no stage fails, columns stay."""
+    long = " ".join(f"long{i}" for i in range(30_000))
+    rows = [(1, None, None, "x"), (2, "", "a", "x"), (3, long, "a", "x"), (3, long, "a", "x"), (None, "one two three four five six", "b", "y"), (4, "\n \t", None, None)]
+    schema = "doc_id long, text string, source string, row string"
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "1 AS size", "2 AS doc", "3 AS class_id", "'k' AS rank", "0.5 AS score")
+    counts = {"toxicity": 6, "near_dedup": 5, "decontamination": 6}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, df, sf)
+        assert name == "token_ids" or out.columns == df.columns
+        got = out.collect()
+        assert len(got) == counts.get(name, len(got))
+        if name == "mixing":
+            assert {r.doc_id for r in got} <= {3, None} and {(r.size, r.doc, r.class_id, r["rank"]) for r in got} == {(1, 2, 3, "k")}
+        assert stage(spark, df.where("false"), sf).count() == 0
