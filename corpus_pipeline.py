@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyworks.llm import queries as q
 from tallyworks.llm import toxicity as tox
-from tallyworks.llm.common import materialize, read_table
+from tallyworks.llm.common import by_row, materialize, read_table
 from tallyworks.llm.decontaminate import contamination
 from tallyworks.llm.mixing import mixed_documents
 from tallyworks.llm.neardup import near_duplicates
@@ -29,11 +29,6 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tox.keep_ordinary(docs, tox.fit_on(docs, q.training_labels(spark, sf_dir)))
 
 
-def _numbered(docs: DataFrame, tag: str) -> DataFrame:
-    """(doc, row): every row as a struct, so that no column name clashes, and its number; written, so that it stays the same."""
-    return materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), tag)
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every class of rows: the one with the least id, rows without an id last.
 
@@ -41,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     leave one. An empty table gives an empty result; further columns, of any
     name, are carried along.
     """
-    rows = _numbered(docs, "pipeline-dedup-rows")
+    rows = by_row(docs, "pipeline-dedup-rows")
     classes = near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text"))
     classes = classes.select(F.col("doc_id").alias("row"), "class_id")
     rank = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), "doc.doc_id", F.xxhash64("doc.text").alias("hash"), "row")
@@ -55,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with a null or empty text stay. An empty table gives an empty result;
     further columns, of any name, are carried along.
     """
-    rows = _numbered(docs, "pipeline-decontamination-rows")
+    rows = by_row(docs, "pipeline-decontamination-rows")
     found = contamination(rows.select(F.col("row").alias("doc_id"), "doc.text"), read_table(spark, sf_dir, "benchmark"))
     hit = found.where("n_hit > 0").select(F.col("doc_id").alias("row"))
     return rows.join(hit, "row", "left_anti").select("doc.*")
