@@ -98,7 +98,7 @@ def quotas(aims: DataFrame, cells: DataFrame, block: int = BLOCK) -> DataFrame:
     regions of a source or the shards of a region.
     """
     seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block).cast("long")
-    sources = aims.where("target > 0").select(F.lit(1).alias("mix"), "rank", "target", seats.alias("seats"))
+    sources = aims.where("target > 0").select((F.col("rank") * 0).alias("mix"), "rank", "target", seats.alias("seats"))
     sources = apportion(sources, ["mix"], ["rank"], "target", "seats")
     regions = cells.groupBy("rank", "region").agg(F.sum("words").alias("held"))
     regions = regions.join(sources.select("rank", F.col("quota").alias("seats")), "rank")
