@@ -75,6 +75,24 @@ def values_sql(name: str) -> str:
     return " UNION ALL ".join(selects)
 
 
+#: Suffixes with a skeleton, limits of writes and prompts, thresholds of a repository's posture.
+CODE_SUFFIXES = ("ts", "tsx", "mts", "js", "mjs", "cjs", "jsx", "py")
+DOCUMENT_SUFFIXES = ("md", "markdown", "txt", "text", "pdf", "docx")
+PAGE_SUFFIXES = ("html", "htm")
+FULL_REWRITE_BYTES = 16_384
+TRIVIAL_PROMPT_CHARS = 120
+IDLE_FILES, IDLE_BYTES = 25, 262_144
+LIGHT_FILES, LIGHT_BYTES = 120, 2_097_152
+
+
+def posture(files, size, knowledge):
+    """Posture of a repository by files, source bytes and learned entries: full, idle or light."""
+    from pyspark.sql import functions as F
+
+    full = (files > LIGHT_FILES) | (size > LIGHT_BYTES)
+    return F.when(full, "full").when((knowledge == 0) & (files <= IDLE_FILES) & (size <= IDLE_BYTES), "idle").otherwise("light")
+
+
 def validated(rates: DataFrame, base: str, low: str, high: str) -> DataFrame:
     """Rate rows with ``valid``: all three present, not negative, and low <= base <= high."""
     from pyspark.sql import functions as F

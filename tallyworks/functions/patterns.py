@@ -36,14 +36,37 @@ CODE_ENTITIES = [
     (r"\b\d+(?:\.\d+)?\b", 0),
 ]
 
-#: Headings of plain text.
+#: Entities of prose, pattern and the group that names the entity.
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+PROSE_ENTITIES = [
+    (r"\b\d{4}-\d{2}-\d{2}\b", 0),
+    (rf"\b(?:{_MONTHS})\s+\d{{1,2}},\s+\d{{4}}\b", 0),
+    (rf"\b\d{{1,2}}\s+(?:{_MONTHS})\s+\d{{4}}\b", 0),
+    (r"[\"“]([A-Z][A-Za-z][^\"“”\n]{0,38})[\"”]", 1),
+    (r"\b(?:[A-Z][A-Za-z&.-]*\s+)+(?:Ltd|Limited|LLC|LLP|Inc|Incorporated|Corp|Corporation|GmbH|Company|Partners)\b", 0),
+    (r"(?i)\b(?:Section|Clause|Article|Schedule|Exhibit|Appendix|Paragraph)\s+\d+(?:\.\d+)*\b", 0),
+    (r"§\s?\d+(?:\.\d+)*", 0),
+    (r"\b(?:USD|EUR|GBP|INR|CHF|JPY|AUD|CAD)\s?\d[\d,]*(?:\.\d+)?\b", 0),
+    (r"[$€£₹]\s?\d[\d,]*(?:\.\d+)?", 0),
+    (r"\b\d+(?:\.\d+)?\s?%", 0),
+    (r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b", 0),
+]
+#: Fixed value: words of a hard prompt.
+HARD_PROMPT = r"(?i)\b(refactor|architect|design|migrate|debug|rewrite|overhaul|end.to.end|across the (?:repo|codebase))\b"
+
+#: Headings of plain text.
 NUMBERED = r"^(\d+(?:\.\d+)*)[.)]\s+(\S.*)$"
 NAMED = r"(?i)^(Example|Claim|Part|Section|Chapter|Appendix|Figure|Table|Exhibit|Case|Note)\s+([0-9]+|[IVXLCDM]+|One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten|Eleven|Twelve)(?:\s*[:.\-—]\s*(.+))?$"
 LETTERED = r"^\(?([A-Z])[.)]\s+(\S.*)$"
 ALL_CAPS = r"^[A-Z][A-Z0-9 ,&'()/-]{2,89}$"
 TITLE_CASE = r"^[A-Z][a-z0-9-]+(?:\s+(?:[A-Z][a-z0-9-]+|of|the|and|for|to|in|a|an|on|at|by|with|from|or|as|but|vs)){1,7}$"
 
+#: Words that are no keywords, words of no weight in a heading, and section references.
 STOPWORDS = (
-    "this that with from into what where when how does the and for are has have your their over each must its was were"
-).split()
+    "this", "that", "with", "from", "into", "what", "where", "when", "how", "does", "the", "and", "for", "are", "has", "have",
+    "your", "their", "over", "each", "must", "its", "was", "were",
+)
+HEADING_STOPWORDS = ("of", "the", "and", "for", "to", "in", "a", "an", "on", "at", "by", "with", "from", "or", "as", "but", "vs")
+SECTION_MARK = r"§\s*([A-Za-z0-9][\w.-]*)"
+ID_HALVES = r"^(?:([a-z]+)-)?(\d+(?:\.\d+)*|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)(?:-\d+)?$"
 SECTION_REF = r"(?i)\b(example|claim|part|section|sec|chapter|appendix|figure|table|exhibit|case|note)\s+(\d+(?:\.\d+)*|[ivxlcdm]+\b|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\b"

@@ -104,10 +104,10 @@ def entity_gate(rows: DataFrame, least: float = 1.0) -> DataFrame:
     return rows.withColumns({"ratio": ratio, "entity_ok": ratio >= least, "first_missing": F.slice("missing", 1, 5)})
 
 
-def size_gate(rows: DataFrame, most: float = dims.SIZE_RATIO) -> DataFrame:
-    """Add whether the distillate is small enough; an empty raw text fails."""
+def size_gate(rows: DataFrame, most: float = dims.SIZE_RATIO, least: int = 0) -> DataFrame:
+    """Add whether the distillate is small enough and has ``least`` bytes; an empty raw text fails."""
     raw, out = F.octet_length("raw"), F.octet_length("distilled")
-    return rows.withColumn("size_ok", F.when(raw == 0, False).otherwise(out / raw <= most))
+    return rows.withColumn("size_ok", F.when(raw == 0, False).otherwise((out / raw <= most) & (out >= least)))
 
 
 def redact(rows: DataFrame, column: str = "text") -> DataFrame:
@@ -224,14 +224,104 @@ def prior_paths(contents: DataFrame, serves: DataFrame) -> DataFrame:
 
 
 def route(command):
-    """Profile of a command."""
+    """Profile of a command; its words are fixed values."""
     return (
-        F.when(command.rlike(r"\b(vitest|jest|pytest|mocha|test)\b"), "test-output")
-        .when(command.rlike(r"\b(tsc|build|make|webpack|vite|cargo|gradle|mvn)\b"), "build-log")
+        F.when(command.rlike(r"\b(tsc|build)\b"), "build-log")
+        .when(command.rlike(r"\b(vitest|jest|test|verify|check)\b"), "test-output")
         .otherwise("generic-stdout")
     )
 
 
+def skeleton_route(path):
+    """Skeleton profile of a path by its extension; null if none is built."""
+    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.when(ext.isin(*dims.CODE_SUFFIXES), "file-skeleton").when(ext.isin(*dims.DOCUMENT_SUFFIXES), "doc-skeleton").when(ext.isin(*dims.PAGE_SUFFIXES), "html-skeleton")
+
+
+def full_rewrite(exists, content_bytes):
+    """Whether a write replaces a large existing file as a whole."""
+    return exists & (content_bytes > dims.FULL_REWRITE_BYTES)
+
+
+def prompt_tier(prompt):
+    """hard by its words, trivial if short and of one line, else standard; null for an empty prompt."""
+    short = (F.length(prompt) <= dims.TRIVIAL_PROMPT_CHARS) & ~F.contains(prompt, F.lit("\n"))
+    return F.when(prompt != "", F.when(prompt.rlike(patterns.HARD_PROMPT), "hard").when(short, "trivial").otherwise("standard"))
+
+
+def verdict_gate(rows: DataFrame, profile: dict = patterns.BUILD_LOG) -> DataFrame:
+    """Add ``verdict_ok`` and ``verdict_detail``: two extractors agree on ``raw`` and the distillate says the same.
+
+    The second extractor reads a general vocabulary of failure and passes what has none of it.
+    """
+    first = verdict(F.col("raw"), profile)
+    second = F.when(_any(F.col("raw"), profile["fail2"]), "fail").otherwise("pass")
+    own = {
+        "pass": [*profile["pass"], r"\bVERDICT: pass\b"],
+        "fail": [*profile["fail"], *profile["fail2"], r"\bVERDICT: fail\b"],
+    }
+    said = verdict(F.col("distilled"), own)
+    rows = rows.withColumns({"_first": first, "_second": second, "_said": said})
+    agreed = (F.col("_first") != "unknown") & (F.col("_first") == F.col("_second"))
+    detail = (
+        F.when(~agreed, F.concat(F.lit("extractions disagree: primary="), "_first", F.lit(", secondary="), "_second"))
+        .when(F.col("_said") == F.col("_first"), F.concat(F.lit("verdict "), "_first", F.lit(" agreed")))
+        .otherwise(F.concat(F.lit("raw verdict "), "_first", F.lit(" but distillate reads "), "_said"))
+    )
+    return rows.withColumns({"verdict_ok": agreed & (F.col("_said") == F.col("_first")), "verdict_detail": detail}).drop("_first", "_second", "_said")
+
+
+def gate_verdict(detail):
+    """Verdict that the detail of a verdict gate carries; null if it was inconclusive."""
+    agreed, raw = F.regexp_extract(detail, r"verdict (pass|fail) agreed", 1), F.regexp_extract(detail, r"raw verdict (pass|fail) but", 1)
+    return F.when(agreed != "", agreed).when(raw != "", raw)
+
+
+def distil_build_logs(lines: DataFrame) -> DataFrame:
+    """Raw build logs to gated, redacted artifacts.
+
+    Every log is reduced to its verdict contract; the entity gate (entities of
+    its first error line), the verdict gate and the size gate decide together
+    whether the distillate or the raw text is served, and what is served is
+    redacted. Returns artifact_id, distilled, the gates, passed, served, text, findings.
+    """
+    contract = build_contract(lines).withColumn("id", F.col("artifact_id").cast("string"))
+    said = F.when(F.col("errors") == 0, F.col("last_line")).otherwise(
+        F.concat(F.lit("first error: "), "first_error", F.lit("\nerrors: "), "errors", F.lit(" lines across "), "files", F.lit(" files"))
+    )
+    text = F.concat(F.lit("VERDICT: "), "verdict", F.lit("\n"), said, F.lit("\n[full log elided, zoom "), "id", F.lit("]"))
+    rows = contract.select("artifact_id", text.alias("distilled"), F.coalesce("first_error", F.lit("")).alias("region"))
+    rows = size_gate(verdict_gate(entity_gate(rows.join(assemble(lines), "artifact_id"))))
+    rows = rows.withColumn("passed", F.col("entity_ok") & F.col("verdict_ok") & F.col("size_ok"))
+    rows = rows.withColumn("served", F.when(F.col("passed"), "distilled").otherwise("raw"))
+    rows = redact(rows.withColumn("text", F.when(F.col("passed"), F.col("distilled")).otherwise(F.col("raw"))))
+    return rows.select("artifact_id", "distilled", "entity_ok", "verdict_ok", "verdict_detail", "size_ok", "passed", "served", "text", "findings")
+
+
+def test_output(lines: DataFrame, profile: dict = patterns.TEST_OUTPUT, most: int = 60) -> DataFrame:
+    """Distillate of a test run: verdict, the first distinct relevant lines, then summary lines, none twice.
+
+    Returns artifact_id, place, line.
+    """
+    verdicts = lines.groupBy("artifact_id").agg(
+        F.bool_or(_any(F.col("line"), profile["fail"])).alias("f"), F.bool_or(_any(F.col("line"), profile["pass"])).alias("p")
+    )
+    said = F.when(F.col("f"), "fail").when(F.col("p"), "pass").otherwise("unknown")
+    parts = verdicts.select("artifact_id", F.lit(0).alias("part"), F.lit(0).alias("line_no"), F.concat(F.lit("VERDICT: "), said).alias("line"))
+    relevant = relevant_lines(lines, "(?i)" + profile["relevant"], most).select("artifact_id", F.lit(1).alias("part"), "line_no", "line")
+    summary = lines.where(F.col("line").rlike(profile["summary"])).select("artifact_id", F.lit(2).alias("part"), "line_no", "line")
+    once = parts.unionByName(relevant).unionByName(summary).where("line <> ''")
+    once = once.groupBy("artifact_id", "line").agg(F.min(F.struct("part", "line_no")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("artifact_id").orderBy("at"))
+    return once.select("artifact_id", place.alias("place"), "line")
+
+
+def prose_entities(text):
+    """Distinct entities of prose: dates, defined terms, parties, section references, figures."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in patterns.PROSE_ENTITIES]
+    return F.array_distinct(F.transform(F.concat(*found), lambda x: F.trim(x)))
+
+
 def read_tier(size, sliced):
     """How a file read is served by its size in bytes; an explicit slice passes."""
     return F.when(sliced | (size <= 16_384), "pass").when(size <= 65_536, "capped").otherwise("skeleton")

@@ -10,7 +10,7 @@ from ..functions import dims
 
 def signature(line):
     """An error line without its coordinates: numbers in them become #, white space is collapsed, 200 characters."""
-    s = F.regexp_replace(line, r"\(\d+,\d+\)", "(#,#)")
+    s = F.regexp_replace(line, r"\(\d+,\d+\)", "(#)")
     s = F.regexp_replace(s, r":\d+(:\d+)?", ":#")
     return F.substring(F.trim(F.regexp_replace(s, r"\s+", " ")), 1, 200)
 

@@ -128,45 +128,125 @@ def keywords(question):
     return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in p.STOPWORDS]))
 
 
+def refs_in(text):
+    """Section references of a text: array of label (null if generic), number and raw phrase, all lowered."""
+    get = lambda p, g: F.regexp_extract_all(text, F.lit(p), F.lit(g))
+    own = lambda label: F.when((label != "") & ~label.isin("section", "sec"), label)
+
+    def labelled(r):
+        return F.struct(own(F.lower(r["label"])).alias("label"), F.lower(r["number"]).alias("number"), F.lower(r["raw"]).alias("raw"))
+
+    def marked(r):
+        label, number = (F.regexp_extract(F.lower(r["id"]), p.ID_HALVES, g) for g in (1, 2))
+        return F.struct(
+            own(label).alias("label"), F.when(number == "", F.lower(r["id"])).otherwise(number).alias("number"), F.lower(r["raw"]).alias("raw")
+        )
+
+    words = F.arrays_zip(*[get(p.SECTION_REF, g).alias(n) for g, n in ((0, "raw"), (1, "label"), (2, "number"))])
+    marks = F.arrays_zip(*[get(p.SECTION_MARK, g).alias(n) for g, n in ((0, "raw"), (1, "id"))])
+    return F.concat(F.transform(words, labelled), F.transform(marks, marked))
+
+
 def section_refs(questions: DataFrame) -> DataFrame:
-    """Section references of a question: label (null if generic) and number, distinct."""
-    get = lambda g: F.regexp_extract_all("question", F.lit(p.SECTION_REF), F.lit(g))
-    refs = questions.select("question_id", F.explode(F.arrays_zip(get(1).alias("label"), get(2).alias("number"))).alias("r"))
-    label = F.lower("r.label")
-    return refs.select(
-        "question_id", F.when(~label.isin("section", "sec"), label).alias("label"), F.lower("r.number").alias("number")
-    ).distinct()
+    """Distinct section references of each question: label (null if generic), number, and the least phrase that says it."""
+    refs = questions.select("question_id", F.explode(refs_in(F.col("question"))).alias("r")).select("question_id", "r.*")
+    return refs.groupBy("question_id", "label", "number").agg(F.min("raw").alias("raw"))
+
+
+def section_keys(found: DataFrame) -> DataFrame:
+    """(doc_id, place, label, number) by which references reach a section: of its id, else the references that its title says."""
+    number = F.regexp_extract(F.lower("section_id"), p.ID_HALVES, 2)
+    label = F.nullif(F.regexp_extract(F.lower("section_id"), p.ID_HALVES, 1), F.lit(""))
+    own = F.array(F.struct(label.alias("label"), number.alias("number")))
+    said = F.transform(refs_in(F.col("title")), lambda r: F.struct(r["label"], r["number"]))
+    keys = found.select("doc_id", "place", (number != "").alias("by_id"), F.explode(F.when(number != "", own).otherwise(said)).alias("k"))
+    return keys.select("doc_id", "place", "by_id", "k.label", "k.number").distinct()
+
+
+def ref_matches(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """Sections that a reference reaches: numbers agree, and labels where both have one; a title must say the same label."""
+    refs, keys = section_refs(questions).alias("r"), section_keys(found).alias("k")
+    same = F.col("r.label").eqNullSafe(F.col("k.label"))
+    free = F.col("k.by_id") & (F.col("r.label").isNull() | F.col("k.label").isNull())
+    hit = refs.join(keys, (F.col("r.number") == F.col("k.number")) & (same | free))
+    return hit.select("question_id", "doc_id", "place", F.col("r.label").alias("label"), F.col("r.number").alias("number"), "raw").distinct()
+
+
+def norm_words(text):
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _significant(words):
+    return F.filter(words, lambda w: ~w.isin(*p.HEADING_STOPWORDS))
+
+
+def heading_grades(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """Grade of a title for a question, for all that share a word of weight: exact, strong, partial or none.
+
+    exact: the question says the whole title; strong: it has all words of
+    weight, at least two; partial: at least two of them, or the only one.
+    """
+    asked = questions.select("question_id", F.explode(F.array_distinct(norm_words("question"))).alias("word"))
+    titles = found.select("doc_id", "place", _significant(norm_words("title")).alias("words"), F.array_join(norm_words("title"), " ").alias("phrase"))
+    met = titles.select("doc_id", "place", F.explode("words").alias("word")).join(asked, "word")
+    met = met.groupBy("question_id", "doc_id", "place").agg(F.count("*").alias("matched"))
+    whole = questions.select("question_id", F.concat(F.lit(" "), F.array_join(norm_words("question"), " "), F.lit(" ")).alias("said"))
+    met = met.join(titles, ["doc_id", "place"]).join(whole, "question_id")
+    n = F.size("words")
+    grade = (
+        F.when(F.contains("said", F.concat(F.lit(" "), "phrase", F.lit(" "))), "exact")
+        .when((F.col("matched") == n) & (n >= 2), "strong")
+        .when((F.col("matched") >= 2) | (n == 1), "partial")
+        .otherwise("none")
+    )
+    return met.select("question_id", "doc_id", "place", grade.alias("grade"))
+
+
+def ref_resolutions(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """Which of the sections that a reference matches in a document it means.
+
+    Of several, the one whose title shares most words with the rest of the
+    question, if no other shares as many; else the first, and ``discriminated``
+    is false. Returns question_id, doc_id, label, number, candidates, place, discriminated.
+    """
+    hits = ref_matches(questions, found).join(questions, "question_id").join(found.select("doc_id", "place", "title"), ["doc_id", "place"])
+    rest = norm_words(F.replace(F.lower("question"), F.col("raw"), F.lit(" ")))
+    own = F.filter(_significant(F.array_distinct(norm_words("title"))), lambda w: F.length(w) > 1)
+    hits = hits.withColumn("agreement", F.size(F.array_intersect(own, rest)))
+    g = hits.groupBy("question_id", "doc_id", "label", "number").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("agreement")).alias("a"), "place"))).alias("ranked"), F.min("place").alias("first")
+    )
+    best, second = F.col("ranked")[0], F.get("ranked", F.lit(1))
+    clear = second.isNull() | ((best["a"] < 0) & (best["a"] < second["a"]))
+    return g.select(
+        "question_id", "doc_id", "label", "number", F.size("ranked").alias("candidates"),
+        F.when(clear, best["place"]).otherwise(F.col("first")).alias("place"), clear.alias("discriminated"),
+    )
 
 
 def section_scores(questions: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Score of every (question, section) that a reference or a keyword reaches.
+    """Score of every (question, section) that a reference, a title word or a keyword reaches.
 
-    References join on the number; keywords join the distinct words of the
-    sections' lines, so that no question meets a section that shares nothing
-    with it. tier: 4 referenced, 3 title equals the keywords, 2 title holds all
-    of them, 1 some of them, 0 none; volume: keyword occurrences in the body.
+    Every way is an equi-join, so that no question meets a section that shares
+    nothing with it. tier: 4 referenced, 3 exact, 2 strong, 1 partial, 0 none;
+    volume: keyword occurrences in the section's lines.
     """
-    refs = section_refs(questions).select("question_id", F.col("number").alias("_n"), F.lit(True).alias("ref"))
-    numbers = found.withColumn("_n", F.regexp_extract("section_id", r"^(?:[a-z]+-)?(\d+(?:\.\d+)*)", 1))
-    by_ref = numbers.join(F.broadcast(refs), "_n").select("question_id", "doc_id", "place").distinct().withColumn("ref", F.lit(True))
+    pair = ["question_id", "doc_id", "place"]
+    by_ref = ref_matches(questions, found).select(*pair).distinct().withColumn("ref", F.lit(True))
     asked = questions.select("question_id", F.explode(keywords(F.col("question"))).alias("word"))
-    inside = lines.join(found.select("doc_id", "place", "start_line", "end_line"), "doc_id").where("line_no BETWEEN start_line AND end_line")
-    words = inside.select("doc_id", "place", F.explode(F.split(F.lower("line"), r"[^a-z0-9_-]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("doc_id", "place", "word").agg(F.count("*").alias("n"))
-    by_word = counts.join(F.broadcast(asked), "word").groupBy("question_id", "doc_id", "place").agg(F.sum("n").alias("volume"))
-    s = by_word.join(by_ref, ["question_id", "doc_id", "place"], "full").join(found.select("doc_id", "place", "title"), ["doc_id", "place"])
-    s = s.join(F.broadcast(questions.select("question_id", keywords(F.col("question")).alias("kw"))), "question_id")
-    title = F.filter(F.split(F.lower("title"), r"[^a-z0-9_-]+"), lambda w: F.length(w) >= 4)
-    s = s.withColumn("tw", F.array_distinct(title))
-    shared = F.size(F.array_intersect("kw", "tw"))
-    tier = (
-        F.when(F.col("ref"), 4)
-        .when((F.size("tw") > 0) & (shared == F.size("tw")) & (shared == F.size("kw")), 3)
-        .when((F.size("tw") > 0) & (shared == F.size("tw")), 2)
-        .when(shared > 0, 1)
-        .otherwise(0)
+    # each line belongs to the last section that begins before it: a running maximum, no range join
+    starts = found.select("doc_id", F.col("start_line").alias("line_no"), "place", "end_line")
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    placed = lines.join(starts, ["doc_id", "line_no"], "left").withColumns(
+        {"place": F.last("place", ignorenulls=True).over(order), "end_line": F.last("end_line", ignorenulls=True).over(order)}
     )
-    return s.select("question_id", "doc_id", "place", tier.alias("tier"), F.coalesce("volume", F.lit(0)).alias("volume"))
+    words = placed.where("line_no <= end_line").select("doc_id", "place", F.explode(F.split(F.lower("line"), r"[^a-z0-9_-]+")).alias("word"))
+    counts = words.where("word <> ''").groupBy("doc_id", "place", "word").agg(F.count("*").alias("n"))
+    by_word = counts.join(asked, "word").groupBy(*pair).agg(F.sum("n").alias("volume"))
+    grades = heading_grades(questions, found)
+    s = by_word.join(by_ref, pair, "full").join(grades, pair, "full")
+    tier = F.when(F.col("ref"), 4).when(F.col("grade") == "exact", 3).when(F.col("grade") == "strong", 2).when(F.col("grade") == "partial", 1)
+    return s.select(*pair, tier.otherwise(0).alias("tier"), F.coalesce("volume", F.lit(0)).alias("volume"))
 
 
 def best_sections(scores: DataFrame, k: int = 4) -> DataFrame:
@@ -183,10 +263,15 @@ def ranked_documents(scores: DataFrame, k: int = 6) -> DataFrame:
     return g.where("tier > 0 OR volume > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def corpus_fingerprint(files: DataFrame) -> DataFrame:
-    """One hash over the sorted path:hash lines of a corpus (corpus, path, hash)."""
-    rows = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "hash"))), "\n")
-    return files.groupBy("corpus").agg(F.sha2(rows, 256).alias("fingerprint"))
+def corpus_fingerprint(files: DataFrame, buckets: int = 4096) -> DataFrame:
+    """One hash per corpus (corpus, path, hash): of the hashes of its path:hash lines by bucket of the path.
+
+    Each bucket hashes its sorted lines, so that no task holds a whole corpus.
+    """
+    bucket = F.pmod(F.conv(F.substring(F.sha2("path", 256), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
+    part = files.groupBy("corpus", bucket.alias("bucket")).agg(F.sha2(listed(F.concat_ws(":", "path", "hash")), 256).alias("digest"))
+    return part.groupBy("corpus").agg(F.sha2(listed(F.concat_ws(":", F.format_string("%04d", "bucket"), "digest")), 256).alias("fingerprint"))
 
 
 def ingest_status(new: DataFrame, prior: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns
 from ..operators import distill as d
 from .registry import Registry, rounded
-from .views import duckdb, view
+from .views import duckdb, table, view
 
 R = Registry()
 add = R.add
@@ -57,9 +57,21 @@ def a06(spark, sf_dir):
     return d.build_contract(logs(spark, sf_dir))
 
 
-@add("a07_relevant_lines", _LOG + " SELECT artifact_id, line, line_no, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY line_no) AS rank FROM (SELECT artifact_id, line, min(line_no) AS line_no FROM v_log_lines WHERE regexp_matches(line, 'error|Done') GROUP BY artifact_id, line) x) y WHERE rank <= 3")
+def _bool(kind: str) -> str:
+    return f"coalesce(bool_or({_any('line', patterns.TEST_OUTPUT[kind])}), false)"
+
+
+@add(
+    "a07_test_output",
+    duckdb("v_test_lines")
+    + f""", v AS (SELECT artifact_id, concat('VERDICT: ', CASE WHEN {_bool('fail')} THEN 'fail' WHEN {_bool('pass')} THEN 'pass' ELSE 'unknown' END) AS line FROM v_test_lines GROUP BY artifact_id),
+ rel AS (SELECT artifact_id, line, min(line_no) AS line_no FROM v_test_lines WHERE regexp_matches(line, {_sql('(?i)' + patterns.TEST_OUTPUT['relevant'])}) GROUP BY artifact_id, line),
+ u AS (SELECT artifact_id, 0 AS part, 0 AS line_no, line FROM v UNION ALL SELECT artifact_id, 1, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY line_no) AS r FROM rel) x WHERE r <= 60
+ UNION ALL SELECT artifact_id, 2, line_no, line FROM v_test_lines WHERE regexp_matches(line, {_sql(patterns.TEST_OUTPUT['summary'])}))
+ SELECT artifact_id, CAST(row_number() OVER (PARTITION BY artifact_id ORDER BY part, line_no) AS INT) AS place, line FROM (SELECT artifact_id, line, min(part) AS part, arg_min(line_no, part * 1000000 + line_no) AS line_no FROM u WHERE line <> '' GROUP BY artifact_id, line) y""",
+)
 def a07(spark, sf_dir):
-    return d.relevant_lines(logs(spark, sf_dir), "error|Done", 3)
+    return d.test_output(view(spark, sf_dir, "v_test_lines"))
 
 
 @add(
@@ -108,10 +120,83 @@ def a13(spark, sf_dir):
     return rounded(d.entity_gate(rows).select("artifact_id", "line_no", "ratio", "entity_ok"))
 
 
-@add("a14_size_gate", _LOG + f", {_RAW} SELECT artifact_id, CASE WHEN strlen(raw) = 0 THEN false ELSE CAST(strlen(substr(raw, 1, 60)) AS DOUBLE) / strlen(raw) <= 0.4 END AS size_ok FROM raws")
+_SECOND = _any("raw", patterns.BUILD_LOG["fail2"])
+_SAID_P = _any("distilled", [*patterns.BUILD_LOG["pass"], r"\bVERDICT: pass\b"])
+_SAID_F = _any("distilled", [*patterns.BUILD_LOG["fail"], *patterns.BUILD_LOG["fail2"], r"\bVERDICT: fail\b"])
+_only = lambda p, f: f"CASE WHEN {f} AND NOT {p} THEN 'fail' WHEN {p} AND NOT {f} THEN 'pass' ELSE 'unknown' END"
+_DISTIL = rf"""{_RAW}, con AS (SELECT artifact_id, CASE WHEN bool_or({_LF}) THEN 'fail' WHEN bool_or({_LP}) THEN 'pass' ELSE 'unknown' END AS verdict, coalesce(trim(min_by(line, line_no) FILTER (WHERE {_BAD})), '') AS region,
+ count(*) FILTER (WHERE {_BAD}) AS errors, count(DISTINCT nullif(regexp_extract(trim(line), '^([^\s(:]+)[(:]', 1), '')) FILTER (WHERE {_BAD}) AS files, max_by(line, line_no) AS last_line FROM v_log_lines WHERE trim(line) <> '' GROUP BY artifact_id),
+ dis AS (SELECT artifact_id, raw, region, concat('VERDICT: ', verdict, chr(10), CASE WHEN errors = 0 THEN last_line ELSE concat('first error: ', region, chr(10), 'errors: ', errors, ' lines across ', files, ' files') END, chr(10), '[full log elided, zoom ', artifact_id, ']') AS distilled FROM con JOIN raws USING (artifact_id)),
+ ext AS (SELECT *, {_only(_PASS, _FAIL)} AS one, CASE WHEN {_SECOND} THEN 'fail' ELSE 'pass' END AS two, {_only(_SAID_P, _SAID_F)} AS said, {_ENT.replace('(line,', '(region,')} AS e FROM dis),
+ gate AS (SELECT *, len(list_filter(e, lambda x: NOT contains(distilled, x))) = 0 AS entity_ok, one <> 'unknown' AND one = two AND said = one AS verdict_ok,
+ CASE WHEN one = 'unknown' OR one <> two THEN concat('extractions disagree: primary=', one, ', secondary=', two) WHEN said = one THEN concat('verdict ', one, ' agreed') ELSE concat('raw verdict ', one, ' but distillate reads ', said) END AS verdict_detail,
+ CASE WHEN strlen(raw) = 0 THEN false ELSE CAST(strlen(distilled) AS DOUBLE) / strlen(raw) <= 0.4 END AS size_ok FROM ext)"""
+
+
+@add("a14_gates", _LOG + f", {_DISTIL} SELECT artifact_id, entity_ok, verdict_ok, verdict_detail, size_ok, entity_ok AND verdict_ok AND size_ok AS passed FROM gate")
 def a14(spark, sf_dir):
-    rows = d.assemble(logs(spark, sf_dir)).withColumn("distilled", F.substring("raw", 1, 60))
-    return d.size_gate(rows).select("artifact_id", "size_ok")
+    return d.distil_build_logs(logs(spark, sf_dir)).select("artifact_id", "entity_ok", "verdict_ok", "verdict_detail", "size_ok", "passed")
+
+
+@add("a17_distil_job", _LOG + f", {_DISTIL} SELECT artifact_id, CASE WHEN entity_ok AND verdict_ok AND size_ok THEN 'distilled' ELSE 'raw' END AS served, md5(CASE WHEN entity_ok AND verdict_ok AND size_ok THEN distilled ELSE raw END) AS text_md5 FROM gate")
+def a17(spark, sf_dir):
+    """No line of these logs holds a secret, so the served text is what the gates chose."""
+    return d.distil_build_logs(logs(spark, sf_dir)).select("artifact_id", "served", F.md5("text").alias("text_md5"))
+
+
+@add("m01_gate_verdicts", _LOG + f", {_DISTIL} SELECT artifact_id, coalesce(nullif(regexp_extract(verdict_detail, 'verdict (pass|fail) agreed', 1), ''), nullif(regexp_extract(verdict_detail, 'raw verdict (pass|fail) but', 1), '')) AS verdict FROM gate")
+def m01(spark, sf_dir):
+    return d.distil_build_logs(logs(spark, sf_dir)).select("artifact_id", d.gate_verdict(F.col("verdict_detail")).alias("verdict"))
+
+
+@add(
+    "a01_command_routes",
+    duckdb("v_commands") + r" SELECT id, CASE WHEN regexp_matches(command, '\b(tsc|build)\b') THEN 'build-log' WHEN regexp_matches(command, '\b(vitest|jest|test|verify|check)\b') THEN 'test-output' ELSE 'generic-stdout' END AS profile FROM v_commands",
+)
+def a01(spark, sf_dir):
+    return view(spark, sf_dir, "v_commands").select("id", d.route(F.col("command")).alias("profile"))
+
+
+@add(
+    "a02_skeleton_routes",
+    duckdb("v_commands") + r" SELECT id, CASE WHEN ext IN ('ts', 'tsx', 'mts', 'js', 'mjs', 'cjs', 'jsx', 'py') THEN 'file-skeleton' WHEN ext IN ('md', 'markdown', 'txt', 'text', 'pdf', 'docx') THEN 'doc-skeleton' WHEN ext IN ('html', 'htm') THEN 'html-skeleton' END AS profile FROM (SELECT id, lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) AS ext FROM v_commands) x",
+)
+def a02(spark, sf_dir):
+    return view(spark, sf_dir, "v_commands").select("id", d.skeleton_route(F.col("path")).alias("profile"))
+
+
+@add(
+    "a20_read_tiers",
+    "SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR strlen(text) <= 16384 THEN 'pass' WHEN strlen(text) <= 65536 THEN 'capped' ELSE 'skeleton' END AS tier FROM documents",
+)
+def a20(spark, sf_dir):
+    """Every ninth document is read by an explicit slice."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", d.read_tier(F.octet_length("text"), F.col("doc_id") % 9 == 0).alias("tier"))
+
+
+@add("a21_full_rewrites", "SELECT doc_id, doc_id % 2 = 0 AND strlen(text) > 16384 AS flagged FROM documents")
+def a21(spark, sf_dir):
+    """Each document is written; every second one exists already."""
+    return table(spark, sf_dir, "documents").select("doc_id", d.full_rewrite(F.col("doc_id") % 2 == 0, F.octet_length("text")).alias("flagged"))
+
+
+@add(
+    "a22_prompt_tiers",
+    f"SELECT conv_id, turn, CASE WHEN text <> '' THEN CASE WHEN regexp_matches(text, {_sql(patterns.HARD_PROMPT)}) THEN 'hard' WHEN length(text) <= 120 AND NOT contains(text, chr(10)) THEN 'trivial' ELSE 'standard' END END AS tier FROM conversations WHERE role = 'user'",
+)
+def a22(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return said.select("conv_id", "turn", d.prompt_tier(F.col("text")).alias("tier"))
+
+
+_PROSE = "list_distinct(list_transform(" + " || ".join(f"regexp_extract_all(text, {_sql(p)}, {g})" for p, g in patterns.PROSE_ENTITIES) + ", lambda x: trim(x)))"
+
+
+@add("a12_prose_entities", f"SELECT doc_id, len({_PROSE}) AS n, md5(array_to_string(list_sort({_PROSE}), '|')) AS entities_md5 FROM documents")
+def a12(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumn("e", d.prose_entities(F.col("text")))
+    return rows.select("doc_id", F.size("e").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("e"), "|")).alias("entities_md5"))
 
 
 def _redaction_sql() -> str:

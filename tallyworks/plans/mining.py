@@ -18,12 +18,18 @@ def audit(spark, sf_dir):
     return view(spark, sf_dir, "v_audit")
 
 
-_SIG = r"substr(trim(regexp_replace(regexp_replace(regexp_replace({}, '\(\d+,\d+\)', '(#,#)', 'g'), ':\d+(:\d+)?', ':#', 'g'), '\s+', ' ', 'g')), 1, 200)"
+_SIG = r"substr(trim(regexp_replace(regexp_replace(regexp_replace({}, '\(\d+,\d+\)', '(#)', 'g'), ':\d+(:\d+)?', ':#', 'g'), '\s+', ' ', 'g')), 1, 200)"
 
 
-@add("m02_error_signatures", duckdb("v_error_signature") + f" SELECT artifact_id, {_SIG.format('first_error_line')} AS signature FROM v_error_signature")
+@add(
+    "m02_error_signatures",
+    duckdb("v_log_lines") + f" SELECT artifact_id, {_SIG.format('first')} AS signature FROM (SELECT artifact_id, min_by(line, line_no) AS first FROM v_log_lines WHERE regexp_matches(line, '(?i)error|failed') GROUP BY artifact_id) x",
+)
 def m02(spark, sf_dir):
-    return view(spark, sf_dir, "v_error_signature").select("artifact_id", m.signature(F.col("first_error_line")).alias("signature"))
+    """Of every log with an error-like line, the first one."""
+    bad = view(spark, sf_dir, "v_log_lines").where(F.col("line").rlike("(?i)error|failed"))
+    first = bad.groupBy("artifact_id").agg(F.min_by("line", "line_no").alias("first"))
+    return first.select("artifact_id", m.signature(F.col("first")).alias("signature"))
 
 
 @add(

@@ -91,7 +91,16 @@ def d14(spark, sf_dir):
     return view(spark, sf_dir, "v_questions").select("question_id", F.array_join(F.array_sort(s.keywords(F.col("question"))), ",").alias("keywords"))
 
 
-_REFS = f"refs AS (SELECT DISTINCT question_id, CASE WHEN label NOT IN ('section', 'sec') THEN label END AS label, number FROM (SELECT question_id, lower(unnest(regexp_extract_all(question, {_q(p.SECTION_REF)}, 1))) AS label, lower(unnest(regexp_extract_all(question, {_q(p.SECTION_REF)}, 2))) AS number FROM v_questions) x)"
+def _refs_sql(source: str, key: str, text: str, name: str) -> str:
+    """Labelled and marked references of ``text`` as a CTE (key, label, number, raw)."""
+    label = "CASE WHEN label NOT IN ('section', 'sec', '') THEN label END"
+    half = lambda g: f"regexp_extract(id, {_q(p.ID_HALVES)}, {g})"
+    each = lambda r, g: f"lower(unnest(regexp_extract_all({text}, {_q(r)}, {g})))"
+    return f"""{name} AS (SELECT {key}, {label} AS label, number, raw FROM (SELECT {key}, {each(p.SECTION_REF, 1)} AS label, {each(p.SECTION_REF, 2)} AS number, {each(p.SECTION_REF, 0)} AS raw FROM {source}) x
+ UNION ALL SELECT {key}, {label}, CASE WHEN number = '' THEN id ELSE number END, raw FROM (SELECT {key}, id, raw, {half(1)} AS label, {half(2)} AS number FROM (SELECT {key}, {each(p.SECTION_MARK, 1)} AS id, {each(p.SECTION_MARK, 0)} AS raw FROM {source}) x) y)"""
+
+
+_REFS = _refs_sql("v_questions", "question_id", "question", "refs0") + ", refs AS (SELECT question_id, label, number, min(raw) AS raw FROM refs0 GROUP BY question_id, label, number)"
 
 
 @add("d15_section_refs", duckdb("v_questions") + f", {_REFS} SELECT * FROM refs")
@@ -99,14 +108,27 @@ def d15(spark, sf_dir):
     return s.section_refs(view(spark, sf_dir, "v_questions"))
 
 
-_SCORE = f"""ask AS (SELECT question_id, {_KW} AS kw FROM v_questions),
+_STOPS = "(" + ", ".join(f"'{w}'" for w in p.HEADING_STOPWORDS) + ")"
+_norm = lambda x: f"list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> '')"
+_sig = lambda x: f"list_filter({x}, lambda w: w NOT IN {_STOPS})"
+_HID, _HNUM = (f"regexp_extract(lower(section_id), {_q(p.ID_HALVES)}, {g})" for g in (1, 2))
+_MATCH = _refs_sql("sect", "doc_id, place, section_id", "title", "said") + f""",
+keys AS (SELECT doc_id, place, true AS by_id, nullif({_HID}, '') AS label, {_HNUM} AS number FROM sect WHERE {_HNUM} <> '' UNION SELECT doc_id, place, false, label, number FROM said WHERE {_HNUM} = ''),
+matches AS (SELECT DISTINCT question_id, doc_id, place, r.label, r.number, raw FROM refs r JOIN keys k ON r.number = k.number AND (r.label IS NOT DISTINCT FROM k.label OR (by_id AND (r.label IS NULL OR k.label IS NULL))))"""
+_GRADE = f"""titles AS (SELECT doc_id, place, {_sig(_norm('title'))} AS words, array_to_string({_norm('title')}, ' ') AS phrase FROM sect),
+asked AS (SELECT question_id, {_norm('question')} AS q FROM v_questions),
+tword AS (SELECT doc_id, place, unnest(words) AS word FROM titles),
+met AS (SELECT question_id, doc_id, place, count(*) AS matched FROM tword JOIN (SELECT question_id, unnest(list_distinct(q)) AS word FROM asked) a USING (word) GROUP BY question_id, doc_id, place),
+grades AS (SELECT question_id, doc_id, place, CASE WHEN contains(concat(' ', array_to_string(q, ' '), ' '), concat(' ', phrase, ' ')) THEN 'exact' WHEN matched = len(words) AND len(words) >= 2 THEN 'strong' WHEN matched >= 2 OR len(words) = 1 THEN 'partial' ELSE 'none' END AS grade
+ FROM met JOIN titles USING (doc_id, place) JOIN asked USING (question_id))"""
+_SCORE = f"""{_MATCH}, {_GRADE},
+ask AS (SELECT question_id, {_KW} AS kw FROM v_questions),
 inside AS (SELECT s.doc_id, s.place, unnest(string_split_regex(lower(line), '[^a-z0-9_-]+')) AS word FROM sect s JOIN v_headed_lines l ON l.doc_id = s.doc_id AND l.line_no BETWEEN s.start_line AND s.end_line),
 vol AS (SELECT question_id, doc_id, place, count(*) AS volume FROM inside i JOIN (SELECT question_id, unnest(kw) AS word FROM ask) a ON a.word = i.word WHERE i.word <> '' GROUP BY question_id, doc_id, place),
-byref AS (SELECT DISTINCT question_id, doc_id, place FROM sect JOIN refs ON regexp_extract(section_id, '^(?:[a-z]+-)?(\\d+(?:\\.\\d+)*)', 1) = refs.number),
-pairs AS (SELECT question_id, doc_id, place FROM vol UNION SELECT question_id, doc_id, place FROM byref),
-tw AS (SELECT doc_id, place, list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9_-]+'), lambda w: length(w) >= 4)) AS tw FROM sect),
-sc0 AS (SELECT p.*, kw, tw, len(list_intersect(kw, tw)) AS shared, coalesce(volume, 0) AS volume, r.doc_id IS NOT NULL AS ref FROM pairs p JOIN ask USING (question_id) JOIN tw USING (doc_id, place) LEFT JOIN vol USING (question_id, doc_id, place) LEFT JOIN byref r USING (question_id, doc_id, place)),
-scores AS (SELECT question_id, doc_id, place, CAST(CASE WHEN ref THEN 4 WHEN len(tw) > 0 AND shared = len(tw) AND shared = len(kw) THEN 3 WHEN len(tw) > 0 AND shared = len(tw) THEN 2 WHEN shared > 0 THEN 1 ELSE 0 END AS INT) AS tier, volume FROM sc0)"""
+byref AS (SELECT DISTINCT question_id, doc_id, place FROM matches),
+pairs AS (SELECT question_id, doc_id, place FROM vol UNION SELECT question_id, doc_id, place FROM byref UNION SELECT question_id, doc_id, place FROM grades),
+scores AS (SELECT p.question_id, p.doc_id, p.place, CAST(CASE WHEN r.doc_id IS NOT NULL THEN 4 ELSE CASE grade WHEN 'exact' THEN 3 WHEN 'strong' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END END AS INT) AS tier, coalesce(volume, 0) AS volume
+ FROM pairs p LEFT JOIN vol USING (question_id, doc_id, place) LEFT JOIN byref r USING (question_id, doc_id, place) LEFT JOIN grades USING (question_id, doc_id, place))"""
 _RET = duckdb("v_doc_lines", "v_headed_lines", "v_questions") + f", {_HEADS}, {_SECT}, {_REFS}, {_SCORE}"
 
 
@@ -114,6 +136,32 @@ def _scores(spark, sf_dir):
     return s.section_scores(view(spark, sf_dir, "v_questions"), _found(spark, sf_dir), lines(spark, sf_dir))
 
 
+def _asked(spark, sf_dir):
+    return view(spark, sf_dir, "v_questions"), _found(spark, sf_dir)
+
+
+@add("d16_ref_matches", _RET + " SELECT * FROM matches")
+def d16(spark, sf_dir):
+    return s.ref_matches(*_asked(spark, sf_dir))
+
+
+@add("d17_heading_grades", _RET + " SELECT * FROM grades")
+def d17(spark, sf_dir):
+    return s.heading_grades(*_asked(spark, sf_dir))
+
+
+@add(
+    "d18_ref_resolutions",
+    _RET
+    + f""", agree AS (SELECT m.*, len(list_intersect(list_filter({_sig("list_distinct(" + _norm('title') + ")")}, lambda w: length(w) > 1), {_norm("replace(lower(question), raw, ' ')")})) AS a FROM matches m JOIN v_questions USING (question_id) JOIN sect USING (doc_id, place)),
+ g AS (SELECT question_id, doc_id, label, number, list({{'a': -a, 'place': place}} ORDER BY -a, place) AS r, min(place) AS first FROM agree GROUP BY question_id, doc_id, label, number),
+ c AS (SELECT *, len(r) = 1 OR (r[1].a < 0 AND r[1].a < r[2].a) AS clear FROM g)
+ SELECT question_id, doc_id, label, number, CAST(len(r) AS INT) AS candidates, CASE WHEN clear THEN r[1].place ELSE first END AS place, clear AS discriminated FROM c""",
+)
+def d18(spark, sf_dir):
+    return s.ref_resolutions(*_asked(spark, sf_dir))
+
+
 @add("d19_section_scores", _RET + " SELECT * FROM scores")
 def d19(spark, sf_dir):
     return _scores(spark, sf_dir)
@@ -129,7 +177,13 @@ def d22(spark, sf_dir):
     return s.ranked_documents(_scores(spark, sf_dir))
 
 
-@add("d29_corpus_fingerprints", "SELECT source AS corpus, sha256(string_agg(concat(doc_id, ':', sha256(text)), chr(10) ORDER BY concat(doc_id, ':', sha256(text)) COLLATE C)) AS fingerprint FROM documents GROUP BY source".replace(" COLLATE C", ""))
+@add(
+    "d29_corpus_fingerprints",
+    """WITH f AS (SELECT source AS corpus, CAST(doc_id AS VARCHAR) AS path, sha256(text) AS hash FROM documents),
+ b AS (SELECT corpus, CAST(concat('0x', substr(sha256(path), 1, 8)) AS BIGINT) % 4096 AS bucket, concat(path, ':', hash) AS line FROM f),
+ p AS (SELECT corpus, bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM b GROUP BY corpus, bucket)
+ SELECT corpus, sha256(string_agg(concat(lpad(CAST(bucket AS VARCHAR), 4, '0'), ':', digest), chr(10) ORDER BY bucket)) AS fingerprint FROM p GROUP BY corpus""",
+)
 def d29(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus"), F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("hash"))
     return s.corpus_fingerprint(files)
@@ -145,3 +199,35 @@ def d30(spark, sf_dir):
     new = d.where("path % 7 > 0")
     prior = d.where("path % 6 > 0").withColumn("hash", F.when(F.col("path") % 5 == 0, F.lit("other")).otherwise(F.col("hash")))
     return s.ingest_status(new, prior)
+
+
+_MD = "md AS (SELECT doc_id, line_no, CASE line_no % 4 WHEN 1 THEN concat('## ', line) WHEN 2 THEN concat('**', substr(line, 1, 40), '**') ELSE line END AS line FROM v_doc_lines)"
+_MARKS = r"'^(#{1,6})\s+(.+?)\s*#*\s*$'"
+_BOLD = r"'^\*\*\s*(\S[^*]*?)\s*\*\*[:.]?$'"
+
+
+@add(
+    "d01_markdown_headings",
+    duckdb("v_doc_lines")
+    + f""", {_MD}, x AS (SELECT doc_id, line_no, regexp_extract(trim(line), {_MARKS}, 1) AS m, regexp_extract(trim(line), {_MARKS}, 2) AS t, trim(regexp_extract(trim(line), {_BOLD}, 1)) AS b FROM md)
+ SELECT doc_id, line_no, CAST(CASE WHEN m <> '' THEN length(m) ELSE 2 END AS INT) AS level, CASE WHEN m <> '' THEN t ELSE b END AS heading FROM x WHERE m <> '' OR (b <> '' AND length(b) <= 100)""",
+)
+def d01(spark, sf_dir):
+    """Every fourth line is marked as a heading, the next one is bold."""
+    line = F.when(F.col("line_no") % 4 == 1, F.concat(F.lit("## "), "line")).when(
+        F.col("line_no") % 4 == 2, F.concat(F.lit("**"), F.substring("line", 1, 40), F.lit("**"))
+    )
+    return s.markdown_headings(view(spark, sf_dir, "v_doc_lines").withColumn("line", line.otherwise(F.col("line"))))
+
+
+@add(
+    "d31_posture",
+    "WITH r AS (SELECT source AS repo, count(*) AS files, sum(strlen(text)) AS size, count(*) FILTER (WHERE doc_id % 50 = 0) AS knowledge FROM documents GROUP BY source) SELECT repo, CASE WHEN files > 120 OR size > 2097152 THEN 'full' WHEN knowledge = 0 AND files <= 25 AND size <= 262144 THEN 'idle' ELSE 'light' END AS posture FROM r",
+)
+def d31(spark, sf_dir):
+    """Each source is a repository; every fiftieth document is a learned entry."""
+    from ..functions import dims
+
+    d = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("repo"))
+    r = d.agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("size"), F.count_if(F.col("doc_id") % 50 == 0).alias("knowledge"))
+    return r.select("repo", dims.posture(F.col("files"), F.col("size"), F.col("knowledge")).alias("posture"))

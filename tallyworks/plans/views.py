@@ -29,14 +29,14 @@ WHERE role = 'assistant'""",
     ),
     "v_audit": (
         ("events",),
-        """SELECT concat('e', event_id) AS id, ts, event_id AS seq, concat('s', user_id % 100) AS session_id,
+        """SELECT concat('e', event_id) AS id, ts, event_id AS seq, concat('s', user_id) AS session_id,
  CASE event_type WHEN 'click' THEN 'zoom' WHEN 'view' THEN 'serve' WHEN 'signup' THEN 'pretooluse' ELSE 'distill' END AS module,
  CASE WHEN event_type = 'click' THEN 'zoom' WHEN event_type = 'signup' THEN 'rewrite'
       WHEN event_type = 'view' AND event_id % 5 = 0 THEN 'passthrough' WHEN event_type = 'view' AND event_id % 2 = 1 THEN 'serve-raw' ELSE 'distill' END AS action,
  CASE WHEN event_type = 'view' AND event_id % 5 <> 0 THEN CASE WHEN event_id % 2 = 1 THEN 'full' ELSE 'diff' END END AS mode,
  CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'pass' END AS verdict,
  CASE WHEN k % 2 = 0 THEN 'build-log' ELSE 'test-output' END AS profile,
- concat('src/f', k % 7, '.ts') AS path, concat('a', k % 31) AS input_ref,
+ concat('src/f', k % 7, '.ts') AS path, concat('a', event_id - k % 3) AS input_ref,
  CASE WHEN event_type = 'signup' THEN CASE WHEN k % 2 = 0 THEN 'build' ELSE 'read-mirror' END END AS rule,
  CASE WHEN event_type = 'signup' AND k % 2 = 0 THEN CASE k % 3 WHEN 0 THEN 'npm run build' WHEN 1 THEN 'cd app && vitest run' ELSE 'rm -rf dist && npm run build' END END AS command,
  CASE WHEN event_type = 'signup' AND k % 2 = 1 THEN k % 4 = 1 END AS prepared,
@@ -47,8 +47,8 @@ FROM (SELECT event_id, ts, user_id, event_type, value, CAST(regexp_extract(props
     ),
     "v_error_signature": (
         ("events",),
-        """SELECT concat('a', n) AS artifact_id, concat('src/f', n % 7, '.ts(', n, ',5): error TS', 2300 + n % 4, ': failed check') AS first_error_line
-FROM (SELECT DISTINCT CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) % 31 AS n FROM events) x""",
+        """SELECT concat('a', event_id) AS artifact_id, concat('src/f', event_id % 7, '.ts(', event_id, ',5): error TS', 2300 + event_id % 4, ': failed check') AS first_error_line
+FROM events""",
     ),
     "v_log_lines": (
         ("lineitem",),
@@ -57,6 +57,19 @@ FROM (SELECT DISTINCT CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) % 31 AS
       WHEN l_linestatus = 'O' THEN concat('packages/p', l_partkey % 9, ' build: Done')
       ELSE concat('compiling unit ', l_partkey) END AS line
 FROM lineitem""",
+    ),
+    "v_test_lines": (
+        ("lineitem",),
+        """SELECT l_orderkey AS artifact_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line_no,
+ CASE WHEN l_returnflag = 'R' THEN concat('FAIL src/p', l_partkey % 3, '.test.ts') WHEN l_returnflag = 'A' THEN concat('assertionerror: EXPECTED ', l_quantity, ' received ', l_tax)
+      WHEN l_linestatus = 'O' THEN concat('Tests  ', l_linenumber, ' passed (', l_linenumber, ')') ELSE concat('   Duration ', l_linenumber, 's') END AS line
+FROM lineitem""",
+    ),
+    "v_commands": (
+        ("events",),
+        """SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN 'npm run verify' WHEN 1 THEN 'tsc --noEmit && vitest' WHEN 2 THEN 'cargo fmt' WHEN 3 THEN 'npm run check' WHEN 4 THEN 'npx jest a'
+  WHEN 5 THEN 'pnpm rebuild' WHEN 6 THEN 'npm run build' WHEN 7 THEN 'latest' ELSE concat('node test ', user_id) END AS command,
+ concat('src/f', user_id, CASE event_id % 8 WHEN 0 THEN '.ts' WHEN 1 THEN '.PY' WHEN 2 THEN '.md' WHEN 3 THEN '.docx' WHEN 4 THEN '.html' WHEN 5 THEN '.rs' WHEN 6 THEN '' ELSE '.cjs' END) AS path FROM events""",
     ),
     "v_secret_lines": (
         ("documents",),
@@ -75,11 +88,11 @@ FROM lineitem""",
     ),
     "v_ledger": (
         ("events", "documents"),
-        """SELECT concat('l', e.event_id) AS id, e.event_id AS seq, concat('e', e.event_id) AS audit_id, e.ts, concat('corpus', e.user_id % 3) AS corpus, concat('s', e.user_id % 100) AS session_id,
+        """SELECT concat('l', e.event_id) AS id, e.event_id AS seq, concat('e', e.event_id) AS audit_id, e.ts, concat('corpus', e.user_id % 3) AS corpus, concat('s', e.user_id) AS session_id,
  CASE e.event_type WHEN 'signup' THEN 'ask' WHEN 'click' THEN 'zoom' ELSE 'serve' END AS kind, concat('doc', d.doc_id) AS document,
  d.n_chars AS raw_bytes, CASE WHEN e.event_type = 'click' THEN d.n_chars ELSE CAST(floor(d.n_chars / 10) AS BIGINT) END AS served_bytes,
  CASE WHEN e.event_type = 'signup' THEN CASE e.event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END END AS confidence
-FROM events e JOIN documents d ON d.doc_id = e.event_id % 200""",
+FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT max(doc_id) + 1 FROM documents )""",
     ),
     "v_runs": (
         ("conversations",),
@@ -94,7 +107,7 @@ FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey""",
     ),
     "v_questions": (
         ("benchmark",),
-        """SELECT item_id AS question_id, concat('What about section ', item_id % 5 + 1, ' Topic ', item_id % 9, ' ', substr(text, 1, 60)) AS question FROM benchmark""",
+        """SELECT item_id AS question_id, concat('What about section ', item_id % 5 + 1, ' Topic ', item_id % 9, CASE item_id % 3 WHEN 0 THEN concat(' or §', item_id % 4 + 1) ELSE '' END, ' ', text) AS question FROM benchmark""",
     ),
 }
 

@@ -113,6 +113,18 @@ def test_command_and_read_tiers(spark):
     assert [tuple(r) for r in rows] == [("test-output", "pass"), ("build-log", "capped"), ("generic-stdout", "skeleton"), ("generic-stdout", "pass")]
 
 
+def test_command_routes_and_signatures(spark):
+    """Values as the fixed words and forms give them."""
+    from tallyworks.operators import mining
+
+    commands = ["npm run verify", "npm run check", "tsc --noEmit && vitest", "cargo fmt", "npx pytest"]
+    got = spark.createDataFrame([(c,) for c in commands], "c string").select(distill.route(F.col("c")).alias("p")).collect()
+    assert [r.p for r in got] == ["test-output", "test-output", "build-log", "generic-stdout", "generic-stdout"]
+    lines = ["a.ts(10,5): error  TS1", "a.ts:10:5 x", "b.ts:7"]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select(mining.signature(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got] == ["a.ts(#): error TS1", "a.ts:# x", "b.ts:#"]
+
+
 def test_latest_session_of_project(spark):
     s = spark.createDataFrame([("/a", "s1", 1), ("/a", "s2", 2), ("/a/b", "s3", 1)], "dir string, session_id string, ts int")
     p = spark.createDataFrame([("/a/b/c",), ("/a/x",), ("/q",)], "project string")
