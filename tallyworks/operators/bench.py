@@ -37,7 +37,7 @@ def run_checks(runs: DataFrame, checks: DataFrame, files: DataFrame) -> DataFram
     A run without checks passes.
     """
     all_variants = F.col("c.variant").isNull() | (F.col("c.variant") == "both") | (F.col("c.variant") == F.col("r.variant"))
-    due = runs.alias("r").join(F.broadcast(checks).alias("c"), (F.col("r.task") == F.col("c.task")) & all_variants, "left")
+    due = runs.alias("r").join(checks.alias("c"), (F.col("r.task") == F.col("c.task")) & all_variants, "left")
     due = due.select("r.*", "c.check_id", "c.kind", "c.path", "c.needle")
     f = files.select(F.col("session_id").alias("_s"), F.col("path").alias("_p"), "content", "baseline")
     due = due.join(f, (F.col("session_id") == F.col("_s")) & (F.col("path") == F.col("_p")), "left")
@@ -91,7 +91,7 @@ def failures(m: DataFrame, medians: DataFrame) -> DataFrame:
 def slopes(m: DataFrame, sequence: DataFrame) -> DataFrame:
     """Per variant: medians at the first and last place of the sequence (task, place) and their ratios."""
     last = sequence.agg(F.max("place").alias("last"))
-    placed = m.join(F.broadcast(sequence), "task").crossJoin(F.broadcast(last))
+    placed = m.join(sequence, "task").crossJoin(F.broadcast(last))
     at = lambda c, test: F.coalesce(F.median(F.when(test, F.col(c))), F.lit(0.0))
     first, end = F.col("place") == 1, F.col("place") == F.col("last")
     s = placed.groupBy("variant").agg(

@@ -89,3 +89,16 @@ def age_label(seconds):
         .when(seconds < 86400, F.concat(F.floor(seconds / 3600), F.lit("h")))
         .otherwise(F.concat(F.floor(seconds / 86400), F.lit("d")))
     )
+
+
+def directive_matches(paths: DataFrame, directives: DataFrame) -> DataFrame:
+    """(path, target): a directive fits a path that equals its target or ends in it after a slash; an equi-join on the path's ends."""
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "/"))
+    return paths.select("path", F.explode(ends).alias("target")).distinct().join(directives.select("target").distinct(), "target")
+
+
+def run_summary(decided: DataFrame) -> DataFrame:
+    """One row of a mining run: candidates, graduated, withdrawn, kept."""
+    count = lambda d: F.count_if(F.col("decision") == d)
+    return decided.agg(F.count("*").alias("mined"), count("graduate").alias("graduated"), count("withdraw").alias("withdrawn"), count("keep").alias("kept"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sections import placed
+
 #: Rank of a landmark; the lowest on a line stands for it.
-RANKS = {"title": 0, "h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6, "main": 7, "nav": 7, "header": 7, "footer": 7, "section": 8, "article": 8, "script": 9, "style": 9}
-TAG = r"(?i)<(title|h[1-6]|main|nav|header|footer|section|article|script|style)\b[^>]*>"
+RANKS = {"title": 0, "h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6, "main": 7, "nav": 7, "header": 7, "footer": 7, "section": 8, "article": 8, "aside": 8, "form": 8, "table": 8, "dialog": 8, "figure": 8, "template": 8, "head": 9, "body": 9, "script": 9, "style": 9}
+TAG = r"(?i)<(title|h[1-6]|head|body|header|nav|main|section|article|aside|footer|form|table|dialog|figure|template|script|style)\b[^>]*>"
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -62,10 +64,8 @@ def line_search(questions: DataFrame, lines: DataFrame, sections: DataFrame) ->
     words = F.array_distinct(F.split(F.lower("line"), r"[^a-z0-9_-]+"))
     each = lines.select("doc_id", "line_no", F.explode(words).alias("word"))
     asked = questions.select("question_id", F.explode("keywords").alias("word"))
-    hits = each.join(F.broadcast(asked), "word").groupBy("question_id", "doc_id", "line_no").agg(F.count("*").alias("words"))
-    s = sections.select(F.col("doc_id").alias("_d"), "place", F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
-    inside = (F.col("doc_id") == F.col("_d")) & F.col("line_no").between(F.col("_a"), F.col("_b"))
-    return hits.join(s, inside, "left").drop("_d", "_a", "_b")
+    hits = each.join(asked, "word").groupBy("question_id", "doc_id", "line_no").agg(F.count("*").alias("words"))
+    return hits.join(placed(lines, sections).select("doc_id", "line_no", "place"), ["doc_id", "line_no"], "left")
 
 
 def search_summary(hits: DataFrame, most: int = 24) -> DataFrame:

@@ -95,9 +95,21 @@ def sections(lines: DataFrame, heads: DataFrame) -> DataFrame:
     return s.select("doc_id", "place", unique.alias("section_id"), "title", F.coalesce("level", F.lit(1)).alias("level"), "start_line", "end_line")
 
 
+def placed(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line, place, start_line): the lines that lie in a section, with it.
+
+    A line belongs to the last section that begins before it: an equi-join on
+    the first lines and a running value, no range join.
+    """
+    starts = found.select("doc_id", F.col("start_line").alias("line_no"), F.struct("place", "start_line", "end_line").alias("s"))
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    marked = lines.join(starts, ["doc_id", "line_no"], "left").withColumn("s", F.last("s", ignorenulls=True).over(order))
+    return marked.where("line_no <= s.end_line").select("doc_id", "line_no", "line", "s.place", "s.start_line")
+
+
 def summaries(lines: DataFrame, found: DataFrame) -> DataFrame:
     """Add ``summary``: the first sentence of the body, at most 240 characters, else the title."""
-    body = lines.join(found.select("doc_id", "place", "start_line", "end_line"), "doc_id").where("line_no > start_line AND line_no <= end_line")
+    body = placed(lines, found).where("line_no > start_line")
     rows = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     text = body.groupBy("doc_id", "place").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("body"))
     flat = F.trim(F.regexp_replace("body", r"\s+", " "))
@@ -221,9 +233,16 @@ def ref_resolutions(questions: DataFrame, found: DataFrame) -> DataFrame:
     return g.select(
         "question_id", "doc_id", "label", "number", F.size("ranked").alias("candidates"),
         F.when(clear, best["place"]).otherwise(F.col("first")).alias("place"), clear.alias("discriminated"),
+        F.array_sort(F.transform("ranked", lambda x: x["place"])).alias("places"),
     )
 
 
+def ambiguities(resolutions: DataFrame) -> DataFrame:
+    """References that a question leaves open, with the section chosen and the other candidates."""
+    others = F.array_except("places", F.array("place"))
+    return resolutions.where("NOT discriminated").select("question_id", "doc_id", "label", "number", "place", others.alias("alternatives"))
+
+
 def section_scores(questions: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
     """Score of every (question, section) that a reference, a title word or a keyword reaches.
 
@@ -234,13 +253,7 @@ def section_scores(questions: DataFrame, found: DataFrame, lines: DataFrame) ->
     pair = ["question_id", "doc_id", "place"]
     by_ref = ref_matches(questions, found).select(*pair).distinct().withColumn("ref", F.lit(True))
     asked = questions.select("question_id", F.explode(keywords(F.col("question"))).alias("word"))
-    # each line belongs to the last section that begins before it: a running maximum, no range join
-    starts = found.select("doc_id", F.col("start_line").alias("line_no"), "place", "end_line")
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    placed = lines.join(starts, ["doc_id", "line_no"], "left").withColumns(
-        {"place": F.last("place", ignorenulls=True).over(order), "end_line": F.last("end_line", ignorenulls=True).over(order)}
-    )
-    words = placed.where("line_no <= end_line").select("doc_id", "place", F.explode(F.split(F.lower("line"), r"[^a-z0-9_-]+")).alias("word"))
+    words = placed(lines, found).select("doc_id", "place", F.explode(F.split(F.lower("line"), r"[^a-z0-9_-]+")).alias("word"))
     counts = words.where("word <> ''").groupBy("doc_id", "place", "word").agg(F.count("*").alias("n"))
     by_word = counts.join(asked, "word").groupBy(*pair).agg(F.sum("n").alias("volume"))
     grades = heading_grades(questions, found)

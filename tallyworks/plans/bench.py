@@ -172,3 +172,20 @@ def b14(spark, sf_dir):
     m = runs(spark, sf_dir)
     planned = m.select("task", "variant", "rep").union(m.select("task", "variant", F.lit(99).cast("long"))).distinct()
     return rounded(b.result_table(m, planned))
+
+
+_TASKS = "tasks AS (SELECT concat('t', o_custkey) AS task, concat('r', min(o_orderkey) % 2) AS repo, 'c' AS commit, CASE WHEN o_custkey % 3 = 0 THEN 'slope' ELSE 'base' END AS tier FROM orders GROUP BY o_custkey), seq AS (SELECT concat('t', c_custkey) AS task FROM customer WHERE c_nationkey < 12)"
+
+
+@add(
+    "b11_sequence_violations",
+    f"WITH {_TASKS} SELECT task, 'unknown task' AS violation FROM seq WHERE task NOT IN (SELECT task FROM tasks) UNION ALL SELECT s.task, 'more than one repository pin' FROM seq s JOIN tasks t USING (task) WHERE (SELECT count(DISTINCT (repo, commit)) FROM seq JOIN tasks USING (task)) > 1 UNION ALL SELECT task, 'slope task not in the sequence' FROM tasks WHERE tier = 'slope' AND task NOT IN (SELECT task FROM seq)",
+)
+def b11(spark, sf_dir):
+    """Customers with orders are tasks, those of some nations the sequence."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    tasks = read("orders").groupBy("o_custkey").agg(F.concat(F.lit("r"), F.min("o_orderkey") % 2).alias("repo"))
+    tier = F.when(F.col("o_custkey") % 3 == 0, "slope").otherwise("base")
+    tasks = tasks.select(F.concat(F.lit("t"), "o_custkey").alias("task"), "repo", F.lit("c").alias("commit"), tier.alias("tier"))
+    sequence = read("customer").where("c_nationkey < 12").select(F.concat(F.lit("t"), "c_custkey").alias("task"))
+    return b.sequence_violations(sequence, tasks)

@@ -81,12 +81,14 @@ def m08(spark, sf_dir):
     return _confident(spark, sf_dir).select("id", "confidence")
 
 
-@add(
-    "m09_decisions",
+_DECIDED = (
     _A
     + f""", {_CAND}, k AS (SELECT id, occurrences % 2 AS contradictions, round({_CONF}, 4) AS confidence, CASE WHEN type = 'zoom' THEN 'graduated' ELSE 'candidate' END AS status FROM cand)
- SELECT id, CASE WHEN status = 'candidate' AND confidence >= 0.5 THEN 'graduate' WHEN status = 'graduated' AND contradictions > 0 AND confidence < 0.3 THEN 'withdraw' ELSE 'keep' END AS decision FROM k""",
+, decided AS (SELECT id, CASE WHEN status = 'candidate' AND confidence >= 0.5 THEN 'graduate' WHEN status = 'graduated' AND contradictions > 0 AND confidence < 0.3 THEN 'withdraw' ELSE 'keep' END AS decision FROM k)"""
 )
+
+
+@add("m09_decisions", _DECIDED + " SELECT * FROM decided")
 def m09(spark, sf_dir):
     c = _confident(spark, sf_dir).withColumn("status", F.when(F.col("type") == "zoom", "graduated").otherwise("candidate"))
     return m.decisions(c).select("id", "decision")
@@ -115,3 +117,18 @@ def m15(spark, sf_dir):
     led = lines(spark, sf_dir)
     prior = led.where("document LIKE '%7'").select("document")
     return rounded(m.corpus_candidates(led.where("kind = 'zoom'"), prior), 2)
+
+
+@add("m16_directive_matches", _A + " SELECT DISTINCT path, target FROM (SELECT DISTINCT path FROM v_audit) p JOIN (SELECT DISTINCT concat('f', event_id % 9, '.ts') AS target FROM events UNION SELECT 'src/f1.ts') d ON path = target OR suffix(path, concat('/', target))")
+def m16(spark, sf_dir):
+    """Targets are file names and one longer path."""
+    from .views import table
+
+    targets = table(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("event_id") % 9, F.lit(".ts")).alias("target")).distinct()
+    targets = targets.unionByName(spark.range(1).select(F.lit("src/f1.ts").alias("target")))
+    return m.directive_matches(audit(spark, sf_dir).select("path").distinct(), targets).select("path", "target")
+
+
+@add("m17_run_summary", _DECIDED + " SELECT count(*) AS mined, count(*) FILTER (WHERE decision = 'graduate') AS graduated, count(*) FILTER (WHERE decision = 'withdraw') AS withdrawn, count(*) FILTER (WHERE decision = 'keep') AS kept FROM decided")
+def m17(spark, sf_dir):
+    return m.run_summary(m09(spark, sf_dir))

@@ -150,16 +150,26 @@ def d17(spark, sf_dir):
     return s.heading_grades(*_asked(spark, sf_dir))
 
 
+_AGREE = f""", agree AS (SELECT m.*, len(list_intersect(list_filter({_sig("list_distinct(" + _norm('title') + ")")}, lambda w: length(w) > 1), {_norm("replace(lower(question), raw, ' ')")})) AS a FROM matches m JOIN v_questions USING (question_id) JOIN sect USING (doc_id, place)),
+ g AS (SELECT question_id, doc_id, label, number, list({{'a': -a, 'place': place}} ORDER BY -a, place) AS r, min(place) AS first FROM agree GROUP BY question_id, doc_id, label, number),
+ c AS (SELECT *, len(r) = 1 OR (r[1].a < 0 AND r[1].a < r[2].a) AS clear FROM g)"""
+
+
 @add(
     "d18_ref_resolutions",
-    _RET
-    + f""", agree AS (SELECT m.*, len(list_intersect(list_filter({_sig("list_distinct(" + _norm('title') + ")")}, lambda w: length(w) > 1), {_norm("replace(lower(question), raw, ' ')")})) AS a FROM matches m JOIN v_questions USING (question_id) JOIN sect USING (doc_id, place)),
- g AS (SELECT question_id, doc_id, label, number, list({{'a': -a, 'place': place}} ORDER BY -a, place) AS r, min(place) AS first FROM agree GROUP BY question_id, doc_id, label, number),
- c AS (SELECT *, len(r) = 1 OR (r[1].a < 0 AND r[1].a < r[2].a) AS clear FROM g)
- SELECT question_id, doc_id, label, number, CAST(len(r) AS INT) AS candidates, CASE WHEN clear THEN r[1].place ELSE first END AS place, clear AS discriminated FROM c""",
+    _RET + _AGREE + """ SELECT question_id, doc_id, label, number, CAST(len(r) AS INT) AS candidates, CASE WHEN clear THEN r[1].place ELSE first END AS place, clear AS discriminated FROM c""",
 )
 def d18(spark, sf_dir):
-    return s.ref_resolutions(*_asked(spark, sf_dir))
+    return s.ref_resolutions(*_asked(spark, sf_dir)).drop("places")
+
+
+@add(
+    "d26_ambiguities",
+    _RET + _AGREE + " SELECT question_id, doc_id, label, number, first AS place, array_to_string(list_filter(list_sort(list_transform(r, lambda x: x.place)), lambda x: x <> first), ',') AS alternatives FROM c WHERE NOT clear",
+)
+def d26(spark, sf_dir):
+    a = s.ambiguities(s.ref_resolutions(*_asked(spark, sf_dir)))
+    return a.withColumn("alternatives", F.array_join("alternatives", ","))
 
 
 @add("d19_section_scores", _RET + " SELECT * FROM scores")

@@ -387,3 +387,29 @@ def u32(spark, sf_dir):
     t = turns(spark, sf_dir)
     reported = t.where("turn > 1").groupBy("session_id").agg((F.count("*") * 0.001).alias("reported"))
     return rounded(u.reconcile(u.session_cost(t, dims.frame(spark, "prices")), reported))
+
+
+_DIRS = "SELECT concat('/w/', user_id % 50, CASE WHEN event_id % 2 = 0 THEN '/sub' ELSE '' END) AS dir, concat('s', event_id) AS session_id, ts FROM events"
+
+
+@add(
+    "u31_latest_sessions",
+    f"WITH s AS ({_DIRS}), p AS (SELECT DISTINCT concat('/w/', user_id % 60, '/sub/x') AS project FROM events), up AS (SELECT project, array_to_string(list_slice(string_split(project, '/'), 1, n), '/') AS dir FROM (SELECT project, unnest(range(1, len(string_split(project, '/')) + 1)) AS n FROM p) x) SELECT project, dir, session_id FROM (SELECT project, dir, session_id, row_number() OVER (PARTITION BY project ORDER BY length(dir) DESC, ts DESC, session_id) AS r FROM up JOIN s USING (dir)) y WHERE r = 1",
+)
+def u31(spark, sf_dir):
+    """Sessions in project folders and their parents; some projects have none."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sub = F.when(F.col("event_id") % 2 == 0, "/sub").otherwise("")
+    s = e.select(F.concat(F.lit("/w/"), F.col("user_id") % 50, sub).alias("dir"), F.concat(F.lit("s"), "event_id").alias("session_id"), "ts")
+    p = e.select(F.concat(F.lit("/w/"), F.col("user_id") % 60, F.lit("/sub/x")).alias("project")).distinct()
+    return u.latest_sessions(s, p)
+
+
+@add("s06_rate_validation", "SELECT event_id, coalesce(value - 50 >= 0 AND value - 50 <= value AND value <= value * (event_id % 3), false) AS valid FROM events")
+def s06(spark, sf_dir):
+    """Each event's value is a rate with a low and a high one around it, not always in order."""
+    from ..functions import dims
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.select("event_id", "value", (F.col("value") - 50).alias("low"), (F.col("value") * (F.col("event_id") % 3)).alias("high"))
+    return dims.validated(e, "value", "low", "high").select("event_id", "valid")
