@@ -254,7 +254,10 @@ def _matches(index: DataFrame, anchors: DataFrame, wins: DataFrame, slop: int |
         return F.array_contains(F.slice(F.col("around"), (lo + 1).cast("int"), F.greatest(hi - lo + 1, F.lit(0)).cast("int")), word)
 
     either = anchors.select("window", "id", "offset").union(anchors.where("id2 is not null").select("window", "id2", "offset2"))
-    close = rarest.join(held(either), "id").select("row", "window", begin, place, around.alias("around")).where("start >= 0")
+    postings = rarest.select("row", "id", "at", around.alias("around"))
+    close = postings.join(held(either), "id").select("row", "window", begin, place, "around").where("start >= 0")
     close = close.join(held(texts), "window")
-    close = close.where(F.size(F.filter("words", there)) >= F.ceil(F.lit(AGREE) * F.col("size")))
+    # so many terms may be missing; a window with more that don't stand around the anchor at all needs no look at places
+    spare = F.col("size") - F.ceil(F.lit(AGREE) * F.col("size"))
+    close = close.where((F.size(F.array_except("words", "around")) <= spare) & (F.size(F.filter("words", there)) >= F.col("size") - spare))
     return hits, close.select("row", "window").distinct().join(items, "window").select("row", "item")
