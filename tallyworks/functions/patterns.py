@@ -70,3 +70,28 @@ HEADING_STOPWORDS = ("of", "the", "and", "for", "to", "in", "a", "an", "on", "at
 SECTION_MARK = r"§\s*([A-Za-z0-9][\w.-]*)"
 ID_HALVES = r"^(?:([a-z]+)-)?(\d+(?:\.\d+)*|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)(?:-\d+)?$"
 SECTION_REF = r"(?i)\b(example|claim|part|section|sec|chapter|appendix|figure|table|exhibit|case|note)\s+(\d+(?:\.\d+)*|[ivxlcdm]+\b|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\b"
+
+#: Which commands are wrapped. Rules in order, tested case-blind; any deny rule wins.
+REWRITE_ALLOW = [
+    ("typecheck", r"\btsc\b"),
+    ("build", r"\bbuild\b"),
+    ("test", r"\b(?:vitest|jest|pytest|mocha|ava|(?:pnpm|npm|yarn|bun)(?: run)? test)\b"),
+    ("lint", r"\b(?:eslint|tslint|(?:pnpm|npm|yarn|bun)(?: run)? lint)\b"),
+    ("node-script", r"\bnode\s+(?:[\w.\\/-]+[\\/])?(?:verify|test|check)[\w.-]*\.[cm]?js\b"),
+]
+REWRITE_DENY = [
+    ("shell-composition", r"[><;|]|&&|\|\||\$\(|`"),
+    ("mutation", r"\b(?:rm|rmdir|mv|cp|del|erase|install|publish|push|commit|reset|clean|checkout|mkdir)\b"),
+]
+CD_PREFIX = r"""^\s*cd\s+(?:"[^"]*"|'[^']*'|[^\s&|;<>"']+)\s*&&\s*"""
+MERGED_OUTPUT = r"\d*>&\d+"
+
+#: Exported declarations, relative imports, and the roles of folders by name, in order.
+DECLARATION = r"^\s*(export (?:async )?(?:function|class|interface|type|const|enum|abstract class) ([A-Za-z0-9_$]+).*)$"
+PLAIN_DECLARATION = r"^((?:class|def) ([A-Za-z0-9_$]+).*)$"
+RELATIVE_IMPORT = r"""^\s*import .*?from\s+['"](\.[^'"]+)['"]"""
+RELATIVE_FROM = r"^\s*from\s+(\.[^\s]+)\s+import"
+FOLDER_ROLES = [
+    ("test", "tests"), ("^(?:src|lib)$", "implementation"), ("script", "maintenance scripts"), ("fixture", "test fixtures"), ("doc", "documentation"),
+]
+SECTION_ANCHOR = r"§([\w./:-]+)"

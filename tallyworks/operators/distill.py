@@ -332,3 +332,33 @@ def handle_tokens(chars):
     return F.ceil(chars / 4)
 
 
+def rewrite_rule(command, wrapped: tuple[str, ...] = ()):
+    """Name of the rule under which a command is wrapped; null if it stays as it is.
+
+    One leading ``cd`` is set aside and merged output streams are no
+    composition; any deny rule wins, then the first allow rule names the
+    command. ``wrapped`` holds marks of commands that are wrapped already.
+    """
+    tail = F.regexp_replace(command, patterns.CD_PREFIX, "")
+    denied = F.regexp_replace(tail, patterns.MERGED_OUTPUT, " ").rlike("(?i)" + "|".join(p for _, p in patterns.REWRITE_DENY))
+    for mark in wrapped:
+        denied = denied | F.contains(command, F.lit(mark))
+    rule = F.when(denied, None)
+    for name, pattern in patterns.REWRITE_ALLOW:
+        rule = rule.when(tail.rlike("(?i)" + pattern), name)
+    return rule
+
+
+def foreign_events(events: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Events of this repository and refusals of the others: ``events`` has id, session_id and repo.
+
+    An event that names no repository is taken; paths are compared without a
+    trailing slash and with forward slashes.
+    """
+    clean = lambda c: F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "/+$", "")
+    own = F.coalesce(F.col("repo"), F.lit("")).isin("") | (clean(F.col("repo")) == clean(F.lit(root)))
+    reason = F.concat(F.lit("event of another repository refused: "), "repo")
+    refused = events.where(~own).select(
+        F.concat(F.lit("refuse-"), "id").alias("id"), "session_id", F.lit("refuse").alias("action"), reason.alias("reason")
+    )
+    return events.where(own), refused

@@ -102,3 +102,100 @@ def run_summary(decided: DataFrame) -> DataFrame:
     """One row of a mining run: candidates, graduated, withdrawn, kept."""
     count = lambda d: F.count_if(F.col("decision") == d)
     return decided.agg(F.count("*").alias("mined"), count("graduate").alias("graduated"), count("withdraw").alias("withdrawn"), count("keep").alias("kept"))
+
+
+#: Bounds of evidence, of records that a signal recurs in, of queried symbols and of counted sessions.
+EVIDENCE, MATCHED, SYMBOLS, COUNTED_SESSIONS = 20, 5, 12, 20
+
+
+def session_signals(events: DataFrame) -> DataFrame:
+    """Distinct commands, changed paths and error signatures of each session, with the first events that show them.
+
+    ``events``: session_id, id, seq, command, changed, error_signature (null
+    where an event has none). Only ranked heads of evidence are gathered.
+    """
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("command", "command"), ("path", "changed"), ("error-signature", "error_signature"))])
+    s = events.select("session_id", "id", "seq", F.explode(kinds).alias("k")).select("session_id", "id", "seq", "k.*").where("value <> ''")
+    order = Window.partitionBy("session_id", "kind", "value").orderBy("seq", "id")
+    s = s.withColumn("r", F.row_number().over(order)).where(F.col("r") <= EVIDENCE)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"])
+    return s.groupBy("session_id", "kind", "value").agg(F.min("seq").alias("begun"), listed.alias("evidence"))
+
+
+def _grams(text, size):
+    """Distinct pieces of ``size`` characters of a text."""
+    last = F.length(text) - size + 1
+    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, size))))
+
+
+def recurrences(signals: DataFrame, records: DataFrame) -> DataFrame:
+    """Signals whose value stands in the text of a record (id, text, seq) of before the signal.
+
+    Every value is looked up by the rarest of its four-character pieces, so
+    that only records that hold this piece are searched. Returns session_id,
+    kind, value, matched (the first record ids).
+    """
+    size = F.least(F.lit(4), F.length("value"))
+    values = signals.select("value").distinct()
+    pieces = values.select("value", F.explode(_grams(F.col("value"), size)).alias("gram"))
+    texts = records.select(F.col("id").alias("record"), "text", F.col("seq").alias("made"))
+    posted = None
+    for n in (1, 2, 3, 4):
+        part = texts.select("record", F.explode(_grams(F.col("text"), F.lit(n))).alias("gram"))
+        posted = part if posted is None else posted.unionByName(part)
+    posted = posted.join(pieces.select("gram").distinct(), "gram", "left_semi")
+    counts = posted.groupBy("gram").agg(F.count("*").alias("n"))
+    best = pieces.join(counts, "gram", "left").groupBy("value").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("b")).select("value", "b.gram")
+    found = best.join(posted, "gram").join(texts, "record").where(F.contains("text", F.col("value"))).select("value", "record", "made")
+    hit = signals.select("session_id", "kind", "value", "begun").join(found, "value").where("made < begun")
+    order = Window.partitionBy("session_id", "kind", "value").orderBy("made", "record")
+    hit = hit.withColumn("r", F.row_number().over(order)).where(F.col("r") <= MATCHED)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("r", "record"))), lambda x: x["record"])
+    return hit.groupBy("session_id", "kind", "value").agg(listed.alias("matched"))
+
+
+def queried_symbols(queries):
+    """Distinct identifiers of an array of queries in order, at most twelve."""
+    words = F.flatten(F.transform(queries, lambda q: F.split(q, "[^A-Za-z0-9_$]+")))
+    return F.slice(F.array_distinct(F.filter(words, lambda w: w != "")), 1, SYMBOLS)
+
+
+def fix_summary(lesson, files, command):
+    """What fixed an error: the drafted lesson, else the files edited or a rerun, with the command."""
+    how = F.coalesce(F.concat(F.lit(" ("), command, F.lit(")")), F.lit(""))
+    edited = F.concat(F.lit("edit "), F.array_join(files, ", "))
+    return F.coalesce(lesson, F.concat(F.when(F.size(files) > 0, edited).otherwise(F.lit("re-run until green")), how))
+
+
+def contradictions(records: DataFrame, failures: DataFrame, zooms: DataFrame) -> DataFrame:
+    """Sessions that contradict graduated records, each counted once: (id, session_id), new ones only.
+
+    ``records``: id, type, target (signature or file), graduated_seq, counted
+    (sessions counted before). ``failures`` (session_id, seq, signature)
+    contradict a fix of the same signature, ``zooms`` (session_id, seq, path)
+    a hotspot whose file is the same or ends the other's path.
+    """
+    fixes = records.where("type = 'error-fix'").join(failures.withColumnRenamed("signature", "target"), "target")
+    files = records.where("type = 'zoom-hotspot'")
+    paths, targets = zooms.select("path").distinct(), files.select("target").distinct()
+    down = directive_matches(paths, targets)
+    up = directive_matches(targets.withColumnRenamed("target", "path"), paths.withColumnRenamed("path", "target"))
+    same = down.select("path", "target").unionByName(up.select(F.col("target").alias("path"), F.col("path").alias("target"))).distinct()
+    again = files.join(same, "target").join(zooms, "path")
+    columns = ["id", "session_id", "seq", "graduated_seq", "counted"]
+    both = fixes.select(*columns).unionByName(again.select(*columns))
+    return both.where((F.col("seq") > F.col("graduated_seq")) & ~F.array_contains("counted", F.col("session_id"))).select("id", "session_id").distinct()
+
+
+def ask_neighbourhoods(touched: DataFrame) -> DataFrame:
+    """Sections that are asked for together: ``touched`` has event_id, session_id, document, section.
+
+    The key of a question is its first document by name and that document's
+    distinct sections in order; two sessions and three questions graduate.
+    """
+    lists = touched.groupBy("event_id", "session_id", "document").agg(F.array_join(F.array_sort(F.collect_set("section")), "|").alias("sections"))
+    first = lists.groupBy("event_id", "session_id").agg(F.min(F.struct("document", "sections")).alias("p"))
+    g = first.groupBy(F.concat_ws("#", "p.document", "p.sections").alias("key")).agg(F.count("*").alias("occurrences"), F.count_distinct("session_id").alias("sessions"))
+    half = F.lit(0.5)
+    c = F.round((1 - F.pow(half, F.col("occurrences") / 2)) * (1 - F.pow(half, F.col("sessions"))), 2)
+    return g.where("sessions >= 2 AND occurrences >= 3").withColumn("confidence", c)

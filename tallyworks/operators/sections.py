@@ -298,3 +298,63 @@ def ingest_status(new: DataFrame, prior: DataFrame) -> DataFrame:
         .otherwise("changed")
     )
     return both.select("path", status.alias("status"))
+
+
+def ask_confidence(asked: DataFrame) -> DataFrame:
+    """Add ``band`` (high, medium, low) and ``reasons`` to questions.
+
+    ``asked``: question_id, evidence, section_refs, resolved_refs, heading_match
+    (best grade), terms_matched, terms_total, ambiguous (references left open),
+    incomplete. Without evidence, or with references none of which is resolved,
+    the band is low; open references and an incomplete search lower it.
+    """
+    c = F.col
+    half = (c("terms_total") == 0) | (2 * c("terms_matched") >= c("terms_total"))
+    none, unresolved = c("evidence") == 0, (c("section_refs") > 0) & (c("resolved_refs") == 0)
+    no_heading = c("heading_match") == "none"
+    anchored = (c("resolved_refs") > 0) | c("heading_match").isin("exact", "strong")
+    band = F.when(none | unresolved, "low").when(anchored & half, "high").when(~anchored & no_heading & ~half, "low").otherwise("medium")
+    band = F.when((c("ambiguous") > 0) & (band == "high"), "medium").otherwise(band)
+    band = F.when(c("incomplete"), F.when(band == "high", "medium").otherwise("low")).otherwise(band)
+    open_ = ~none & ~unresolved
+    reasons = F.array(
+        F.when(none, "no evidence"),
+        F.when(~none & unresolved, "no section reference resolved"),
+        F.when(open_ & ~anchored & no_heading, "no heading matches"),
+        F.when(open_ & ~half, "few question terms in the evidence"),
+        F.when(c("ambiguous") > 0, "a reference matches several sections"),
+        F.when(c("incomplete"), "the search ended incomplete"),
+    )
+    return asked.withColumns({"band": band, "reasons": F.array_compact(reasons)})
+
+
+def touched_sections(evidence: DataFrame) -> DataFrame:
+    """Distinct (document, section) that the evidence of an answer names after a section mark, with their order.
+
+    ``evidence``: answer_id, position, document, why.
+    """
+    section = F.regexp_extract("why", p.SECTION_ANCHOR, 1)
+    g = evidence.withColumn("section", section).where("section <> ''").groupBy("answer_id", "document", "section").agg(F.min("position").alias("position"))
+    nth = F.row_number().over(Window.partitionBy("answer_id").orderBy("position", "document", "section"))
+    return g.select("answer_id", "document", "section", nth.alias("nth"))
+
+
+def ask_summary(questions: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
+    """The figures that ``ask_confidence`` reads, for every question; documents with a score are its evidence."""
+    key = "question_id"
+    scores = section_scores(questions, found, lines).where("tier > 0 OR volume > 0")
+    evidence = scores.groupBy(key).agg(F.count_distinct("doc_id").alias("evidence"))
+    refs = section_refs(questions).groupBy(key).agg(F.count("*").alias("section_refs"))
+    resolved = ref_resolutions(questions, found)
+    named = F.struct(F.coalesce("label", F.lit("")), "number")
+    resolved = resolved.groupBy(key).agg(F.count_distinct(named).alias("resolved_refs"), F.count_if(~F.col("discriminated")).alias("ambiguous"))
+    order = F.when(F.col("grade") == "exact", 3).when(F.col("grade") == "strong", 2).when(F.col("grade") == "partial", 1).otherwise(0)
+    best = heading_grades(questions, found).groupBy(key).agg(F.max_by("grade", order).alias("heading_match"))
+    terms = questions.select(key, F.explode(keywords(F.col("question"))).alias("word"))
+    words = placed(lines, found).select(F.explode(F.split(F.lower("line"), r"[^a-z0-9_-]+")).alias("word")).distinct().withColumn("seen", F.lit(1))
+    covered = terms.join(words, "word", "left").groupBy(key).agg(F.count("*").alias("terms_total"), F.count("seen").alias("terms_matched"))
+    out = questions.select(key)
+    for part in (evidence, refs, resolved, best, covered):
+        out = out.join(part, key, "left")
+    counts = ("evidence", "section_refs", "resolved_refs", "ambiguous", "terms_total", "terms_matched")
+    return out.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in counts}, "heading_match": F.coalesce("heading_match", F.lit("none"))})

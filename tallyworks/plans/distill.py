@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns
 from ..operators import distill as d
+from ..sources import records
 from .registry import Registry, rounded
 from .views import duckdb, table, view
 
@@ -325,3 +326,65 @@ def a34(spark, sf_dir):
 @add("s10_served_files", duckdb("v_serves") + " SELECT session_id, path, content, seq FROM (SELECT *, row_number() OVER (PARTITION BY session_id, path ORDER BY ts DESC, seq DESC) AS r FROM v_serves) x WHERE r = 1")
 def s10(spark, sf_dir):
     return d.latest_serves(view(spark, sf_dir, "v_serves")).select("session_id", "path", "content", "seq")
+
+
+def _rewrites(command: str) -> str:
+    tail = f"regexp_replace({command}, {_sql(patterns.CD_PREFIX)}, '')"
+    denied = " OR ".join(f"regexp_matches(regexp_replace({tail}, {_sql(patterns.MERGED_OUTPUT)}, ' ', 'g'), {_sql('(?i)' + p)})" for _, p in patterns.REWRITE_DENY)
+    return f"CASE WHEN {denied} THEN NULL " + " ".join(f"WHEN regexp_matches({tail}, {_sql('(?i)' + p)}) THEN '{n}'" for n, p in patterns.REWRITE_ALLOW) + " END"
+
+
+_COMMANDS = """CASE event_id % 9 WHEN 0 THEN 'cd app && npm run build' WHEN 1 THEN 'TSC -p . 2>&1' WHEN 2 THEN 'npm test >&out' WHEN 3 THEN 'rm -rf dist' WHEN 4 THEN 'pnpm run lint'
+ WHEN 5 THEN 'node scripts/verify-a.mjs' WHEN 6 THEN 'npx vitest | tail' WHEN 7 THEN 'cd a && cd b && jest' ELSE concat('node run.js ', user_id) END"""
+
+
+@add("a03_rewrite_rules", f"SELECT event_id, command, {_rewrites('command')} AS rule FROM (SELECT event_id, {_COMMANDS} AS command FROM events) x")
+def a03(spark, sf_dir):
+    c = table(spark, sf_dir, "events").select("event_id", F.expr(_COMMANDS).alias("command"))
+    return c.withColumn("rule", d.rewrite_rule(F.col("command")))
+
+
+_REPOS = "CASE event_id % 4 WHEN 0 THEN '/work/a' WHEN 1 THEN '/work/a/' WHEN 2 THEN '/work/b' END"
+
+
+@add("a35_foreign_events", "SELECT concat('refuse-', event_id) AS id, concat('s', user_id) AS session_id, 'refuse' AS action, 'event of another repository refused: /work/b' AS reason FROM events WHERE event_id % 4 = 2")
+def a35(spark, sf_dir):
+    """Every fourth event comes from another repository."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.concat(F.lit("s"), "user_id").alias("session_id"), F.expr(_REPOS).alias("repo"))
+    return d.foreign_events(e, "/work/a")[1]
+
+
+_JSON = """CASE event_id % 6 WHEN 0 THEN 'not json' WHEN 1 THEN concat('{"id":"e', event_id, '"}') WHEN 2 THEN concat('{"id":"e', event_id, '","timestamp":"2024-01-01T00:00:00Z","module":"m","action":"zoom","reason":"r","bytesIn":-1}')
+ WHEN 3 THEN '' ELSE concat('{"id":"e', event_id, '","timestamp":"2024-01-01T00:00:00Z","sessionId":"s', user_id, '","module":"m","action":"', event_type, '","reason":"r","bytesIn":', event_id, '}') END"""
+
+
+def _json_lines(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("user_id") % 3).alias("file"), F.col("event_id").alias("line_no"), F.expr(_JSON).alias("value"))
+
+
+@add("s04_audit_scan", "SELECT concat('e', event_id) AS id, concat('s', user_id) AS session_id, event_type AS action, event_id AS bytes_in FROM events WHERE event_id % 6 > 3 AND user_id = 7")
+def s04(spark, sf_dir):
+    """Of JSON lines of which most are no audit events, those of one session."""
+    return records.audit_events(_json_lines(spark, sf_dir), session="s7").select("id", "session_id", "action", "bytes_in")
+
+
+@add("s04_malformed_audit", "SELECT concat('f', user_id % 3) AS file, count(*) AS lines, count(*) FILTER (WHERE event_id % 6 < 3) AS malformed FROM events WHERE event_id % 6 <> 3 GROUP BY user_id % 3")
+def s04m(spark, sf_dir):
+    return records.malformed(records.audit_lines(_json_lines(spark, sf_dir)))
+
+
+_CANDIDATE = """concat('{"id":"c', event_id, '","type":"', CASE event_id % 4 WHEN 0 THEN 'error-fix' WHEN 1 THEN 'recurrence' WHEN 2 THEN 'zoom-hotspot' ELSE 'other' END, '","key":"k","signature":"x","firstSeen":"2024-01-01T00:00:00Z","lastSeen":"2024-01-02T00:00:00.5Z","occurrences":', event_id % 5, '}')"""
+
+
+@add("s05_candidate_scan", "SELECT concat('c', event_id) AS id, CASE event_id % 4 WHEN 0 THEN 'error-fix' WHEN 1 THEN 'recurrence' ELSE 'zoom-hotspot' END AS type, event_id % 5 AS occurrences, 0::BIGINT AS contradictions, 'candidate' AS status FROM events WHERE event_id % 4 < 3 AND event_id % 5 > 0")
+def s05(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").select(F.lit("f").alias("file"), F.col("event_id").alias("line_no"), F.expr(_CANDIDATE).alias("value"))
+    return records.candidate_records(lines).select("id", "type", "occurrences", "contradictions", "status")
+
+
+_PATHS = "concat(CASE doc_id % 4 WHEN 0 THEN 'dist/' WHEN 1 THEN 'a/' ELSE '' END, doc_id, CASE doc_id % 5 WHEN 0 THEN '.MD' WHEN 1 THEN '.py' WHEN 2 THEN '.bin' WHEN 3 THEN '.txt' ELSE '' END)"
+
+
+@add("s07_file_catalogue", f"SELECT {_PATHS} AS path, strlen(text) AS bytes, CASE doc_id % 5 WHEN 0 THEN 'document' WHEN 3 THEN 'document' WHEN 1 THEN 'source' ELSE 'catalogued' END AS status FROM documents WHERE doc_id % 4 > 0")
+def s07(spark, sf_dir):
+    return records.catalogue(table(spark, sf_dir, "documents").select(F.expr(_PATHS).alias("path"), F.octet_length("text").cast("long").alias("bytes")))

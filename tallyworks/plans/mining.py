@@ -132,3 +132,87 @@ def m16(spark, sf_dir):
 @add("m17_run_summary", _DECIDED + " SELECT count(*) AS mined, count(*) FILTER (WHERE decision = 'graduate') AS graduated, count(*) FILTER (WHERE decision = 'withdraw') AS withdrawn, count(*) FILTER (WHERE decision = 'keep') AS kept FROM decided")
 def m17(spark, sf_dir):
     return m.run_summary(m09(spark, sf_dir))
+
+
+_SIGNALS = "CASE WHEN action = 'distill' AND mode = 'diff' THEN path END"
+_ERRORS = "CASE WHEN verdict = 'fail' THEN concat(path, '(#): ', profile) END"
+_SIG_SQL = f"""sig AS (SELECT session_id, kind, value, min(seq) AS begun, array_to_string(list_slice(list(id ORDER BY seq, id), 1, 20), ',') AS evidence FROM
+ (SELECT session_id, id, seq, 'command' AS kind, command AS value FROM v_audit UNION ALL SELECT session_id, id, seq, 'path', {_SIGNALS} FROM v_audit UNION ALL SELECT session_id, id, seq, 'error-signature', {_ERRORS} FROM v_audit) x WHERE value <> '' GROUP BY session_id, kind, value)"""
+
+
+def _signals(spark, sf_dir):
+    a = audit(spark, sf_dir).select("session_id", "id", "seq", "command", F.expr(_SIGNALS).alias("changed"), F.expr(_ERRORS).alias("error_signature"))
+    return m.session_signals(a)
+
+
+@add("m05_session_signals", _A + f", {_SIG_SQL} SELECT * FROM sig")
+def m05(spark, sf_dir):
+    return _signals(spark, sf_dir).withColumn("evidence", F.array_join("evidence", ","))
+
+
+_RECORDS = "SELECT id, seq, concat('[k:', path, '](#): ', coalesce(command, profile)) AS text FROM v_audit WHERE action = 'zoom' OR command IS NOT NULL"
+
+
+@add(
+    "m06_recurrences",
+    _A + f", {_SIG_SQL}, rec AS ({_RECORDS}), hit AS (SELECT session_id, kind, value, id, r.seq FROM sig s JOIN rec r ON contains(r.text, s.value) AND r.seq < s.begun) SELECT session_id, kind, value, array_to_string(list_slice(list(id ORDER BY seq, id), 1, 5), ',') AS matched FROM hit GROUP BY session_id, kind, value",
+)
+def m06(spark, sf_dir):
+    """Zooms and commands stand for records of before."""
+    rec = spark.sql(_RECORDS.replace("v_audit", "{a}"), a=audit(spark, sf_dir))
+    return m.recurrences(_signals(spark, sf_dir), rec).withColumn("matched", F.array_join("matched", ","))
+
+
+_GRADUATED = """SELECT id, CASE WHEN action = 'zoom' THEN 'zoom-hotspot' ELSE 'error-fix' END AS type, CASE WHEN action = 'zoom' THEN concat('f', seq % 9, '.ts') ELSE concat(path, '/', profile) END AS target, seq AS graduated_seq, concat('s', seq % 7) AS was
+ FROM v_audit WHERE (action = 'zoom' OR verdict = 'pass') AND seq % 10 = 0"""
+
+
+@add(
+    "m10_contradictions",
+    _A
+    + f""", g AS ({_GRADUATED}), fails AS (SELECT DISTINCT session_id, concat(path, '/', profile) AS target, max(seq) AS seq FROM v_audit WHERE verdict = 'fail' GROUP BY ALL), z AS (SELECT session_id, path, max(seq) AS seq FROM v_audit WHERE action = 'zoom' GROUP BY ALL)
+ SELECT DISTINCT id, session_id FROM (SELECT g.*, f.session_id, f.seq FROM g JOIN fails f USING (target) WHERE type = 'error-fix'
+ UNION ALL SELECT g.*, z.session_id, z.seq FROM g JOIN z ON suffix(concat('/', path), concat('/', target)) OR suffix(concat('/', target), concat('/', path)) WHERE type = 'zoom-hotspot') x WHERE seq > graduated_seq AND was <> session_id""",
+)
+def m10(spark, sf_dir):
+    """Every tenth zoom and pass stands for a graduated record, with one session counted before; a session's last event decides."""
+    a = audit(spark, sf_dir)
+    g = spark.sql(_GRADUATED.replace("v_audit", "{a}"), a=a).withColumn("counted", F.array("was"))
+    fails = a.where("verdict = 'fail'").groupBy("session_id", F.concat_ws("/", "path", "profile").alias("signature")).agg(F.max("seq").alias("seq"))
+    zooms = a.where("action = 'zoom'").groupBy("session_id", "path").agg(F.max("seq").alias("seq"))
+    return m.contradictions(g, fails, zooms)
+
+
+@add(
+    "m12_queried_symbols",
+    _A + " SELECT session_id, array_to_string(list_slice(list_distinct(list(query)), 1, 12), ',') AS symbols FROM (SELECT session_id, min(query) AS query FROM v_audit WHERE query IS NOT NULL GROUP BY session_id) x GROUP BY session_id",
+)
+def m12(spark, sf_dir):
+    """The first query of each session, asked as two calls of the same name."""
+    q = audit(spark, sf_dir).where("query IS NOT NULL").groupBy("session_id").agg(F.min("query").alias("q"))
+    return q.select("session_id", F.array_join(m.queried_symbols(F.array(F.concat("q", F.lit("()")), F.concat(F.lit("."), "q"))), ",").alias("symbols"))
+
+
+@add(
+    "m13_fix_summaries",
+    _A + " SELECT id, CASE WHEN seq % 5 = 0 THEN 'lesson' ELSE concat(CASE WHEN mode = 'diff' THEN concat('edit ', path, ', b.ts') ELSE 're-run until green' END, CASE WHEN command IS NOT NULL THEN concat(' (', command, ')') ELSE '' END) END AS summary FROM v_audit",
+)
+def m13(spark, sf_dir):
+    files = F.when(F.col("mode") == "diff", F.array("path", F.lit("b.ts")))
+    return audit(spark, sf_dir).select("id", m.fix_summary(F.when(F.col("seq") % 5 == 0, "lesson"), files, F.col("command")).alias("summary"))
+
+
+_TOUCHED = "SELECT l_orderkey AS event_id, concat('s', l_orderkey % 10) AS session_id, concat('d', l_partkey % 3) AS document, concat('x', l_linenumber % 3) AS section FROM lineitem"
+
+
+@add(
+    "m15_ask_neighbourhoods",
+    f"""WITH t AS ({_TOUCHED}), l AS (SELECT event_id, session_id, document, string_agg(DISTINCT section, '|' ORDER BY section) AS sections FROM t GROUP BY ALL),
+ k AS (SELECT event_id, session_id, concat(min(document), '#', min_by(sections, document)) AS key FROM l GROUP BY event_id, session_id)
+ SELECT key, occurrences, sessions, round((1 - pow(CAST(0.5 AS DOUBLE), occurrences / CAST(2 AS DOUBLE))) * (1 - pow(CAST(0.5 AS DOUBLE), sessions)), 2) AS confidence FROM (SELECT key, count(*) AS occurrences, count(DISTINCT session_id) AS sessions FROM k GROUP BY key) x WHERE sessions >= 2 AND occurrences >= 3""",
+)
+def m15n(spark, sf_dir):
+    """Every order is a question, each of its lines a section that it touched."""
+    from .views import table
+
+    return m.ask_neighbourhoods(spark.sql(_TOUCHED.replace("lineitem", "{t}"), t=table(spark, sf_dir, "lineitem")))

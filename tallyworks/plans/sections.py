@@ -241,3 +241,38 @@ def d31(spark, sf_dir):
     d = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("repo"))
     r = d.agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("size"), F.count_if(F.col("doc_id") % 50 == 0).alias("knowledge"))
     return r.select("repo", dims.posture(F.col("files"), F.col("size"), F.col("knowledge")).alias("posture"))
+
+
+_BAND = """band AS (SELECT *, CASE WHEN evidence = 0 OR (section_refs > 0 AND resolved_refs = 0) THEN 'low' WHEN anchored AND half THEN CASE WHEN ambiguous > 0 THEN 'medium' ELSE 'high' END WHEN NOT anchored AND heading_match = 'none' AND NOT half THEN 'low' ELSE 'medium' END AS b
+ FROM (SELECT *, resolved_refs > 0 OR heading_match IN ('exact', 'strong') AS anchored, 2 * terms_matched >= terms_total AS half FROM figures) x)"""
+
+
+@add(
+    "d25_confidence",
+    _RET
+    + _AGREE
+    + f""", kws AS (SELECT question_id, unnest(kw) AS word FROM ask), seen AS (SELECT DISTINCT word FROM inside),
+ figures AS (SELECT question_id, coalesce(evidence, 0) AS evidence, coalesce(section_refs, 0) AS section_refs, coalesce(resolved_refs, 0) AS resolved_refs, coalesce(ambiguous, 0) AS ambiguous, coalesce(terms_total, 0) AS terms_total, coalesce(terms_matched, 0) AS terms_matched, coalesce(heading_match, 'none') AS heading_match
+ FROM v_questions LEFT JOIN (SELECT question_id, count(DISTINCT doc_id) AS evidence FROM scores WHERE tier > 0 OR volume > 0 GROUP BY question_id) USING (question_id)
+ LEFT JOIN (SELECT question_id, count(*) AS section_refs FROM refs GROUP BY question_id) USING (question_id)
+ LEFT JOIN (SELECT question_id, count(DISTINCT concat(label, '|', number)) AS resolved_refs, count(*) FILTER (WHERE NOT clear) AS ambiguous FROM c GROUP BY question_id) USING (question_id)
+ LEFT JOIN (SELECT question_id, max_by(grade, CASE grade WHEN 'exact' THEN 3 WHEN 'strong' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END) AS heading_match FROM grades GROUP BY question_id) USING (question_id)
+ LEFT JOIN (SELECT question_id, count(*) AS terms_total, count(s.word) AS terms_matched FROM kws k LEFT JOIN seen s ON s.word = k.word GROUP BY question_id) USING (question_id)), {_BAND}
+ SELECT question_id, evidence, section_refs, resolved_refs, ambiguous, terms_total, terms_matched, heading_match, CASE WHEN question_id % 7 > 0 THEN b WHEN b = 'high' THEN 'medium' ELSE 'low' END AS band FROM band""",
+)
+def d25(spark, sf_dir):
+    """The search for every seventh question ended incomplete."""
+    asked = s.ask_summary(*_asked(spark, sf_dir), lines(spark, sf_dir)).withColumn("incomplete", F.col("question_id") % 7 == 0)
+    return s.ask_confidence(asked).drop("reasons", "incomplete")
+
+
+@add(
+    "d32_touched_sections",
+    "SELECT answer_id, document, section, CAST(row_number() OVER (PARTITION BY answer_id ORDER BY position, document, section) AS INT) AS nth FROM (SELECT l_orderkey AS answer_id, concat('d', l_partkey % 3) AS document, concat('s', l_suppkey % 3, '.', l_linenumber % 2) AS section, min(l_linenumber) AS position FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL) x",
+)
+def d32(spark, sf_dir):
+    """Every order is an answer, each line a piece of evidence; some name no section."""
+    t = table(spark, sf_dir, "lineitem")
+    why = F.when(F.col("l_returnflag") == "R", "no anchor").otherwise(F.concat(F.lit("hit in §s"), F.col("l_suppkey") % 3, F.lit("."), F.col("l_linenumber") % 2, F.lit(" (2 terms)")))
+    rows = t.select(F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("d"), F.col("l_partkey") % 3).alias("document"), why.alias("why"))
+    return s.touched_sections(rows)

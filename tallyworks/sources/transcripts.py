@@ -12,11 +12,14 @@ KNOWN_TYPES = ("user", "assistant", "summary", "system")
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): the lines of JSONL files, one session per file.
 
-    A file is one partition's worth of text at most, so line numbers come from
-    the offset order inside it.
+    Files are read in splits; rows of a file are in order by the split's offset
+    and, inside a split, by the order in which the scan gives them.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\n", -1)).alias("line_no", "value"))
+    read = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value"
+    )
+    order = Window.partitionBy("file").orderBy("block", "place")
+    lines = read.select("file", (F.row_number().over(order) - 1).alias("line_no"), "value")
     return tidy_lines(lines)
 
 

@@ -142,3 +142,76 @@ def test_sequence_violations(spark):
 def test_rate_validation(spark):
     df = spark.createDataFrame([(1.0, 0.5, 2.0), (1.0, 2.0, 3.0), (None, 0.0, 1.0)], "base double, low double, high double")
     assert [r["valid"] for r in dims.validated(df, "base", "low", "high").collect()] == [True, False, False]
+
+
+def test_rewrite_rules(spark):
+    """One cd and merged streams pass, composition and mutation don't."""
+    cases = {
+        "cd app && npx vitest run": "test", "tsc -p . 2>&1": "typecheck", "npm run build > out": None, "npm install && npm test": None,
+        "cd a && cd b && jest": None, "node scripts/verify-a.mjs": "node-script", "node run.js": None, "wrap -c 'npm test'": None,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    got = {r.c: r.rule for r in df.select("c", distill.rewrite_rule(F.col("c"), ("wrap ",)).alias("rule")).collect()}
+    assert got == cases
+
+
+def test_records_are_tolerant(spark):
+    """Blank lines aren't counted, bad ones are, none raises; a wrong type is as bad as no JSON."""
+    from tallyworks.sources import records
+
+    good = {"id": "e", "timestamp": "2024-01-01T00:00:00.123Z", "module": "m", "action": "zoom", "reason": "r"}
+    values = [good, {**good, "bytesIn": 3, "sessionId": "s"}, {**good, "bytesIn": 1.5}, {**good, "id": 7}, {**good, "timestamp": "yesterday"}, [], {**good, "reason": ""}]
+    lines = [*map(json.dumps, values), "{", " ", "\t\r", None]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no long, value string")
+    checked = records.audit_lines(df)
+    assert tuple(records.malformed(checked).first()) == ("f", 8, 6)
+    assert [r["line_no"] for r in records.audit_events(df, session="s").collect()] == [1]
+    assert records.audit_events(df, actions=("drop",)).count() == 0
+    assert records.candidate_records(df).count() == 0
+
+
+def test_files_and_sinks(spark, tmp_path):
+    """Lines of files keep their order; a folder is catalogued; artifacts are redacted on their way to the sink."""
+    from tallyworks.sources import records
+
+    for name in ("a/x.MD", "b.py", "node_modules/y.md", "c"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"one\r\n\r\ntwo\nthree")
+    files = {r["path"]: (r["status"], r["bytes"]) for r in records.scan_folder(spark, f"{tmp_path}/in").collect()}
+    assert files == {"a/x.MD": ("document", 16), "b.py": ("source", 16), "c": ("catalogued", 16)}
+    (tmp_path / "long.jsonl").write_text("".join(f"line {i}\n" for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = transcripts.read_lines(spark, f"{tmp_path}/long.jsonl")
+        assert lines.where(F.col("value") != F.concat(F.lit("line "), F.col("line_no"))).count() == 0 and lines.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["line_no"] for r in transcripts.read_lines(spark, f"{tmp_path}/in/b.py").orderBy("line_no").collect()] == [0, 2, 3]
+    art = spark.createDataFrame([("a", "API_KEY=value1", "2024-01-01")], "artifact_id string, text string, date string")
+    for _ in range(2):
+        records.write_artifacts(art, f"{tmp_path}/art")
+        records.write_audit(art.drop("text"), f"{tmp_path}/audit")
+    stored = spark.read.parquet(f"{tmp_path}/art")
+    assert stored.count() == 2 and stored.where(F.contains("text", F.lit("value1"))).count() == 0
+    assert spark.read.parquet(f"{tmp_path}/audit").count() == 2
+
+
+def test_confidence_bands(spark):
+    from tallyworks.operators import sections
+
+    schema = "question_id int, evidence long, section_refs long, resolved_refs long, heading_match string, terms_matched long, terms_total long, ambiguous long, incomplete boolean"
+    rows = [
+        (1, 0, 0, 0, "none", 0, 0, 0, False), (2, 3, 1, 0, "exact", 2, 2, 0, False), (3, 3, 1, 1, "none", 1, 2, 0, False),
+        (4, 3, 0, 0, "none", 0, 3, 0, False), (5, 3, 1, 1, "none", 2, 2, 1, False), (6, 3, 0, 0, "strong", 2, 2, 0, True), (7, 3, 0, 0, "partial", 0, 3, 0, False),
+    ]
+    got = {r.question_id: r.band for r in sections.ask_confidence(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: "low", 2: "low", 3: "high", 4: "low", 5: "medium", 6: "medium", 7: "medium"}
+
+
+def test_recurrence_finds_short_and_inner_values(spark):
+    from tallyworks.operators import mining
+
+    s = spark.createDataFrame([("s", "command", v, 5) for v in ("ls", "a", "npm run build", "absent", "1.ts")], "session_id string, kind string, value string, begun int")
+    r = spark.createDataFrame([("r1", "xnpm run buildx", 1), ("r2", "ls -l f1.ts", 2), ("r3", "ls", 9), ("r4", "", 0)], "id string, text string, seq int")
+    got = {x["value"]: x["matched"] for x in mining.recurrences(s, r).collect()}
+    assert got == {"ls": ["r2"], "npm run build": ["r1"], "1.ts": ["r2"]}
