@@ -358,3 +358,24 @@ def ask_summary(questions: DataFrame, found: DataFrame, lines: DataFrame) -> Dat
         out = out.join(part, key, "left")
     counts = ("evidence", "section_refs", "resolved_refs", "ambiguous", "terms_total", "terms_matched")
     return out.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in counts}, "heading_match": F.coalesce("heading_match", F.lit("none"))})
+
+
+def structure_map(summed: DataFrame, most: int = 400, max_bytes: int | None = None) -> DataFrame:
+    """(doc_id, sections, text): one citation line per section under a header, the first ``most`` sections at most.
+
+    ``summed``: sections with summary. A map above ``max_bytes`` loses its
+    summaries, never its sections, and says so.
+    """
+    line = F.concat(F.lit("§"), "section_id", F.lit(" "), "title", F.lit(" (¶"), "start_line", F.lit(")"))
+    counted = summed.groupBy("doc_id").agg(F.count("*").alias("sections"))
+    shown = summed.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")))
+    shown = shown.where(F.col("r") <= most).select("doc_id", "r", line.alias("line"), "summary")
+    listed = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", "line", "summary"))).alias("rows")).join(counted, "doc_id")
+    head = F.array(F.concat(F.lit("document "), "doc_id", F.lit(": "), "sections", F.lit(" sections")), F.lit("[full document elided; a section id or title recovers that section]"))
+    left = F.col("sections") - F.size("rows")
+    tail = F.when(left > 0, F.array(F.concat(F.lit("[omitted "), left, F.lit(" further sections]")))).otherwise(F.array().cast("array<string>"))
+    full = F.array_join(F.concat(head, F.transform("rows", lambda x: F.concat(x["line"], F.lit(" — "), x["summary"])), tail), "\n")
+    note = F.array(F.lit("[summaries omitted to fit the budget]"))
+    terse = F.array_join(F.concat(head, F.transform("rows", lambda x: x["line"]), note, tail), "\n")
+    text = full if max_bytes is None else F.when(F.octet_length(full) <= max_bytes, full).otherwise(terse)
+    return listed.select("doc_id", "sections", text.alias("text"))

@@ -52,12 +52,15 @@ def d03(spark, sf_dir):
     return _found(spark, sf_dir)
 
 
+_SUMMED = f"""body AS (SELECT s.doc_id, s.place, trim(regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '\\s+', ' ', 'g')) AS flat FROM sect s JOIN v_headed_lines l ON l.doc_id = s.doc_id AND l.line_no > s.start_line AND l.line_no <= s.end_line GROUP BY s.doc_id, s.place),
+ sent AS (SELECT doc_id, place, CASE WHEN regexp_extract(flat, '^(.*?[.!?])(?:\\s|$)', 1) <> '' THEN regexp_extract(flat, '^(.*?[.!?])(?:\\s|$)', 1) ELSE flat END AS x FROM body),
+ summed AS (SELECT s.*, CASE WHEN coalesce(x, '') = '' THEN title WHEN length(x) > 240 THEN concat(substr(x, 1, 237), '...') ELSE x END AS summary FROM sect s LEFT JOIN sent t ON t.doc_id = s.doc_id AND t.place = s.place)"""
+
+
 @add(
     "d05_summaries",
     _V
-    + f""", {_HEADS}, {_SECT}, body AS (SELECT s.doc_id, s.place, trim(regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '\\s+', ' ', 'g')) AS flat FROM sect s JOIN v_headed_lines l ON l.doc_id = s.doc_id AND l.line_no > s.start_line AND l.line_no <= s.end_line GROUP BY s.doc_id, s.place),
- sent AS (SELECT doc_id, place, CASE WHEN regexp_extract(flat, '^(.*?[.!?])(?:\\s|$)', 1) <> '' THEN regexp_extract(flat, '^(.*?[.!?])(?:\\s|$)', 1) ELSE flat END AS x FROM body)
- SELECT s.doc_id, s.place, CASE WHEN coalesce(x, '') = '' THEN title WHEN length(x) > 240 THEN concat(substr(x, 1, 237), '...') ELSE x END AS summary FROM sect s LEFT JOIN sent t ON t.doc_id = s.doc_id AND t.place = s.place""",
+    + f", {_HEADS}, {_SECT}, {_SUMMED} SELECT doc_id, place, summary FROM summed",
 )
 def d05(spark, sf_dir):
     return s.summaries(lines(spark, sf_dir), _found(spark, sf_dir)).select("doc_id", "place", "summary")
@@ -276,3 +279,20 @@ def d32(spark, sf_dir):
     why = F.when(F.col("l_returnflag") == "R", "no anchor").otherwise(F.concat(F.lit("hit in §s"), F.col("l_suppkey") % 3, F.lit("."), F.col("l_linenumber") % 2, F.lit(" (2 terms)")))
     rows = t.select(F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("d"), F.col("l_partkey") % 3).alias("document"), why.alias("why"))
     return s.touched_sections(rows)
+
+
+_CITE = "concat('§', section_id, ' ', title, ' (¶', start_line, ')'"
+_MAP_HEAD = "concat('document ', doc_id, ': ', count(*), ' sections', chr(10), '[full document elided; a section id or title recovers that section]', chr(10), "
+_MAP_TAIL = "CASE WHEN count(*) > 6 THEN concat(chr(10), '[omitted ', count(*) - 6, ' further sections]') ELSE '' END)"
+
+
+@add(
+    "d08_structure_maps",
+    _V
+    + f""", {_HEADS}, {_SECT}, {_SUMMED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS r FROM summed),
+ maps AS (SELECT doc_id, count(*) AS sections, {_MAP_HEAD} string_agg({_CITE}, ' — ', summary), chr(10) ORDER BY r) FILTER (WHERE r <= 6), {_MAP_TAIL} AS whole, {_MAP_HEAD} string_agg({_CITE}), chr(10) ORDER BY r) FILTER (WHERE r <= 6), chr(10), '[summaries omitted to fit the budget]', {_MAP_TAIL} AS terse FROM ranked GROUP BY doc_id)
+ SELECT doc_id, sections, CASE WHEN strlen(whole) <= 500 THEN whole ELSE terse END AS text FROM maps""",
+)
+def d08(spark, sf_dir):
+    """Maps of at most six sections and, with summaries, 500 bytes, so that both forms occur."""
+    return s.structure_map(s.summaries(lines(spark, sf_dir), _found(spark, sf_dir)), 6, 500)
