@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import bench, code, distill, ledger, mining, pages, sections, usage
+from .plans import bench, code, distill, ledger, mining, pages, retrieval, sections, usage
 from .plans.registry import Query
 
-FAMILIES = (usage.R, ledger.R, bench.R, distill.R, sections.R, mining.R, pages.R, code.R)
+FAMILIES = (usage.R, ledger.R, bench.R, distill.R, sections.R, mining.R, pages.R, code.R, retrieval.R)
 
 
 def queries() -> dict[str, Query]:

@@ -50,7 +50,17 @@ CONTRADICTION_PENALTY = 0.25
 GRADUATE_AT = 0.5
 WITHDRAW_BELOW = 0.3
 
+#: Gates of profiles; nulls are not configured.
+PROFILES = [
+    ("build-log", "error", None, 1.0, 20, True, 0.4, 1),
+    ("test-output", None, "code", 0.9, None, True, 0.5, None),
+    ("doc-serve", None, "prose", 1.0, 40, None, 0.6, 200),
+    ("generic-stdout", None, None, None, None, False, 0.4, None),
+]
+PROFILE_COLUMNS = ["profile", "relevant_pattern", "entity_set", "least_ratio", "line_limit", "verdict", "most_ratio", "least_bytes"]
+
 _TABLES = {
+    "profiles": (PROFILES, PROFILE_COLUMNS, "profile string, relevant_pattern string, entity_set string, least_ratio double, line_limit long, verdict boolean, most_ratio double, least_bytes long"),
     "prices": (PRICES, PRICE_COLUMNS, "model string, p_in double, p_out double, p_read double, p_5m double, p_1h double, verified boolean"),
     "energy": (ENERGY, ENERGY_COLUMNS, "class string, model string, wh_base double, wh_low double, wh_high double"),
     "curve": (CURVE, CURVE_COLUMNS, "over long, up_to long, multiplier double"),

@@ -66,6 +66,13 @@ STOPWORDS = (
     "this", "that", "with", "from", "into", "what", "where", "when", "how", "does", "the", "and", "for", "are", "has", "have",
     "your", "their", "over", "each", "must", "its", "was", "were",
 )
+#: Fixed values of the code search: its stop words and the verbs that open a request for a change; how a query names a page.
+GOAL_STOPWORDS = (
+    "this", "that", "with", "from", "into", "what", "where", "when", "how", "does", "the", "and", "for", "are", "has", "have",
+    "your", "their", "over", "each", "exactly", "produces", "returns", "instead",
+)
+MUTATION_OPENER = r"(?i)^\s*(fix|implement|add|write|create|delete|remove|refactor|edit|change|update|rename)\b"
+PAGE_QUERY = r"(?i)^(?:p|page)\.?\s*(\d+)$"
 HEADING_STOPWORDS = ("of", "the", "and", "for", "to", "in", "a", "an", "on", "at", "by", "with", "from", "or", "as", "but", "vs")
 SECTION_MARK = r"§\s*([A-Za-z0-9][\w.-]*)"
 ID_HALVES = r"^(?:([a-z]+)-)?(\d+(?:\.\d+)*|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)(?:-\d+)?$"

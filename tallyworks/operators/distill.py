@@ -362,3 +362,22 @@ def foreign_events(events: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("refuse-"), "id").alias("id"), "session_id", F.lit("refuse").alias("action"), reason.alias("reason")
     )
     return events.where(own), refused
+
+
+def gate_config(profiles: DataFrame) -> DataFrame:
+    """Gates of each profile and which of them are off.
+
+    ``profiles``: profile, relevant_pattern, entity_set, least_ratio,
+    line_limit, verdict, most_ratio, least_bytes; nulls are not configured. The
+    entity gate is on if either of its patterns is; its set is then code by
+    default. The size gate is always on.
+    """
+    entity = F.col("relevant_pattern").isNotNull() | F.col("entity_set").isNotNull()
+    verdict_on = F.coalesce("verdict", F.lit(False))
+    off = F.array_compact(F.array(F.when(~entity, "entity"), F.when(~verdict_on, "verdict")))
+    only = lambda c: F.when(entity, F.col(c))
+    return profiles.select(
+        "profile", entity.alias("entity_on"), F.when(entity, F.coalesce("entity_set", F.lit("code"))).alias("entity_set"),
+        only("least_ratio").alias("least_ratio"), only("line_limit").alias("line_limit"),
+        verdict_on.alias("verdict_on"), "most_ratio", "least_bytes", F.array_join(off, ",").alias("off"),
+    )

@@ -199,3 +199,37 @@ def ask_neighbourhoods(touched: DataFrame) -> DataFrame:
     half = F.lit(0.5)
     c = F.round((1 - F.pow(half, F.col("occurrences") / 2)) * (1 - F.pow(half, F.col("sessions"))), 2)
     return g.where("sessions >= 2 AND occurrences >= 3").withColumn("confidence", c)
+
+
+def graduation_pass(decided: DataFrame, codex: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The knowledge table after a pass, and what the pass did: (id, action, section, locked_kept).
+
+    ``decided``: id, type, decision, target_kind, target, symbols, summary,
+    confidence; ``codex``: section, candidate, text, path, symbols, source,
+    locked, confidence. Withdrawals come first: they take learned entries and
+    graduated ones that aren't locked, never what a person wrote. A graduate
+    goes to learned (a file's hotspot with symbols; other hotspots wait),
+    pitfalls (fixes) or conventions, unless its entry is there: a second pass
+    over the same rows changes nothing.
+    """
+    withdrawn = decided.where("decision = 'withdraw'").select(F.col("id").alias("candidate"))
+    marked = codex.join(withdrawn.withColumn("w", F.lit(True)), "candidate", "left")
+    graduated = F.col("source") == "graduated"
+    gone = F.coalesce("w", F.lit(False)) & ((F.col("section") == "learned") | (graduated & ~F.col("locked")))
+    kept = marked.where(~gone).select(*codex.columns)
+    stays = marked.where(F.col("w") & graduated & F.col("locked") & (F.col("section") != "learned"))
+    stays = stays.groupBy("candidate").agg(F.array_join(F.array_sort(F.collect_set("section")), ",").alias("locked_kept"))
+    hotspot = F.when((F.col("target_kind") == "file") & (F.size(F.coalesce("symbols", F.array().cast("array<string>"))) > 0), "learned")
+    section = F.when(F.col("type") == "zoom-hotspot", hotspot).when(F.col("type") == "error-fix", "pitfalls").otherwise("conventions")
+    new = decided.where("decision = 'graduate'").withColumns({"section": section, "candidate": F.col("id")}).where("section IS NOT NULL")
+    new = new.join(kept.select("section", "candidate"), ["section", "candidate"], "left_anti")
+    learned = F.col("section") == "learned"
+    entries = new.select(
+        "section", "candidate", F.when(~learned, F.col("summary")).alias("text"), F.when(learned, F.col("target")).alias("path"),
+        F.when(learned, F.slice("symbols", 1, SYMBOLS)).alias("symbols"), F.lit("graduated").alias("source"), F.lit(False).alias("locked"), "confidence",
+    )
+    outcomes = new.select("id", F.lit("graduate").alias("action"), "section", F.lit("").alias("locked_kept"))
+    left = withdrawn.join(stays, "candidate", "left").select(
+        F.col("candidate").alias("id"), F.lit("withdraw").alias("action"), F.lit(None).cast("string").alias("section"), F.coalesce("locked_kept", F.lit("")).alias("locked_kept")
+    )
+    return kept.unionByName(entries.select(*codex.columns)), outcomes.unionByName(left)

@@ -76,3 +76,51 @@ def search_summary(hits: DataFrame, most: int = 24) -> DataFrame:
     return h.groupBy("question_id").agg(
         F.count("*").alias("hits"), F.count_distinct("doc_id").alias("documents"), F.array_join(F.transform(first, lambda x: x["at"]), ",").alias("first")
     )
+
+
+#: Attributes, types that are scripts, comments and declarations of inline blocks.
+BLOCK = r"(?is)<{0}\b([^>]*)>(.*?)</{0}\s*>"
+SOURCE = r"(?i)\bsrc\s*=\s*[\"']?([^\"'\s>]+)"
+KIND = r"(?i)\btype\s*=\s*[\"']?([^\"'\s>]+)"
+SCRIPT_KINDS = ("", "module", "text/javascript", "application/javascript", "text/ecmascript", "application/ecmascript")
+COMMENT = r"(?s)/\*.*?\*/"
+DECLARED = r"(?:^|[;}\n])\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+([A-Za-z_$][\w$]*)"
+
+
+def inline_blocks(pages: DataFrame) -> DataFrame:
+    """Facts of script and style blocks: page_id, tag, nth, lines, src, type, rules, names.
+
+    ``names``: what a script declares, by line patterns, or the selectors of a
+    style sheet outside all braces; ``rules`` leaves out at-rules. A script of
+    another type has no names.
+    """
+    found = None
+    for tag in ("script", "style"):
+        get = lambda g: F.regexp_extract_all("html", F.lit(BLOCK.format(tag)), F.lit(g))  # noqa: B023, E731
+        part = pages.select("page_id", F.lit(tag).alias("tag"), F.posexplode(F.arrays_zip(get(1).alias("head"), get(2).alias("body"))).alias("i", "b"))
+        found = part if found is None else found.unionByName(part)
+    head, body = F.col("b.head"), F.col("b.body")
+    kind = F.lower(F.regexp_extract(head, KIND, 1))
+    css = F.regexp_replace(body, COMMENT, " ")
+    texts = F.transform(F.regexp_extract_all(css, F.lit(r"([^{}]*)[{}]"), F.lit(1)), lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")))
+    braces = F.regexp_extract_all(css, F.lit("[{}]"), F.lit(0))
+    tokens = F.arrays_zip(texts.alias("text"), braces.alias("brace"))
+    is_rule = lambda t: (t["brace"] == "{") & (t["text"] != "") & ~t["text"].startswith("@")
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("names"))
+
+    def step(state, t):
+        opens = t["brace"] == "{"
+        outer = opens & (state["depth"] == 0) & (t["text"] != "")
+        depth = F.when(opens, state["depth"] + 1).otherwise(F.greatest(state["depth"] - 1, F.lit(0)))
+        return F.struct(depth.alias("depth"), F.when(outer, F.array_append(state["names"], t["text"])).otherwise(state["names"]).alias("names"))
+
+    style = F.col("tag") == "style"
+    declared = F.array_distinct(F.regexp_extract_all(body, F.lit(DECLARED), F.lit(1)))
+    names = F.when(style, F.aggregate(tokens, start, step)["names"]).when(kind.isin(*SCRIPT_KINDS), declared)
+    return found.select(
+        "page_id", "tag", (F.col("i") + 1).alias("nth"),
+        F.when(body == "", 0).otherwise(F.size(F.split(body, r"\r?\n"))).alias("lines"),
+        F.nullif(F.regexp_extract(head, SOURCE, 1), F.lit("")).alias("src"), kind.alias("type"),
+        F.when(style, F.size(F.filter(tokens, is_rule))).alias("rules"),
+        F.coalesce(names, F.array().cast("array<string>")).alias("names"),
+    )

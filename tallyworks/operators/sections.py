@@ -140,6 +140,12 @@ def keywords(question):
     return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in p.STOPWORDS]))
 
 
+def goal_keywords(question):
+    """Keywords of a code search: as ``keywords``, but a hyphen parts words and the stop words are its own."""
+    words = F.transform(F.filter(F.split(question, r"[^A-Za-z0-9_]+"), lambda w: F.length(w) >= 4), lambda w: F.lower(w))
+    return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in p.GOAL_STOPWORDS]))
+
+
 def refs_in(text):
     """Section references of a text: array of label (null if generic), number and raw phrase, all lowered."""
     get = lambda p, g: F.regexp_extract_all(text, F.lit(p), F.lit(g))
@@ -175,12 +181,16 @@ def section_keys(found: DataFrame) -> DataFrame:
     return keys.select("doc_id", "place", "by_id", "k.label", "k.number").distinct()
 
 
-def ref_matches(questions: DataFrame, found: DataFrame) -> DataFrame:
-    """Sections that a reference reaches: numbers agree, and labels where both have one; a title must say the same label."""
+def ref_matches(questions: DataFrame, found: DataFrame, within=None) -> DataFrame:
+    """Sections that a reference reaches: numbers agree, and labels where both have one; a title must say the same label.
+
+    ``within``: the one document that a question is about, as a column of the references ``r``.
+    """
     refs, keys = section_refs(questions).alias("r"), section_keys(found).alias("k")
     same = F.col("r.label").eqNullSafe(F.col("k.label"))
     free = F.col("k.by_id") & (F.col("r.label").isNull() | F.col("k.label").isNull())
-    hit = refs.join(keys, (F.col("r.number") == F.col("k.number")) & (same | free))
+    about = F.lit(True) if within is None else within == F.col("k.doc_id")
+    hit = refs.join(keys, about & (F.col("r.number") == F.col("k.number")) & (same | free))
     return hit.select("question_id", "doc_id", "place", F.col("r.label").alias("label"), F.col("r.number").alias("number"), "raw").distinct()
 
 

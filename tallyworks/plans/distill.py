@@ -388,3 +388,19 @@ _PATHS = "concat(CASE doc_id % 4 WHEN 0 THEN 'dist/' WHEN 1 THEN 'a/' ELSE '' EN
 @add("s07_file_catalogue", f"SELECT {_PATHS} AS path, strlen(text) AS bytes, CASE doc_id % 5 WHEN 0 THEN 'document' WHEN 3 THEN 'document' WHEN 1 THEN 'source' ELSE 'catalogued' END AS status FROM documents WHERE doc_id % 4 > 0")
 def s07(spark, sf_dir):
     return records.catalogue(table(spark, sf_dir, "documents").select(F.expr(_PATHS).alias("path"), F.octet_length("text").cast("long").alias("bytes")))
+
+
+@add(
+    "a18_gate_config",
+    duckdb("v_audit", "profiles")
+    + """, g AS (SELECT *, relevant_pattern IS NOT NULL OR entity_set IS NOT NULL AS on_ FROM profiles)
+ SELECT id, profile, on_ AS entity_on, CASE WHEN on_ THEN coalesce(entity_set, 'code') END AS entity_set, CASE WHEN on_ THEN least_ratio END AS least_ratio, CASE WHEN on_ THEN line_limit END AS line_limit, coalesce(verdict, false) AS verdict_on, most_ratio, least_bytes,
+ concat_ws(',', CASE WHEN NOT on_ THEN 'entity' END, CASE WHEN NOT coalesce(g.verdict, false) THEN 'verdict' END) AS off FROM (SELECT id, profile AS own, event_id_ FROM (SELECT id, profile, seq AS event_id_ FROM v_audit) y) a JOIN g ON g.profile = CASE event_id_ % 4 WHEN 0 THEN 'doc-serve' WHEN 1 THEN 'generic-stdout' ELSE own END""",
+)
+def a18(spark, sf_dir):
+    """The gates that hold for every event, by its profile."""
+    from ..functions import dims
+
+    own = F.when(F.col("seq") % 4 == 0, "doc-serve").when(F.col("seq") % 4 == 1, "generic-stdout").otherwise(F.col("profile"))
+    events = view(spark, sf_dir, "v_audit").select("id", own.alias("profile"))
+    return events.join(F.broadcast(d.gate_config(dims.frame(spark, "profiles"))), "profile")

@@ -216,3 +216,34 @@ def m15n(spark, sf_dir):
     from .views import table
 
     return m.ask_neighbourhoods(spark.sql(_TOUCHED.replace("lineitem", "{t}"), t=table(spark, sf_dir, "lineitem")))
+
+
+_PASS = """SELECT concat('cand-', seq) AS id, CASE WHEN action = 'zoom' THEN 'zoom-hotspot' WHEN verdict IS NOT NULL THEN 'error-fix' ELSE 'lesson' END AS type,
+ CASE seq % 3 WHEN 0 THEN 'graduate' WHEN 1 THEN 'withdraw' ELSE 'keep' END AS decision, CASE WHEN profile = 'build-log' THEN 'file' ELSE 'profile' END AS target_kind, path AS target, query, concat(path, ' fix: ', profile) AS summary, 0.5 AS confidence, seq FROM v_audit"""
+_CODEX = """SELECT CASE type WHEN 'zoom-hotspot' THEN 'learned' WHEN 'error-fix' THEN 'pitfalls' ELSE 'conventions' END AS section, id AS candidate, CASE WHEN type <> 'zoom-hotspot' THEN summary END AS text, CASE WHEN type = 'zoom-hotspot' THEN target END AS path,
+ CASE WHEN type = 'zoom-hotspot' THEN query END AS symbols, CASE WHEN seq % 2 = 0 THEN 'graduated' ELSE 'human' END AS source, seq % 7 = 0 AS locked, 0.5 AS confidence FROM dec WHERE decision = 'withdraw' OR seq % 5 = 0"""
+_PASSED = _A + f""", dec AS ({_PASS}), codex AS ({_CODEX}), k AS (SELECT c.* FROM codex c LEFT JOIN dec d ON d.id = c.candidate AND d.decision = 'withdraw' WHERE d.id IS NULL OR NOT (section = 'learned' OR (source = 'graduated' AND NOT locked))),
+ new AS (SELECT d.*, section FROM (SELECT *, CASE WHEN type = 'zoom-hotspot' THEN CASE WHEN target_kind = 'file' AND query IS NOT NULL THEN 'learned' END WHEN type = 'error-fix' THEN 'pitfalls' ELSE 'conventions' END AS section FROM dec WHERE decision = 'graduate') d WHERE section IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.section = d.section AND k.candidate = d.id))"""
+
+
+def _graduation(spark, sf_dir):
+    d = spark.sql(_PASS.replace("v_audit", "{a}"), a=audit(spark, sf_dir))
+    codex = spark.sql(_CODEX.replace("FROM dec", "FROM {d}"), d=d).withColumn("symbols", F.when(F.col("symbols").isNotNull(), F.array("symbols")))
+    return m.graduation_pass(d.withColumn("symbols", F.array_compact(F.array("query"))).drop("query", "seq"), codex)
+
+
+@add(
+    "m11_knowledge",
+    _PASSED + " SELECT section, candidate, text, path, symbols, source, locked FROM k UNION ALL SELECT section, id, CASE WHEN section <> 'learned' THEN summary END, CASE WHEN section = 'learned' THEN target END, CASE WHEN section = 'learned' THEN query END, 'graduated', false FROM new",
+)
+def m11(spark, sf_dir):
+    """Every event is a candidate; those withdrawn and every fifth have an entry, of a person or graduated, some locked."""
+    return _graduation(spark, sf_dir)[0].withColumn("symbols", F.array_join("symbols", ",")).drop("confidence")
+
+
+@add(
+    "m11_outcomes",
+    _PASSED + " SELECT id, 'graduate' AS action, section, '' AS locked_kept FROM new UNION ALL SELECT d.id, 'withdraw', NULL, coalesce((SELECT max(section) FROM codex c WHERE c.candidate = d.id AND source = 'graduated' AND locked AND section <> 'learned'), '') FROM dec d WHERE decision = 'withdraw'",
+)
+def m11_outcomes(spark, sf_dir):
+    return _graduation(spark, sf_dir)[1]

@@ -71,3 +71,30 @@ def d10(spark, sf_dir):
 @add("d23_grep", _V + " SELECT doc_id, line_no, line, CAST(hit AS INT) AS hit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS hit FROM v_headed_lines WHERE regexp_matches(line, 'Part [0-9]+$')) x WHERE hit <= 5")
 def d23(spark, sf_dir):
     return g.grep(lines(spark, sf_dir), "Part [0-9]+$", "doc_id", 5)
+
+
+def _blocks(tag: str) -> str:
+    all_ = lambda g: f"regexp_extract_all(html, {_q(g_block(tag))}, {g})"
+    return f"SELECT page_id, '{tag}' AS tag, unnest(generate_series(1, len({all_(1)}))) AS nth, unnest({all_(1)}) AS head, unnest({all_(2)}) AS body FROM pages"
+
+
+def g_block(tag: str) -> str:
+    return g.BLOCK.format(tag)
+
+
+_CSS_TEXTS = f"list_transform(regexp_extract_all(regexp_replace(body, {_q(g.COMMENT)}, ' ', 'g'), '([^{{}}]*)[{{}}]', 1), lambda t: trim(regexp_replace(t, '\\s+', ' ', 'g')))"
+_CSS_BRACES = f"regexp_extract_all(regexp_replace(body, {_q(g.COMMENT)}, ' ', 'g'), '[{{}}]', 0)"
+
+
+@add(
+    "d12_inline_blocks",
+    f"""WITH b AS ({_blocks("script")} UNION ALL {_blocks("style")}), tok AS (SELECT page_id, tag, nth, unnest(generate_series(1, len({_CSS_BRACES}))) AS i, unnest({_CSS_TEXTS}) AS t, unnest({_CSS_BRACES}) AS brace FROM b WHERE tag = 'style'),
+ deep AS (SELECT *, coalesce(sum(CASE brace WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id, tag, nth ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM tok WHERE true),
+ css AS (SELECT page_id, tag, nth, count(*) FILTER (WHERE brace = '{{' AND t <> '' AND NOT starts_with(t, '@')) AS rules, coalesce(string_agg(t, ',' ORDER BY i) FILTER (WHERE brace = '{{' AND depth = 0 AND t <> ''), '') AS names FROM deep GROUP BY page_id, tag, nth)
+ SELECT page_id, tag, CAST(nth AS INT) AS nth, CAST(CASE WHEN body = '' THEN 0 ELSE len(string_split(body, chr(10))) END AS INT) AS lines, nullif(regexp_extract(head, {_q(g.SOURCE)}, 1), '') AS src, lower(regexp_extract(head, {_q(g.KIND)}, 1)) AS type,
+ CAST(CASE WHEN tag = 'style' THEN coalesce(css.rules, 0) END AS INT) AS rules, CASE WHEN tag = 'style' THEN coalesce(css.names, '') ELSE array_to_string(list_sort(list_distinct(regexp_extract_all(body, {_q(g.DECLARED)}, 1))), ',') END AS names FROM b LEFT JOIN css USING (page_id, tag, nth)""",
+)
+def d12(spark, sf_dir):
+    b = g.inline_blocks(table(spark, sf_dir, "pages"))
+    names = F.when(F.col("tag") == "script", F.array_sort("names")).otherwise(F.col("names"))
+    return b.withColumn("names", F.array_join(names, ","))

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import distill
+from ..operators import distill, mining, sections
+from ..sources import transcripts
 
 STATE = "value string, seq long"
 
@@ -112,3 +113,90 @@ def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def transcript_records(lines: DataFrame) -> DataFrame:
+    """Assistant records of a stream of transcript lines (``value``): session_id, key, ts, model, counters, tools.
+
+    Lines that aren't such records, or have no key, session or time, give no row.
+    """
+    r = lines.select(F.try_parse_json("value").alias("r"))
+    get = lambda path, kind="string": F.try_variant_get("r", path, kind)
+    blocks = F.coalesce(get("$.message.content", "array<struct<type:string,name:string>>"), F.array())
+    tools = F.transform(F.filter(blocks, lambda b: (b["type"] == "tool_use") & b["name"].isNotNull()), lambda b: b["name"])
+    rows = r.where(get("$.type") == "assistant").select(
+        get("$.sessionId").alias("session_id"),
+        F.coalesce(get("$.message.id"), get("$.uuid")).alias("key"),
+        F.try_to_timestamp(get("$.timestamp")).alias("ts"),
+        F.coalesce(get("$.message.model"), F.lit("unknown-model")).alias("model"),
+        F.try_variant_get("r", "$.message.usage", "variant").alias("usage"),
+        tools.alias("tools"),
+    )
+    rows = rows.where("session_id IS NOT NULL AND key IS NOT NULL AND ts IS NOT NULL")
+    return transcripts.tally(rows).drop("usage")
+
+
+COUNTERS = ("input", "output", "cache_read", "cache_write", "cache_write_5m", "cache_write_1h", "cache_write_assumed", "thinking")
+
+
+def folded_turns(records: DataFrame, gap: str = "10 minutes", watermark: str = "30 minutes") -> DataFrame:
+    """Live form of turn folding: records of one key fold until ``gap`` passes without another.
+
+    Tally and model come from the earliest record, tools from all in order of
+    time. A turn comes out once the watermark has passed its gap, so later tool
+    blocks still join, and its state goes then. On a static table it is the batch form.
+    """
+    rows = records.select("session_id", "key", "ts", F.struct("model", *COUNTERS).alias("head"), "tools").withWatermark("ts", watermark)
+    g = rows.groupBy("session_id", "key", F.session_window("ts", gap).alias("w")).agg(
+        F.min("ts").alias("begun"), F.min_by("head", "ts").alias("head"), F.array_sort(F.collect_list(F.struct("ts", "tools"))).alias("t")
+    )
+    return g.select("session_id", "key", "begun", "head.*", F.flatten(F.transform("t", lambda x: x["tools"])).alias("tools"))
+
+
+def _log(path: str, batch: DataFrame, number: int) -> DataFrame:
+    """Write a micro-batch to its own folder of a log, and return the log up to it."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return batch.sparkSession.read.option("basePath", path).parquet(f"{path}/batch=*").where(F.col("batch") <= number)
+
+
+def session_end_mining(audit: Callable[[], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that mines the sessions that end in a micro-batch (rows with action session-end) and rewrites the candidates.
+
+    ``audit`` gives the stored audit table. A session's commands and zooms are
+    logged under the batch's number, so a repeated batch counts once; the
+    candidates of all batches so far are written to ``path/candidates/version=N``.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        ended = batch.where("action = 'session-end'").select("session_id").distinct()
+        a = audit().join(ended, "session_id", "left_semi")
+        zooms = a.where("action = 'zoom'").select(F.lit("zoom").alias("type"), F.col("path").alias("key"), "session_id", "ts")
+        commands = a.where("command IS NOT NULL").select(F.lit("command").alias("type"), F.col("command").alias("key"), "session_id", "ts")
+        observed = _log(f"{path}/observed", zooms.unionByName(commands), number)
+        mining.merge_candidates(observed).write.mode("overwrite").parquet(f"{path}/candidates/version={number}")
+
+    return write
+
+
+def file_refresh(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for change events (path, seq, hash, detector; hash null: the file is gone) that keeps an index of files.
+
+    Each micro-batch is reduced to the last event of every path and logged
+    under its number; a path's status against the batches before it is written
+    to ``path/status/batch=N``: added, changed, unchanged or removed.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("path").agg(F.max_by(F.struct("hash", "detector"), "seq").alias("f")).select("path", "f.*")
+        log = _log(f"{path}/log", last, number)
+        prior = current_files(log.where(F.col("batch") < number)).join(last.select("path"), "path", "left_semi")
+        status = sections.ingest_status(last.where("hash IS NOT NULL"), prior)
+        status.write.mode("overwrite").parquet(f"{path}/status/batch={number}")
+
+    return write
+
+
+def current_files(log: DataFrame) -> DataFrame:
+    """(path, hash, detector) of the files that a log of refreshes leaves."""
+    last = log.groupBy("path").agg(F.max_by(F.struct("hash", "detector"), "batch").alias("f"))
+    return last.select("path", "f.*").where("hash IS NOT NULL")
