@@ -103,7 +103,7 @@ def zoom_ranges(zooms: DataFrame, found: DataFrame, pages: DataFrame) -> DataFra
     """
     q = F.trim("query")
     page = F.regexp_extract(q, p.PAGE_QUERY, 1)
-    z = zooms.select("zoom_id", "doc_id", q.alias("query"), F.when(page != "", page.cast("int")).alias("page"))
+    z = zooms.select("zoom_id", "doc_id", q.alias("query"), page.try_cast("int").alias("page"))
     span = ["start_line", "end_line"]
     by_page = z.join(pages.select("doc_id", "page", *span), ["doc_id", "page"]).withColumns({"kind": F.lit("page"), "place": F.lit(0)})
     text = z.where("page IS NULL").drop("page")

@@ -56,3 +56,49 @@ def test_redaction(spark):
     df = spark.createDataFrame([(i, f"API_KEY=value{i}") for i in range(9)], "seq long, text string")
     got = streamed(spark, df, jobs.redacted)
     assert rows(got, "seq", "text") == rows(distill.redact(df), "seq", "text")
+
+
+def test_folded_turns(spark):
+    """Tool blocks that come a micro-batch later still join their turn; a far later record closes them all."""
+    import json
+
+    def record(session, key, second, tools, out=5):
+        content = [{"type": "tool_use", "name": t} for t in tools]
+        usage = {"input_tokens": 3, "output_tokens": out}
+        return json.dumps({"type": "assistant", "sessionId": session, "timestamp": f"2024-01-01T{second // 3600:02d}:{second // 60 % 60:02d}:{second % 60:02d}Z", "message": {"id": key, "model": "m", "usage": usage, "content": content}})
+
+    values = [record("s", "a", 0, ["Read"]), record("s", "b", 5, []), record("s", "a", 30, ["Bash"], 9), record("t", "a", 40, []), "{bad", '{"type":"user"}', record("t", "z", 36_000, [])]
+    df = spark.createDataFrame(list(enumerate(values)), "seq long, value string")
+    got = streamed(spark, df, lambda d: jobs.folded_turns(jobs.transcript_records(d)))
+    assert {(x.session_id, x.key): (x.output, x.tools) for x in got.collect()} == {("s", "a"): (5, ["Read", "Bash"]), ("s", "b"): (5, []), ("t", "a"): (5, [])}
+    assert rows(got, "session_id", "key", "output") == rows(jobs.folded_turns(jobs.transcript_records(df)).where("key <> 'z'"), "session_id", "key", "output")
+
+
+def test_session_end_mining(spark, sf):
+    from tallyworks.operators import mining
+
+    audit = view(spark, sf, "v_audit").where("seq < 600")
+    path = tempfile.mkdtemp(prefix="spark-")
+    sink = jobs.session_end_mining(lambda: audit, path)
+    ends = [r.session_id for r in audit.select("session_id").distinct().orderBy("session_id").collect()]
+    for number, part in enumerate((ends[::2], ends[1::2], ends[1::2])):
+        batch = spark.createDataFrame([(s, "session-end") for s in part], "session_id string, action string")
+        sink(batch, min(number, 1))
+    a = audit.where("action = 'zoom'").select(F.lit("zoom").alias("type"), F.col("path").alias("key"), "session_id", "ts")
+    c = audit.where("command IS NOT NULL").select(F.lit("command").alias("type"), F.col("command").alias("key"), "session_id", "ts")
+    whole = mining.merge_candidates(a.unionByName(c))
+    assert rows(spark.read.parquet(f"{path}/candidates/version=1"), "id", "occurrences") == rows(whole, "id", "occurrences")
+
+
+def test_file_refresh(spark):
+    path = tempfile.mkdtemp(prefix="spark-")
+    sink = jobs.file_refresh(path)
+    schema = "path string, seq long, hash string, detector int"
+    first = spark.createDataFrame([("a", 1, "h0", 1), ("a", 2, "h1", 1), ("b", 3, "h", 1), ("c", 4, "h", 1)], schema)
+    second = spark.createDataFrame([("a", 5, "h1", 1), ("b", 6, "h", 2), ("c", 7, None, None), ("d", 8, "h", 1), ("e", 9, None, None)], schema)
+    for number, batch in ((0, first), (1, second), (1, second)):
+        sink(batch, number)
+    got = {x.path: x.status for x in spark.read.parquet(f"{path}/status/batch=1").collect()}
+    assert got == {"a": "unchanged", "b": "changed", "c": "removed", "d": "added"}
+    log = spark.read.parquet(f"{path}/log")
+    assert sorted(x.path for x in jobs.current_files(log).collect()) == ["a", "b", "d"]
