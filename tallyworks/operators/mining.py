@@ -57,6 +57,28 @@ def merge_candidates(observed: DataFrame) -> DataFrame:
     return g.withColumn("id", F.concat(F.lit("cand-"), F.substring(F.sha2(F.concat_ws(":", "type", "key"), 256), 1, 8)))
 
 
+def candidate_evidence(observed: DataFrame) -> DataFrame:
+    """Evidence of candidates by (type, key): first twenty events, last fifty sessions, the last detail.
+
+    ``observed``: type, key, session_id, ts, seq, id, detail. Only ranked heads
+    are gathered, so a candidate seen everywhere costs no more than another.
+    """
+    key = ["type", "key"]
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("r", c))), lambda x: x[c])
+    events = observed.groupBy(*key, "id").agg(F.min(F.struct("ts", "seq")).alias("at"))
+    events = events.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("at", "id"))).where(F.col("r") <= EVIDENCE)
+    sessions = observed.groupBy(*key, "session_id").agg(F.max(F.struct("ts", "seq")).alias("at"))
+    sessions = sessions.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("at"), "session_id"))).where(F.col("r") <= KEPT_SESSIONS)
+    last = observed.groupBy(*key).agg(F.max_by("detail", F.struct("ts", "seq")).alias("detail"))
+    out = last.join(events.groupBy(*key).agg(listed("id").alias("evidence")), key)
+    return out.join(sessions.groupBy(*key).agg(listed("session_id").alias("sessions")), key)
+
+
+def candidate_queries(observed: DataFrame) -> DataFrame:
+    """Distinct queries (type, key, query) of candidates, a row each."""
+    return observed.where("query IS NOT NULL").select("type", "key", "query").distinct()
+
+
 def confidence(occurrences, age_days, contradictions):
     """Saturating in occurrences, halving with age, less a flat cost per contradiction; within 0 and 1, four digits."""
     c = (1 - F.pow(F.lit(0.5), occurrences / dims.HALF_SATURATION)) * F.pow(F.lit(0.5), age_days / dims.HALF_LIFE_DAYS)
@@ -104,8 +126,8 @@ def run_summary(decided: DataFrame) -> DataFrame:
     return decided.agg(F.count("*").alias("mined"), count("graduate").alias("graduated"), count("withdraw").alias("withdrawn"), count("keep").alias("kept"))
 
 
-#: Bounds of evidence, of records that a signal recurs in, of queried symbols and of counted sessions.
-EVIDENCE, MATCHED, SYMBOLS, COUNTED_SESSIONS = 20, 5, 12, 20
+#: Bounds of evidence, of records that a signal recurs in, of queried symbols, of counted and of kept sessions.
+EVIDENCE, MATCHED, SYMBOLS, COUNTED_SESSIONS, KEPT_SESSIONS = 20, 5, 12, 20, 50
 
 
 def session_signals(events: DataFrame) -> DataFrame:

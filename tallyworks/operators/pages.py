@@ -55,6 +55,15 @@ def grep(lines: DataFrame, pattern: str, key: str, most: int = 500) -> DataFrame
     return hits.withColumn("hit", F.row_number().over(order)).where(F.col("hit") <= most)
 
 
+def in_scope(files: DataFrame, scope: str | None = None, max_bytes: int = 1_000_000) -> DataFrame:
+    """Files (path, size) under a folder, or the one file of that path, and below a size: what a line search reads."""
+    small = files.where(F.col("size") < max_bytes)
+    if not scope:
+        return small
+    root = scope.rstrip("/")
+    return small.where((F.col("path") == root) | F.col("path").startswith(root + "/"))
+
+
 def line_search(questions: DataFrame, lines: DataFrame, sections: DataFrame) -> DataFrame:
     """Lines that hold a keyword of a question, with the section around them.
 

@@ -247,3 +247,26 @@ def m11(spark, sf_dir):
 )
 def m11_outcomes(spark, sf_dir):
     return _graduation(spark, sf_dir)[1]
+
+
+_SEEN = """SELECT 'zoom' AS type, path AS key, session_id, ts, seq, id, profile AS detail, query FROM v_audit WHERE action = 'zoom' UNION ALL SELECT 'command', command, session_id, ts, seq, id, path, query FROM v_audit WHERE command IS NOT NULL"""
+
+
+def _seen(spark, sf_dir):
+    return spark.sql(_SEEN.replace("v_audit", "{a}"), a=audit(spark, sf_dir))
+
+
+@add(
+    "m07_evidence",
+    _A
+    + f""", o AS ({_SEEN}), s AS (SELECT type, key, session_id, max(ts) AS t, max_by(seq, (ts, seq)) AS q FROM o GROUP BY ALL)
+ SELECT type, key, detail, evidence, sessions FROM (SELECT type, key, max_by(detail, (ts, seq)) AS detail, array_to_string(list_slice(list(id ORDER BY ts, seq, id), 1, 20), ',') AS evidence FROM o GROUP BY type, key) x
+ JOIN (SELECT type, key, array_to_string(list_slice(list(session_id ORDER BY t DESC, q DESC, session_id), 1, 50), ',') AS sessions FROM s GROUP BY type, key) y USING (type, key)""",
+)
+def m07_evidence(spark, sf_dir):
+    return m.candidate_evidence(_seen(spark, sf_dir)).withColumns({c: F.array_join(c, ",") for c in ("evidence", "sessions")})
+
+
+@add("m07_queries", _A + f", o AS ({_SEEN}) SELECT DISTINCT type, key, query FROM o WHERE query IS NOT NULL")
+def m07_queries(spark, sf_dir):
+    return m.candidate_queries(_seen(spark, sf_dir))

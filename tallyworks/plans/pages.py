@@ -73,6 +73,19 @@ def d23(spark, sf_dir):
     return g.grep(lines(spark, sf_dir), "Part [0-9]+$", "doc_id", 5)
 
 
+@add(
+    "d23_scoped_grep",
+    _V
+    + " SELECT doc_id, line_no, line, CAST(hit AS INT) AS hit FROM (SELECT l.*, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS hit FROM v_headed_lines l JOIN documents d USING (doc_id) WHERE strlen(text) < 3000 AND d.source = (SELECT min(source) FROM documents) AND regexp_matches(line, 'Part [0-9]+$')) x WHERE hit <= 500",
+)
+def d23_scoped(spark, sf_dir):
+    """Sources are folders; the search goes to the first by name and to files under 3,000 bytes."""
+    d = table(spark, sf_dir, "documents")
+    folder = d.agg(F.min("source")).first()[0] or ""
+    files = d.select("doc_id", F.concat_ws("/", "source", "doc_id").alias("path"), F.octet_length("text").alias("size"))
+    return g.grep(lines(spark, sf_dir).join(g.in_scope(files, folder, 3000), "doc_id", "left_semi"), "Part [0-9]+$", "doc_id")
+
+
 def _blocks(tag: str) -> str:
     all_ = lambda g: f"regexp_extract_all(html, {_q(g_block(tag))}, {g})"
     return f"SELECT page_id, '{tag}' AS tag, unnest(generate_series(1, len({all_(1)}))) AS nth, unnest({all_(1)}) AS head, unnest({all_(2)}) AS body FROM pages"

@@ -22,11 +22,14 @@ from ..sources import transcripts
 STATE = "value string, seq long"
 
 
-def with_previous(stream: DataFrame, keys: list[str], value: str, carry: bool = False) -> DataFrame:
+def with_previous(stream: DataFrame, keys: list[str], value: str, carry: bool = False, idle_ms: int | None = None) -> DataFrame:
     """Add before, before_seq and late to every row of ``stream`` (with seq): the key's value before it.
 
     With ``carry`` a null value leaves the state as it is, so ``before`` is the
-    last value that was set. One value and its place per key are kept.
+    last value that was set. One value and its place per key are kept, and
+    dropped once the key has been silent for ``idle_ms`` of processing time; a
+    later row then counts as its first. Set it in jobs that run on: one that
+    takes what is there and stops would wait for its timeouts for ever.
     """
     schema = T.StructType(
         [*stream.schema.fields, T.StructField("before", T.StringType()), T.StructField("before_seq", T.LongType()), T.StructField("late", T.BooleanType())]
@@ -34,6 +37,9 @@ def with_previous(stream: DataFrame, keys: list[str], value: str, carry: bool =
     columns = stream.columns
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
         value_was, seq_was = state.get if state.exists else (None, None)
         before, place, late = [], [], []
@@ -45,36 +51,39 @@ def with_previous(stream: DataFrame, keys: list[str], value: str, carry: bool =
             if not late[-1] and (v is not None or not carry):
                 value_was, seq_was = v, seq
         state.update((value_was, seq_was))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         out = rows[columns].copy()
         out["before"] = pd.Series(before, index=out.index, dtype=object)
         out["before_seq"] = pd.Series(place, index=out.index, dtype="Int64")
         out["late"] = pd.Series(late, index=out.index, dtype=bool)
         yield out
 
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     grouped = stream.groupBy(*keys)
-    return grouped.applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    return grouped.applyInPandasWithState(step, schema, STATE, "append", timeout)
 
 
-def delta_serves(serves: DataFrame) -> DataFrame:
+def delta_serves(serves: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Live form of distill.delta_serves: full, unchanged or diff by the content hash served before."""
     hashed = serves.withColumn("hash", F.sha2("content", 256))
-    seen = with_previous(hashed, ["session_id", "path"], "hash")
+    seen = with_previous(hashed, ["session_id", "path"], "hash", idle_ms=idle_ms)
     mode = F.when(F.col("before").isNull(), "full").when(F.col("before") == F.col("hash"), "unchanged").otherwise("diff")
     ref = F.concat(F.lit("F"), F.substring(F.sha2("path", 256), 1, 4), F.lit("@"), F.substring("hash", 1, 16))
     return seen.select("session_id", "path", "seq", mode.alias("mode"), ref.alias("ref"), "late")
 
 
-def error_fix_pairs(audit: DataFrame) -> DataFrame:
+def error_fix_pairs(audit: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Live pairs of a fail and the pass after it, per session and profile."""
     verdicts = audit.where(F.col("verdict").isNotNull()).select("session_id", "profile", "ts", "seq", "verdict")
-    seen = with_previous(verdicts, ["session_id", "profile"], "verdict")
+    seen = with_previous(verdicts, ["session_id", "profile"], "verdict", idle_ms=idle_ms)
     pairs = seen.where((F.col("verdict") == "pass") & (F.col("before") == "fail"))
     return pairs.select("session_id", "profile", F.col("before_seq").alias("fail_seq"), F.col("seq").alias("pass_seq"), "late")
 
 
-def attributed_events(events: DataFrame) -> DataFrame:
+def attributed_events(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Session of each event: ``events`` has repo, ts, seq, registered (a session id on registrations, else null) and provided."""
-    seen = with_previous(events, ["repo"], "registered", carry=True)
+    seen = with_previous(events, ["repo"], "registered", carry=True, idle_ms=idle_ms)
     return seen.where(F.col("registered").isNull()).select(
         "repo", "seq", F.coalesce("before", "provided", F.lit("unknown")).alias("session_id"), "late"
     )
@@ -93,8 +102,8 @@ def session_windows(events: DataFrame, gap: str = "30 minutes", watermark: str =
 
 
 def live_totals(turns: DataFrame, split_at: int = 120_000) -> DataFrame:
-    """Running totals per session and whether its largest context calls for a split; update mode."""
-    context = F.max(F.col("input") + F.col("cache_read"))
+    """Running totals per session and whether the context of its last turn calls for a split; update mode."""
+    context = F.max_by(F.col("input") + F.col("cache_read"), "turn")
     return turns.groupBy("session_id").agg(
         F.sum("input").alias("input"), F.sum("output").alias("output"), context.alias("context"), (context > split_at).alias("split")
     )

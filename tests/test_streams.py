@@ -102,3 +102,20 @@ def test_file_refresh(spark):
     assert got == {"a": "unchanged", "b": "changed", "c": "removed", "d": "added"}
     log = spark.read.parquet(f"{path}/log")
     assert sorted(x.path for x in jobs.current_files(log).collect()) == ["a", "b", "d"]
+
+
+def test_live_totals(spark):
+    rows_ = [(1, "s", 1, 130_000, 1, 0), (2, "s", 2, 10, 2, 5), (3, "t", 1, 1, 3, 0), (4, "t", 2, 100_000, 4, 30_000)]
+    df = spark.createDataFrame(rows_, "seq long, session_id string, turn int, input long, output long, cache_read long")
+    got = streamed(spark, df, jobs.live_totals, "complete")
+    best = {}
+    for x in got.orderBy("output").collect():
+        best[x.session_id] = (x.input, x.output, x.context, x.split)
+    assert best == {"s": (130_010, 3, 15, False), "t": (100_001, 7, 130_000, True)}
+
+
+def test_session_windows(spark):
+    times = [(1, "s", "2024-01-01 00:00:00"), (2, "s", "2024-01-01 00:20:00"), (3, "s", "2024-01-01 02:00:00"), (4, "t", "2024-01-01 12:00:00")]
+    df = spark.createDataFrame(times, "seq long, session_id string, ts string")
+    got = streamed(spark, df, jobs.session_windows)
+    assert sorted((x.session_id, x.events) for x in got.collect()) == [("s", 1), ("s", 2)]
