@@ -84,6 +84,14 @@ def by_row(docs: DataFrame, tag: str) -> DataFrame:
     return materialize(docs.select(doc, F.monotonically_increasing_id().alias("row")), tag)
 
 
+def numbered(rows: DataFrame, id_column: str, tag: str) -> DataFrame:
+    """The columns of ``rows`` and row: ``id_column`` where it tells all rows apart, else a number given in a written copy."""
+    n, ids = rows.agg(F.count("*"), F.count_distinct(id_column)).first()
+    if n == ids:
+        return rows.withColumn("row", F.col(id_column).cast("long"))
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()), tag)
+
+
 def let(value, body):
     """Bind ``value`` once and use it many times in ``body``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, secrets
+from . import decontaminate, embeddings, quality, secrets
 
 
 def _q(text: str) -> str:
@@ -83,10 +83,21 @@ def op1_quality() -> str:
  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kept_words >= {quality.MIN_KEPT_SHARE} * n_words AND n_symbols <= {quality.MAX_SYMBOLS_PER_WORD} * n_words AS kept FROM a"""
 
 
+def op13_embeddings() -> str:
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {embeddings.THRESHOLD}),
+ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+ least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least.b, vec_id)) AS kept
+ FROM embeddings LEFT JOIN counted ON counted.a = vec_id LEFT JOIN least ON least.a = vec_id"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_quality": op1_quality(),
         "op4_chat": op4_chat(),
         "op8_secrets": op8_secrets(),
         "op10_decontamination": op10_decontamination(),
+        "op13_embeddings": op13_embeddings(),
     }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import chat, language, oracles, pii, secrets, toxicity
 from .common import read_table
 from .decontaminate import SLOP, contamination
+from .embeddings import near_embeddings
 from .mixing import mix
 from .neardup import near_duplicates
 from .quality import quality
@@ -117,6 +118,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -129,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_personal_data": op9_personal_data,
         "op10_decontamination": op10_decontamination,
+        "op13_embeddings": op13_embeddings,
     }
 
 
