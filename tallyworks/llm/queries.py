@@ -15,6 +15,7 @@ from .embeddings import near_embeddings
 from .mixing import mix
 from .neardup import near_duplicates
 from .quality import quality
+from .spelling import spelling_variants
 from .tokens import read_tokens, write_tokens
 
 #: Path of the tokenizer file; any file of the tokenizers library with a byte-level pattern will do.
@@ -118,6 +119,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(read_table(spark, sf_dir, "embeddings"))
 
@@ -134,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_personal_data": op9_personal_data,
         "op10_decontamination": op10_decontamination,
+        "op12_spelling": op12_spelling,
         "op13_embeddings": op13_embeddings,
     }
 
