@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage like ``checkpoint()``: a lost executor costs no
@@ -42,7 +42,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tables/{tag}-{uuid.uuid4().hex}"
     if _scratch:
         _scratch[-1].append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, language, oracles, pii, secrets, toxicity
+from .alignment import token_alignment
 from .common import read_table
 from .decontaminate import SLOP, contamination
 from .embeddings import near_embeddings
@@ -30,6 +31,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_path() -> str:
+    """Path of the sentencepiece model; any whose pieces hold the space mark only in front will do."""
+    given = os.environ.get("TALLYWORKS_PIECES", "")
+    if given:
+        return given
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _crc_mod(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
@@ -119,6 +130,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(read_table(spark, sf_dir, "documents"), tokenizer_path(), pieces_path())
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read_table(spark, sf_dir, "documents"))
 
@@ -139,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_personal_data": op9_personal_data,
         "op10_decontamination": op10_decontamination,
+        "op11_alignment": op11_alignment,
         "op12_spelling": op12_spelling,
         "op13_embeddings": op13_embeddings,
     }
