@@ -92,6 +92,7 @@ class Aligner:
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode())
         self.cuts = not any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.n_b))
+        self.last = self.b.encode("x ")[len(self.b.encode("x")) :]  # a text's last space, which has no text after it to be put before
         self._reset()
 
     def _reset(self) -> None:
@@ -108,6 +109,7 @@ class Aligner:
         ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         ids_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
         for chunk, a, b in zip(chunks, ids_a, ids_b):
+            b = b or self.last
             self.at[chunk] = len(self.said)
             raw = chunk.encode("utf-8", "replace")
             self.held += len(raw)
