@@ -1,89 +1,42 @@
 """Structured Streaming forms of the live paths.
 
-Jobs that need the row before keep one value per key as state. Rows of a
-micro-batch are put in order by (ts, seq) first, so a stream equals its batch
-form if its input arrives in order across micro-batches; a row that comes after
-a later one of its key was already seen is passed on with ``late`` set.
+Jobs that need the row before keep one value per key as state (``keyed``). Rows
+of a micro-batch are put in order by (ts, seq) first, so a stream equals its
+batch form if its input arrives in order across micro-batches; a row that comes
+after a later one of its key was already seen is passed on with ``late`` set.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import distill, mining, sections
 from ..sources import transcripts
+from . import keyed
 
-STATE = "value string, seq long"
-
-
-def with_previous(stream: DataFrame, keys: list[str], value: str, carry: bool = False, idle_ms: int | None = None) -> DataFrame:
-    """Add before, before_seq and late to every row of ``stream`` (with seq): the key's value before it.
-
-    With ``carry`` a null value leaves the state as it is, so ``before`` is the
-    last value that was set. One value and its place per key are kept, and
-    dropped once the key has been silent for ``idle_ms`` of processing time; a
-    later row then counts as its first. Set it in jobs that run on: one that
-    takes what is there and stops would wait for its timeouts for ever.
-    """
-    schema = T.StructType(
-        [*stream.schema.fields, T.StructField("before", T.StringType()), T.StructField("before_seq", T.LongType()), T.StructField("late", T.BooleanType())]
-    )
-    columns = stream.columns
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        value_was, seq_was = state.get if state.exists else (None, None)
-        before, place, late = [], [], []
-        for v, seq in zip(rows[value].tolist(), rows["seq"].tolist()):
-            v = None if pd.isna(v) else v
-            before.append(value_was)
-            place.append(seq_was)
-            late.append(seq_was is not None and seq < seq_was)
-            if not late[-1] and (v is not None or not carry):
-                value_was, seq_was = v, seq
-        state.update((value_was, seq_was))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        out = rows[columns].copy()
-        out["before"] = pd.Series(before, index=out.index, dtype=object)
-        out["before_seq"] = pd.Series(place, index=out.index, dtype="Int64")
-        out["late"] = pd.Series(late, index=out.index, dtype=bool)
-        yield out
-
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    grouped = stream.groupBy(*keys)
-    return grouped.applyInPandasWithState(step, schema, STATE, "append", timeout)
-
-
-def delta_serves(serves: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def delta_serves(serves: DataFrame, idle: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Live form of distill.delta_serves: full, unchanged or diff by the content hash served before."""
     hashed = serves.withColumn("hash", F.sha2("content", 256))
-    seen = with_previous(hashed, ["session_id", "path"], "hash", idle_ms=idle_ms)
+    seen = keyed.with_previous(hashed, ["session_id", "path"], "hash", idle=idle, lateness=lateness)
     mode = F.when(F.col("before").isNull(), "full").when(F.col("before") == F.col("hash"), "unchanged").otherwise("diff")
     ref = F.concat(F.lit("F"), F.substring(F.sha2("path", 256), 1, 4), F.lit("@"), F.substring("hash", 1, 16))
     return seen.select("session_id", "path", "seq", mode.alias("mode"), ref.alias("ref"), "late")
 
 
-def error_fix_pairs(audit: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def error_fix_pairs(audit: DataFrame, idle: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Live pairs of a fail and the pass after it, per session and profile."""
     verdicts = audit.where(F.col("verdict").isNotNull()).select("session_id", "profile", "ts", "seq", "verdict")
-    seen = with_previous(verdicts, ["session_id", "profile"], "verdict", idle_ms=idle_ms)
+    seen = keyed.with_previous(verdicts, ["session_id", "profile"], "verdict", idle=idle, lateness=lateness)
     pairs = seen.where((F.col("verdict") == "pass") & (F.col("before") == "fail"))
     return pairs.select("session_id", "profile", F.col("before_seq").alias("fail_seq"), F.col("seq").alias("pass_seq"), "late")
 
 
-def attributed_events(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def attributed_events(events: DataFrame, idle: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Session of each event: ``events`` has repo, ts, seq, registered (a session id on registrations, else null) and provided."""
-    seen = with_previous(events, ["repo"], "registered", carry=True, idle_ms=idle_ms)
+    seen = keyed.with_previous(events, ["repo"], "registered", carry=True, idle=idle, lateness=lateness)
     return seen.where(F.col("registered").isNull()).select(
         "repo", "seq", F.coalesce("before", "provided", F.lit("unknown")).alias("session_id"), "late"
     )
@@ -101,14 +54,6 @@ def session_windows(events: DataFrame, gap: str = "30 minutes", watermark: str =
     return g.select("session_id", F.col("w.start").alias("begun"), F.col("w.end").alias("ended"), "events")
 
 
-def live_totals(turns: DataFrame, split_at: int = 120_000) -> DataFrame:
-    """Running totals per session and whether the context of its last turn calls for a split; update mode."""
-    context = F.max_by(F.col("input") + F.col("cache_read"), "turn")
-    return turns.groupBy("session_id").agg(
-        F.sum("input").alias("input"), F.sum("output").alias("output"), context.alias("context"), (context > split_at).alias("split")
-    )
-
-
 def run_once(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process what is there and stop; ``sink`` gets every micro-batch and its number, so it can write idempotently."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
@@ -124,42 +69,58 @@ def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def transcript_records(lines: DataFrame) -> DataFrame:
-    """Assistant records of a stream of transcript lines (``value``): session_id, key, ts, model, counters, tools.
-
-    Lines that aren't such records, or have no key, session or time, give no row.
-    """
-    r = lines.select(F.try_parse_json("value").alias("r"))
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Transcript lines (``value``, seq) with what an assistant record needs, and why a line is none."""
+    r = lines.select("seq", "value", F.try_parse_json("value").alias("r"))
     get = lambda path, kind="string": F.try_variant_get("r", path, kind)
     blocks = F.coalesce(get("$.message.content", "array<struct<type:string,name:string>>"), F.array())
     tools = F.transform(F.filter(blocks, lambda b: (b["type"] == "tool_use") & b["name"].isNotNull()), lambda b: b["name"])
-    rows = r.where(get("$.type") == "assistant").select(
+    rows = r.select(
+        "seq",
+        "value",
+        get("$.type").alias("type"),
         get("$.sessionId").alias("session_id"),
-        F.coalesce(get("$.message.id"), get("$.uuid")).alias("key"),
+        # a record without an id is a turn of its own
+        F.coalesce(get("$.message.id"), get("$.uuid"), F.concat(F.lit("line-"), F.sha2("value", 256))).alias("key"),
         F.try_to_timestamp(get("$.timestamp")).alias("ts"),
         F.coalesce(get("$.message.model"), F.lit("unknown-model")).alias("model"),
         F.try_variant_get("r", "$.message.usage", "variant").alias("usage"),
         tools.alias("tools"),
     )
-    rows = rows.where("session_id IS NOT NULL AND key IS NOT NULL AND ts IS NOT NULL")
-    return transcripts.tally(rows).drop("usage")
+    reason = (
+        F.when(F.col("type").isNull(), "malformed")
+        .when(~F.col("type").isin(*transcripts.KNOWN_TYPES), "unknown type")
+        .when((F.col("type") == "assistant") & F.col("session_id").isNull(), "no session")
+        .when((F.col("type") == "assistant") & F.col("ts").isNull(), "no time")
+    )
+    return rows.withColumn("reason", reason)
+
+
+def transcript_records(lines: DataFrame) -> DataFrame:
+    """Assistant records of a stream of transcript lines (``value``, seq): session_id, key, ts, seq, model, counters, tools.
+
+    Lines that can't be folded are told by ``rejected_lines``.
+    """
+    rows = _parsed(lines).where("type = 'assistant' AND reason IS NULL")
+    return transcripts.tally(rows).drop("usage", "value", "type", "reason")
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """(seq, value, reason) of the lines that no turn can be made of: malformed, unknown type, no session, no time."""
+    return _parsed(lines).where("reason IS NOT NULL").select("seq", "value", "reason")
 
 
 COUNTERS = ("input", "output", "cache_read", "cache_write", "cache_write_5m", "cache_write_1h", "cache_write_assumed", "thinking")
 
 
-def folded_turns(records: DataFrame, gap: str = "10 minutes", watermark: str = "30 minutes") -> DataFrame:
-    """Live form of turn folding: records of one key fold until ``gap`` passes without another.
+def folded_turns(records: DataFrame, gap: str = "10 minutes", lateness: str = "1 hour") -> DataFrame:
+    """Live form of turn folding, by session and key; see ``keyed.folded_turns``."""
+    return keyed.folded_turns(records, COUNTERS, gap, lateness)
 
-    Tally and model come from the earliest record, tools from all in order of
-    time. A turn comes out once the watermark has passed its gap, so later tool
-    blocks still join, and its state goes then. On a static table it is the batch form.
-    """
-    rows = records.select("session_id", "key", "ts", F.struct("model", *COUNTERS).alias("head"), "tools").withWatermark("ts", watermark)
-    g = rows.groupBy("session_id", "key", F.session_window("ts", gap).alias("w")).agg(
-        F.min("ts").alias("begun"), F.min_by("head", "ts").alias("head"), F.array_sort(F.collect_list(F.struct("ts", "tools"))).alias("t")
-    )
-    return g.select("session_id", "key", "begun", "head.*", F.flatten(F.transform("t", lambda x: x["tools"])).alias("tools"))
+
+def live_totals(turns: DataFrame, split_at: int = 120_000, idle: str = "6 hours", lateness: str = "1 hour") -> DataFrame:
+    """Running totals per session and whether its last turn's context calls for a split; see ``keyed.live_totals``."""
+    return keyed.live_totals(turns, split_at, idle, lateness)
 
 
 def _log(path: str, batch: DataFrame, number: int) -> DataFrame:
