@@ -25,6 +25,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,13 @@ from .common import map_arrow, materialize, scratch
 #: Pairs that are handed to every task at most: 16 bytes each.
 COMMON = 1 << 20
 #: Chunks and bytes of chunks that a worker remembers at most.
-CACHE, CACHE_BYTES = 250_000, 32 << 20
+CACHE, CACHE_BYTES = 500_000, 32 << 20
 #: Characters of a text that are cut into chunks at once.
 AT_ONCE = 1 << 20
 #: Pairs that a task counts before it hands them on.
 COUNTED = 2_000_000
 MARK = "▁"
+_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 _CUT = re.compile("(?<=[!-~¡-˿Ͱ-҂Ҋ-֐]) ")
 
 
@@ -50,27 +52,41 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (np.cumsum(n) - n), n)
 
 
-def align(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Groups of token ids between the byte offsets where tokens of both sides end; both sides have as many bytes."""
-    groups, ga, gb = [], [], []
-    i = j = at_a = at_b = 0
-    while i < len(a) or j < len(b):
-        if at_a <= at_b and i < len(a):
-            ga.append(a[i])
-            at_a += a_sizes[i]
-            i += 1
-        else:
-            gb.append(b[j])
-            at_b += b_sizes[j]
-            j += 1
-        if at_a == at_b and ga and gb:
-            groups.append((ga, gb))
-            ga, gb = [], []
-    return groups
+def align(chunk_a: np.ndarray, ends_a: np.ndarray, chunk_b: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group of each A token, group of each B token, chunk of each group) for tokens laid end to end.
+
+    A group ends at every byte offset where tokens of both sides end.
+    """
+    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    groups = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+    return *groups, chunk_a[np.searchsorted(ends_a, both)]
+
+
+def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all tokens end to end, where each begins, and its length."""
+    size = np.array([len(t) for t in tokens])
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
+
+
+class _Grown:
+    """Rows of integers that are added in blocks."""
+
+    def __init__(self, columns: int):
+        self.rows, self.n = np.zeros((1 << 12, columns), np.int64), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.rows):
+            more = np.zeros((max(len(self.rows), len(rows)), self.rows.shape[1]), np.int64)
+            self.rows = np.concatenate([self.rows, more])
+        self.rows[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        return self.rows[places]
 
 
 class Aligner:
-    """Both tokenizers, and what a worker remembers of chunks: sizes, the groups as text, and coded id pairs with their occurrences."""
+    """Both tokenizers, and what a worker remembers of chunks: sizes, the groups as text, and coded id pairs of all links."""
 
     def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,69 +98,95 @@ class Aligner:
         self.a = Tokenizer.from_file(byte_path)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        back = {c: b for b, c in _byte_alphabet().items()}
-        self.a_bytes = [b""] * self.a.get_vocab_size()
+        self.alphabet = _byte_alphabet()
+        back = {c: b for b, c in self.alphabet.items()}
+        a_bytes = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+            a_bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.n_b = self.b.vocab_size()
-        self.b_bytes = []
-        for i in range(self.n_b):
-            piece = self.b.id_to_piece(i)
-            self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode())
-        self.cuts = not any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.n_b))
+        pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.tables = [_table(x) for x in (a_bytes, b_bytes)]
+        self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.last = self.b.encode("x ")[len(self.b.encode("x")) :]  # a text's last space, which has no text after it to be put before
+        # an id as text, with what follows it: another of its side, the other side, the next group
+        ids = [str(i) for i in range(max(len(a_bytes), self.n_b))]
+        self.said_as = [[i + mark for i in ids] for mark in ",|;"]
         self._reset()
 
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
         self.held = 0
         self.said: list[str] = []
-        self.sizes: list[tuple[int, int, int, int, int]] = []  # tokens of A, of B, groups, links, 1 if bytes differ
-        self.codes: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-        self.table: np.ndarray | None = None
+        self.sizes = _Grown(6)  # tokens of A, of B, groups, links, 1 if bytes differ, where the links' codes begin
+        self.codes = _Grown(1)
+
+    def _tokens(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of chunks that begin with a space; B adds its own, and a word alone is one unit of A's pattern."""
+        tokenize, alphabet = self.a.model.tokenize, self.alphabet
+        rest = [c for c in chunks if not _WORD.fullmatch(c)]
+        whole = dict(zip(rest, (e.ids for e in self.a.encode_batch_fast(rest, add_special_tokens=False)))) if rest else {}
+        ids_a = [whole[c] if c in whole else [t.id for t in tokenize(c.encode().decode("latin-1").translate(alphabet))] for c in chunks]
+        ids_b = [b or self.last for b in self.b.encode([c[1:] for c in chunks], num_threads=1)]
+        return ids_a, ids_b
 
     def _learn(self, chunks: list[str]) -> None:
-        """Chunks that begin with a space; the other tokenizer adds its own."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        ids_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        for chunk, a, b in zip(chunks, ids_a, ids_b):
-            b = b or self.last
-            self.at[chunk] = len(self.said)
-            raw = chunk.encode("utf-8", "replace")
-            self.held += len(raw)
-            by_a, by_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(by_a) != raw or b"".join(by_b) != raw:
-                self.said.append("")
-                self.sizes.append((0, 0, 0, 0, 1))
-                self.codes.append(np.zeros(0, np.int64))
-                self.times.append(np.zeros(0, np.int64))
-                continue
-            groups = align(a, [len(x) for x in by_a], b, [len(x) for x in by_b])
-            self.said.append(";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups))
-            links = sum(len(ga) * len(gb) for ga, gb in groups)
-            self.sizes.append((len(a), len(b), len(groups), links, 0))
-            count: dict[int, int] = {}
-            for ga, gb in groups:
-                if len(ga) == len(gb) == 1:
-                    code = ga[0] * self.n_b + gb[0]
-                    count[code] = count.get(code, 0) + 1
-                    continue
-                (ua, na), (ub, nb) = np.unique(ga, return_counts=True), np.unique(gb, return_counts=True)
-                for code, n in zip((ua[:, None] * self.n_b + ub).ravel().tolist(), (na[:, None] * nb).ravel().tolist()):
-                    count[code] = count.get(code, 0) + n
-            self.codes.append(np.fromiter(count, np.int64, len(count)))
-            self.times.append(np.fromiter(count.values(), np.int64, len(count)))
-        self.table = None
+        base = len(self.said)
+        raw = [c.encode("utf-8", "replace") for c in chunks]
+        length = np.array([len(r) for r in raw])
+        joined = np.frombuffer(b"".join(raw), np.uint8)
+        begin = np.cumsum(length) - length
+        same = np.ones(len(chunks), bool)
+        sides = []
+        for lists, (table, start, size) in zip(self._tokens(chunks), self.tables):
+            chunk = np.repeat(np.arange(len(chunks)), [len(x) for x in lists])
+            ids = np.fromiter(chain.from_iterable(lists), np.int64, len(chunk))
+            sides.append((chunk, ids, size[ids]))
+            total = np.bincount(chunk, size[ids], len(chunks)).astype(np.int64)
+            same &= total == length
+            fits = same[chunk]
+            told = table[_ranges(start[ids[fits]], size[ids[fits]])]
+            ours = joined[_ranges(begin[same], length[same])]
+            if not np.array_equal(told, ours):
+                where = np.repeat(np.flatnonzero(same), length[same])
+                same[where[told != ours]] = False
+        chunk_a, ids_a, chunk_b, ids_b, ends = *(x[same[c]] for c, i, _ in sides for x in (c, i)), [np.cumsum(n[same[c]]) for c, _, n in sides]
+        sizes = np.zeros((len(chunks), 6), np.int64)
+        sizes[:, 4] = ~same
+        if len(ids_a):
+            ga, gb, of = align(chunk_a, ends[0], chunk_b, ends[1])
+            many_a, many_b = np.bincount(ga), np.bincount(gb)
+            sizes[:, 0], sizes[:, 1] = np.bincount(chunk_a, minlength=len(chunks)), np.bincount(chunk_b, minlength=len(chunks))
+            sizes[:, 2], sizes[:, 3] = np.bincount(of, minlength=len(chunks)), np.bincount(of, many_a * many_b, len(chunks))
+            sizes[:, 5] = self.codes.n + np.cumsum(sizes[:, 3]) - sizes[:, 3]
+            first_b = np.cumsum(many_b) - many_b
+            partner = _ranges(first_b[ga], many_b[ga])
+            self.codes.add((np.repeat(ids_a, many_b[ga]) * self.n_b + ids_b[partner])[:, None])
+            last_a, last_b = np.r_[ga[1:] != ga[:-1], True], np.r_[gb[1:] != gb[:-1], True]
+            order = np.argsort(np.r_[2 * ga, 2 * gb + 1], kind="stable")
+            ids, mark = np.r_[ids_a, ids_b][order].tolist(), np.r_[np.where(last_a, 1, 0), np.where(last_b, 2, 0)][order].tolist()
+            said = [self.said_as[m][i] for i, m in zip(ids, mark)]
+        else:
+            said = []
+        self.sizes.add(sizes)
+        ends_at = np.cumsum(sizes[:, 0] + sizes[:, 1]).tolist()
+        lo = 0
+        for k, (chunk, hi) in enumerate(zip(chunks, ends_at)):
+            self.at[chunk] = base + k
+            self.said.append("".join(said[lo:hi]))
+            lo = hi
+        self.held += len(joined)
 
     def _look_up(self, chunks: list[str]) -> np.ndarray:
         if len(self.at) > CACHE or self.held > CACHE_BYTES:
             self._reset()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.at]
-        if new:
-            self._learn(new)
         at = self.at
-        return np.array([at[c] for c in chunks])
+        found = [at.get(c, -1) for c in chunks]
+        if -1 in found:
+            new = list(dict.fromkeys(c for c, k in zip(chunks, found) if k < 0))
+            self._learn(new)
+            found = [at[c] if k < 0 else k for c, k in zip(chunks, found)]
+        return np.array(found)
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         """Chunks of the text with a space before it, some at a time."""
@@ -157,31 +199,44 @@ class Aligner:
             cut = _CUT.search(text, lo + AT_ONCE)
             hi = cut.start() if cut else len(text)
             parts = _CUT.split(text[lo:hi])
-            yield [parts[0], *(" " + p for p in parts[1:])]
+            yield [parts[0], *[" " + p for p in parts[1:]]]
             lo = hi
 
+    def prepare(self, texts: list[str | None]) -> None:
+        """Learn the new chunks of several short texts at once: calls of the tokenizers cost as much as hundreds of chunks."""
+        if len(self.at) > CACHE or self.held > CACHE_BYTES:
+            self._reset()
+        new: dict[str, None] = {}
+        size = 0
+        for text in texts:
+            size += len(text or "")
+            if size > AT_ONCE:
+                break
+            if text:
+                new.update((c, None) for chunks in self._pieces(text) for c in chunks if c not in self.at)
+        if new:
+            self._learn(list(new))
+
     def measure(self, text: str | None):
         """(tokens of A, of B, groups, links, digest of the groups, sorted coded pairs, occurrences of each), or None without tokens."""
         if not text:
             return None
-        digest, total = hashlib.sha256(), np.zeros(5, np.int64)
+        digest, total = hashlib.sha256(), np.zeros(6, np.int64)
         codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         between = ""
         for chunks in self._pieces(text):
             at = self._look_up(chunks)
-            kinds, n = np.unique(at, return_counts=True)
-            total += (np.array([self.sizes[k] for k in kinds]) * n[:, None]).sum(0)
+            sizes = self.sizes.of(at)
+            total += sizes.sum(0)
             if total[4]:
                 return None
             said = self.said
-            digest.update((between + ";".join([said[k] for k in at])).encode())
+            digest.update((between + "".join([said[k] for k in at.tolist()])[:-1]).encode())
             between = ";"
-            mine = np.concatenate([codes, *[self.codes[k] for k in kinds]])
-            often = np.concatenate([times, *[self.times[k] * m for k, m in zip(kinds, n)]])
-            order = np.argsort(mine, kind="stable")
-            mine, often = mine[order], often[order]
-            first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-            codes, times = mine[first], np.add.reduceat(often, first)
+            mine, often = _counted(np.sort(self.codes.of(_ranges(sizes[:, 5], sizes[:, 3]))[:, 0]))
+            if len(codes):
+                mine, often = _summed(np.concatenate([codes, mine]), np.concatenate([times, often]))
+            codes, times = mine, often
         return (*total[:4].tolist(), digest.hexdigest(), codes, times)
 
 
@@ -208,8 +263,10 @@ def _measured(byte_path: str, piece_path: str):
             texts, same = batch.column("text"), batch.column("n_same")
             for lo in range(0, batch.num_rows, 64):
                 rows = []
-                for i in range(lo, min(lo + 64, batch.num_rows)):
-                    found = tool.measure(texts[i].as_py()) or (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+                some = texts.slice(lo, 64).to_pylist()
+                tool.prepare(some)
+                for i, text in enumerate(some, lo):
+                    found = tool.measure(text) or (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
                     codes, times = (x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in found[5:])
                     rows.append((batch.column("key")[i].as_py(), same[i].as_py(), *found[:5], codes, times))
                 kinds = [pa.binary(), *[pa.int64()] * 5, pa.string(), pa.binary(), pa.binary()]
@@ -245,6 +302,12 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told()
 
 
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, and how often each stands in it."""
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.diff(np.append(first, len(codes)))
+
+
 def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(codes):
         return codes, n
