@@ -249,55 +249,12 @@ def prompt_tier(prompt):
     return F.when(prompt != "", F.when(prompt.rlike(patterns.HARD_PROMPT), "hard").when(short, "trivial").otherwise("standard"))
 
 
-def verdict_gate(rows: DataFrame, profile: dict = patterns.BUILD_LOG) -> DataFrame:
-    """Add ``verdict_ok`` and ``verdict_detail``: two extractors agree on ``raw`` and the distillate says the same.
-
-    The second extractor reads a general vocabulary of failure and passes what has none of it.
-    """
-    first = verdict(F.col("raw"), profile)
-    second = F.when(_any(F.col("raw"), profile["fail2"]), "fail").otherwise("pass")
-    own = {
-        "pass": [*profile["pass"], r"\bVERDICT: pass\b"],
-        "fail": [*profile["fail"], *profile["fail2"], r"\bVERDICT: fail\b"],
-    }
-    said = verdict(F.col("distilled"), own)
-    rows = rows.withColumns({"_first": first, "_second": second, "_said": said})
-    agreed = (F.col("_first") != "unknown") & (F.col("_first") == F.col("_second"))
-    detail = (
-        F.when(~agreed, F.concat(F.lit("extractions disagree: primary="), "_first", F.lit(", secondary="), "_second"))
-        .when(F.col("_said") == F.col("_first"), F.concat(F.lit("verdict "), "_first", F.lit(" agreed")))
-        .otherwise(F.concat(F.lit("raw verdict "), "_first", F.lit(" but distillate reads "), "_said"))
-    )
-    return rows.withColumns({"verdict_ok": agreed & (F.col("_said") == F.col("_first")), "verdict_detail": detail}).drop("_first", "_second", "_said")
-
-
 def gate_verdict(detail):
     """Verdict that the detail of a verdict gate carries; null if it was inconclusive."""
     agreed, raw = F.regexp_extract(detail, r"verdict (pass|fail) agreed", 1), F.regexp_extract(detail, r"raw verdict (pass|fail) but", 1)
     return F.when(agreed != "", agreed).when(raw != "", raw)
 
 
-def distil_build_logs(lines: DataFrame) -> DataFrame:
-    """Raw build logs to gated, redacted artifacts.
-
-    Every log is reduced to its verdict contract; the entity gate (entities of
-    its first error line), the verdict gate and the size gate decide together
-    whether the distillate or the raw text is served, and what is served is
-    redacted. Returns artifact_id, distilled, the gates, passed, served, text, findings.
-    """
-    contract = build_contract(lines).withColumn("id", F.col("artifact_id").cast("string"))
-    said = F.when(F.col("errors") == 0, F.col("last_line")).otherwise(
-        F.concat(F.lit("first error: "), "first_error", F.lit("\nerrors: "), "errors", F.lit(" lines across "), "files", F.lit(" files"))
-    )
-    text = F.concat(F.lit("VERDICT: "), "verdict", F.lit("\n"), said, F.lit("\n[full log elided, zoom "), "id", F.lit("]"))
-    rows = contract.select("artifact_id", text.alias("distilled"), F.coalesce("first_error", F.lit("")).alias("region"))
-    rows = size_gate(verdict_gate(entity_gate(rows.join(assemble(lines), "artifact_id"))))
-    rows = rows.withColumn("passed", F.col("entity_ok") & F.col("verdict_ok") & F.col("size_ok"))
-    rows = rows.withColumn("served", F.when(F.col("passed"), "distilled").otherwise("raw"))
-    rows = redact(rows.withColumn("text", F.when(F.col("passed"), F.col("distilled")).otherwise(F.col("raw"))))
-    return rows.select("artifact_id", "distilled", "entity_ok", "verdict_ok", "verdict_detail", "size_ok", "passed", "served", "text", "findings")
-
-
 def test_output(lines: DataFrame, profile: dict = patterns.TEST_OUTPUT, most: int = 60) -> DataFrame:
     """Distillate of a test run: verdict, the first distinct relevant lines, then summary lines, none twice.
 

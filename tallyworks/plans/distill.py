@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import patterns
+from ..functions.rules import RuleBook
 from ..operators import distill as d
+from ..operators import profiles as pr
 from ..sources import records
 from .registry import Registry, rounded
 from .views import duckdb, table, view
@@ -109,45 +111,98 @@ def a11(spark, sf_dir):
     return rows.select("artifact_id", "line_no", F.size("e").cast("long").alias("n"), F.array_join(F.array_sort("e"), "|").alias("entities"))
 
 
-@add(
-    "a13_entity_gate",
-    _LOG
-    + f""", g AS (SELECT artifact_id, line_no, {_ENT} AS e, substr(line, 1, 20) AS distilled FROM v_log_lines)
- SELECT artifact_id, line_no, round(CASE WHEN len(e) = 0 THEN 1 ELSE CAST(len(list_filter(e, lambda x: contains(distilled, x))) AS DOUBLE) / len(e) END, 6) AS ratio, len(list_filter(e, lambda x: NOT contains(distilled, x))) = 0 AS entity_ok FROM g""",
-)
-def a13(spark, sf_dir):
-    """The first 20 characters of a line stand for its distillate."""
-    rows = logs(spark, sf_dir).select("artifact_id", "line_no", F.col("line").alias("region"), F.substring("line", 1, 20).alias("distilled"))
-    return rounded(d.entity_gate(rows).select("artifact_id", "line_no", "ratio", "entity_ok"))
-
-
 _SECOND = _any("raw", patterns.BUILD_LOG["fail2"])
 _SAID_P = _any("distilled", [*patterns.BUILD_LOG["pass"], r"\bVERDICT: pass\b"])
 _SAID_F = _any("distilled", [*patterns.BUILD_LOG["fail"], *patterns.BUILD_LOG["fail2"], r"\bVERDICT: fail\b"])
 _only = lambda p, f: f"CASE WHEN {f} AND NOT {p} THEN 'fail' WHEN {p} AND NOT {f} THEN 'pass' ELSE 'unknown' END"
-_DISTIL = rf"""{_RAW}, con AS (SELECT artifact_id, CASE WHEN bool_or({_LF}) THEN 'fail' WHEN bool_or({_LP}) THEN 'pass' ELSE 'unknown' END AS verdict, coalesce(trim(min_by(line, line_no) FILTER (WHERE {_BAD})), '') AS region,
+_DISTIL = rf"""{_RAW}, con AS (SELECT artifact_id, CASE WHEN bool_or({_LF}) THEN 'fail' WHEN bool_or({_LP}) THEN 'pass' ELSE 'unknown' END AS verdict, coalesce(min_by(line, line_no) FILTER (WHERE {_BAD}), '') AS region,
  count(*) FILTER (WHERE {_BAD}) AS errors, count(DISTINCT nullif(regexp_extract(trim(line), '^([^\s(:]+)[(:]', 1), '')) FILTER (WHERE {_BAD}) AS files, max_by(line, line_no) AS last_line FROM v_log_lines WHERE trim(line) <> '' GROUP BY artifact_id),
- dis AS (SELECT artifact_id, raw, region, concat('VERDICT: ', verdict, chr(10), CASE WHEN errors = 0 THEN last_line ELSE concat('first error: ', region, chr(10), 'errors: ', errors, ' lines across ', files, ' files') END, chr(10), '[full log elided, zoom ', artifact_id, ']') AS distilled FROM con JOIN raws USING (artifact_id)),
+ dis AS (SELECT artifact_id, raw, region, concat('VERDICT: ', verdict, chr(10), CASE WHEN errors = 0 THEN last_line ELSE concat('first error: ', trim(region), chr(10), 'errors: ', errors, ' lines across ', files, ' files') END, chr(10), '[full log elided, zoom: zoom("', artifact_id, '", query?)]') AS distilled FROM con JOIN raws USING (artifact_id)),
  ext AS (SELECT *, {_only(_PASS, _FAIL)} AS one, CASE WHEN {_SECOND} THEN 'fail' ELSE 'pass' END AS two, {_only(_SAID_P, _SAID_F)} AS said, {_ENT.replace('(line,', '(region,')} AS e FROM dis),
  gate AS (SELECT *, len(list_filter(e, lambda x: NOT contains(distilled, x))) = 0 AS entity_ok, one <> 'unknown' AND one = two AND said = one AS verdict_ok,
- CASE WHEN one = 'unknown' OR one <> two THEN concat('extractions disagree: primary=', one, ', secondary=', two) WHEN said = one THEN concat('verdict ', one, ' agreed') ELSE concat('raw verdict ', one, ' but distillate reads ', said) END AS verdict_detail,
- CASE WHEN strlen(raw) = 0 THEN false ELSE CAST(strlen(distilled) AS DOUBLE) / strlen(raw) <= 0.4 END AS size_ok FROM ext)"""
+ CASE WHEN len(e) = 0 THEN 'no entities in relevant region' ELSE concat(len(list_filter(e, lambda x: contains(distilled, x))), '/', len(e), ' entities preserved') END AS entity_detail,
+ CASE WHEN one = 'unknown' OR one <> two THEN concat('extractions disagree or are inconclusive on raw: primary=', one, ', secondary=', two) WHEN said = one THEN concat('verdict ', one, ' agreed by both extractions and the distillate') ELSE concat('raw verdict ', one, ' but distillate reads ', said) END AS verdict_detail,
+ concat(strlen(distilled), 'B of ', strlen(raw), 'B (max ratio 0.4, min 12B)') AS size_detail, strlen(raw) > 0 AND CAST(strlen(distilled) AS DOUBLE) / strlen(raw) <= 0.4 AND strlen(distilled) >= 12 AS size_ok FROM ext),
+ done AS (SELECT *, entity_ok AND verdict_ok AND size_ok AS passed, CASE WHEN entity_ok AND verdict_ok AND size_ok THEN distilled ELSE raw END AS text FROM gate)"""
+
 
+def _build_logs(spark, sf_dir):
+    """Every order's log lines as one build log of the session of its order."""
+    raw = d.assemble(logs(spark, sf_dir))
+    return raw.select(
+        F.col("artifact_id").cast("string").alias("artifact_id"), F.concat(F.lit("s"), F.col("artifact_id") % 97).alias("session_id"),
+        F.lit("build-log").alias("profile"), F.lit(None).cast("string").alias("path"), "raw",
+    )
 
-@add("a14_gates", _LOG + f", {_DISTIL} SELECT artifact_id, entity_ok, verdict_ok, verdict_detail, size_ok, entity_ok AND verdict_ok AND size_ok AS passed FROM gate")
+
+def _gate(name: str, part: str):
+    return F.filter("gates", lambda g: g["gate"] == name)[0][part]
+
+
+@add("a13_entity_gate", _LOG + f", {_DISTIL} SELECT CAST(artifact_id AS VARCHAR) AS artifact_id, entity_ok, entity_detail FROM done")
+def a13(spark, sf_dir):
+    """The distillates of build logs against the entities of their first error lines."""
+    rows = pr.distillates(_build_logs(spark, sf_dir), RuleBook.built_in())
+    return rows.select("artifact_id", _gate("entity-preservation", "passed").alias("entity_ok"), _gate("entity-preservation", "detail").alias("entity_detail"))
+
+
+@add("a14_gates", _LOG + f", {_DISTIL} SELECT CAST(artifact_id AS VARCHAR) AS artifact_id, verdict_ok, verdict_detail, size_ok, size_detail, passed FROM done")
 def a14(spark, sf_dir):
-    return d.distil_build_logs(logs(spark, sf_dir)).select("artifact_id", "entity_ok", "verdict_ok", "verdict_detail", "size_ok", "passed")
+    rows = pr.distillates(_build_logs(spark, sf_dir), RuleBook.built_in())
+    parts = [_gate(g, p).alias(f"{n}_{'ok' if p == 'passed' else p}") for g, n in (("verdict-fidelity", "verdict"), ("size-sanity", "size")) for p in ("passed", "detail")]
+    return rows.select("artifact_id", *parts, F.forall("gates", lambda g: g["passed"]).alias("passed"))
+
 
+_TOKENS = "CAST(ceil(length({}) / 4.0) AS BIGINT)"
 
-@add("a17_distil_job", _LOG + f", {_DISTIL} SELECT artifact_id, CASE WHEN entity_ok AND verdict_ok AND size_ok THEN 'distilled' ELSE 'raw' END AS served, md5(CASE WHEN entity_ok AND verdict_ok AND size_ok THEN distilled ELSE raw END) AS text_md5 FROM gate")
+
+@add(
+    "a17_distil_job",
+    _LOG + f""", {_DISTIL} SELECT CAST(artifact_id AS VARCHAR) AS artifact_id, CASE WHEN passed THEN 'distilled' ELSE 'raw' END AS served, md5(text) AS text_md5, strlen(raw) AS bytes_in, strlen(text) AS bytes_out,
+ concat('[artifact ', artifact_id, ', raw ', {_TOKENS.format('raw')}, ' tok to ', {_TOKENS.format('text')}, ' tok, zoom: zoom("', artifact_id, '", query?)]') AS handle FROM done""",
+)
 def a17(spark, sf_dir):
     """No line of these logs holds a secret, so the served text is what the gates chose."""
-    return d.distil_build_logs(logs(spark, sf_dir)).select("artifact_id", "served", F.md5("text").alias("text_md5"))
+    done = pr.distil(_build_logs(spark, sf_dir), RuleBook.built_in())
+    return done.select("artifact_id", "served", F.md5("text").alias("text_md5"), "bytes_in", "bytes_out", "handle")
+
+
+@add(
+    "a17_audit_rows",
+    _LOG + f""", {_DISTIL} SELECT concat(CASE WHEN passed THEN 'distilled-' ELSE 'raw-' END, artifact_id) AS id, concat('s', artifact_id % 97) AS session_id, CASE WHEN passed THEN 'distill' ELSE 'serve-raw' END AS action,
+ CASE WHEN passed THEN concat('profile build-log served ', strlen(text), 'B for ', strlen(raw), 'B raw') ELSE concat('profile build-log gate failure, raw served: ', concat_ws('; ', CASE WHEN NOT entity_ok THEN concat('entity-preservation (', entity_detail, ')') END,
+ CASE WHEN NOT verdict_ok THEN concat('verdict-fidelity (', verdict_detail, ')') END, CASE WHEN NOT size_ok THEN concat('size-sanity (', size_detail, ')') END)) END AS reason FROM done""",
+)
+def a17_audit(spark, sf_dir):
+    book = RuleBook.built_in()
+    return pr.audit_rows(pr.distil(_build_logs(spark, sf_dir), book), book).select("id", "session_id", "action", "reason")
+
+
+_ZOOM = """concat('zoom: zoom("', doc_id, '", query?)')"""
+_SPLIT = r"string_split_regex(text, '\r?\n')"
+
+
+@add(
+    "a17_text_profiles",
+    f"""WITH t AS (SELECT doc_id, text, {_SPLIT} AS w, list_filter({_SPLIT}, lambda x: trim(x) <> '') AS full_ FROM documents),
+ dis AS (SELECT doc_id, text, 'generic-stdout' AS profile, 0.4 AS most, 20 AS least, CASE WHEN len(w) <= 25 THEN text ELSE concat(array_to_string(list_slice(w, 1, 15), chr(10)), chr(10), '[omitted ', len(w) - 25, ' middle lines, ', {_ZOOM}, ']', chr(10), array_to_string(list_slice(w, len(w) - 9, len(w)), chr(10))) END AS distilled FROM t
+ UNION ALL SELECT doc_id, text, 'doc-search', 1.5, 40, CASE WHEN len(full_) = 0 THEN '' ELSE concat(len(full_), ' hits across ', len(list_distinct(list_transform(full_, lambda x: split_part(x, ' §', 1)))), ' documents', CASE WHEN len(full_) > 24 THEN ' (showing top 24; full set: ' ELSE ' (full set: ' END, {_ZOOM}, ')', chr(10), array_to_string(list_slice(full_, 1, 24), chr(10))) END FROM t)
+ SELECT CAST(doc_id AS VARCHAR) AS artifact_id, profile, md5(distilled) AS distilled_md5, strlen(text) > 0 AND CAST(strlen(distilled) AS DOUBLE) / strlen(text) <= most AND strlen(distilled) >= least AS size_ok FROM dis""",
+)
+def a17_texts(spark, sf_dir):
+    """Every document as the output of a command and as a list of hits."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("artifact_id"), F.col("source").alias("session_id"), F.lit(None).cast("string").alias("path"), F.col("text").alias("raw"),
+        F.explode(F.array(F.lit("generic-stdout"), F.lit("doc-search"))).alias("profile"),
+    )
+    rows = pr.distillates(docs, RuleBook.built_in())
+    return rows.select("artifact_id", "profile", F.md5("distilled").alias("distilled_md5"), _gate("size-sanity", "passed").alias("size_ok"))
 
 
-@add("m01_gate_verdicts", _LOG + f", {_DISTIL} SELECT artifact_id, coalesce(nullif(regexp_extract(verdict_detail, 'verdict (pass|fail) agreed', 1), ''), nullif(regexp_extract(verdict_detail, 'raw verdict (pass|fail) but', 1), '')) AS verdict FROM gate")
+@add("m01_gate_verdicts", _LOG + f", {_DISTIL} SELECT CAST(artifact_id AS VARCHAR) AS artifact_id, coalesce(nullif(regexp_extract(verdict_detail, 'verdict (pass|fail) agreed', 1), ''), nullif(regexp_extract(verdict_detail, 'raw verdict (pass|fail) but', 1), '')) AS verdict FROM done")
 def m01(spark, sf_dir):
-    return d.distil_build_logs(logs(spark, sf_dir)).select("artifact_id", d.gate_verdict(F.col("verdict_detail")).alias("verdict"))
+    rows = pr.distillates(_build_logs(spark, sf_dir), RuleBook.built_in())
+    return rows.select("artifact_id", d.gate_verdict(_gate("verdict-fidelity", "detail")).alias("verdict"))
 
 
 @add(
