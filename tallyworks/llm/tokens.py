@@ -185,7 +185,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # strings of special tokens in a text are those tokens, as the library has it, so a text with one isn't cut
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special))) if special else None
+        self.uncut = re.compile(b"|".join([_WIDE_SPACE.pattern, *map(re.escape, special)]))
         self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
         self._reset()
 
@@ -242,7 +245,8 @@ class PieceEncoder:
         ends[:-1] = space[:-1] & ~space[1:] & ~fresh[1:]
         begin |= ends
         begin[1:] |= ends[:-1] & (data[:-1] != 0x20)
-        for m in _WIDE_SPACE.finditer(data.tobytes()) if (data >= 0xC2).any() else ():
+        raw = data.tobytes()
+        for m in self.uncut.finditer(raw) if (data >= 0xC2).any() or self.special and self.special.search(raw) else ():
             t = int(np.searchsorted(offsets, m.start(), "right")) - 1
             begin[offsets[t] + 1 : offsets[t + 1]] = False
             kind[offsets[t] : offsets[t + 1]] = OTHER
@@ -252,7 +256,7 @@ class PieceEncoder:
         whole[size > LONGEST] = True
         wide = kind[first] == OTHER
         if wide.any():
-            whole[wide] |= [bool(_WIDE_SPACE.search(data[a : a + s])) for a, s in zip(first[wide], size[wide])]
+            whole[wide] |= [bool(self.uncut.search(data[a : a + s])) for a, s in zip(first[wide], size[wide])]
         up, down = _powers(1 << max(16, (n - 1).bit_length()))
         sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n])
         last = first + size - 1

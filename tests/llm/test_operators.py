@@ -265,14 +265,20 @@ def test_chat_trees(spark):
 # 5 ------------------------------------------------------------------------------------------------
 
 
+def fitted(spark, toxic, ordinary):
+    rows = [(i, text, int(i < len(toxic))) for i, text in enumerate([*toxic, *ordinary])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return toxicity.fit_on(df.drop("toxic"), df.drop("text"))
+
+
 def test_toxicity(spark, sf, odd, empty):
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = queries.op5_toxicity(spark, sf).collect()
     assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
     rng = np.random.default_rng(3)
     words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("nt", "rs", "lk", "mp")]
-    say = lambda bad: " ".join(str(w) for w in rng.choice(words + ["horridword", "vilephrase"] * (20 if bad else 0), 120))
-    model = toxicity.fit([say(True) for _ in range(60)], [say(False) for _ in range(120)], 0.3)
+    say = lambda bad: " ".join(str(w) for w in rng.choice(words + ["horridness", "vilephrase"] * (20 if bad else 0), 120))
+    model = fitted(spark, [say(True) for _ in range(60)], [say(False) for _ in range(120)])
     new = [(i, say(i % 2 == 0)) for i in range(60)]
     got = {r.doc_id: r.score >= 0.5 for r in toxicity.toxicity(spark.createDataFrame(new, "doc_id long, text string"), model).collect()}
     assert np.mean([got[i] == (i % 2 == 0) for i, _ in new]) > 0.95
@@ -296,13 +302,35 @@ def test_toxicity_held_out(spark):
             words.insert(int(rng.integers(len(words))), stem + str(rng.choice(["", "en", "ta", "rika"])))
         return " ".join(words)
 
-    model = toxicity.fit([doc(True) for _ in range(150)], [doc(False) for _ in range(400)], 0.1)
+    model = fitted(spark, [doc(True) for _ in range(60)], [doc(False) for _ in range(540)])
     new = [(i, doc(i % 4 == 0)) for i in range(400)] + [(1000, doc(False) + " " + " ".join(word() for _ in range(20_000)) + " " + "hozzgleta vuxworen scumbly " * 400)]
     got = {r.doc_id: r.score >= 0.5 for r in toxicity.toxicity(spark.createDataFrame(new, "doc_id long, text string"), model).collect()}
     assert np.mean([got[i] for i in range(0, 400, 4)]) >= 0.9 and np.mean([got[i] for i in range(400) if i % 4]) <= 0.02
     assert got[1000]  # what stands late in a long text counts
 
 
+def test_toxicity_scores_of_odd_rows(spark, odd, empty):
+    """Rows without a window share one score, repeated rows and clashing columns change nothing; one-sided labels give one answer."""
+    model = fitted(spark, ["vile horrid vile horrid words here"] * 9, ["plain words are spoken here today"] * 20)
+    score = {}
+    for r in toxicity.toxicity(odd, model).collect():
+        score.setdefault(r.doc_id, set()).add(round(r.score, 9))
+    assert score[1] == score[2] == score[3] == score[7] and score[5] == score[6] and all(len(v) == 1 for v in score.values())
+    for toxic, plain, kept in ((["bad text here"], [], 0), ([], ["good text here"], 10), ([], [], 10)):
+        assert toxicity.keep_ordinary(odd, fitted(spark, toxic, plain)).count() == kept
+    twins = fitted(spark, ["same words in both sides"] * 3, ["same words in both sides"] * 3)
+    assert toxicity.toxicity(odd, twins).count() == 10
+
+
+def test_toxicity_recall_on_held_out_documents(spark):
+    """The given tables at sf0.1: at least nine of ten held-out toxic documents, at most two per cent of the others."""
+    sf = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op5_toxicity(spark, sf).collect() if r.held_out and r.doc_id in toxic]
+    bad, good = [r.predicted for r in rows if toxic[r.doc_id]], [r.predicted for r in rows if not toxic[r.doc_id]]
+    assert len(bad) > 90 and np.mean(bad) >= 0.9 and np.mean(good) <= 0.02
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
@@ -310,13 +338,15 @@ def test_token_files(spark, sf, texts, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     start = 0
     for r in sorted(queries.op6_token_ids(spark, sf).collect(), key=lambda r: r.doc_id):
         ids = [*t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     folder = tokens.write_tokens(odd, queries.tokenizer_path())
+    special = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "plain")], "doc_id long, text string")
+    first = tokens.token_at(spark, tokens.write_tokens(special, queries.tokenizer_path()), spark.createDataFrame([(1, k) for k in range(5)], "doc_id long, at long"))
+    assert [r.id for r in sorted(first.collect(), key=lambda r: r.at)] == [*t.encode("a <|endoftext|> b", add_special_tokens=False).ids, 2] == [64, 220, 50256, 275, 2]
     got = tokens.read_tokens(spark, folder).collect()
     assert len(got) == 10 and sorted(r.n_tokens for r in got)[:3] == [1, 1, 2]
     asked = spark.createDataFrame([(4, 0), (4, 100_000), (5, 1), (5, 999), (2, 0)], "doc_id long, at long")
@@ -330,7 +360,7 @@ def test_pieces_equal_whole_texts():
     """Cutting at byte classes changes no id: odd white space, contractions, Latin letters, marks and control strings."""
     e = tokens.PieceEncoder(queries.tokenizer_path())
     rng = np.random.default_rng(3)
-    parts = [*"ab  \n\t'.,;$12\u00e9\u00df\u00d7\u00f1\u00f7", "'s", "'ll", "\u00a0", "\u3000", "\u65e5", "\U0001F642", " \n", "</s>", "\r\n", "\x1c", "\0", "\u2003", "\u00f6,"]
+    parts = [*"ab  \n\t'.,;$12\u00e9\u00df\u00d7\u00f1\u00f7", "'s", "'ll", "\u00a0", "\u3000", "\u65e5", "\U0001F642", " \n", "</s>", "<|endoftext|>", "\r\n", "\x1c", "\0", "\u2003", "\u00f6,"]
     cases = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)]
     cases += ["a" * 5000, " " * 3000, "\u00e9" * 400 + " x", "", "\n", " ", "'", LONG[:5000]]
     batch = pa.RecordBatch.from_arrays([pa.array(cases)], ["text"])
