@@ -13,6 +13,7 @@ REDACTION = [
     ),
 ]
 
+#: What build logs and test runs keep, and their verdict vocabularies.
 BUILD_LOG = {
     "relevant": "error|failed",
     "pass": [r"build: Done", r"\bDone in ", r"\bbuild (?:succeeded|completed)\b"],
@@ -27,7 +28,7 @@ TEST_OUTPUT = {
     "fail2": ["FAIL ", "AssertionError", r"^FAIL\b"],
 }
 
-#: Code entities: pattern and the group that names the entity.
+#: Code entities, pattern and the group that names the entity.
 CODE_ENTITIES = [
     (r"[A-Za-z0-9_@./\\-]+\.[a-z]{1,6}(?::\d+)?", 0),
     (r"\bv?\d+\.\d+\.\d+[-.\w]*\b", 0),
@@ -61,6 +62,9 @@ LETTERED = r"^\(?([A-Z])[.)]\s+(\S.*)$"
 ALL_CAPS = r"^[A-Z][A-Z0-9 ,&'()/-]{2,89}$"
 TITLE_CASE = r"^[A-Z][a-z0-9-]+(?:\s+(?:[A-Z][a-z0-9-]+|of|the|and|for|to|in|a|an|on|at|by|with|from|or|as|but|vs)){1,7}$"
 
+#: Fixed value: a line of these signs alone is no running header.
+HEADER_NOISE = r"^[\s\d.,;:|/\\-]*$"
+
 #: Words that are no keywords, words of no weight in a heading, and section references.
 STOPWORDS = (
     "this", "that", "with", "from", "into", "what", "where", "when", "how", "does", "the", "and", "for", "are", "has", "have",

@@ -72,15 +72,19 @@ def _touched(c: str):
     return F.sum(F.when(F.col("kind") != "ask", F.col(c)))
 
 
+SCOPES = ("session", "day", "month", "document")
+
+
 def rollup_totals(lines: DataFrame) -> DataFrame:
     """Totals by scope: corpus with session, day, month, document or alone, in one grouping-sets pass.
 
-    ``sessions`` counts all lines' sessions, ask lines included.
+    ``sessions`` counts all lines' sessions, ask lines included. A line without
+    a session or document counts in no such scope, and in the corpus once.
     """
     named = lines.withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "month": F.date_format("ts", "yyyy-MM")})
-    sets = [[F.col("corpus"), F.col(c)] for c in ("session_id", "day", "month", "document")] + [[F.col("corpus")]]
-    keys = [F.col(c) for c in ("corpus", "session_id", "day", "month", "document")]
-    g = named.groupingSets(sets, *keys).agg(
+    by = ["session_id", "day", "month", "document"]
+    keys = [F.col(c) for c in ("corpus", *by)]
+    g = named.groupingSets([[keys[0], k] for k in keys[1:]] + [[keys[0]]], *keys).agg(
         F.grouping_id().alias("gid"),
         F.count("*").alias("lines"),
         *[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("ask", "zoom", "serve")],
@@ -88,33 +92,33 @@ def rollup_totals(lines: DataFrame) -> DataFrame:
         *[F.coalesce(_touched(c), F.lit(0)).alias(c) for c in SUMS],
         F.coalesce(_touched("cost"), F.lit(0.0)).alias("cost"),
     )
-    scope = (
-        F.when(F.col("session_id").isNotNull(), "session")
-        .when(F.col("day").isNotNull(), "day")
-        .when(F.col("month").isNotNull(), "month")
-        .when(F.col("document").isNotNull(), "document")
-        .otherwise("corpus")
-    )
-    key = F.coalesce("session_id", "day", "month", "document", F.lit(""))
-    return g.select("corpus", scope.alias("scope"), key.alias("key"), "lines", "asks", "zooms", "serves", F.col("n_sessions").alias("sessions"), *SUMS, "cost")
+    # a key's bit is 0 in the grouping sets that it belongs to, the last key's bit is the lowest
+    scope, key = None, None
+    for k, (name, c) in enumerate(zip(SCOPES, by)):
+        own = F.col("gid").bitwiseAND(1 << (3 - k)) == 0
+        scope = F.when(own, name) if scope is None else scope.when(own, name)
+        key = F.when(own, F.col(c)) if key is None else key.when(own, F.col(c))
+    out = g.select("corpus", scope.otherwise("corpus").alias("scope"), key.otherwise("").alias("key"), "lines", "asks", "zooms", "serves", F.col("n_sessions").alias("sessions"), *SUMS, "cost")
+    return out.where("key IS NOT NULL")
 
 
 def documents_rollup(lines: DataFrame) -> DataFrame:
-    """Reads and sums per document, the most read first."""
+    """Reads and sums per document of a corpus, the most read first."""
     touched = lines.where((F.col("kind") != "ask") & F.col("document").isNotNull())
-    g = touched.groupBy("document").agg(
+    g = touched.groupBy("corpus", "document").agg(
         F.count("*").alias("reads"), F.sum("raw_tokens").alias("raw_tokens"), F.sum("avoided_tokens").alias("avoided_tokens"), F.sum("cost").alias("cost")
     )
-    return g.orderBy(F.desc("reads"), F.desc("avoided_tokens"), "document")
+    return g.orderBy("corpus", F.desc("reads"), F.desc("avoided_tokens"), "document")
 
 
 def sessions_rollup(lines: DataFrame) -> DataFrame:
-    g = lines.groupBy("session_id").agg(
+    """Asks and sums per session of a corpus, the one that avoided most first."""
+    g = lines.groupBy("corpus", "session_id").agg(
         F.count_if(F.col("kind") == "ask").alias("asks"),
         F.coalesce(_touched("avoided_tokens"), F.lit(0)).alias("avoided_tokens"),
         F.coalesce(_touched("cost"), F.lit(0.0)).alias("cost"),
     )
-    return g.orderBy(F.desc("avoided_tokens"), "session_id")
+    return g.orderBy("corpus", F.desc("avoided_tokens"), "session_id")
 
 
 def asks_by_confidence(lines: DataFrame) -> DataFrame:

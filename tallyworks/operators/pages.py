@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sections import placed
+from .substrings import keyword_hits
 
 #: Rank of a landmark; the lowest on a line stands for it.
 RANKS = {"title": 0, "h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6, "main": 7, "nav": 7, "header": 7, "footer": 7, "section": 8, "article": 8, "aside": 8, "form": 8, "table": 8, "dialog": 8, "figure": 8, "template": 8, "head": 9, "body": 9, "script": 9, "style": 9}
@@ -65,15 +66,15 @@ def in_scope(files: DataFrame, scope: str | None = None, max_bytes: int = 1_000_
 
 
 def line_search(questions: DataFrame, lines: DataFrame, sections: DataFrame) -> DataFrame:
-    """Lines that hold a keyword of a question, with the section around them.
+    """Lines that hold a keyword of a question, inside words too, with the section around them and how often (``words``).
 
-    Lines are met by an equi-join on their distinct words, never by trying each
-    question on each line. ``questions``: question_id, keywords (array).
+    Keywords are looked up in the distinct words of the lines; a question is
+    never tried on each line. ``questions``: question_id, keywords (array).
     """
-    words = F.array_distinct(F.split(F.lower("line"), r"[^a-z0-9_-]+"))
-    each = lines.select("doc_id", "line_no", F.explode(words).alias("word"))
-    asked = questions.select("question_id", F.explode("keywords").alias("word"))
-    hits = each.join(asked, "word").groupBy("question_id", "doc_id", "line_no").agg(F.count("*").alias("words"))
+    each = lines.select("doc_id", "line_no", F.explode(F.split(F.lower("line"), r"[^a-z0-9_-]+")).alias("word")).where(F.length("word") >= 4)
+    each = each.groupBy("doc_id", "line_no", "word").agg(F.count("*").alias("n"))
+    hits = each.join(keyword_hits(questions, each.select("word")), "word")
+    hits = hits.groupBy("question_id", "doc_id", "line_no").agg(F.sum(F.col("n") * F.col("hits")).alias("words"))
     return hits.join(placed(lines, sections).select("doc_id", "line_no", "place"), ["doc_id", "line_no"], "left")
 
 

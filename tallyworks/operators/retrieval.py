@@ -30,19 +30,14 @@ def evidence(questions: DataFrame, found: DataFrame, lines: DataFrame) -> DataFr
 
     Of each of its best documents the two best sections by tier, each with its
     first line and its two lines densest in keywords; of a document without
-    such a section its two densest lines. Keywords meet only the words of those
-    documents, by an equi-join on document and word.
+    such a section its two densest lines. Keywords count inside words too.
     """
     scores = s.section_scores(questions, found, lines)
     top = s.ranked_documents(scores).select("question_id", "doc_id", "rank")
     pair = ["question_id", "doc_id"]
-    order = Window.partitionBy(*pair).orderBy(F.desc("tier"), F.desc("volume"), "place")
-    best = scores.where("tier > 0").join(top, pair).withColumn("r", F.row_number().over(order)).where(F.col("r") <= BEST_SECTIONS)
+    best = scores.where("tier > 0").join(top, pair).withColumn("r", F.row_number().over(s._best(*pair))).where(F.col("r") <= BEST_SECTIONS)
     best = best.join(found.select("doc_id", "place", "start_line"), ["doc_id", "place"]).select(*pair, "place", "rank", "r", "start_line")
-    asked = questions.select("question_id", F.explode(s.keywords(F.col("question"))).alias("word")).join(top, "question_id")
-    words = s.placed(lines, found).select("doc_id", "place", "line_no", F.explode(F.split(F.lower("line"), r"[^a-z0-9_-]+")).alias("word"))
-    words = words.where("word <> ''").groupBy("doc_id", "place", "line_no", "word").agg(F.count("*").alias("n"))
-    hits = words.join(asked, ["doc_id", "word"]).groupBy(*pair, "rank", "place", "line_no").agg(F.sum("n").alias("n"))
+    hits = s.line_hits(questions, found, lines).join(top, pair)
     dense = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "line_no"))
     inside = hits.join(best.drop("rank"), [*pair, "place"]).where("line_no <> start_line").withColumn("k", dense(*pair, "place"))
     outside = hits.join(best.select(*pair).distinct(), pair, "left_anti").withColumns({"k": dense(*pair), "r": F.lit(0)})

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as p
+from .substrings import keyword_hits
 
 LONGEST = 100
 
@@ -55,11 +56,17 @@ def markdown_headings(lines: DataFrame) -> DataFrame:
     return found.select("doc_id", "line_no", F.when(is_bold, 2).otherwise(F.length(marks)).alias("level"), title.alias("heading"))
 
 
+def slug(text):
+    """A text as an id: lowered, runs of anything but letters and digits as one hyphen."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
 def sections(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """Sections of each document: a preamble if text stands before the first heading, then one per heading.
 
     Trailing blank lines are cut off. Ids come from the number, label or letter
-    of the heading, else from the section's place; repeated ids get -2, -3.
+    of the heading, of one that fits an extra pattern from its words, else from
+    the section's place; repeated ids get -2, -3.
     """
     marked = lines.join(heads, ["doc_id", "line_no"], "left")
     order = Window.partitionBy("doc_id").orderBy("line_no")
@@ -86,6 +93,7 @@ def sections(lines: DataFrame, heads: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "numbered", F.regexp_extract(h, p.NUMBERED, 1))
         .when(F.col("kind") == "named", F.lower(F.concat_ws("-", F.regexp_extract(h, p.NAMED, 1), F.regexp_extract(h, p.NAMED, 2))))
         .when(F.col("kind") == "lettered", F.lower(F.regexp_extract(h, p.LETTERED, 1)))
+        .when((F.col("kind") == "extra") & (slug(h) != ""), F.substring(slug(h), 1, 60))
         .otherwise(F.concat(F.lit("s"), F.col("place")))
     )
     s = s.withColumn("place", place).withColumns({"title": title, "base": base})
@@ -121,19 +129,42 @@ def summaries(lines: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def paged(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """Add the page that a section begins on: equi-join on the document, range on the line."""
-    p_ = pages.select(F.col("doc_id").alias("_d"), "page", F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
-    inside = (F.col("doc_id") == F.col("_d")) & F.col("start_line").between(F.col("_a"), F.col("_b"))
-    return found.join(p_, inside, "left").drop("_d", "_a", "_b")
+    """Add the page (doc_id, page, start_line, end_line) that a section begins on, null outside all pages.
+
+    The pages' first lines and the sections' are put in one order by line and the
+    last page's carried on: one shuffle by document, no range join.
+    """
+    marks = pages.select("doc_id", F.col("start_line").alias("_at"), F.lit(0).alias("_is"), F.struct("page", F.col("end_line").alias("end")).alias("_p"))
+    rows = found.select("*", F.col("start_line").alias("_at"), F.lit(1).alias("_is"))
+    order = Window.partitionBy("doc_id").orderBy("_at", "_is")
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_p", F.last("_p", ignorenulls=True).over(order)).where("_is = 1")
+    return both.withColumn("page", F.when(F.col("_at") <= F.col("_p.end"), F.col("_p.page"))).drop("_at", "_is", "_p")
 
 
 def running_headers(first_lines: DataFrame, least: int = 3) -> DataFrame:
-    """Page headers (doc_id, page, header) of at most 80 characters that stand on ``least`` pages of a document."""
+    """Page headers (doc_id, page, header) of at most 80 characters that stand on ``least`` pages of a document.
+
+    White space is collapsed first; a line of digits and punctuation alone is a page number, no header.
+    """
     n = F.count("*").over(Window.partitionBy("doc_id", "header"))
-    short = first_lines.where((F.length("header") <= 80) & (F.trim("header") != ""))
+    tidy = first_lines.withColumn("header", F.trim(F.regexp_replace("header", r"\s+", " ")))
+    short = tidy.where((F.length("header") <= 80) & (F.col("header") != "") & ~F.col("header").rlike(p.HEADER_NOISE))
     return short.withColumn("n", n).where(F.col("n") >= least).select("doc_id", "page", "header")
 
 
+def first_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page, header): the first line of each page that isn't blank."""
+    full = lines.where(F.trim("line") != "").select("doc_id", F.col("line_no").alias("start_line"), "line")
+    return paged(full, pages).where("page IS NOT NULL").groupBy("doc_id", "page").agg(F.min_by("line", "start_line").alias("header"))
+
+
+def with_context(found: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """Add page and ``context``: the running header of the page that a section begins on, unless it is the section's own title."""
+    headers = running_headers(first_lines(lines, pages))
+    out = paged(found, pages).join(headers, ["doc_id", "page"], "left")
+    return out.withColumn("context", F.when(F.col("header") != F.col("title"), F.col("header"))).drop("header")
+
+
 def keywords(question):
     """Distinct lowered words of four letters or more, without stop words, in order."""
     words = F.transform(F.filter(F.split(question, r"[^A-Za-z0-9_-]+"), lambda w: F.length(w) >= 4), lambda w: F.lower(w))
@@ -229,9 +260,11 @@ def ref_resolutions(questions: DataFrame, found: DataFrame) -> DataFrame:
 
     Of several, the one whose title shares most words with the rest of the
     question, if no other shares as many; else the first, and ``discriminated``
-    is false. Returns question_id, doc_id, label, number, candidates, place, discriminated.
+    is false. A section's ``context``, if ``found`` has it, counts as its title does. Returns question_id, doc_id, label, number, candidates, place, discriminated.
     """
-    hits = ref_matches(questions, found).join(questions, "question_id").join(found.select("doc_id", "place", "title"), ["doc_id", "place"])
+    said = F.concat_ws(" ", "title", "context") if "context" in found.columns else F.col("title")
+    named = found.select("doc_id", "place", said.alias("title"))
+    hits = ref_matches(questions, found).join(questions, "question_id").join(named, ["doc_id", "place"])
     rest = norm_words(F.replace(F.lower("question"), F.col("raw"), F.lit(" ")))
     own = F.filter(_significant(F.array_distinct(norm_words("title"))), lambda w: F.length(w) > 1)
     hits = hits.withColumn("agreement", F.size(F.array_intersect(own, rest)))
@@ -253,37 +286,60 @@ def ambiguities(resolutions: DataFrame) -> DataFrame:
     return resolutions.where("NOT discriminated").select("question_id", "doc_id", "label", "number", "place", others.alias("alternatives"))
 
 
+def asked_keywords(questions: DataFrame) -> DataFrame:
+    return questions.select("question_id", keywords(F.col("question")).alias("keywords"))
+
+
+def line_hits(questions: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
+    """(question_id, doc_id, place, line_no, n): how often a question's keywords stand in a line of a section, inside words too.
+
+    Keywords are looked up in the distinct words of the lines; lines meet only questions that one of their words is for.
+    """
+    words = placed(lines, found).select("doc_id", "place", "line_no", F.explode(F.split(F.lower("line"), r"[^a-z0-9_-]+")).alias("word"))
+    words = words.where(F.length("word") >= 4).groupBy("doc_id", "place", "line_no", "word").agg(F.count("*").alias("n"))
+    hits = keyword_hits(asked_keywords(questions), words.select("word"))
+    return words.join(hits, "word").groupBy("question_id", "doc_id", "place", "line_no").agg(F.sum(F.col("n") * F.col("hits")).alias("n"))
+
+
 def section_scores(questions: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
     """Score of every (question, section) that a reference, a title word or a keyword reaches.
 
     Every way is an equi-join, so that no question meets a section that shares
     nothing with it. tier: 4 referenced, 3 exact, 2 strong, 1 partial, 0 none;
-    volume: keyword occurrences in the section's lines.
+    ref_rank: 2 for the section that a reference means, 1 for another that it
+    matches, else 0; volume: keyword occurrences in the section's lines, inside
+    words too; hits: lines that hold one.
     """
     pair = ["question_id", "doc_id", "place"]
     by_ref = ref_matches(questions, found).select(*pair).distinct().withColumn("ref", F.lit(True))
-    asked = questions.select("question_id", F.explode(keywords(F.col("question"))).alias("word"))
-    words = placed(lines, found).select("doc_id", "place", F.explode(F.split(F.lower("line"), r"[^a-z0-9_-]+")).alias("word"))
-    counts = words.where("word <> ''").groupBy("doc_id", "place", "word").agg(F.count("*").alias("n"))
-    by_word = counts.join(asked, "word").groupBy(*pair).agg(F.sum("n").alias("volume"))
+    chosen = ref_resolutions(questions, found).select(*pair).distinct().withColumn("chosen", F.lit(True))
+    by_word = line_hits(questions, found, lines).groupBy(*pair).agg(F.sum("n").alias("volume"), F.count("*").alias("hits"))
     grades = heading_grades(questions, found)
-    s = by_word.join(by_ref, pair, "full").join(grades, pair, "full")
+    s = by_word.join(by_ref, pair, "full").join(grades, pair, "full").join(chosen, pair, "left")
     tier = F.when(F.col("ref"), 4).when(F.col("grade") == "exact", 3).when(F.col("grade") == "strong", 2).when(F.col("grade") == "partial", 1)
-    return s.select(*pair, tier.otherwise(0).alias("tier"), F.coalesce("volume", F.lit(0)).alias("volume"))
+    rank = F.when(F.col("chosen") & F.col("ref"), 2).when(F.col("ref"), 1).otherwise(0)
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return s.select(*pair, tier.otherwise(0).alias("tier"), rank.alias("ref_rank"), count("volume"), count("hits"))
+
+
+def _best(*keys: str):
+    return Window.partitionBy(*keys).orderBy(F.desc("tier"), F.desc("ref_rank"), F.desc("volume"), "place")
 
 
 def best_sections(scores: DataFrame, k: int = 4) -> DataFrame:
     """The k best sections of each (question, document), numbered in document order."""
-    order = Window.partitionBy("question_id", "doc_id").orderBy(F.desc("tier"), F.desc("volume"), "place")
-    top = scores.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    scores = scores.where("tier > 0 OR volume > 0")
+    top = scores.withColumn("r", F.row_number().over(_best("question_id", "doc_id"))).where(F.col("r") <= k).drop("r")
     return top.withColumn("nth", F.row_number().over(Window.partitionBy("question_id", "doc_id").orderBy("place")))
 
 
 def ranked_documents(scores: DataFrame, k: int = 6) -> DataFrame:
-    """The k best documents of each question: best tier, volume, then id."""
-    g = scores.groupBy("question_id", "doc_id").agg(F.max("tier").alias("tier"), F.sum("volume").alias("volume"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("tier"), F.desc("volume"), "doc_id")
-    return g.where("tier > 0 OR volume > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k best documents of each question: best tier, references resolved in it, hit lines, volume, then id."""
+    g = scores.groupBy("question_id", "doc_id").agg(
+        F.max("tier").alias("tier"), F.count_if(F.col("ref_rank") == 2).alias("chosen"), F.sum("hits").alias("hits"), F.sum("volume").alias("volume")
+    )
+    order = Window.partitionBy("question_id").orderBy(F.desc("tier"), F.desc("chosen"), F.desc("hits"), F.desc("volume"), "doc_id")
+    return g.where("tier > 0 OR hits > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def corpus_fingerprint(files: DataFrame, buckets: int = 4096) -> DataFrame:
@@ -349,22 +405,28 @@ def touched_sections(evidence: DataFrame) -> DataFrame:
     return g.select("answer_id", "document", "section", nth.alias("nth"))
 
 
-def ask_summary(questions: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
-    """The figures that ``ask_confidence`` reads, for every question; documents with a score are its evidence."""
+def ask_summary(questions: DataFrame, found: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The figures that ``ask_confidence`` reads, for every question.
+
+    ``evidence`` (question_id, text): the pieces that the question is answered
+    with. Its terms are the keywords and the numbers of its references; one is
+    matched if it stands anywhere in the question's own evidence.
+    """
     key = "question_id"
-    scores = section_scores(questions, found, lines).where("tier > 0 OR volume > 0")
-    evidence = scores.groupBy(key).agg(F.count_distinct("doc_id").alias("evidence"))
-    refs = section_refs(questions).groupBy(key).agg(F.count("*").alias("section_refs"))
+    counts_of = evidence.groupBy(key).agg(F.count("*").alias("evidence"))
+    asked = section_refs(questions)
+    refs = asked.groupBy(key).agg(F.count("*").alias("section_refs"))
     resolved = ref_resolutions(questions, found)
     named = F.struct(F.coalesce("label", F.lit("")), "number")
     resolved = resolved.groupBy(key).agg(F.count_distinct(named).alias("resolved_refs"), F.count_if(~F.col("discriminated")).alias("ambiguous"))
     order = F.when(F.col("grade") == "exact", 3).when(F.col("grade") == "strong", 2).when(F.col("grade") == "partial", 1).otherwise(0)
     best = heading_grades(questions, found).groupBy(key).agg(F.max_by("grade", order).alias("heading_match"))
-    terms = questions.select(key, F.explode(keywords(F.col("question"))).alias("word"))
-    words = placed(lines, found).select(F.explode(F.split(F.lower("line"), r"[^a-z0-9_-]+")).alias("word")).distinct().withColumn("seen", F.lit(1))
-    covered = terms.join(words, "word", "left").groupBy(key).agg(F.count("*").alias("terms_total"), F.count("seen").alias("terms_matched"))
+    terms = questions.select(key, F.explode(keywords(F.col("question"))).alias("term")).unionByName(asked.select(key, F.col("number").alias("term"))).distinct()
+    seen = terms.join(evidence.select(key, F.lower("text").alias("text")), key).where(F.contains("text", F.col("term"))).select(key, "term").distinct()
+    seen = seen.withColumn("seen", F.lit(1))
+    covered = terms.join(seen, [key, "term"], "left").groupBy(key).agg(F.count("*").alias("terms_total"), F.count("seen").alias("terms_matched"))
     out = questions.select(key)
-    for part in (evidence, refs, resolved, best, covered):
+    for part in (counts_of, refs, resolved, best, covered):
         out = out.join(part, key, "left")
     counts = ("evidence", "section_refs", "resolved_refs", "ambiguous", "terms_total", "terms_matched")
     return out.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in counts}, "heading_match": F.coalesce("heading_match", F.lit("none"))})
@@ -374,14 +436,19 @@ def structure_map(summed: DataFrame, most: int = 400, max_bytes: int | None = No
     """(doc_id, sections, text): one citation line per section under a header, the first ``most`` sections at most.
 
     ``summed``: sections with summary. A map above ``max_bytes`` loses its
-    summaries, never its sections, and says so.
+    summaries, never its sections, and says so. With the columns page and pages
+    a section is cited by its page, and the header counts the document's pages.
     """
-    line = F.concat(F.lit("§"), "section_id", F.lit(" "), "title", F.lit(" (¶"), "start_line", F.lit(")"))
-    counted = summed.groupBy("doc_id").agg(F.count("*").alias("sections"))
+    at = F.concat(F.lit("¶"), "start_line")
+    if "page" in summed.columns:
+        at = F.coalesce(F.concat(F.lit("p."), "page"), at)
+    line = F.concat(F.lit("§"), "section_id", F.lit(" "), "title", F.lit(" ("), at, F.lit(")"))
+    counted = summed.groupBy("doc_id").agg(F.count("*").alias("sections"), *([F.max("pages").alias("pages")] if "pages" in summed.columns else []))
     shown = summed.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")))
     shown = shown.where(F.col("r") <= most).select("doc_id", "r", line.alias("line"), "summary")
     listed = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", "line", "summary"))).alias("rows")).join(counted, "doc_id")
-    head = F.array(F.concat(F.lit("document "), "doc_id", F.lit(": "), "sections", F.lit(" sections")), F.lit("[full document elided; a section id or title recovers that section]"))
+    pages = F.coalesce(F.concat(F.lit(", "), "pages", F.lit(" pages")), F.lit("")) if "pages" in summed.columns else F.lit("")
+    head = F.array(F.concat(F.lit("document "), "doc_id", F.lit(": "), "sections", F.lit(" sections"), pages), F.lit("[full document elided; a section id or title recovers that section]"))
     left = F.col("sections") - F.size("rows")
     tail = F.when(left > 0, F.array(F.concat(F.lit("[omitted "), left, F.lit(" further sections]")))).otherwise(F.array().cast("array<string>"))
     full = F.array_join(F.concat(head, F.transform("rows", lambda x: F.concat(x["line"], F.lit(" — "), x["summary"])), tail), "\n")

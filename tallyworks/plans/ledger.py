@@ -65,7 +65,7 @@ def l03(spark, sf_dir):
 
 
 _ROLL = " UNION ALL ".join(
-    f"SELECT corpus, '{scope}' AS scope, {key} AS key, count(*) AS lines, count(*) FILTER (WHERE kind = 'ask') AS asks, count(*) FILTER (WHERE kind = 'zoom') AS zooms, count(*) FILTER (WHERE kind = 'serve') AS serves, count(DISTINCT session_id) AS sessions, {_SUMS}, {_COST} FROM full_lines GROUP BY corpus{'' if key == chr(39) * 2 else ', ' + key}"
+    f"SELECT corpus, '{scope}' AS scope, {key} AS key, count(*) AS lines, count(*) FILTER (WHERE kind = 'ask') AS asks, count(*) FILTER (WHERE kind = 'zoom') AS zooms, count(*) FILTER (WHERE kind = 'serve') AS serves, count(DISTINCT session_id) AS sessions, {_SUMS}, {_COST} FROM full_lines WHERE {key} IS NOT NULL GROUP BY corpus{'' if key == chr(39) * 2 else ', ' + key}"
     for scope, key in (("session", "session_id"), ("day", "strftime(ts, '%Y-%m-%d')"), ("month", "strftime(ts, '%Y-%m')"), ("document", "document"), ("corpus", "''"))
 )
 
@@ -75,12 +75,12 @@ def l04(spark, sf_dir):
     return rounded(l.rollup_totals(lines(spark, sf_dir)))
 
 
-@add("l05_documents", _L + " SELECT document, count(*) AS reads, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens, CAST(sum(avoided_tokens) AS BIGINT) AS avoided_tokens, round(sum(cost), 6) AS cost FROM full_lines WHERE kind <> 'ask' GROUP BY document")
+@add("l05_documents", _L + " SELECT corpus, document, count(*) AS reads, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens, CAST(sum(avoided_tokens) AS BIGINT) AS avoided_tokens, round(sum(cost), 6) AS cost FROM full_lines WHERE kind <> 'ask' AND document IS NOT NULL GROUP BY corpus, document")
 def l05(spark, sf_dir):
     return rounded(l.documents_rollup(lines(spark, sf_dir)))
 
 
-@add("l06_sessions", _L + f" SELECT session_id, count(*) FILTER (WHERE kind = 'ask') AS asks, CAST(coalesce(sum(avoided_tokens) FILTER (WHERE kind <> 'ask'), 0) AS BIGINT) AS avoided_tokens, {_COST} FROM full_lines GROUP BY session_id")
+@add("l06_sessions", _L + f" SELECT corpus, session_id, count(*) FILTER (WHERE kind = 'ask') AS asks, CAST(coalesce(sum(avoided_tokens) FILTER (WHERE kind <> 'ask'), 0) AS BIGINT) AS avoided_tokens, {_COST} FROM full_lines GROUP BY corpus, session_id")
 def l06(spark, sf_dir):
     return rounded(l.sessions_rollup(lines(spark, sf_dir)))
 
@@ -96,7 +96,7 @@ def l08(spark, sf_dir):
 
 
 _MONTH = "2024-01"
-_RES = "res AS (SELECT corpus, CAST(floor(sum(raw_bytes) / 4.0 + 0.5) AS BIGINT) AS resident_tokens FROM (SELECT *, row_number() OVER (PARTITION BY corpus, document ORDER BY ts DESC, id DESC) AS r FROM full_lines) x WHERE r = 1 GROUP BY corpus)"
+_RES = "res AS (SELECT corpus, CAST(floor(sum(raw_bytes) / 4.0 + 0.5) AS BIGINT) AS resident_tokens FROM (SELECT *, row_number() OVER (PARTITION BY corpus, coalesce(document, id) ORDER BY ts DESC, id DESC) AS r FROM full_lines) x WHERE r = 1 GROUP BY corpus)"
 
 
 def _resident(spark, sf_dir):
@@ -143,7 +143,7 @@ def l12(spark, sf_dir):
     return r.join(l.receipts(lines(spark, sf_dir)).select("corpus", "avoided_tokens"), "corpus")
 
 
-@add("a30_resident_bytes", _L + " SELECT corpus, CAST(sum(raw_bytes) AS BIGINT) AS resident_bytes, count(*) AS artifacts FROM (SELECT *, row_number() OVER (PARTITION BY corpus, document ORDER BY ts DESC, id DESC) AS r FROM full_lines) x WHERE r = 1 GROUP BY corpus")
+@add("a30_resident_bytes", _L + " SELECT corpus, CAST(sum(raw_bytes) AS BIGINT) AS resident_bytes, count(*) AS artifacts FROM (SELECT *, row_number() OVER (PARTITION BY corpus, coalesce(document, id) ORDER BY ts DESC, id DESC) AS r FROM full_lines) x WHERE r = 1 GROUP BY corpus")
 def a30(spark, sf_dir):
     return _resident(spark, sf_dir)
 

@@ -45,8 +45,8 @@ def d13(spark, sf_dir):
     return p.select("page_id", g.visible_text(F.col("html")).alias("text"), F.array_join(F.array_sort(g.outline(F.col("html"))), ",").alias("outline"))
 
 
-_HITS = f"""kw AS (SELECT question_id, unnest({_KW}) AS word FROM v_questions),
-hits AS (SELECT question_id, doc_id, line_no, count(*) AS words FROM (SELECT DISTINCT doc_id, line_no, unnest(string_split_regex(lower(line), '[^a-z0-9_-]+')) AS word FROM v_headed_lines) l JOIN kw USING (word) GROUP BY question_id, doc_id, line_no)"""
+_HITS = f"""kw AS (SELECT question_id, array_to_string({_KW}, '|') AS pat FROM v_questions WHERE len({_KW}) > 0),
+hits AS (SELECT question_id, doc_id, line_no, len(regexp_extract_all(lower(line), pat)) AS words FROM v_headed_lines JOIN kw ON regexp_matches(lower(line), pat))"""
 _VQ = duckdb("v_doc_lines", "v_headed_lines", "v_questions")
 
 

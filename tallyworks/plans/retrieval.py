@@ -8,7 +8,7 @@ from ..functions import patterns as p
 from ..operators import retrieval as r
 from ..operators import sections as s
 from .registry import Registry
-from .sections import _CITE, _HEADS, _MAP_HEAD, _PAGES, _RET, _SECT, _SUMMED, _V, _found, _pages, _q, lines
+from .sections import _CITE, _RANKED, _HEADS, _MAP_HEAD, _PAGES, _RET, _SECT, _SUMMED, _V, _found, _pages, _q, lines
 from .views import duckdb, table, view
 
 R = Registry()
@@ -40,16 +40,15 @@ def d24_refusals(spark, sf_dir):
     return g.select("question_id", r.refusal(F.col("question")).alias("refusal"))
 
 
-_TOP = """top AS (SELECT question_id, doc_id, rank FROM (SELECT question_id, doc_id, max(tier) AS t, sum(volume) AS v, row_number() OVER (PARTITION BY question_id ORDER BY max(tier) DESC, sum(volume) DESC, doc_id) AS rank FROM scores GROUP BY question_id, doc_id) x WHERE rank <= 6 AND (t > 0 OR v > 0)),
+_TOP = f"""top AS (SELECT question_id, doc_id, rank FROM ({_RANKED}) y WHERE rank <= 6),
  pl AS (SELECT s.doc_id, s.place, s.start_line, l.line_no, l.line FROM sect s JOIN v_headed_lines l ON l.doc_id = s.doc_id AND l.line_no BETWEEN s.start_line AND s.end_line)"""
 
 
 @add(
     "d24_evidence",
     _RET
-    + f""", {_TOP}, best AS (SELECT question_id, doc_id, place, rank, r, start_line FROM (SELECT s.*, rank, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY tier DESC, volume DESC, place) AS r FROM scores s JOIN top USING (question_id, doc_id) WHERE tier > 0) x JOIN sect USING (doc_id, place) WHERE r <= 2),
- wl AS (SELECT doc_id, place, line_no, unnest(string_split_regex(lower(line), '[^a-z0-9_-]+')) AS word FROM pl),
- h AS (SELECT t.question_id, w.doc_id, t.rank, w.place, w.line_no, count(*) AS n FROM (SELECT question_id, unnest(kw) AS word FROM ask) a JOIN top t USING (question_id) JOIN wl w ON w.doc_id = t.doc_id AND w.word = a.word GROUP BY ALL),
+    + f""", {_TOP}, best AS (SELECT question_id, doc_id, place, rank, r, start_line FROM (SELECT s.*, rank, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY tier DESC, ref_rank DESC, volume DESC, place) AS r FROM scores s JOIN top USING (question_id, doc_id) WHERE tier > 0) x JOIN sect USING (doc_id, place) WHERE r <= 2),
+ h AS (SELECT k.question_id, k.doc_id, t.rank, k.place, k.line_no, k.n FROM kl k JOIN top t USING (question_id, doc_id)),
  inner_ AS (SELECT h.question_id, h.doc_id, h.rank, b.r, row_number() OVER (PARTITION BY h.question_id, h.doc_id, h.place ORDER BY n DESC, line_no) AS k, h.place, line_no FROM h JOIN best b ON b.question_id = h.question_id AND b.doc_id = h.doc_id AND b.place = h.place WHERE line_no <> b.start_line),
  outer_ AS (SELECT question_id, doc_id, rank, 0 AS r, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY n DESC, line_no) AS k, place, line_no FROM h ANTI JOIN best USING (question_id, doc_id)),
  ev AS (SELECT question_id, doc_id, rank, r, 0 AS k, place, start_line AS line_no FROM best UNION ALL SELECT * FROM inner_ WHERE k <= 2 UNION ALL SELECT * FROM outer_ WHERE k <= 2)
@@ -77,7 +76,7 @@ def d24_code(spark, sf_dir):
     _RET
     + f""", {_TOP}, {_SUMMED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS r FROM summed),
  maps AS (SELECT doc_id, count(*) AS sections, {_MAP_HEAD} string_agg({_CITE}, ' — ', summary), chr(10) ORDER BY r) FILTER (WHERE r <= 400), CASE WHEN count(*) > 400 THEN concat(chr(10), '[omitted ', count(*) - 400, ' further sections]') ELSE '' END) AS whole FROM ranked GROUP BY doc_id),
- b4 AS (SELECT question_id, doc_id, place FROM (SELECT question_id, doc_id, place, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY tier DESC, volume DESC, place) AS r FROM scores WHERE tier > 0 OR volume > 0) x JOIN top USING (question_id, doc_id) WHERE r <= 4),
+ b4 AS (SELECT question_id, doc_id, place FROM (SELECT question_id, doc_id, place, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY tier DESC, ref_rank DESC, volume DESC, place) AS r FROM scores WHERE tier > 0 OR volume > 0) x JOIN top USING (question_id, doc_id) WHERE r <= 4),
  bodies AS (SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE line_no - start_line < 3) AS body FROM pl GROUP BY doc_id, place),
  blocks AS (SELECT doc_id, place, concat(chr(10), chr(10), '[§', section_id, ' ', title, ' (¶', start_line, ')]', chr(10), body, CASE WHEN n > 3 THEN concat(chr(10), '[section truncated after 3 lines]') ELSE '' END) AS block FROM bodies JOIN sect USING (doc_id, place))
  SELECT question_id, doc_id, sections, concat(whole, string_agg(block, '' ORDER BY place)) AS text FROM b4 JOIN blocks USING (doc_id, place) JOIN maps USING (doc_id) GROUP BY question_id, doc_id, sections, whole""",

@@ -66,13 +66,13 @@ def d05(spark, sf_dir):
     return s.summaries(lines(spark, sf_dir), _found(spark, sf_dir)).select("doc_id", "place", "summary")
 
 
-_PAGES = "pages_ AS (SELECT doc_id, CAST(floor((line_no - 1) / 10) AS INT) + 1 AS page, min(line_no) AS start_line, max(line_no) AS end_line, concat('Header ', doc_id % 3) AS header FROM v_doc_lines GROUP BY doc_id, CAST(floor((line_no - 1) / 10) AS INT) + 1)"
+_PAGES = "pages_ AS (SELECT doc_id, CAST(floor((line_no - 1) / 10) AS INT) + 1 AS page, min(line_no) AS start_line, max(line_no) AS end_line, CASE doc_id % 4 WHEN 3 THEN '- 1 -' ELSE concat('Header  ', doc_id % 4) END AS header FROM v_doc_lines GROUP BY doc_id, CAST(floor((line_no - 1) / 10) AS INT) + 1)"
 
 
 def _pages(spark, sf_dir):
     page = (F.floor((F.col("line_no") - 1) / 10) + 1).cast("int")
     g = view(spark, sf_dir, "v_doc_lines").groupBy("doc_id", page.alias("page")).agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"))
-    return g.withColumn("header", F.concat(F.lit("Header "), F.col("doc_id") % 3))
+    return g.withColumn("header", F.when(F.col("doc_id") % 4 == 3, "- 1 -").otherwise(F.concat(F.lit("Header  "), F.col("doc_id") % 4)))
 
 
 @add("d06_section_pages", _V + f", {_HEADS}, {_SECT}, {_PAGES} SELECT s.doc_id, s.place, p.page FROM sect s LEFT JOIN pages_ p ON p.doc_id = s.doc_id AND s.start_line BETWEEN p.start_line AND p.end_line")
@@ -80,7 +80,7 @@ def d06(spark, sf_dir):
     return s.paged(_found(spark, sf_dir), _pages(spark, sf_dir)).select("doc_id", "place", "page")
 
 
-@add("d07_running_headers", _V + f", {_PAGES} SELECT doc_id, page, header FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, header) AS n FROM pages_) x WHERE n >= 3")
+@add("d07_running_headers", _V + f", {_PAGES} SELECT doc_id, page, replace(header, '  ', ' ') AS header FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, header) AS n FROM pages_) x WHERE n >= 3 AND header <> '- 1 -'")
 def d07(spark, sf_dir):
     return s.running_headers(_pages(spark, sf_dir).select("doc_id", "page", "header"))
 
@@ -126,12 +126,18 @@ grades AS (SELECT question_id, doc_id, place, CASE WHEN contains(concat(' ', arr
  FROM met JOIN titles USING (doc_id, place) JOIN asked USING (question_id))"""
 _SCORE = f"""{_MATCH}, {_GRADE},
 ask AS (SELECT question_id, {_KW} AS kw FROM v_questions),
-inside AS (SELECT s.doc_id, s.place, unnest(string_split_regex(lower(line), '[^a-z0-9_-]+')) AS word FROM sect s JOIN v_headed_lines l ON l.doc_id = s.doc_id AND l.line_no BETWEEN s.start_line AND s.end_line),
-vol AS (SELECT question_id, doc_id, place, count(*) AS volume FROM inside i JOIN (SELECT question_id, unnest(kw) AS word FROM ask) a ON a.word = i.word WHERE i.word <> '' GROUP BY question_id, doc_id, place),
+kl AS (SELECT question_id, doc_id, place, line_no, len(regexp_extract_all(lower(line), pat)) AS n FROM (SELECT question_id, array_to_string(kw, '|') AS pat FROM ask WHERE len(kw) > 0) a
+ JOIN (SELECT s.doc_id, s.place, l.line_no, l.line FROM sect s JOIN v_headed_lines l ON l.doc_id = s.doc_id AND l.line_no BETWEEN s.start_line AND s.end_line) b ON regexp_matches(lower(line), pat)),
+vol AS (SELECT question_id, doc_id, place, CAST(sum(n) AS BIGINT) AS volume, count(*) AS hits FROM kl GROUP BY question_id, doc_id, place),
 byref AS (SELECT DISTINCT question_id, doc_id, place FROM matches),
+agree AS (SELECT m.*, len(list_intersect(list_filter({_sig("list_distinct(" + _norm('title') + ")")}, lambda w: length(w) > 1), {_norm("replace(lower(question), raw, ' ')")})) AS a FROM matches m JOIN v_questions USING (question_id) JOIN sect USING (doc_id, place)),
+g AS (SELECT question_id, doc_id, label, number, list({{'a': -a, 'place': place}} ORDER BY -a, place) AS r, min(place) AS first FROM agree GROUP BY question_id, doc_id, label, number),
+c AS (SELECT *, len(r) = 1 OR (r[1].a < 0 AND r[1].a < r[2].a) AS clear FROM g),
+chosen AS (SELECT DISTINCT question_id, doc_id, CASE WHEN clear THEN r[1].place ELSE first END AS place FROM c),
 pairs AS (SELECT question_id, doc_id, place FROM vol UNION SELECT question_id, doc_id, place FROM byref UNION SELECT question_id, doc_id, place FROM grades),
-scores AS (SELECT p.question_id, p.doc_id, p.place, CAST(CASE WHEN r.doc_id IS NOT NULL THEN 4 ELSE CASE grade WHEN 'exact' THEN 3 WHEN 'strong' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END END AS INT) AS tier, coalesce(volume, 0) AS volume
- FROM pairs p LEFT JOIN vol USING (question_id, doc_id, place) LEFT JOIN byref r USING (question_id, doc_id, place) LEFT JOIN grades USING (question_id, doc_id, place))"""
+scores AS (SELECT p.question_id, p.doc_id, p.place, CAST(CASE WHEN r.doc_id IS NOT NULL THEN 4 ELSE CASE grade WHEN 'exact' THEN 3 WHEN 'strong' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END END AS INT) AS tier,
+ CAST(CASE WHEN r.doc_id IS NULL THEN 0 WHEN h.doc_id IS NOT NULL THEN 2 ELSE 1 END AS INT) AS ref_rank, coalesce(volume, 0) AS volume, coalesce(hits, 0) AS hits
+ FROM pairs p LEFT JOIN vol USING (question_id, doc_id, place) LEFT JOIN byref r USING (question_id, doc_id, place) LEFT JOIN grades USING (question_id, doc_id, place) LEFT JOIN chosen h USING (question_id, doc_id, place))"""
 _RET = duckdb("v_doc_lines", "v_headed_lines", "v_questions") + f", {_HEADS}, {_SECT}, {_REFS}, {_SCORE}"
 
 
@@ -153,14 +159,9 @@ def d17(spark, sf_dir):
     return s.heading_grades(*_asked(spark, sf_dir))
 
 
-_AGREE = f""", agree AS (SELECT m.*, len(list_intersect(list_filter({_sig("list_distinct(" + _norm('title') + ")")}, lambda w: length(w) > 1), {_norm("replace(lower(question), raw, ' ')")})) AS a FROM matches m JOIN v_questions USING (question_id) JOIN sect USING (doc_id, place)),
- g AS (SELECT question_id, doc_id, label, number, list({{'a': -a, 'place': place}} ORDER BY -a, place) AS r, min(place) AS first FROM agree GROUP BY question_id, doc_id, label, number),
- c AS (SELECT *, len(r) = 1 OR (r[1].a < 0 AND r[1].a < r[2].a) AS clear FROM g)"""
-
-
 @add(
     "d18_ref_resolutions",
-    _RET + _AGREE + """ SELECT question_id, doc_id, label, number, CAST(len(r) AS INT) AS candidates, CASE WHEN clear THEN r[1].place ELSE first END AS place, clear AS discriminated FROM c""",
+    _RET + """ SELECT question_id, doc_id, label, number, CAST(len(r) AS INT) AS candidates, CASE WHEN clear THEN r[1].place ELSE first END AS place, clear AS discriminated FROM c""",
 )
 def d18(spark, sf_dir):
     return s.ref_resolutions(*_asked(spark, sf_dir)).drop("places")
@@ -168,7 +169,7 @@ def d18(spark, sf_dir):
 
 @add(
     "d26_ambiguities",
-    _RET + _AGREE + " SELECT question_id, doc_id, label, number, first AS place, array_to_string(list_filter(list_sort(list_transform(r, lambda x: x.place)), lambda x: x <> first), ',') AS alternatives FROM c WHERE NOT clear",
+    _RET + " SELECT question_id, doc_id, label, number, first AS place, array_to_string(list_filter(list_sort(list_transform(r, lambda x: x.place)), lambda x: x <> first), ',') AS alternatives FROM c WHERE NOT clear",
 )
 def d26(spark, sf_dir):
     a = s.ambiguities(s.ref_resolutions(*_asked(spark, sf_dir)))
@@ -180,12 +181,17 @@ def d19(spark, sf_dir):
     return _scores(spark, sf_dir)
 
 
-@add("d20_best_sections", _RET + " SELECT question_id, doc_id, place, tier, volume, CAST(row_number() OVER (PARTITION BY question_id, doc_id ORDER BY place) AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY tier DESC, volume DESC, place) AS r FROM scores) x WHERE r <= 4")
+_BEST = "ORDER BY tier DESC, ref_rank DESC, volume DESC, place"
+_RANKED = "SELECT question_id, doc_id, max(tier) AS tier, count(*) FILTER (WHERE ref_rank = 2) AS chosen, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(volume) AS BIGINT) AS volume FROM scores GROUP BY question_id, doc_id"
+_RANKED = f"SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY tier DESC, chosen DESC, hits DESC, volume DESC, doc_id) AS INT) AS rank FROM ({_RANKED}) x WHERE tier > 0 OR hits > 0"
+
+
+@add("d20_best_sections", _RET + f" SELECT question_id, doc_id, place, tier, ref_rank, volume, hits, CAST(row_number() OVER (PARTITION BY question_id, doc_id ORDER BY place) AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id {_BEST}) AS r FROM scores WHERE tier > 0 OR volume > 0) x WHERE r <= 4")
 def d20(spark, sf_dir):
     return s.best_sections(_scores(spark, sf_dir))
 
 
-@add("d22_ranked_documents", _RET + " SELECT question_id, doc_id, tier, CAST(volume AS BIGINT) AS volume, CAST(rank AS INT) AS rank FROM (SELECT question_id, doc_id, max(tier) AS tier, sum(volume) AS volume, row_number() OVER (PARTITION BY question_id ORDER BY max(tier) DESC, sum(volume) DESC, doc_id) AS rank FROM scores GROUP BY question_id, doc_id) x WHERE rank <= 6 AND (tier > 0 OR volume > 0)")
+@add("d22_ranked_documents", _RET + f" SELECT * FROM ({_RANKED}) y WHERE rank <= 6")
 def d22(spark, sf_dir):
     return s.ranked_documents(_scores(spark, sf_dir))
 
@@ -253,20 +259,26 @@ _BAND = """band AS (SELECT *, CASE WHEN evidence = 0 OR (section_refs > 0 AND re
 @add(
     "d25_confidence",
     _RET
-    + _AGREE
-    + f""", kws AS (SELECT question_id, unnest(kw) AS word FROM ask), seen AS (SELECT DISTINCT word FROM inside),
+    + f""", top1 AS (SELECT question_id, doc_id FROM ({_RANKED}) y WHERE rank <= 6), picked AS (SELECT question_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id {_BEST}) AS r FROM scores WHERE tier > 0 OR volume > 0) x JOIN top1 USING (question_id, doc_id) WHERE r <= 1),
+ ev AS (SELECT question_id, lower(line) AS text FROM picked JOIN sect USING (doc_id, place) JOIN v_headed_lines l ON l.doc_id = picked.doc_id AND l.line_no = sect.start_line),
+ terms AS (SELECT question_id, unnest(kw) AS term FROM ask UNION SELECT question_id, number FROM refs), seen AS (SELECT DISTINCT question_id, term FROM terms JOIN ev USING (question_id) WHERE contains(text, term)),
  figures AS (SELECT question_id, coalesce(evidence, 0) AS evidence, coalesce(section_refs, 0) AS section_refs, coalesce(resolved_refs, 0) AS resolved_refs, coalesce(ambiguous, 0) AS ambiguous, coalesce(terms_total, 0) AS terms_total, coalesce(terms_matched, 0) AS terms_matched, coalesce(heading_match, 'none') AS heading_match
- FROM v_questions LEFT JOIN (SELECT question_id, count(DISTINCT doc_id) AS evidence FROM scores WHERE tier > 0 OR volume > 0 GROUP BY question_id) USING (question_id)
+ FROM v_questions LEFT JOIN (SELECT question_id, count(*) AS evidence FROM ev GROUP BY question_id) USING (question_id)
  LEFT JOIN (SELECT question_id, count(*) AS section_refs FROM refs GROUP BY question_id) USING (question_id)
  LEFT JOIN (SELECT question_id, count(DISTINCT concat(label, '|', number)) AS resolved_refs, count(*) FILTER (WHERE NOT clear) AS ambiguous FROM c GROUP BY question_id) USING (question_id)
  LEFT JOIN (SELECT question_id, max_by(grade, CASE grade WHEN 'exact' THEN 3 WHEN 'strong' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END) AS heading_match FROM grades GROUP BY question_id) USING (question_id)
- LEFT JOIN (SELECT question_id, count(*) AS terms_total, count(s.word) AS terms_matched FROM kws k LEFT JOIN seen s ON s.word = k.word GROUP BY question_id) USING (question_id)), {_BAND}
+ LEFT JOIN (SELECT question_id, count(*) AS terms_total, count(s.term) AS terms_matched FROM terms k LEFT JOIN seen s USING (question_id, term) GROUP BY question_id) USING (question_id)), {_BAND}
  SELECT question_id, evidence, section_refs, resolved_refs, ambiguous, terms_total, terms_matched, heading_match, CASE WHEN question_id % 7 > 0 THEN b WHEN b = 'high' THEN 'medium' ELSE 'low' END AS band FROM band""",
 )
 def d25(spark, sf_dir):
-    """The search for every seventh question ended incomplete."""
-    asked = s.ask_summary(*_asked(spark, sf_dir), lines(spark, sf_dir)).withColumn("incomplete", F.col("question_id") % 7 == 0)
-    return s.ask_confidence(asked).drop("reasons", "incomplete")
+    """The heading of the best section of each of a question's documents is its evidence; the search for every seventh question ended incomplete."""
+    asked, found = _asked(spark, sf_dir)
+    scores = _scores(spark, sf_dir)
+    best = s.best_sections(scores, 1).join(s.ranked_documents(scores).select("question_id", "doc_id"), ["question_id", "doc_id"], "left_semi")
+    at = best.join(found.select("doc_id", "place", F.col("start_line").alias("line_no")), ["doc_id", "place"])
+    evidence = at.join(lines(spark, sf_dir), ["doc_id", "line_no"]).select("question_id", F.col("line").alias("text"))
+    summed = s.ask_summary(asked, found, evidence).withColumn("incomplete", F.col("question_id") % 7 == 0)
+    return s.ask_confidence(summed).drop("reasons", "incomplete")
 
 
 @add(

@@ -89,7 +89,7 @@ FROM lineitem""",
     "v_ledger": (
         ("events", "documents"),
         """SELECT concat('l', e.event_id) AS id, e.event_id AS seq, concat('e', e.event_id) AS audit_id, e.ts, concat('corpus', e.user_id % 3) AS corpus, concat('s', e.user_id) AS session_id,
- CASE e.event_type WHEN 'signup' THEN 'ask' WHEN 'click' THEN 'zoom' ELSE 'serve' END AS kind, concat('doc', d.doc_id) AS document,
+ CASE e.event_type WHEN 'signup' THEN 'ask' WHEN 'click' THEN 'zoom' ELSE 'serve' END AS kind, CASE WHEN e.event_type <> 'signup' THEN concat('doc', d.doc_id) END AS document,
  d.n_chars AS raw_bytes, CASE WHEN e.event_type = 'click' THEN d.n_chars ELSE CAST(floor(d.n_chars / 10) AS BIGINT) END AS served_bytes,
  CASE WHEN e.event_type = 'signup' THEN CASE e.event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END END AS confidence
 FROM events e JOIN (SELECT max(doc_id) + 1 AS n FROM documents) m ON m.n > 0 JOIN documents d ON d.doc_id = e.event_id % m.n""",

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tallyworks.functions import dims
 from tallyworks.operators import bench, distill, ledger, usage
+from tallyworks.operators import sections as s
 from tallyworks.sources import transcripts
 
 TURN = "session_id string, turn int, model string, tools array<string>, " + ", ".join(f"{c} long" for c in usage.COUNTERS)
@@ -215,3 +216,64 @@ def test_recurrence_finds_short_and_inner_values(spark):
     r = spark.createDataFrame([("r1", "xnpm run buildx", 1), ("r2", "ls -l f1.ts", 2), ("r3", "ls", 9), ("r4", "", 0)], "id string, text string, seq int")
     got = {x["value"]: x["matched"] for x in mining.recurrences(s, r).collect()}
     assert got == {"ls": ["r2"], "npm run build": ["r1"], "1.ts": ["r2"]}
+
+
+def test_rollups_with_lines_without_document(spark):
+    """An ask line without a document adds nothing to documents and one line to its corpus; documents of one name stay apart by corpus."""
+    rows = [
+        ("c", "s1", "2026-01-02 10:00:00", "ask", None, 100, 40, 60, 0.1), ("c", "s1", "2026-01-02 10:00:01", "serve", "d", 100, 90, 10, 0.2),
+        ("k", "s2", "2026-01-03 10:00:00", "serve", "d", 50, 45, 5, 0.1),
+    ]
+    df = spark.createDataFrame(rows, "corpus string, session_id string, ts string, kind string, document string, raw_tokens long, served_tokens long, avoided_tokens long, cost double")
+    df = df.withColumn("ts", F.to_timestamp_ntz("ts"))
+    got = {(r.corpus, r.scope, r.key): (r.lines, r.asks, r.sessions, r.avoided_tokens) for r in ledger.rollup_totals(df).collect()}
+    assert got["c", "corpus", ""] == (2, 1, 1, 10) and got["c", "document", "d"] == (1, 0, 1, 10) and got["k", "document", "d"] == (1, 0, 1, 5)
+    assert got["c", "day", "2026-01-02"] == (2, 1, 1, 10) and got["c", "session", "s1"] == (2, 1, 1, 10) and len(got) == 10
+    assert [(r.corpus, r.document, r.raw_tokens) for r in ledger.documents_rollup(df).collect()] == [("c", "d", 100), ("k", "d", 50)]
+    assert [(r.corpus, r.session_id, r.asks) for r in ledger.sessions_rollup(df).collect()] == [("c", "s1", 1), ("k", "s2", 0)]
+
+
+def test_reference_ranks_above_volume(spark):
+    """Of two sections of one number the one whose title the question says is served, though the other says its words more often."""
+    text = ["Example 5: Nature-Based Products", "boilerplate claim claim claim claim claim claim", "Example 5: Engineered Bacterium", "one claim about bacteria here", "Claims", "misclaimed reclaims"]
+    lines = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(text)], "doc_id long, line_no int, line string")
+    found = s.sections(lines, s.headings(lines))
+    asked = spark.createDataFrame([(1, "What does Example 5 say of the engineered claim?"), (2, "Explain Example 5"), (3, "the claim of misclaimed things")], "question_id long, question string")
+    scores = s.section_scores(asked, found, lines)
+    got = {(r.question_id, r.place): (r.tier, r.ref_rank, r.volume, r.hits) for r in scores.collect()}
+    assert got[1, 1][:2] == (4, 1)
+    assert got[1, 2][:2] == (4, 2) and got[1, 2][2] < got[1, 1][2]
+    assert got[2, 1][:2] == (4, 2) and got[2, 2][:2] == (4, 1)
+    # occurrences inside words count, none overlapping another: misclaimed is one hit, by the keyword that begins first
+    assert got[3, 2][2:] == (4, 3)
+    assert [r.place for r in s.best_sections(scores.where("question_id = 1"), 1).collect()] == [2]
+
+
+def test_confidence_reads_the_questions_own_evidence(spark):
+    """A word of another document is no evidence; numbers of references are terms."""
+    lines = spark.createDataFrame([(1, 1, "Example 21: Widgets"), (1, 2, "body"), (2, 1, "Other"), (2, 2, "gadget")], "doc_id long, line_no int, line string")
+    found = s.sections(lines, s.headings(lines))
+    asked = spark.createDataFrame([(1, "gadget in Example 21"), (2, "gadget gizmo")], "question_id long, question string")
+    evidence = spark.createDataFrame([(1, "Example 21: Widgets body")], "question_id long, text string")
+    got = {r.question_id: (r.evidence, r.section_refs, r.resolved_refs, r.terms_matched, r.terms_total) for r in s.ask_summary(asked, found, evidence).collect()}
+    assert got == {1: (1, 1, 1, 2, 3), 2: (0, 0, 0, 0, 2)}
+
+
+def test_context_discriminates_equal_references(spark):
+    """Running page headers are part context; page numbers are none."""
+    text = []
+    for page in range(6):
+        text += ["Nature Products" if page < 3 else "Abstract Ideas", *(["Example 5"] if page in (1, 4) else ["words"]), "some body"]
+    lines = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(text)], "doc_id long, line_no int, line string")
+    pages = spark.createDataFrame([(1, k + 1, 3 * k + 1, 3 * k + 3) for k in range(6)], "doc_id long, page int, start_line int, end_line int")
+    heads = lines.where("line = 'Example 5'").selectExpr("doc_id", "line_no", "'named' AS kind", "2 AS level", "line AS heading")
+    found = s.with_context(s.sections(lines, heads), lines, pages)
+    assert [(r.place, r.page, r.context) for r in found.orderBy("place").collect()] == [(1, 1, None), (2, 2, "Nature Products"), (3, 5, "Abstract Ideas")]
+    asked = spark.createDataFrame([(1, "Example 5 of the abstract ideas")], "question_id long, question string")
+    assert [(r.place, r.discriminated, r.candidates) for r in s.ref_resolutions(asked, found).collect()] == [(3, True, 2)]
+    first = spark.createDataFrame([(1, k, "- 1 -") for k in range(3)] + [(1, k + 3, "Part  A") for k in range(3)], "doc_id long, page int, header string")
+    assert {r.header for r in s.running_headers(first).collect()} == {"Part A"}
+    extra = s.sections(lines, lines.where("line_no = 5").selectExpr("doc_id", "line_no", "'extra' AS kind", "1 AS level", "'USPTO 2019 -- Ex. 01' AS heading"))
+    assert [r.section_id for r in extra.orderBy("place").collect()] == ["s1", "uspto-2019-ex-01"]
+    maps = s.structure_map(s.summaries(lines, found).withColumn("pages", F.lit(6)))
+    assert maps.first().text.split("\n")[0] == "document 1: 3 sections, 6 pages" and "§example-5 Example 5 (p.2) — " in maps.first().text
