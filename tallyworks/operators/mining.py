@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from .substrings import containing
 
 
 def signature(line):
@@ -15,22 +16,42 @@ def signature(line):
     return F.substring(F.trim(F.regexp_replace(s, r"\s+", " ")), 1, 200)
 
 
+def error_signature(distilled, raw):
+    """Signature of the first error-like line of an artifact: of its distillate, else of its raw text; its verdict line is none."""
+
+    def first(text):
+        lines = F.filter(F.split(text, "\r?\n", -1), lambda x: x.rlike("(?i)error|fail") & ~x.startswith("VERDICT:"))
+        return F.try_element_at(lines, F.lit(1))
+
+    return signature(F.regexp_replace(F.coalesce(first(distilled), first(raw)), r"^first error:\s*", ""))
+
+
+def signed(events: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """``events`` with ``error_signature`` of their artifact (artifact_id, distilled, raw) by input_ref; null without one."""
+    told = artifacts.select(F.col("artifact_id").alias("input_ref"), error_signature(F.col("distilled"), F.col("raw")).alias("error_signature"))
+    return events.join(told, "input_ref", "left")
+
+
 def error_fix_pairs(audit: DataFrame) -> DataFrame:
     """A pass whose previous verdict in (session, profile) is a fail, with the files changed between and the last command.
 
-    Changes and commands join on the session with a range on time, so a long
-    session costs its pairs times the events between.
+    A change belongs, for each profile of its session, to the verdict before it:
+    a running value, no range join.
     """
     order = Window.partitionBy("session_id", "profile").orderBy("ts", "seq")
     v = audit.where(F.col("verdict").isNotNull()).select(
         "session_id", "profile", "seq", "ts", "verdict", F.lag("verdict").over(order).alias("was"), F.lag("seq").over(order).alias("fail_seq")
     )
     pairs = v.where("verdict = 'pass' AND was = 'fail'").select("session_id", "profile", F.col("seq").alias("pass_seq"), "fail_seq")
-    changed = audit.where("action = 'distill' AND mode = 'diff'").select(F.col("session_id").alias("_s"), F.col("seq").alias("_q"), "path")
-    between = (F.col("session_id") == F.col("_s")) & F.col("_q").between(F.col("fail_seq"), F.col("pass_seq"))
-    files = pairs.join(changed, between, "left").groupBy("session_id", "profile", "fail_seq", "pass_seq").agg(
+    changed = audit.where("action = 'distill' AND mode = 'diff'").select("session_id", "seq", "path")
+    placed = changed.join(pairs.select("session_id", "profile").distinct(), "session_id")
+    marks = v.select("session_id", "profile", "seq", F.lit(None).cast("string").alias("path"), F.col("seq").alias("last_seq"))
+    by_seq = Window.partitionBy("session_id", "profile").orderBy("seq", F.col("last_seq").isNull())
+    placed = placed.withColumn("last_seq", F.lit(None).cast("long")).unionByName(marks).withColumn("fail_seq", F.last("last_seq", ignorenulls=True).over(by_seq))
+    files = placed.where("path IS NOT NULL AND fail_seq IS NOT NULL").groupBy("session_id", "profile", "fail_seq").agg(
         F.array_join(F.array_sort(F.collect_set("path")), ",").alias("files")
     )
+    files = pairs.join(files, ["session_id", "profile", "fail_seq"], "left").withColumn("files", F.coalesce("files", F.lit("")))
     commands = audit.where("command IS NOT NULL").select("session_id", F.col("seq").alias("pass_seq"), "command", F.lit(None).cast("long").alias("fail_seq"), F.lit(None).cast("string").alias("profile"), F.lit(None).cast("string").alias("files"))
     both = files.withColumn("command", F.lit(None).cast("string")).unionByName(commands)
     so_far = Window.partitionBy("session_id").orderBy("pass_seq", F.col("fail_seq").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
@@ -38,15 +59,31 @@ def error_fix_pairs(audit: DataFrame) -> DataFrame:
     return out.where("fail_seq IS NOT NULL").select("session_id", "profile", "fail_seq", "pass_seq", "files", "command")
 
 
-def zoom_hotspots(audit: DataFrame, least: int = 3) -> DataFrame:
-    """Zooms per (session, target file): count, distinct queries and the first twenty events."""
-    z = audit.where("action = 'zoom'").groupBy("session_id", F.coalesce("path", "profile", F.lit("unknown")).alias("target"))
-    g = z.agg(
-        F.count("*").alias("zooms"),
-        F.array_join(F.array_sort(F.collect_set("query")), ",").alias("queries"),
-        F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]), 1, 20), ",").alias("evidence"),
-    )
-    return g.where(F.col("zooms") >= least)
+def zoom_hotspots(audit: DataFrame, artifacts: DataFrame, least: int = 1) -> DataFrame:
+    """Zooms per (session, target): target_kind, zooms, distinct queries by first use, and the first twenty events.
+
+    The target of a zoom is the file of its artifact (``artifacts``: artifact_id,
+    path), else the profile of the first distillation of its artifact in the
+    session, else unknown-artifact. Only ranked heads are gathered.
+    """
+    z = audit.where("action = 'zoom' AND input_ref IS NOT NULL").select("session_id", "input_ref", "seq", "id", "query")
+    files = artifacts.where("path <> ''").select(F.col("artifact_id").alias("input_ref"), F.replace(F.col("path"), F.lit("\\"), F.lit("/")).alias("file"))
+    first = audit.where("module = 'distill'").groupBy("session_id", "input_ref").agg(F.min_by("profile", "seq").alias("profile"))
+    z = z.join(files, "input_ref", "left").join(first, ["session_id", "input_ref"], "left")
+    kind = F.when(F.col("file").isNotNull(), "file").when(F.col("profile").isNotNull(), "artifact-class").otherwise("unknown")
+    z = z.withColumns({"target": F.coalesce("file", "profile", F.lit("unknown-artifact")), "target_kind": kind})
+    key = ["session_id", "target"]
+    z = z.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("seq", "id")))
+    head = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= EVIDENCE, F.struct("r", "id")))), lambda x: x["id"])
+    g = z.groupBy(*key).agg(F.min_by("target_kind", "r").alias("target_kind"), F.count("*").alias("zooms"), head.alias("evidence"))
+    asked = z.where("query <> ''").groupBy(*key, "query").agg(F.min("r").alias("r"))
+    asked = asked.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "query"))), lambda x: x["query"]).alias("queries"))
+    out = g.where(F.col("zooms") >= least).join(asked, key, "left")
+    return out.withColumn("queries", F.coalesce("queries", F.array().cast("array<string>")))
+
+
+def candidate_id(kind, key):
+    return F.concat(F.lit("cand-"), F.substring(F.sha2(F.concat_ws("\n", kind, key), 256), 1, 8))
 
 
 def merge_candidates(observed: DataFrame) -> DataFrame:
@@ -54,7 +91,121 @@ def merge_candidates(observed: DataFrame) -> DataFrame:
     g = observed.groupBy("type", "key").agg(
         F.count_distinct("session_id").alias("occurrences"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
     )
-    return g.withColumn("id", F.concat(F.lit("cand-"), F.substring(F.sha2(F.concat_ws(":", "type", "key"), 256), 1, 8)))
+    return g.withColumn("id", candidate_id("type", "key"))
+
+
+MINED = "session_id string, ts timestamp_ntz, nth int, type string, key string, signature string, evidence array<string>, queries array<string>, details string"
+STATE = (
+    "id string, type string, key string, signature string, evidence array<string>, first_seen timestamp_ntz, last_seen timestamp_ntz, "
+    "occurrences long, sessions array<string>, queries array<string>, details string"
+)
+
+
+def mined_candidates(audit: DataFrame, artifacts: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """What the sessions of ``audit`` teach: error-fix pairs, zoom hotspots and recurrences, as MINED rows.
+
+    ``artifacts``: artifact_id, path, distilled, raw. ``records``: id, text and
+    session_id, made, until of record versions (see ``record_versions``). ts is
+    the session's last event; details are JSON.
+    """
+    events = signed(audit, artifacts)
+    ended = audit.groupBy("session_id").agg(F.max("ts").alias("ts"))
+    none = F.array().cast("array<string>")
+    pairs = error_fix_pairs(audit)
+    at = lambda name: events.select("session_id", F.col("seq").alias(f"{name}_seq"), F.col("id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_ts"), *(["error_signature"] if name == "fail" else []))
+    pairs = pairs.join(at("fail"), ["session_id", "fail_seq"]).join(at("pass"), ["session_id", "pass_seq"])
+    said = F.coalesce("error_signature", F.concat("profile", F.lit(" verdict fail then pass")))
+    listed = F.filter(F.split("files", ","), lambda x: x != "")
+    what = F.to_json(F.struct("profile", said.alias("errorSignature"), listed.alias("changedFiles"), "command", F.col("fail_ts").alias("failedAt"), F.col("pass_ts").alias("fixedAt")))
+    fixes = pairs.select(
+        "session_id", F.col("pass_seq").alias("at"), F.lit(0).alias("part"), F.lit("error-fix").alias("type"), F.concat_ws(":", F.lit("error-fix"), "profile", said).alias("key"),
+        said.alias("signature"), F.array("fail_id", "pass_id").alias("evidence"), none.alias("queries"), what.alias("details"),
+    )
+    spots = zoom_hotspots(audit, artifacts)
+    what = F.to_json(F.struct("target", F.col("target_kind").alias("targetKind"), F.col("zooms").alias("zoomCount"), "queries"))
+    spots = spots.select(
+        "session_id", F.lit(0).cast("long").alias("at"), F.lit(1).alias("part"), F.lit("zoom-hotspot").alias("type"), F.concat(F.lit("zoom-hotspot:"), "target").alias("key"),
+        F.concat(F.lit("distillate of "), "target", F.lit(" required zooming back to raw")).alias("signature"), "evidence", "queries", what.alias("details"),
+    )
+    mined = fixes.unionByName(spots)
+    if records is not None:
+        changed = F.when((F.col("action") == "distill") & (F.col("mode") == "diff"), F.col("path"))
+        failed = F.when(F.col("verdict") == "fail", F.col("error_signature"))
+        signals = session_signals(events.select("session_id", "id", "seq", "command", changed.alias("changed"), failed.alias("error_signature")))
+        begun = audit.groupBy("session_id").agg(F.min("seq").alias("session_begun"))
+        signals = signals.join(begun, "session_id").withColumn("begun", F.col("session_begun"))
+        again = recurrences(signals, records).join(signals, ["session_id", "kind", "value"])
+        what = F.to_json(F.struct(F.col("kind").alias("signalKind"), F.col("value").alias("signal"), F.col("matched").alias("matchedRecords")))
+        again = again.select(
+            "session_id", F.lit(0).cast("long").alias("at"), F.lit(2).alias("part"), F.lit("recurrence").alias("type"), F.concat_ws(":", F.lit("recurrence"), "kind", "value").alias("key"),
+            F.concat(F.lit("recurring "), "kind", F.lit(": "), "value").alias("signature"), "evidence", none.alias("queries"), what.alias("details"),
+        )
+        mined = mined.unionByName(again)
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("part", "at", "key"))
+    return mined.join(ended, "session_id").withColumn("nth", nth).select(*[x.split()[0] for x in MINED.split(", ")])
+
+
+def record_versions(mined: DataFrame, begun: DataFrame) -> DataFrame:
+    """The candidates' texts as of each session: id, text, session_id, made, until.
+
+    ``begun``: session_id, seq of the session's first event, by which sessions
+    are in order. A session that mines a candidate gives it a new text, which
+    holds for later sessions until the next one's.
+    """
+    last = mined.groupBy("type", "key", "session_id").agg(F.max_by(F.struct("signature", "details"), "nth").alias("v")).join(begun, "session_id")
+    nxt = F.lead("seq").over(Window.partitionBy("type", "key").orderBy("seq", "session_id"))
+    text = F.concat_ws("\n", "key", "v.signature", "v.details")
+    return last.select(candidate_id("type", "key").alias("id"), text.alias("text"), "session_id", F.col("seq").alias("made"), nxt.alias("until"))
+
+
+def merge_mined(prior: DataFrame, mined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, counts): prior candidates (STATE rows) and newly mined ones (MINED rows) as one state per (type, key).
+
+    An occurrence is counted once a session, also over re-runs: a session among
+    the last KEPT_SESSIONS of a candidate refreshes it and counts as skipped.
+    Evidence keeps its first EVIDENCE events, queries are united, signature is
+    the first one's, details are the last one's. ``counts`` is one row: mined, merged
+    (new sessions of known candidates) and skipped. Only ranked heads are gathered.
+    """
+    key = ["type", "key"]
+    was = prior.select(*key, *[F.col(c).alias(f"_{c}") for c in prior.columns if c not in key])
+    rows = mined.join(was.select(*key, "_sessions"), key, "left")
+    known = F.coalesce(F.array_contains("_sessions", F.col("session_id")), F.lit(False))
+    by = Window.partitionBy(*key)
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("r", c))), lambda x: x[c])
+    last = rows.groupBy(*key).agg(
+        F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.max_by("details", F.struct("ts", "session_id", "nth")).alias("details"), F.min_by("signature", F.struct("ts", "session_id", "nth")).alias("signature"),
+    )
+    fresh = rows.where(~known).groupBy(*key, "session_id").agg(F.max("ts").alias("ts"))
+    n_new = fresh.groupBy(*key).agg(F.count("*").alias("n_new"))
+    late = fresh.withColumn("d", F.row_number().over(by.orderBy(F.desc("ts"), F.desc("session_id")))).where(F.col("d") <= KEPT_SESSIONS)
+    late = late.withColumn("r", -F.col("d")).groupBy(*key).agg(listed("session_id").alias("new_sessions"))
+
+    def heads(column: str, most: int | None):
+        each = rows.select(*key, "ts", "session_id", "nth", F.posexplode(column).alias("pos", "x"))
+        each = each.groupBy(*key, "x").agg(F.min(F.struct("ts", "session_id", "nth", "pos")).alias("at"))
+        each = each.withColumn("r", F.row_number().over(by.orderBy("at", "x")))
+        return (each if most is None else each.where(F.col("r") <= most)).groupBy(*key).agg(listed("x").alias(f"new_{column}"))
+
+    both = was.join(last, key, "full").join(n_new, key, "left").join(late, key, "left")
+    # of EVIDENCE events that the prior list may hold already, as many again can be new
+    both = both.join(heads("evidence", 2 * EVIDENCE), key, "left").join(heads("queries", None), key, "left")
+    none = F.array().cast("array<string>")
+    joined = lambda c: F.array_distinct(F.concat(F.coalesce(f"_{c}", none), F.coalesce(f"new_{c}", none)))
+    sessions = joined("sessions")
+    n = F.coalesce("n_new", F.lit(0))
+    state = both.select(
+        candidate_id("type", "key").alias("id"), *key, F.coalesce("_signature", "signature").alias("signature"), F.slice(joined("evidence"), 1, EVIDENCE).alias("evidence"),
+        F.coalesce("_first_seen", "first_ts").alias("first_seen"), F.coalesce(F.greatest("_last_seen", "last_ts"), "_last_seen").alias("last_seen"),
+        (F.coalesce("_occurrences", F.lit(0)) + n).cast("long").alias("occurrences"),
+        F.when(F.size(sessions) > KEPT_SESSIONS, F.slice(sessions, -KEPT_SESSIONS, KEPT_SESSIONS)).otherwise(sessions).alias("sessions"),
+        joined("queries").alias("queries"), F.coalesce("details", "_details").alias("details"),
+    )
+    new = F.when(F.col("_id").isNull(), 1).otherwise(0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    counts = both.where("rows IS NOT NULL").agg(total("rows").alias("mined"), total(n - new).alias("merged"), total(F.col("rows") - n).alias("skipped"))
+    return state, counts
 
 
 def candidate_evidence(observed: DataFrame) -> DataFrame:
@@ -113,17 +264,44 @@ def age_label(seconds):
     )
 
 
-def directive_matches(paths: DataFrame, directives: DataFrame) -> DataFrame:
-    """(path, target): a directive fits a path that equals its target or ends in it after a slash; an equi-join on the path's ends."""
+def _ends(paths: DataFrame) -> DataFrame:
+    """(path, target): every end of a path after a slash, and the path itself."""
     parts = F.split("path", "/")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "/"))
-    return paths.select("path", F.explode(ends).alias("target")).distinct().join(directives.select("target").distinct(), "target")
+    return paths.select("path", F.explode(ends).alias("target")).distinct()
 
 
-def run_summary(decided: DataFrame) -> DataFrame:
-    """One row of a mining run: candidates, graduated, withdrawn, kept."""
+def directive_matches(paths: DataFrame, directives: DataFrame) -> DataFrame:
+    """(path, target, ord): the first of ``directives`` (target, ord) that fits a path.
+
+    One fits if its target is the path or the path ends in it after a slash; an
+    equi-join on the path's ends.
+    """
+    fits = _ends(paths).join(directives.select("target", "ord"), "target")
+    return fits.groupBy("path").agg(F.min(F.struct("ord", "target")).alias("d")).select("path", "d.target", "d.ord")
+
+
+def run_summary(counts: DataFrame, decided: DataFrame, contradicted: DataFrame) -> DataFrame:
+    """One row of a mining run: mined, merged and skipped (one row ``counts``), records contradicted, graduated and withdrawn."""
     count = lambda d: F.count_if(F.col("decision") == d)
-    return decided.agg(F.count("*").alias("mined"), count("graduate").alias("graduated"), count("withdraw").alias("withdrawn"), count("keep").alias("kept"))
+    told = decided.agg(count("graduate").alias("graduated"), count("withdraw").alias("withdrawn"))
+    against = contradicted.agg(F.count_distinct("id").alias("contradicted"))
+    return counts.join(F.broadcast(told)).join(F.broadcast(against)).select("mined", "merged", "skipped", "contradicted", "graduated", "withdrawn")
+
+
+def ranked_report(candidates: DataFrame) -> DataFrame:
+    """Add ``rank`` by occurrences, last sighting and id over all candidates.
+
+    Candidates are ranked within their occurrences and day, and those groups'
+    sizes are summed up: no task sorts all of them.
+    """
+    group = ["occurrences", F.to_date("last_seen").alias("day")]
+    sizes = candidates.groupBy(*group).agg(F.count("*").alias("n"))
+    before = Window.orderBy(F.desc("occurrences"), F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row per pair of a count and a day
+    rows = candidates.withColumn("day", F.to_date("last_seen")).join(sizes.drop("n"), ["occurrences", "day"])
+    own = F.row_number().over(Window.partitionBy("occurrences", "day").orderBy(F.desc("last_seen"), "id"))
+    return rows.withColumn("rank", (F.col("before") + own).cast("int")).drop("before", "day")
 
 
 #: Bounds of evidence, of records that a signal recurs in, of queried symbols, of counted and of kept sessions.
@@ -144,32 +322,27 @@ def session_signals(events: DataFrame) -> DataFrame:
     return s.groupBy("session_id", "kind", "value").agg(F.min("seq").alias("begun"), listed.alias("evidence"))
 
 
-def _grams(text, size):
-    """Distinct pieces of ``size`` characters of a text."""
-    last = F.length(text) - size + 1
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, size))))
-
-
 def recurrences(signals: DataFrame, records: DataFrame) -> DataFrame:
-    """Signals whose value stands in the text of a record (id, text, seq) of before the signal.
+    """Signals whose value stands in the text of a record of an earlier session.
 
-    Every value is looked up by the rarest of its four-character pieces, so
-    that only records that hold this piece are searched. Returns session_id,
-    kind, value, matched (the first record ids).
+    ``records``: id, text, seq (or made), and, where texts have versions, until
+    (the version holds for signals up to it) and session_id: a session's own
+    records never match. Returns session_id, kind, value, matched (the first record ids).
     """
-    size = F.least(F.lit(4), F.length("value"))
-    values = signals.select("value").distinct()
-    pieces = values.select("value", F.explode(_grams(F.col("value"), size)).alias("gram"))
-    texts = records.select(F.col("id").alias("record"), "text", F.col("seq").alias("made"))
-    posted = None
-    for n in (1, 2, 3, 4):
-        part = texts.select("record", F.explode(_grams(F.col("text"), F.lit(n))).alias("gram"))
-        posted = part if posted is None else posted.unionByName(part)
-    posted = posted.join(pieces.select("gram").distinct(), "gram", "left_semi")
-    counts = posted.groupBy("gram").agg(F.count("*").alias("n"))
-    best = pieces.join(counts, "gram", "left").groupBy("value").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("b")).select("value", "b.gram")
-    found = best.join(posted, "gram").join(texts, "record").where(F.contains("text", F.col("value"))).select("value", "record", "made")
-    hit = signals.select("session_id", "kind", "value", "begun").join(found, "value").where("made < begun")
+    has = set(records.columns)
+    made = F.col("made" if "made" in has else "seq")
+    texts = records.select(
+        F.sha2("text", 256).alias("text_id"), F.col("id").alias("record"), "text", made.alias("made"),
+        (F.col("until") if "until" in has else F.lit(None).cast("long")).alias("until"),
+        (F.col("session_id") if "session_id" in has else F.lit(None).cast("string")).alias("of"),
+    )
+    # equal texts are indexed once
+    distinct = texts.select("text_id", "text").distinct()
+    found = containing(signals.select(F.col("value").alias("needle")), distinct).join(texts.drop("text"), "text_id")
+    hit = signals.select("session_id", "kind", "value", "begun").join(found.withColumnRenamed("needle", "value"), "value")
+    hit = hit.where((F.col("made") < F.col("begun")) & (F.col("until").isNull() | (F.col("begun") <= F.col("until"))))
+    hit = hit.where(F.col("of").isNull() | (F.col("of") != F.col("session_id")))
+    hit = hit.groupBy("session_id", "kind", "value", "record").agg(F.min("made").alias("made"))
     order = Window.partitionBy("session_id", "kind", "value").orderBy("made", "record")
     hit = hit.withColumn("r", F.row_number().over(order)).where(F.col("r") <= MATCHED)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("r", "record"))), lambda x: x["record"])
@@ -200,8 +373,8 @@ def contradictions(records: DataFrame, failures: DataFrame, zooms: DataFrame) ->
     fixes = records.where("type = 'error-fix'").join(failures.withColumnRenamed("signature", "target"), "target")
     files = records.where("type = 'zoom-hotspot'")
     paths, targets = zooms.select("path").distinct(), files.select("target").distinct()
-    down = directive_matches(paths, targets)
-    up = directive_matches(targets.withColumnRenamed("target", "path"), paths.withColumnRenamed("path", "target"))
+    down = _ends(paths).join(targets, "target")
+    up = _ends(targets.withColumnRenamed("target", "path")).join(paths.withColumnRenamed("path", "target"), "target")
     same = down.select("path", "target").unionByName(up.select(F.col("target").alias("path"), F.col("path").alias("target"))).distinct()
     again = files.join(same, "target").join(zooms, "path")
     columns = ["id", "session_id", "seq", "graduated_seq", "counted"]
@@ -209,6 +382,21 @@ def contradictions(records: DataFrame, failures: DataFrame, zooms: DataFrame) ->
     return both.where((F.col("seq") > F.col("graduated_seq")) & ~F.array_contains("counted", F.col("session_id"))).select("id", "session_id").distinct()
 
 
+def count_contradictions(records: DataFrame, found: DataFrame) -> DataFrame:
+    """``records`` with the sessions of ``found`` (id, session_id; see ``contradictions``) counted: contradictions and counted.
+
+    A record remembers the last COUNTED_SESSIONS sessions that it was contradicted in.
+    """
+    order = Window.partitionBy("id").orderBy("session_id")
+    n = F.count("*").over(Window.partitionBy("id"))
+    kept = found.withColumns({"r": F.row_number().over(order), "n": n}).where(F.col("r") > F.col("n") - COUNTED_SESSIONS)
+    new = kept.groupBy("id").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("r", "session_id"))), lambda x: x["session_id"]).alias("new"))
+    both = records.join(new, "id", "left")
+    all_ = F.concat("counted", F.coalesce("new", F.array().cast("array<string>")))
+    last = F.when(F.size(all_) > COUNTED_SESSIONS, F.slice(all_, -COUNTED_SESSIONS, COUNTED_SESSIONS)).otherwise(all_)
+    return both.withColumns({"contradictions": F.col("contradictions") + F.coalesce("n", F.lit(0)), "counted": last}).drop("new", "n")
+
+
 def ask_neighbourhoods(touched: DataFrame) -> DataFrame:
     """Sections that are asked for together: ``touched`` has event_id, session_id, document, section.
 

@@ -366,6 +366,29 @@ def ingest_status(new: DataFrame, prior: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"))
 
 
+def ingest(new: DataFrame, prior: DataFrame, stamp) -> DataFrame:
+    """(path, hash, detector, stamp, status) of all paths: ``ingest_status`` with provenance.
+
+    ``new``: path, hash, detector; ``prior`` has a stamp too. Unchanged paths
+    keep their stamp, added and changed ones get ``stamp``; removed ones keep
+    what they had.
+    """
+    old = prior.select("path", *[F.col(c).alias(f"_{c}") for c in ("hash", "detector", "stamp")])
+    both = ingest_status(new, prior).join(new, "path", "left").join(old, "path", "left")
+    fresh = F.col("status").isin("added", "changed")
+    return both.select("path", F.coalesce("hash", "_hash").alias("hash"), F.coalesce("detector", "_detector").alias("detector"), F.when(fresh, stamp).otherwise(F.col("_stamp")).alias("stamp"), "status")
+
+
+def ingest_counts(ingested: DataFrame) -> DataFrame:
+    """One row: how many paths were added, changed, unchanged and removed."""
+    return ingested.agg(*[F.count_if(F.col("status") == c).alias(c) for c in ("added", "changed", "unchanged", "removed")])
+
+
+def work_list(ingested: DataFrame) -> DataFrame:
+    """Paths that must be read again."""
+    return ingested.where(F.col("status").isin("added", "changed")).select("path", "hash")
+
+
 def ask_confidence(asked: DataFrame) -> DataFrame:
     """Add ``band`` (high, medium, low) and ``reasons`` to questions.
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rules import RuleBook
 from ..operators import mining as m
+from ..operators import profiles as pr
+from .distill import _build_logs
 from .ledger import _L, lines
 from .registry import Registry, rounded
 from .views import duckdb, view
@@ -23,13 +26,13 @@ _SIG = r"substr(trim(regexp_replace(regexp_replace(regexp_replace({}, '\(\d+,\d+
 
 @add(
     "m02_error_signatures",
-    duckdb("v_log_lines") + f" SELECT artifact_id, {_SIG.format('first')} AS signature FROM (SELECT artifact_id, min_by(line, line_no) AS first FROM v_log_lines WHERE regexp_matches(line, '(?i)error|failed') GROUP BY artifact_id) x",
+    duckdb("v_log_lines") + f" SELECT CAST(artifact_id AS VARCHAR) AS artifact_id, {_SIG.format('first')} AS signature FROM (SELECT artifact_id, min_by(line, line_no) AS first FROM v_log_lines WHERE regexp_matches(line, '(?i)error|fail') AND NOT starts_with(line, 'VERDICT:') GROUP BY artifact_id) x",
 )
 def m02(spark, sf_dir):
-    """Of every log with an error-like line, the first one."""
-    bad = view(spark, sf_dir, "v_log_lines").where(F.col("line").rlike("(?i)error|failed"))
-    first = bad.groupBy("artifact_id").agg(F.min_by("line", "line_no").alias("first"))
-    return first.select("artifact_id", m.signature(F.col("first")).alias("signature"))
+    """Of every build log, by its distillate or else its raw text."""
+    done = pr.distil(_build_logs(spark, sf_dir), RuleBook.built_in())
+    signed = done.select("artifact_id", m.error_signature(F.col("distilled"), F.col("raw")).alias("signature"))
+    return signed.where("signature IS NOT NULL")
 
 
 @add(
@@ -43,18 +46,31 @@ def m03(spark, sf_dir):
     return m.error_fix_pairs(audit(spark, sf_dir))
 
 
+_ART = "art AS (SELECT input_ref AS artifact_id, min(path) AS path FROM v_audit WHERE seq % 2 = 0 AND action = 'distill' GROUP BY input_ref)"
+
+
+def _artifacts(spark, sf_dir):
+    """Every second distilled artifact has a file; none has texts."""
+    a = audit(spark, sf_dir).where("seq % 2 = 0 AND action = 'distill'").groupBy(F.col("input_ref").alias("artifact_id")).agg(F.min("path").alias("path"))
+    return a.withColumns({"distilled": F.lit(None).cast("string"), "raw": F.lit(None).cast("string")})
+
+
 @add(
     "m04_zoom_hotspots",
     _A
-    + """ SELECT session_id, target, zooms, queries, evidence FROM (SELECT session_id, coalesce(path, profile, 'unknown') AS target, count(*) AS zooms, coalesce(string_agg(DISTINCT query, ',' ORDER BY query), '') AS queries, array_to_string(list_slice(list(id ORDER BY seq), 1, 20), ',') AS evidence FROM v_audit WHERE action = 'zoom' GROUP BY session_id, coalesce(path, profile, 'unknown')) x WHERE zooms >= 3""",
+    + f""", {_ART}, fst AS (SELECT session_id, input_ref, min_by(profile, seq) AS profile FROM v_audit WHERE module = 'distill' GROUP BY ALL),
+ z AS (SELECT v.session_id, v.seq, v.id, v.query, coalesce(a.path, f.profile, 'unknown-artifact') AS target, CASE WHEN a.path IS NOT NULL THEN 'file' WHEN f.profile IS NOT NULL THEN 'artifact-class' ELSE 'unknown' END AS kind
+ FROM v_audit v LEFT JOIN art a ON a.artifact_id = v.input_ref LEFT JOIN fst f ON f.session_id = v.session_id AND f.input_ref = v.input_ref WHERE action = 'zoom')
+ SELECT session_id, target, min_by(kind, seq) AS target_kind, count(*) AS zooms, array_to_string(list_slice(list(id ORDER BY seq, id), 1, 20), ',') AS evidence,
+ coalesce((SELECT string_agg(query, ',' ORDER BY q) FROM (SELECT query, min(seq) AS q FROM z y WHERE y.session_id = z.session_id AND y.target = z.target AND query <> '' GROUP BY query) w), '') AS queries FROM z GROUP BY session_id, target""",
 )
 def m04(spark, sf_dir):
-    return m.zoom_hotspots(audit(spark, sf_dir))
+    return m.zoom_hotspots(audit(spark, sf_dir), _artifacts(spark, sf_dir)).withColumns({c: F.array_join(c, ",") for c in ("evidence", "queries")})
 
 
-_CAND = """cand AS (SELECT 'zoom' AS type, path AS key, count(DISTINCT session_id) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen, concat('cand-', substr(sha256(concat('zoom:', path)), 1, 8)) AS id FROM v_audit WHERE action = 'zoom' GROUP BY path
- UNION ALL SELECT 'command', command, count(DISTINCT session_id), min(ts), max(ts), concat('cand-', substr(sha256(concat('command:', command)), 1, 8)) FROM v_audit WHERE command IS NOT NULL GROUP BY command)"""
-_CONF = "greatest(0, least(1, (1 - pow(CAST(0.5 AS DOUBLE), occurrences / CAST(40.0 AS DOUBLE))) * pow(CAST(0.5 AS DOUBLE), CAST(date_diff('day', CAST(first_seen AS DATE), DATE '2024-02-10') AS DOUBLE) / 14) - CAST(0.25 AS DOUBLE) * (occurrences % 2)))"
+_CAND = """cand AS (SELECT 'zoom' AS type, path AS key, count(DISTINCT session_id) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen, concat('cand-', substr(sha256(concat('zoom', chr(10), path)), 1, 8)) AS id FROM v_audit WHERE action = 'zoom' GROUP BY path
+ UNION ALL SELECT 'command', command, count(DISTINCT session_id), min(ts), max(ts), concat('cand-', substr(sha256(concat('command', chr(10), command)), 1, 8)) FROM v_audit WHERE command IS NOT NULL GROUP BY command)"""
+_CONF = "greatest(0, least(1, (1 - pow(CAST(0.5 AS DOUBLE), occurrences / CAST(40.0 AS DOUBLE))) * pow(CAST(0.5 AS DOUBLE), CAST(date_diff('day', CAST(last_seen AS DATE), DATE '2024-02-10') AS DOUBLE) / 14) - CAST(0.25 AS DOUBLE) * (occurrences % 2)))"
 
 
 def _candidates(spark, sf_dir):
@@ -65,7 +81,7 @@ def _candidates(spark, sf_dir):
 
 
 def _confident(spark, sf_dir):
-    age = F.date_diff(F.lit("2024-02-10").cast("date"), F.col("first_seen").cast("date")).cast("double")
+    age = F.date_diff(F.lit("2024-02-10").cast("date"), F.col("last_seen").cast("date")).cast("double")
     c = _candidates(spark, sf_dir)
     return c.withColumns({"contradictions": F.col("occurrences") % 2, "confidence": m.confidence(F.col("occurrences") / 20.0, age, F.col("occurrences") % 2)})
 
@@ -99,12 +115,9 @@ def m09(spark, sf_dir):
     _A + f", {_CAND} SELECT id, CAST(row_number() OVER (ORDER BY occurrences DESC, last_seen DESC, id) AS INT) AS rank, concat(CAST(floor(epoch(TIMESTAMP '2024-02-10' - first_seen) / 86400) AS BIGINT), 'd') AS age FROM cand",
 )
 def m14(spark, sf_dir):
-    from pyspark.sql import Window
-
     c = _candidates(spark, sf_dir)
     seconds = F.unix_timestamp(F.lit("2024-02-10").cast("timestamp")) - F.unix_timestamp(F.col("first_seen").cast("timestamp"))
-    rank = F.row_number().over(Window.orderBy(F.desc("occurrences"), F.desc("last_seen"), "id"))
-    return c.select("id", rank.alias("rank"), m.age_label(seconds).alias("age"))
+    return m.ranked_report(c.withColumn("age", m.age_label(seconds))).select("id", "rank", "age")
 
 
 @add(
@@ -119,19 +132,15 @@ def m15(spark, sf_dir):
     return rounded(m.corpus_candidates(led.where("kind = 'zoom'"), prior), 2)
 
 
-@add("m16_directive_matches", _A + " SELECT DISTINCT path, target FROM (SELECT DISTINCT path FROM v_audit) p JOIN (SELECT DISTINCT concat('f', event_id % 9, '.ts') AS target FROM events UNION SELECT 'src/f1.ts') d ON path = target OR suffix(path, concat('/', target))")
+@add("m16_directive_matches", _A + ", d AS (SELECT DISTINCT concat('f', event_id % 9, '.ts') AS target, CAST(event_id % 9 AS INT) AS ord FROM events UNION SELECT 'src/f1.ts', -1 UNION SELECT 'src/f2.ts', 99) SELECT path, min_by(target, ord) AS target, min(ord) AS ord FROM (SELECT DISTINCT path FROM v_audit) p JOIN d ON path = target OR suffix(path, concat('/', target)) GROUP BY path")
 def m16(spark, sf_dir):
-    """Targets are file names and one longer path."""
+    """Targets are file names and two longer paths, one before and one after them all."""
     from .views import table
 
-    targets = table(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("event_id") % 9, F.lit(".ts")).alias("target")).distinct()
-    targets = targets.unionByName(spark.range(1).select(F.lit("src/f1.ts").alias("target")))
-    return m.directive_matches(audit(spark, sf_dir).select("path").distinct(), targets).select("path", "target")
-
-
-@add("m17_run_summary", _DECIDED + " SELECT count(*) AS mined, count(*) FILTER (WHERE decision = 'graduate') AS graduated, count(*) FILTER (WHERE decision = 'withdraw') AS withdrawn, count(*) FILTER (WHERE decision = 'keep') AS kept FROM decided")
-def m17(spark, sf_dir):
-    return m.run_summary(m09(spark, sf_dir))
+    n = F.col("event_id") % 9
+    targets = table(spark, sf_dir, "events").select(F.concat(F.lit("f"), n, F.lit(".ts")).alias("target"), n.cast("int").alias("ord")).distinct()
+    targets = targets.unionByName(spark.createDataFrame([("src/f1.ts", -1), ("src/f2.ts", 99)], "target string, ord int"))
+    return m.directive_matches(audit(spark, sf_dir).select("path").distinct(), targets)
 
 
 _SIGNALS = "CASE WHEN action = 'distill' AND mode = 'diff' THEN path END"
@@ -270,3 +279,55 @@ def m07_evidence(spark, sf_dir):
 @add("m07_queries", _A + f", o AS ({_SEEN}) SELECT DISTINCT type, key, query FROM o WHERE query IS NOT NULL")
 def m07_queries(spark, sf_dir):
     return m.candidate_queries(_seen(spark, sf_dir))
+
+
+_RUNS = f"""o AS ({_SEEN}), row_ AS (SELECT type, key, session_id, max(ts) AS ts, min(seq) AS begun FROM o GROUP BY ALL), p AS (SELECT * FROM row_ WHERE CAST(substr(session_id, 2) AS BIGINT) % 2 = 0),
+ pk AS (SELECT type, key, session_id FROM (SELECT *, row_number() OVER (PARTITION BY type, key ORDER BY ts DESC, session_id DESC) AS r FROM p) x WHERE r <= 50),
+ fresh AS (SELECT r.* FROM row_ r ANTI JOIN pk USING (type, key, session_id)),
+ old AS (SELECT type, key, count(*) AS n, min(ts) AS a FROM p GROUP BY ALL), neu AS (SELECT type, key, count(*) AS n FROM fresh GROUP BY ALL), every AS (SELECT type, key, count(*) AS n, min(ts) AS a, max(ts) AS b FROM row_ GROUP BY ALL)"""
+
+
+def _runs(spark, sf_dir):
+    """Two mining runs: over sessions of even number, then over all; each session's zooms of a file and commands are one mined row."""
+    seen = _seen(spark, sf_dir).groupBy("type", "key", "session_id").agg(
+        F.max("ts").alias("ts"), F.min("seq").alias("nth"), F.slice(F.array_sort(F.collect_list("id")), 1, 3).alias("evidence"), F.array_sort(F.collect_set("query")).alias("queries")
+    )
+    mined = seen.select(
+        "session_id", "ts", F.col("nth").cast("int").alias("nth"), "type", "key", F.concat_ws(" ", "type", "key").alias("signature"), "evidence", "queries", F.col("session_id").alias("details")
+    )
+    even = F.substring("session_id", 2, 20).cast("long") % 2 == 0
+    first, _ = m.merge_mined(spark.createDataFrame([], m.STATE), mined.where(even))
+    return m.merge_mined(first, mined)
+
+
+@add(
+    "m07_merged",
+    _A + f""", {_RUNS} SELECT concat('cand-', substr(sha256(concat(e.type, chr(10), e.key)), 1, 8)) AS id, coalesce(old.n, 0) + coalesce(neu.n, 0) AS occurrences, CAST(least(50, e.n) AS INT) AS n_sessions,
+ CAST(strftime(coalesce(old.a, e.a), '%Y-%m-%d') AS VARCHAR) AS first_day, CAST(strftime(b, '%Y-%m-%d') AS VARCHAR) AS last_day FROM every e LEFT JOIN old USING (type, key) LEFT JOIN neu USING (type, key)""",
+)
+def m07_merged(spark, sf_dir):
+    state, _ = _runs(spark, sf_dir)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return state.select("id", "occurrences", F.size("sessions").alias("n_sessions"), day("first_seen").alias("first_day"), day("last_seen").alias("last_day"))
+
+
+@add(
+    "m17_run_summary",
+    _DECIDED + f""", {_RUNS}, g AS ({_GRADUATED}), fails AS (SELECT DISTINCT session_id, concat(path, '/', profile) AS target, max(seq) AS seq FROM v_audit WHERE verdict = 'fail' GROUP BY ALL), zz AS (SELECT session_id, path, max(seq) AS seq FROM v_audit WHERE action = 'zoom' GROUP BY ALL),
+ con AS (SELECT DISTINCT id FROM (SELECT g.*, f.session_id, f.seq FROM g JOIN fails f USING (target) WHERE type = 'error-fix' UNION ALL SELECT g.*, zz.session_id, zz.seq FROM g JOIN zz ON suffix(concat('/', path), concat('/', target)) OR suffix(concat('/', target), concat('/', path)) WHERE type = 'zoom-hotspot') x WHERE seq > graduated_seq AND was <> session_id)
+ SELECT (SELECT count(*) FROM row_) AS mined, (SELECT CAST(sum(n) AS BIGINT) FROM neu) - (SELECT count(*) FROM every ANTI JOIN old USING (type, key)) AS merged, (SELECT count(*) FROM row_) - (SELECT CAST(sum(n) AS BIGINT) FROM neu) AS skipped,
+ (SELECT count(*) FROM con) AS contradicted, (SELECT count(*) FROM decided WHERE decision = 'graduate') AS graduated, (SELECT count(*) FROM decided WHERE decision = 'withdraw') AS withdrawn""",
+)
+def m17(spark, sf_dir):
+    return m.run_summary(_runs(spark, sf_dir)[1], m09(spark, sf_dir), m10(spark, sf_dir))
+
+
+@add("m07_mined")
+def m07_mined(spark, sf_dir):
+    """Every session of the audit trail mined and merged with no prior state: one row per candidate."""
+    a, art = audit(spark, sf_dir), _artifacts(spark, sf_dir)
+    begun = a.groupBy("session_id").agg(F.min("seq").alias("seq"))
+    first = m.mined_candidates(a, art)
+    mined = m.mined_candidates(a, art, m.record_versions(first, begun))
+    state, _ = m.merge_mined(spark.createDataFrame([], m.STATE), mined)
+    return state.withColumns({c: F.array_join(c, ",") for c in ("evidence", "sessions", "queries")})

@@ -123,50 +123,85 @@ def live_totals(turns: DataFrame, split_at: int = 120_000, idle: str = "6 hours"
     return keyed.live_totals(turns, split_at, idle, lateness)
 
 
-def _log(path: str, batch: DataFrame, number: int) -> DataFrame:
-    """Write a micro-batch to its own folder of a log, and return the log up to it."""
-    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-    return batch.sparkSession.read.option("basePath", path).parquet(f"{path}/batch=*").where(F.col("batch") <= number)
-
-
-def session_end_mining(audit: Callable[[], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """A sink that mines the sessions that end in a micro-batch (rows with action session-end) and rewrites the candidates.
-
-    ``audit`` gives the stored audit table. A session's commands and zooms are
-    logged under the batch's number, so a repeated batch counts once; the
-    candidates of all batches so far are written to ``path/candidates/version=N``.
+def _latest(spark, path: str, before: int) -> str | None:
+    """The folder of the newest version under ``path`` that is older than ``before``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    found = [int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(at) if x.getPath().getName().startswith("version=")]
+    older = [v for v in found if v < before]
+    return f"{path}/version={max(older)}" if older else None
+
+
+def _keep(spark, path: str, number: int, versions: int = 3) -> None:
+    """Delete versions of a snapshot that no repeated micro-batch can read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for x in fs.listStatus(at):
+        name = x.getPath().getName()
+        if name.startswith("version=") and int(name.split("=")[1]) <= number - versions:
+            fs.delete(x.getPath(), True)
+
+
+def session_end_mining(audit: Callable[[DataFrame], DataFrame], artifacts: Callable[[], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that mines the sessions that end in a micro-batch (rows with action session-end) and merges them into the candidates.
+
+    ``audit`` gives the stored audit rows of the sessions it is handed
+    (session_id), ``artifacts`` the artifact table. Error-fix pairs, hotspots and
+    recurrences of earlier records are mined. A micro-batch reads its own
+    sessions and the newest snapshot of the state before it and writes
+    ``path/candidates/version=N`` and ``path/runs/batch=N`` (mined, merged,
+    skipped): a repeated one gives the same snapshot, and the cost of one doesn't
+    grow with their number.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         ended = batch.where("action = 'session-end'").select("session_id").distinct()
-        a = audit().join(ended, "session_id", "left_semi")
-        zooms = a.where("action = 'zoom'").select(F.lit("zoom").alias("type"), F.col("path").alias("key"), "session_id", "ts")
-        commands = a.where("command IS NOT NULL").select(F.lit("command").alias("type"), F.col("command").alias("key"), "session_id", "ts")
-        observed = _log(f"{path}/observed", zooms.unionByName(commands), number)
-        mining.merge_candidates(observed).write.mode("overwrite").parquet(f"{path}/candidates/version={number}")
+        at = _latest(spark, f"{path}/candidates", number)
+        prior = spark.createDataFrame([], mining.STATE) if at is None else spark.read.schema(mining.STATE).parquet(at)
+        # records as of these sessions: the state before them; a session's own records have the session in them
+        text = F.concat_ws("\n", "key", "signature", "details")
+        records = prior.select("id", text.alias("text"), F.get("sessions", F.size("sessions") - 1).alias("session_id"), F.lit(-1).cast("long").alias("made"), F.lit(None).cast("long").alias("until"))
+        mined = mining.mined_candidates(audit(ended), artifacts(), records)
+        state, counts = mining.merge_mined(prior, mined)
+        state.write.mode("overwrite").parquet(f"{path}/candidates/version={number}")
+        counts.write.mode("overwrite").parquet(f"{path}/runs/batch={number}")
+        _keep(spark, f"{path}/candidates", number)
 
     return write
 
 
+FILES = "path string, hash string, detector int, stamp long"
+
+
 def file_refresh(path: str) -> Callable[[DataFrame, int], None]:
     """A sink for change events (path, seq, hash, detector; hash null: the file is gone) that keeps an index of files.
 
-    Each micro-batch is reduced to the last event of every path and logged
-    under its number; a path's status against the batches before it is written
-    to ``path/status/batch=N``: added, changed, unchanged or removed.
+    A micro-batch is reduced to the last event of every path and merged into the
+    newest snapshot before it: ``path/files/version=N``. Each path's status
+    (added, changed, unchanged or removed) is written to ``path/status/batch=N``.
+    An unchanged file keeps the stamp of the batch that last changed it. A
+    micro-batch reads one snapshot and itself, whatever came before.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         last = batch.groupBy("path").agg(F.max_by(F.struct("hash", "detector"), "seq").alias("f")).select("path", "f.*")
-        log = _log(f"{path}/log", last, number)
-        prior = current_files(log.where(F.col("batch") < number)).join(last.select("path"), "path", "left_semi")
-        status = sections.ingest_status(last.where("hash IS NOT NULL"), prior)
-        status.write.mode("overwrite").parquet(f"{path}/status/batch={number}")
+        at = _latest(spark, f"{path}/files", number)
+        prior = spark.createDataFrame([], FILES) if at is None else spark.read.schema(FILES).parquet(at)
+        touched = prior.join(last.select("path"), "path", "left_semi")
+        done = sections.ingest(last.where("hash IS NOT NULL"), touched, F.lit(number).cast("long"))
+        done.select("path", "status").write.mode("overwrite").parquet(f"{path}/status/batch={number}")
+        kept = prior.join(last.select("path"), "path", "left_anti")
+        kept.unionByName(done.where("status <> 'removed'").select("path", "hash", "detector", "stamp")).write.mode("overwrite").parquet(f"{path}/files/version={number}")
+        _keep(spark, f"{path}/files", number)
 
     return write
 
 
-def current_files(log: DataFrame) -> DataFrame:
-    """(path, hash, detector) of the files that a log of refreshes leaves."""
-    last = log.groupBy("path").agg(F.max_by(F.struct("hash", "detector"), "batch").alias("f"))
-    return last.select("path", "f.*").where("hash IS NOT NULL")
+def current_files(spark, path: str) -> DataFrame:
+    """(path, hash, detector, stamp) of the newest snapshot that ``file_refresh`` has written to ``path``."""
+    at = _latest(spark, f"{path}/files", 1 << 62)
+    return spark.createDataFrame([], FILES) if at is None else spark.read.schema(FILES).parquet(at)

@@ -277,3 +277,82 @@ def test_context_discriminates_equal_references(spark):
     assert [r.section_id for r in extra.orderBy("place").collect()] == ["s1", "uspto-2019-ex-01"]
     maps = s.structure_map(s.summaries(lines, found).withColumn("pages", F.lit(6)))
     assert maps.first().text.split("\n")[0] == "document 1: 3 sections, 6 pages" and "§example-5 Example 5 (p.2) — " in maps.first().text
+
+
+MINING_AUDIT = (
+    "id string, ts timestamp_ntz, seq long, session_id string, module string, action string, mode string, verdict string, profile string, path string, input_ref string, command string, query string"
+)
+
+
+def mining_rows(spark):
+    """Two sessions: s1 fails, edits and passes, and zooms; s2 meets the same error and the same file."""
+    from datetime import datetime, timedelta
+
+    def e(seq, session, action, **kw):
+        base = dict.fromkeys(("mode", "verdict", "profile", "path", "input_ref", "command", "query"))
+        return {"id": f"e{seq}", "ts": datetime(2026, 1, 1) + timedelta(minutes=seq), "seq": seq, "session_id": session, "module": "zoom" if action == "zoom" else "distill", "action": action, **base, **kw}
+
+    told = []
+    for k, session in enumerate(("s1", "s2")):
+        o = 20 * k
+        told += [
+            e(o + 1, session, "rewrite", command="npm run build"), e(o + 2, session, "distill", verdict="fail", profile="build-log", input_ref=f"a{k}"),
+            e(o + 3, session, "distill", mode="diff", path="src/a.ts"), e(o + 4, session, "distill", mode="diff", path="src/b.ts"),
+            e(o + 5, session, "distill", verdict="pass", profile="build-log", input_ref="ok"), e(o + 6, session, "distill", mode="diff", path="src/late.ts"),
+            e(o + 7, session, "zoom", input_ref="a0", query="sym"), e(o + 8, session, "zoom", input_ref="a0", query=f"sym{k}"), e(o + 9, session, "zoom", input_ref="none"),
+        ]
+    names = [x.split()[0] for x in MINING_AUDIT.split(", ")]
+    art = [("a0", "src\\a.ts", "VERDICT: fail\nfirst error: src/a.ts(10,5): error TS1: x", "raw"), ("a1", None, None, "ok\nsrc/a.ts(99,1): error TS1: x"), ("ok", None, "VERDICT: pass", "fine")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in told], MINING_AUDIT), spark.createDataFrame(art, "artifact_id string, path string, distilled string, raw string")
+
+
+def test_mining_from_audit_rows_to_candidates(spark):
+    """The same error at another place is the same candidate; a second run over the same rows changes nothing."""
+    import hashlib
+
+    from tallyworks.operators import mining
+
+    audit, art = mining_rows(spark)
+    begun = audit.groupBy("session_id").agg(F.min("seq").alias("seq"))
+    first = mining.mined_candidates(audit, art)
+    mined = mining.mined_candidates(audit, art, mining.record_versions(first, begun))
+    empty = spark.createDataFrame([], mining.STATE)
+    state, counts = mining.merge_mined(empty, mined)
+    got = {r.key: r for r in state.collect()}
+    fix = got["error-fix:build-log:src/a.ts(#): error TS1: x"]
+    assert fix.id == "cand-" + hashlib.sha256(b"error-fix\nerror-fix:build-log:src/a.ts(#): error TS1: x").hexdigest()[:8]
+    assert fix.occurrences == 2 and fix.evidence == ["e2", "e5", "e22", "e25"] and fix.sessions == ["s1", "s2"]
+    details = json.loads(fix.details)
+    assert details["changedFiles"] == ["src/a.ts", "src/b.ts"] and details["command"] == "npm run build"
+    spot = got["zoom-hotspot:src/a.ts"]
+    assert (spot.occurrences, spot.queries, spot.evidence) == (2, ["sym", "sym0", "sym1"], ["e7", "e8", "e27", "e28"])
+    assert json.loads(spot.details)["targetKind"] == "file" and got["zoom-hotspot:unknown-artifact"].occurrences == 2
+    # s2 meets what s1 recorded; s1 has nothing before it, and its own records are none to it
+    again = {k: r for k, r in got.items() if r.type == "recurrence"}
+    assert set(again) == {"recurrence:error-signature:src/a.ts(#): error TS1: x", "recurrence:command:npm run build", "recurrence:path:src/a.ts", "recurrence:path:src/b.ts"}
+    assert all(r.sessions == ["s2"] for r in again.values())
+    assert tuple(counts.first()) == (10, 3, 0)
+    kept = spark.createDataFrame(state.collect(), state.schema)
+    twice, counts = mining.merge_mined(kept, mined)
+    assert sorted(map(str, twice.collect())) == sorted(map(str, kept.collect())) and tuple(counts.first()) == (10, 0, 10)
+
+
+def test_merge_keeps_bounds(spark):
+    """Sixty sessions of one candidate: sixty occurrences, the last fifty sessions, the first twenty events."""
+    from datetime import datetime, timedelta
+
+    from tallyworks.operators import mining
+
+    rows = [(f"s{i:02d}", datetime(2026, 1, 1) + timedelta(hours=i), 1, "t", "k", f"sig{i}", [f"e{i:02d}"], [f"q{i % 3}"], str(i)) for i in range(60)]
+    mined = spark.createDataFrame(rows, mining.MINED)
+    half, _ = mining.merge_mined(spark.createDataFrame([], mining.STATE), mined.where("session_id < 's30'"))
+    r = mining.merge_mined(half, mined.where("session_id >= 's30'"))[0].first()
+    assert (r.occurrences, r.sessions[0], r.sessions[-1], len(r.sessions)) == (60, "s10", "s59", 50)
+    assert r.evidence == [f"e{i:02d}" for i in range(20)] and r.queries == ["q0", "q1", "q2"] and (r.signature, r.details) == ("sig0", "59")
+    records = spark.createDataFrame([("r", ["x"] * 19, 19), ("q", ["x"], 1)], "id string, counted array<string>, contradictions long")
+    found = spark.createDataFrame([("r", f"s{i}") for i in range(3)], "id string, session_id string")
+    got = {x.id: (x.contradictions, len(x.counted), x.counted[-1]) for x in mining.count_contradictions(records, found).collect()}
+    assert got == {"r": (22, 20, "s2"), "q": (1, 1, "x")}
+    paths = spark.createDataFrame([("x/src/a.ts",), ("b.ts",)], "path string")
+    directives = spark.createDataFrame([("src/a.ts", 2), ("a.ts", 1), ("c.ts", 0)], "target string, ord int")
+    assert [(r.path, r.target) for r in mining.directive_matches(paths, directives).collect()] == [("x/src/a.ts", "a.ts")]

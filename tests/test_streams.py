@@ -155,19 +155,24 @@ def test_live_totals_end_sessions(spark):
 
 
 def test_session_end_mining(spark, sf):
+    """Sessions that end in two micro-batches, the second one repeated, give the state of one merge after another."""
     from tallyworks.operators import mining
+    from tallyworks.plans.mining import _artifacts
 
-    audit = view(spark, sf, "v_audit").where("seq < 600")
+    audit, art = view(spark, sf, "v_audit").where("seq < 600"), _artifacts(spark, sf)
     path = tempfile.mkdtemp(prefix="spark-")
-    sink = jobs.session_end_mining(lambda: audit, path)
+    sink = jobs.session_end_mining(lambda ended: audit.join(ended, "session_id", "left_semi"), lambda: art, path)
     ends = [r.session_id for r in audit.select("session_id").distinct().orderBy("session_id").collect()]
-    for number, part in enumerate((ends[::2], ends[1::2], ends[1::2])):
-        batch = spark.createDataFrame([(s, "session-end") for s in part], "session_id string, action string")
-        sink(batch, min(number, 1))
-    a = audit.where("action = 'zoom'").select(F.lit("zoom").alias("type"), F.col("path").alias("key"), "session_id", "ts")
-    c = audit.where("command IS NOT NULL").select(F.lit("command").alias("type"), F.col("command").alias("key"), "session_id", "ts")
-    whole = mining.merge_candidates(a.unionByName(c))
-    assert rows(spark.read.parquet(f"{path}/candidates/version=1"), "id", "occurrences") == rows(whole, "id", "occurrences")
+    for number, part in ((0, ends[::2]), (1, ends[1::2]), (1, ends[1::2]), (2, ends[1::2])):
+        sink(spark.createDataFrame([(e, "session-end") for e in part], "session_id string, action string"), number)
+    one = spark.read.parquet(f"{path}/candidates/version=1")
+    kinds = {r.type: r.n for r in one.groupBy("type").agg(F.sum("occurrences").alias("n")).collect()}
+    whole = mining.merge_mined(spark.createDataFrame([], mining.STATE), mining.mined_candidates(audit, art))[0]
+    assert rows(one.where("type <> 'recurrence'"), "id", "occurrences") == rows(whole, "id", "occurrences")
+    assert set(kinds) == {"error-fix", "zoom-hotspot", "recurrence"}
+    # sessions that end once more add nothing, whatever they recur in now
+    again = spark.read.parquet(f"{path}/runs/batch=2").first()
+    assert again.skipped > 0 and rows(spark.read.parquet(f"{path}/candidates/version=2").where("type <> 'recurrence'"), "id", "occurrences") == rows(whole, "id", "occurrences")
 
 
 def test_file_refresh(spark):
@@ -180,8 +185,13 @@ def test_file_refresh(spark):
         sink(batch, number)
     got = {x.path: x.status for x in spark.read.parquet(f"{path}/status/batch=1").collect()}
     assert got == {"a": "unchanged", "b": "changed", "c": "removed", "d": "added"}
-    log = spark.read.parquet(f"{path}/log")
-    assert sorted(x.path for x in jobs.current_files(log).collect()) == ["a", "b", "d"]
+    assert sorted((x.path, x.stamp) for x in jobs.current_files(spark, path).collect()) == [("a", 0), ("b", 1), ("d", 1)]
+    for number in range(2, 7):
+        sink(spark.createDataFrame([(f"n{number}", 10, "h", 1)], schema), number)
+    import os
+
+    assert sorted(os.listdir(f"{path}/files")) == ["version=4", "version=5", "version=6"]  # what a batch reads doesn't grow
+    assert jobs.current_files(spark, path).count() == 8
 
 
 def test_session_windows(spark):
