@@ -79,34 +79,39 @@ def fit_on(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
         part = int(2**31 * fit_docs / total)
         docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < part)
 
-    def count(batches: Iterator[pa.RecordBatch]):
-        seen: Counter = Counter()
+    def told(seen: Counter, kinds: list[tuple[str, pa.DataType]]):
+        columns = list(zip(*((*k, n) for k, n in seen.items()))) or [[] for _ in kinds]
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, kinds)], [name for name, _ in kinds])
 
-        def flush():
-            rows = list(seen.items())
-            seen.clear()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k, _ in rows], pa.string()),
-                    pa.array([k[1] for k, _ in rows], pa.int32()),
-                    pa.array([k[2] for k, _ in rows], pa.string()),
-                    pa.array([n for _, n in rows], pa.int64()),
-                ],
-                ["lang", "size", "gram", "n"],
-            )
+    as_words = [("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]
+    as_grams = [("lang", pa.string()), ("size", pa.int32()), ("gram", pa.string()), ("n", pa.int64())]
 
+    def words(batches: Iterator[pa.RecordBatch]):
+        seen: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 for word, n in Counter(letters(text.as_py())).items():
-                    seen[lang, 0, word] += n
-                    for size in range(1, LONGEST + 1):
-                        for g in _grams(word, size):
-                            seen[lang, size, g] += n
+                    seen[lang, word] += n
+                if len(seen) > 500_000:
+                    yield told(seen, as_words)
+        yield told(seen, as_words)
+
+    def grams(batches: Iterator[pa.RecordBatch]):
+        seen: Counter = Counter()
+        for batch in batches:
+            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
+                seen[lang, 0, word] += n
+                for size in range(1, LONGEST + 1):
+                    for g in _grams(word, size):
+                        seen[lang, size, g] += n
                 if len(seen) > 500_000:
-                    yield flush()
-        yield flush()
+                    yield told(seen, as_grams)
+        yield told(seen, as_grams)
 
-    counted = map_arrow(docs, count, "lang string, size int, gram string, n long")
+    # each distinct word is cut once, whatever the texts repeat
+    counted = map_arrow(docs, words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = map_arrow(counted, grams, "lang string, size int, gram string, n long")
     counted = counted.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
     counted = counted.groupBy("size", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("counts"))
     kept = counted.collect()  # what about FIT_DOCS documents hold
