@@ -90,6 +90,10 @@ CODE_SUFFIXES = ("ts", "tsx", "mts", "js", "mjs", "cjs", "jsx", "py")
 DOCUMENT_SUFFIXES = ("md", "markdown", "txt", "text", "pdf", "docx")
 PAGE_SUFFIXES = ("html", "htm")
 FULL_REWRITE_BYTES = 16_384
+#: Tool names by which a session shows that it was served: any server's zoom.
+OWN_TOOLS = r"(^|__)zoom($|_)"
+#: Sizes of file reads that pass, that are capped, and that are governed in any posture.
+READ_PASS, READ_CAPPED, GOVERN_ANY = 16_384, 65_536, 131_072
 TRIVIAL_PROMPT_CHARS = 120
 IDLE_FILES, IDLE_BYTES = 25, 262_144
 LIGHT_FILES, LIGHT_BYTES = 120, 2_097_152

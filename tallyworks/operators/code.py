@@ -28,6 +28,37 @@ def interfaces(lines: DataFrame, most: int = 4) -> DataFrame:
     return declarations(lines).where(F.col("nth") <= most)
 
 
+CLOSERS = r"^[})\\]]"
+
+
+def extents(lines: DataFrame) -> DataFrame:
+    """(path, name, start_line, end_line) of every declaration: up to the line before the next one indented as little, or up to that line if it closes it.
+
+    Methods have extents of their own inside a class's. Blank lines count
+    nowhere; the last declaration ends with the file's last line of text. Only
+    lines as little indented as some declaration of their file are put in order,
+    once per such depth.
+    """
+    text = lines.where(F.trim(F.col("line"), F.lit(" \t")) != "").withColumn("depth", F.length(F.regexp_extract("line", r"^[ \t]*", 0)))
+    exported, plain = F.regexp_extract("line", p.DECLARATION, 2), F.regexp_extract(F.trim(F.col("line"), F.lit(" \t")), p.PLAIN_DECLARATION, 2)
+    named = text.withColumn("name", F.when(exported != "", exported).otherwise(plain))
+    last = text.groupBy("path").agg(F.max("line_no").alias("last"))
+    levels = named.where("name <> ''").select("path", F.col("depth").alias("level")).distinct()
+    marks = named.join(levels, "path").where("depth <= level")
+    order = Window.partitionBy("path", "level").orderBy("line_no")
+    nxt = F.lead(F.struct("line_no", F.trim(F.col("line"), F.lit(" \t")).rlike(CLOSERS).alias("closes"), "depth")).over(order)
+    marks = marks.withColumn("next", nxt).where("name <> '' AND depth = level").join(last, "path")
+    closed = F.col("next.closes") & (F.col("next.depth") == F.col("depth"))
+    end = F.when(F.col("next").isNull(), F.col("last")).when(closed, F.col("next.line_no")).otherwise(F.col("next.line_no") - 1)
+    return marks.select("path", "name", F.col("line_no").alias("start_line"), end.cast("int").alias("end_line"))
+
+
+def symbol_table(lines: DataFrame) -> DataFrame:
+    """(doc_id, symbol, start_line, end_line) as ``retrieval.zoom_ladder`` takes it, of documents that are source files (doc_id, line_no, line)."""
+    found = extents(lines.withColumnRenamed("doc_id", "path"))
+    return found.select(F.col("path").alias("doc_id"), F.col("name").alias("symbol"), "start_line", "end_line")
+
+
 def relative_imports(lines: DataFrame) -> DataFrame:
     """(path, line_no, target) of every import of a relative module."""
     first, second = F.regexp_extract("line", p.RELATIVE_IMPORT, 1), F.regexp_extract("line", p.RELATIVE_FROM, 1)

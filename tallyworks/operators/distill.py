@@ -279,9 +279,16 @@ def prose_entities(text):
     return F.array_distinct(F.transform(F.concat(*found), lambda x: F.trim(x)))
 
 
-def read_tier(size, sliced):
-    """How a file read is served by its size in bytes; an explicit slice passes."""
-    return F.when(sliced | (size <= 16_384), "pass").when(size <= 65_536, "capped").otherwise("skeleton")
+def read_tier(size, sliced, posture=None):
+    """How a file read is served by its size in bytes and the session's ``posture`` (null: engaged).
+
+    Up to READ_PASS it passes; up to READ_CAPPED it is capped, whatever the slice;
+    above, a whole read gets a skeleton and an explicit slice passes. An idle
+    session governs nothing but whole reads of GOVERN_ANY bytes or more.
+    """
+    idle = F.lit(False) if posture is None else F.coalesce(posture == "idle", F.lit(False))
+    tier = F.when(size <= dims.READ_PASS, "pass").when(size <= dims.READ_CAPPED, "capped").when(sliced, "pass").otherwise("skeleton")
+    return F.when(idle & (sliced | (size < dims.GOVERN_ANY)), "pass").otherwise(tier)
 
 
 def handle_tokens(chars):

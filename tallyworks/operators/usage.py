@@ -126,9 +126,12 @@ def measured_serves(audit: DataFrame) -> DataFrame:
     return audit.where(kinds & F.col("bytes_in").isNotNull() & F.col("bytes_out").isNotNull())
 
 
-def context_score(turns: DataFrame, audit: DataFrame) -> DataFrame:
-    """Share of touched bytes that never entered the context, or why there is none, per session of ``turns``."""
-    sessions = turns.groupBy("session_id").agg(F.max(F.exists("tools", lambda t: t.rlike(r"(^|__)dcp__"))).alias("visible"))
+def context_score(turns: DataFrame, audit: DataFrame, own_tools: str = dims.OWN_TOOLS) -> DataFrame:
+    """Share of touched bytes that never entered the context, or why there is none, per session of ``turns``.
+
+    ``own_tools``: a pattern of the tool names by which a session shows that it was served at all.
+    """
+    sessions = turns.groupBy("session_id").agg(F.max(F.exists("tools", lambda t: t.rlike(own_tools))).alias("visible"))
     events = audit.groupBy("session_id").agg(F.count("*").alias("events"))
     sums = measured_serves(audit).groupBy("session_id").agg(
         F.count("*").alias("serves"), F.sum("bytes_in").alias("raw"), F.sum("bytes_out").alias("served")

@@ -223,12 +223,14 @@ def a02(spark, sf_dir):
 
 @add(
     "a20_read_tiers",
-    "SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR strlen(text) <= 16384 THEN 'pass' WHEN strlen(text) <= 65536 THEN 'capped' ELSE 'skeleton' END AS tier FROM documents",
+    """SELECT doc_id, CASE WHEN posture = 'idle' AND (sliced OR size < 131072) THEN 'pass' WHEN size <= 16384 THEN 'pass' WHEN size <= 65536 THEN 'capped' WHEN sliced THEN 'pass' ELSE 'skeleton' END AS tier
+ FROM (SELECT doc_id, strlen(text) * 8 AS size, doc_id % 9 = 0 AS sliced, CASE WHEN source = 'web' OR doc_id % 4 = 0 THEN 'idle' ELSE 'full' END AS posture FROM documents) x""",
 )
 def a20(spark, sf_dir):
-    """Every ninth document is read by an explicit slice."""
+    """Files of eight times a document's size; every ninth is read by an explicit slice, some in idle sessions."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", d.read_tier(F.octet_length("text"), F.col("doc_id") % 9 == 0).alias("tier"))
+    posture = F.when((F.col("source") == "web") | (F.col("doc_id") % 4 == 0), "idle").otherwise("full")
+    return docs.select("doc_id", d.read_tier(F.octet_length("text") * 8, F.col("doc_id") % 9 == 0, posture).alias("tier"))
 
 
 @add("a21_full_rewrites", "SELECT doc_id, doc_id % 2 = 0 AND strlen(text) > 16384 AS flagged FROM documents")

@@ -111,3 +111,11 @@ def d12(spark, sf_dir):
     b = g.inline_blocks(table(spark, sf_dir, "pages"))
     names = F.when(F.col("tag") == "script", F.array_sort("names")).otherwise(F.col("names"))
     return b.withColumn("names", F.array_join(names, ","))
+
+
+@add("d11_element_landmarks")
+def d11_elements(spark, sf_dir):
+    """One landmark a line of every page, by element depth; no twin, tests hold it against pages read by hand."""
+    from ..operators import landmarks
+
+    return landmarks.best_per_line(landmarks.element_landmarks(table(spark, sf_dir, "pages")))

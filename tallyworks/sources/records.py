@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..operators import distill
+from ..operators import distill, ledger
 
 INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?Z$"
 
 #: Kinds of candidates, folders that a scan skips, suffixes of indexed sources, largest document.
 CANDIDATE_TYPES = ("error-fix", "zoom-hotspot", "recurrence")
-SKIPPED_FOLDERS = ("node_modules", ".git", "dist", ".dcp", ".claude", "coverage", "backup")
+SKIPPED_FOLDERS = ("node_modules", ".git", "dist", ".claude", "coverage", "backup")
 SOURCE_SUFFIXES = ("ts", "tsx", "mts", "js", "mjs", "cjs", "py")
 LARGEST_DOCUMENT = 10 * 1024 * 1024
 
@@ -91,24 +91,24 @@ def malformed(checked: DataFrame) -> DataFrame:
     return checked.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(~F.col("valid")).alias("malformed"))
 
 
-def catalogue(files: DataFrame) -> DataFrame:
+def catalogue(files: DataFrame, skipped: tuple[str, ...] = SKIPPED_FOLDERS) -> DataFrame:
     """Add ``status`` to files (path, bytes): document, out-of-scope (a document too large), source or catalogued; skipped folders go."""
     suffix = F.lower(F.regexp_extract("path", r"[^/]\.([A-Za-z0-9]+)$", 1))
     status = F.when(suffix.isin(*dims.DOCUMENT_SUFFIXES), F.when(F.col("bytes") > LARGEST_DOCUMENT, "out-of-scope").otherwise("document"))
     status = status.when(suffix.isin(*SOURCE_SUFFIXES), "source").otherwise("catalogued")
     folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    kept = files.where(~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in SKIPPED_FOLDERS])))
+    kept = files.where(~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in skipped])))
     return kept.withColumn("status", status)
 
 
-def scan_folder(spark: SparkSession, root: str) -> DataFrame:
+def scan_folder(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED_FOLDERS) -> DataFrame:
     """(path, bytes, sha256, status) of every file below ``root``; paths are relative to it."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     inside = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), r"/+", "/")
     base = "/" + root.split(":", 1)[-1].strip("/") + "/"
     path = F.when(F.startswith(inside, F.lit(base)), F.substr(inside, F.lit(len(base) + 1))).otherwise(inside)
     files = found.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return catalogue(files)
+    return catalogue(files, skipped)
 
 
 def write_artifacts(artifacts: DataFrame, path: str) -> None:
@@ -116,6 +116,34 @@ def write_artifacts(artifacts: DataFrame, path: str) -> None:
     distill.redact(artifacts).write.mode("append").partitionBy("date").parquet(path)
 
 
+#: Buckets of sessions in the folders of a pruned table.
+BUCKETS = 64
+
+
+def _bucket(session):
+    return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
+
+
+def write_by_month(rows: DataFrame, path: str) -> None:
+    """Append rows (session_id, ts, ...) to a table in folders by month and bucket of the session.
+
+    Rows of a folder are brought together first, so that a task writes few files.
+    """
+    laid = rows.withColumns({"month": F.date_format("ts", "yyyy-MM"), "bucket": _bucket("session_id")})
+    laid.repartition("month", "bucket").write.mode("append").partitionBy("month", "bucket").parquet(path)
+
+
+def read_by_month(spark: SparkSession, path: str, session: str | None = None, month: str | None = None, day: str | None = None) -> DataFrame:
+    """Rows of a session, month (yyyy-MM) or day (yyyy-MM-dd) of such a table; only the folders that can hold them are listed and read."""
+    rows = spark.read.parquet(path)
+    if month or day:
+        rows = rows.where(F.col("month") == (month or day[:7]))
+    if session is not None:
+        # the bucket of a constant is a constant, which Spark folds into the partition filter
+        rows = rows.where((F.col("bucket") == _bucket(F.lit(session))) & (F.col("session_id") == session))
+    return ledger.scan(rows, session, month, day).drop("month", "bucket")
+
+
 def write_audit(events: DataFrame, path: str) -> None:
-    """Append audit events."""
-    events.write.mode("append").parquet(path)
+    """Append audit events (session_id, ts, ...), by month and session."""
+    write_by_month(events, path)

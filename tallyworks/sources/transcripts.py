@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Record types that a transcript may hold.
 KNOWN_TYPES = ("user", "assistant", "summary", "system")
+#: The counters of a tally.
+COUNTERS = ("input", "output", "cache_read", "cache_write", "cache_write_5m", "cache_write_1h", "cache_write_assumed", "thinking")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +103,7 @@ def fold_turns(classified: DataFrame) -> DataFrame:
     """One row per turn: records of one message id (else uuid, else the line itself) fold together.
 
     Tally, model and time come from the first record; tools of all records are
-    joined in line order. One shuffle on (file, key).
+    joined in line order. One shuffle on (file, key), of counters only.
     """
     get = lambda path, kind="string": F.try_variant_get("record", path, kind)
     rows = classified.where((F.col("class") == "known") & (get("$.type") == "assistant"))
@@ -112,12 +114,12 @@ def fold_turns(classified: DataFrame) -> DataFrame:
         "line_no",
         F.coalesce(get("$.message.id"), get("$.uuid"), F.concat(F.lit("line-"), F.col("line_no"))).alias("key"),
         tools.alias("tools"),
-        F.struct(
-            F.coalesce(get("$.message.model"), F.lit("unknown-model")).alias("model"),
-            get("$.timestamp").alias("timestamp"),
-            F.to_json(F.try_variant_get("record", "$.message.usage", "variant")).alias("usage"),
-        ).alias("head"),
+        F.coalesce(get("$.message.model"), F.lit("unknown-model")).alias("model"),
+        get("$.timestamp").alias("timestamp"),
+        F.try_variant_get("record", "$.message.usage", "variant").alias("usage"),
     )
+    head = ["model", "timestamp", *COUNTERS]
+    rows = tally(rows).select("file", "line_no", "key", "tools", F.struct(*head).alias("head"))
     folded = rows.groupBy("file", "key").agg(
         F.min("line_no").alias("first_line"),
         F.min_by("head", "line_no").alias("head"),
@@ -125,8 +127,7 @@ def fold_turns(classified: DataFrame) -> DataFrame:
             F.transform(F.array_sort(F.collect_list(F.struct("line_no", "tools"))), lambda x: x["tools"])
         ).alias("tools"),
     )
-    folded = folded.select("file", "key", "first_line", "head.model", "head.timestamp", "tools", F.try_parse_json("head.usage").alias("usage"))
-    return tally(folded).drop("usage")
+    return folded.select("file", "key", "first_line", "head.model", "head.timestamp", "tools", *[f"head.{c}" for c in COUNTERS])
 
 
 def session_ids(classified: DataFrame) -> DataFrame:

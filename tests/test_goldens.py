@@ -189,9 +189,10 @@ def test_files_and_sinks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r["line_no"] for r in transcripts.read_lines(spark, f"{tmp_path}/in/b.py").orderBy("line_no").collect()] == [0, 2, 3]
     art = spark.createDataFrame([("a", "API_KEY=value1", "2024-01-01")], "artifact_id string, text string, date string")
+    events = art.selectExpr("artifact_id AS id", "'s1' AS session_id", "timestamp_ntz'2024-01-31 10:00:00' AS ts")
     for _ in range(2):
         records.write_artifacts(art, f"{tmp_path}/art")
-        records.write_audit(art.drop("text"), f"{tmp_path}/audit")
+        records.write_audit(events, f"{tmp_path}/audit")
     stored = spark.read.parquet(f"{tmp_path}/art")
     assert stored.count() == 2 and stored.where(F.contains("text", F.lit("value1"))).count() == 0
     assert spark.read.parquet(f"{tmp_path}/audit").count() == 2
@@ -356,3 +357,20 @@ def test_merge_keeps_bounds(spark):
     paths = spark.createDataFrame([("x/src/a.ts",), ("b.ts",)], "path string")
     directives = spark.createDataFrame([("src/a.ts", 2), ("a.ts", 1), ("c.ts", 0)], "target string, ord int")
     assert [(r.path, r.target) for r in mining.directive_matches(paths, directives).collect()] == [("x/src/a.ts", "a.ts")]
+
+
+def test_months_and_sessions_prune_folders(spark, tmp_path):
+    """A month's or a session's scan lists only folders that can hold it, by the plan's partition filters."""
+    from tallyworks.sources import records
+
+    rows = [(f"s{i % 40}", f"2026-{1 + i % 3:02d}-{1 + i % 28:02d} 10:00:00", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "session_id string, ts string, n int").withColumn("ts", F.to_timestamp_ntz("ts"))
+    records.write_by_month(df, f"{tmp_path}/ledger")
+    month = records.read_by_month(spark, f"{tmp_path}/ledger", month="2026-02")
+    assert month.count() == df.where("month(ts) = 2").count() and {f.split("month=")[1][:7] for f in month.inputFiles()} == {"2026-02"}
+    one = records.read_by_month(spark, f"{tmp_path}/ledger", session="s7", day="2026-02-08")
+    assert sorted(r.n for r in one.collect()) == sorted(i for s_, t, i in rows if s_ == "s7" and t.startswith("2026-02-08")) and one.columns == df.columns
+    assert len(one.inputFiles()) == 1
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "month" in filters and "bucket" in filters

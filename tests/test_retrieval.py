@@ -98,3 +98,19 @@ def test_handles(spark):
         ("missing", None, None, None),
         ("missing", None, None, None),
     ]
+
+
+def test_zoom_serves_bodies_that_the_library_finds(spark):
+    """Extents by indentation and closing braces, nested ones too; the ladder's third step serves them."""
+    from tallyworks.operators import code
+
+    text = ["import x", "", "export class Box {", "  size = 1", "", "  export function grow() {", "    return 2", "  }", "}", "export const one = 1", "def last():", "    go()", "    stop()", ""]
+    lines = spark.createDataFrame([(7, i + 1, t) for i, t in enumerate(text)], "doc_id long, line_no int, line string")
+    got = {x.symbol: (x.start_line, x.end_line) for x in code.symbol_table(lines).collect()}
+    assert got == {"Box": (3, 9), "grow": (6, 8), "one": (10, 10), "last": (11, 13)}
+    zooms = spark.createDataFrame([(1, 7, "grow"), (2, 7, "last")], "zoom_id long, doc_id long, query string")
+    none = spark.createDataFrame([], "doc_id long, nth int, source_id long")
+    found = spark.createDataFrame([], "doc_id long, place int, section_id string, title string, start_line int, end_line int")
+    pages = spark.createDataFrame([], "doc_id long, page int, start_line int, end_line int")
+    served = {x.zoom_id: (x.step, x.text) for x in r.zoom_ladder(zooms, none, found, pages, lines, code.symbol_table(lines)).collect()}
+    assert served == {1: (3, "\n".join(text[5:8])), 2: (3, "\n".join(text[10:13]))}
