@@ -113,3 +113,43 @@ def validated(rates: DataFrame, base: str, low: str, high: str) -> DataFrame:
 
     ordered = (F.col(low) >= 0) & (F.col(low) <= F.col(base)) & (F.col(base) <= F.col(high))
     return rates.withColumn("valid", F.coalesce(ordered, F.lit(False)))
+
+
+#: Rate tables that may be given as files: the key, the figures that must be there and not negative, and the one that must lie between others.
+RATE_FILES = {
+    "prices": ("model", ["p_in", "p_out", "p_read", "p_5m", "p_1h"], None),
+    "energy": ("model", ["wh_base", "wh_low", "wh_high"], ("wh_low", "wh_base", "wh_high")),
+    "grid": ("region", ["g_per_kwh"], None),
+}
+
+
+def load_rates(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A rate table of ``name`` (prices, energy or grid) from JSON lines, with the source that each row must name.
+
+    Raises ValueError that tells the first bad rows and why: no key, a key twice,
+    no source, a figure that is missing, not a number or negative, bands out of
+    order, an unknown field. The file is read by Spark; the checks are one aggregate.
+    """
+    from pyspark.sql import functions as F
+
+    key, figures, band = RATE_FILES[name]
+    schema = _TABLES[name][2] + ", source string"
+    rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    given = [f.name for f in spark.read.json(path).schema.fields]
+    unknown = sorted(set(given) - {x.split()[0] for x in schema.split(", ")} - {"_corrupt_record"})
+    if unknown:
+        raise ValueError(f"{path}: unknown fields {', '.join(unknown)}")
+    why = F.when(F.col("_bad").isNotNull(), "not a row of the table").when(F.coalesce(F.trim(key), F.lit("")) == "", f"no {key}")
+    why = why.when(F.coalesce(F.trim("source"), F.lit("")) == "", "no source")
+    for c in figures:
+        why = why.when(~F.coalesce(F.col(c) >= 0, F.lit(False)), f"{c} is missing or negative")
+    if band is not None:
+        low, base, high = (F.col(c) for c in band)
+        why = why.when(~((low <= base) & (base <= high)), f"{', '.join(band)} are out of order")
+    rows = rows.cache()  # Spark reads no corrupt-record column alone
+    bad = [f"{r[0]}: {r[1]}" for r in rows.select(F.coalesce(key, F.lit("a row")).alias("k"), why.alias("why")).where("why IS NOT NULL").orderBy("k").limit(5).collect()]
+    bad += [f"{r[0]}: stands {r[1]} times" for r in rows.groupBy(key).count().where(f"count > 1 AND {key} IS NOT NULL").orderBy(key).limit(5).collect()]
+    rows.unpersist()
+    if bad:
+        raise ValueError(f"{path}: " + "; ".join(bad))
+    return rows.drop("_bad")

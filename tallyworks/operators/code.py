@@ -28,7 +28,7 @@ def interfaces(lines: DataFrame, most: int = 4) -> DataFrame:
     return declarations(lines).where(F.col("nth") <= most)
 
 
-CLOSERS = r"^[})\\]]"
+CLOSERS = r"^[})\]]"
 
 
 def extents(lines: DataFrame) -> DataFrame:
