@@ -63,10 +63,10 @@ def d28(spark, sf_dir):
 @add(
     "d27_extents",
     duckdb("v_log_lines")
-    + f""", code AS ({_CODE}), txt AS (SELECT path, line_no, line, trim(line, ' ' || chr(9)) AS t, length(regexp_extract(line, '^[ ' || chr(9) || ']*', 0)) AS depth FROM code WHERE trim(line, ' ' || chr(9)) <> ''),
+    + f""", code AS ({_CODE}), txt AS (SELECT path, line_no, line, trim(line, ' ' || chr(9)) AS t, length(regexp_extract(line, '^[ \\t]*', 0)) AS depth FROM code WHERE trim(line, ' ' || chr(9)) <> ''),
  named AS (SELECT *, CASE WHEN {_get(p.DECLARATION, 2)} <> '' THEN {_get(p.DECLARATION, 2)} ELSE regexp_extract(t, {_q(p.PLAIN_DECLARATION)}, 2) END AS name FROM txt),
  nxt AS (SELECT a.path, a.name, a.line_no, a.depth, min(b.line_no) AS n FROM named a LEFT JOIN txt b ON b.path = a.path AND b.line_no > a.line_no AND b.depth <= a.depth WHERE a.name <> '' GROUP BY ALL)
- SELECT nxt.path, name, nxt.line_no AS start_line, CAST(CASE WHEN n IS NULL THEN (SELECT max(line_no) FROM txt z WHERE z.path = nxt.path) WHEN regexp_matches(t.t, '^[})\\]]') AND t.depth = nxt.depth THEN n ELSE n - 1 END AS INT) AS end_line
+ SELECT nxt.path, name, nxt.line_no AS start_line, CAST(CASE WHEN n IS NULL THEN (SELECT max(line_no) FROM txt z WHERE z.path = nxt.path) WHEN regexp_matches(t.t, {_q(c.CLOSERS)}) AND t.depth = nxt.depth THEN n ELSE n - 1 END AS INT) AS end_line
  FROM nxt LEFT JOIN txt t ON t.path = nxt.path AND t.line_no = n""",
 )
 def d27_extents(spark, sf_dir):
