@@ -82,7 +82,7 @@ def found_in(page: str) -> list[tuple]:
         opened = f'<{tag} id="{name}">' if name else f"<{tag}>"
         title = f"{opened} {label}" if label else opened
         empty = tag in VOID or m[3].rstrip().endswith("/")
-        if tag == "title" or re.fullmatch("h[1-6]", tag):
+        if tag == "title" or re.match("h[1-6]$", tag):
             out.append((line, depth, "heading", 1 if tag == "title" else int(tag[1]), tag, None if tag == "title" else name, ""))
             if not empty:
                 headings.append((len(out) - 1, depth, at))
