@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import pages as g
 from ..operators import sections as s
 from .registry import Registry
-from .sections import _HEADS, _KW, _SECT, _V, _found, _q, lines
+from .sections import _HEADS, _LINE_HITS, _SECT, _V, _found, _q, lines
 from .views import duckdb, table, view
 
 R = Registry()
@@ -45,8 +45,7 @@ def d13(spark, sf_dir):
     return p.select("page_id", g.visible_text(F.col("html")).alias("text"), F.array_join(F.array_sort(g.outline(F.col("html"))), ",").alias("outline"))
 
 
-_HITS = f"""kw AS (SELECT question_id, array_to_string({_KW}, '|') AS pat FROM v_questions WHERE len({_KW}) > 0),
-hits AS (SELECT question_id, doc_id, line_no, len(regexp_extract_all(lower(line), pat)) AS words FROM v_headed_lines JOIN kw ON regexp_matches(lower(line), pat))"""
+_HITS = f"{_LINE_HITS}, hits AS (SELECT question_id, doc_id, line_no, n AS words FROM lh)"
 _VQ = duckdb("v_doc_lines", "v_headed_lines", "v_questions")
 
 

@@ -124,10 +124,16 @@ tword AS (SELECT doc_id, place, unnest(words) AS word FROM titles),
 met AS (SELECT question_id, doc_id, place, count(*) AS matched FROM tword JOIN (SELECT question_id, unnest(list_distinct(q)) AS word FROM asked) a USING (word) GROUP BY question_id, doc_id, place),
 grades AS (SELECT question_id, doc_id, place, CASE WHEN contains(concat(' ', array_to_string(q, ' '), ' '), concat(' ', phrase, ' ')) THEN 'exact' WHEN matched = len(words) AND len(words) >= 2 THEN 'strong' WHEN matched >= 2 OR len(words) = 1 THEN 'partial' ELSE 'none' END AS grade
  FROM met JOIN titles USING (doc_id, place) JOIN asked USING (question_id))"""
+#: Keyword occurrences of every line, inside words too, by way of the distinct words.
+_LINE_HITS = f"""kwq AS (SELECT question_id, keyword, list_position(list_transform(string_split_regex(question, '[^A-Za-z0-9_-]+'), lambda w: lower(w)), keyword) AS nth FROM (SELECT question_id, question, unnest({_KW}) AS keyword FROM v_questions) q),
+wl AS (SELECT doc_id, line_no, unnest(string_split_regex(lower(line), '[^a-z0-9_-]+')) AS word FROM v_headed_lines),
+mk AS (SELECT word, keyword FROM (SELECT DISTINCT word FROM wl WHERE length(word) >= 4) d JOIN (SELECT DISTINCT keyword FROM kwq) k ON contains(word, keyword)),
+qw AS (SELECT question_id, word, len(regexp_extract_all(word, pat)) AS h FROM (SELECT question_id, word, string_agg(keyword, '|' ORDER BY nth) AS pat FROM kwq JOIN mk USING (keyword) GROUP BY question_id, word) x),
+lh AS (SELECT question_id, doc_id, line_no, CAST(sum(h) AS BIGINT) AS n FROM wl JOIN qw USING (word) GROUP BY question_id, doc_id, line_no)"""
 _SCORE = f"""{_MATCH}, {_GRADE},
 ask AS (SELECT question_id, {_KW} AS kw FROM v_questions),
-kl AS (SELECT question_id, doc_id, place, line_no, len(regexp_extract_all(lower(line), pat)) AS n FROM (SELECT question_id, array_to_string(kw, '|') AS pat FROM ask WHERE len(kw) > 0) a
- JOIN (SELECT s.doc_id, s.place, l.line_no, l.line FROM sect s JOIN v_headed_lines l ON l.doc_id = s.doc_id AND l.line_no BETWEEN s.start_line AND s.end_line) b ON regexp_matches(lower(line), pat)),
+{_LINE_HITS},
+kl AS (SELECT question_id, h.doc_id, s.place, h.line_no, h.n FROM lh h JOIN sect s ON s.doc_id = h.doc_id AND h.line_no BETWEEN s.start_line AND s.end_line),
 vol AS (SELECT question_id, doc_id, place, CAST(sum(n) AS BIGINT) AS volume, count(*) AS hits FROM kl GROUP BY question_id, doc_id, place),
 byref AS (SELECT DISTINCT question_id, doc_id, place FROM matches),
 agree AS (SELECT m.*, len(list_intersect(list_filter({_sig("list_distinct(" + _norm('title') + ")")}, lambda w: length(w) > 1), {_norm("replace(lower(question), raw, ' ')")})) AS a FROM matches m JOIN v_questions USING (question_id) JOIN sect USING (doc_id, place)),
