@@ -38,10 +38,11 @@ def b01(spark, sf_dir):
 @add(
     "b02_success_checks",
     duckdb("v_runs")
-    + """ SELECT task, variant, rep, CASE task WHEN 'task2' THEN rep = 1 WHEN 'task3' THEN rep IN (0, 2) WHEN 'task4' THEN rep <> 0 WHEN 'task5' THEN false ELSE true END AS passed,
+    + """ SELECT task, variant, rep, CASE task WHEN 'task2' THEN starts_with(CAST(rep AS VARCHAR), '1') WHEN 'task3' THEN regexp_matches(CAST(rep AS VARCHAR), '^[02]') WHEN 'task4' THEN rep <> 0 WHEN 'task5' THEN false ELSE true END AS passed,
  CAST(CASE WHEN task IN ('task1', 'task2', 'task3', 'task4', 'task5') THEN 1 ELSE 0 END AS BIGINT) AS checks FROM v_runs""",
 )
 def b02(spark, sf_dir):
+    """A needle counts inside a longer text, so ``rep 1`` also stands in ``rep 10``."""
     r = view(spark, sf_dir, "v_runs")
     checks = spark.createDataFrame(
         [

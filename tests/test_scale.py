@@ -18,3 +18,15 @@ def test_ledger_meets_documents_by_their_number(name, spark, sf):
     text = plan(catalog.queries()[name](spark, sf))
     assert not re.search(r"NestedLoopJoin.*doc_id", text)
     assert re.search(r"(Hash|Merge)Join \[at#\d+L\], \[doc_id#\d+L\]", text)
+
+
+def test_success_checks_of_many_repetitions(spark, tmp_path):
+    """Repetitions of two digits: a needle stands inside longer texts, in the query and in its twin."""
+    import duckdb
+    from conftest import compare
+
+    path = f"{tmp_path}/conversations.parquet"
+    spark.range(500).selectExpr("id AS conv_id", "0 AS turn", "'user' AS role", "'x' AS text").write.parquet(path)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    compare(catalog.queries()["b02_success_checks"](spark, str(tmp_path)), catalog.oracle_sql()["b02_success_checks"], duck)
