@@ -30,3 +30,32 @@ def test_success_checks_of_many_repetitions(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet')")
     compare(catalog.queries()["b02_success_checks"](spark, str(tmp_path)), catalog.oracle_sql()["b02_success_checks"], duck)
+
+
+def test_signatures_distil_each_log_once(spark, sf):
+    """The condition on the signature isn't pushed down to where every use of a column distils the log again."""
+    text = plan(catalog.queries()["m02_error_signatures"](spark, sf))
+    assert not re.search(r"Filter isnotnull\((?!\w+#)", text)
+
+
+def test_contradictions_are_made_once(spark, sf):
+    """The pairs of records and sessions come out of the last join; nothing shuffles or sorts them."""
+    text = plan(catalog.queries()["m10_contradictions"](spark, sf)).split("\n")
+    above = text[: next(i for i, line in enumerate(text) if "Join" in line)]
+    assert not [line for line in above if "Exchange" in line or "Aggregate" in line]
+
+
+def test_contradicted_records_need_no_pairs(spark):
+    """The last sessions of a target tell which records are contradicted; those counted before don't."""
+    from tallyworks.operators import mining as m
+
+    n = m.COUNTED_SESSIONS
+    records = spark.createDataFrame(
+        [("a", "error-fix", "t", 0, [f"s{k}" for k in range(n)]), ("b", "error-fix", "t", n, ["x"]), ("c", "error-fix", "t", n - 1, ["x"]), ("d", "error-fix", "t", n - 1, [f"s{n}"])],
+        "id string, type string, target string, graduated_seq long, counted array<string>",
+    )
+    failures = spark.createDataFrame([(f"s{k}", k, "t") for k in range(n + 1)], "session_id string, seq long, signature string")
+    zooms = spark.createDataFrame([], "session_id string, seq long, path string")
+    assert sorted(r.id for r in m.contradicted(records, failures, zooms).collect()) == ["a", "c"]
+    pairs = sorted((r.id, r.session_id) for r in m.contradictions(records, failures, zooms).collect())
+    assert pairs == [("a", f"s{n}"), ("c", f"s{n}")]
