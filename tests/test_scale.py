@@ -59,3 +59,14 @@ def test_contradicted_records_need_no_pairs(spark):
     assert sorted(r.id for r in m.contradicted(records, failures, zooms).collect()) == ["a", "c"]
     pairs = sorted((r.id, r.session_id) for r in m.contradictions(records, failures, zooms).collect())
     assert pairs == [("a", f"s{n}"), ("c", f"s{n}")]
+
+
+def test_questions_go_to_the_sections(spark, sf):
+    """References and grades meet the sections without a shuffle of questions times sections."""
+    q = catalog.queries()
+    text = plan(q["d16_ref_matches"](spark, sf)).split("\n")
+    join = next(i for i, line in enumerate(text) if "BroadcastHashJoin" in line)
+    assert not [line for line in text[:join] if "Exchange" in line or "Aggregate" in line]
+    # from titles to grades: rows are a pair of a question and a title until the last join
+    text = plan(q["d17_heading_grades"](spark, sf))
+    assert not re.search(r"Exchange hashpartitioning\(question_id#\w+, doc_id", text)
