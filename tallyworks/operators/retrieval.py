@@ -32,8 +32,9 @@ def evidence(questions: DataFrame, found: DataFrame, lines: DataFrame) -> DataFr
     first line and its two lines densest in keywords; of a document without
     such a section its two densest lines. Keywords count inside words too.
     """
+    top = s.best_documents(questions, found, lines)
+    found, lines = s.of_documents(found, top), s.of_documents(lines, top)
     scores = s.section_scores(questions, found, lines)
-    top = s.ranked_documents(scores).select("question_id", "doc_id", "rank")
     pair = ["question_id", "doc_id"]
     best = scores.where("tier > 0").join(top, pair).withColumn("r", F.row_number().over(s._best(*pair))).where(F.col("r") <= BEST_SECTIONS)
     best = best.join(found.select("doc_id", "place", "start_line"), ["doc_id", "place"]).select(*pair, "place", "rank", "r", "start_line")
@@ -74,9 +75,10 @@ def document_serves(questions: DataFrame, found: DataFrame, lines: DataFrame, mo
 
     A section is cut after ``most_lines`` lines and says so.
     """
-    scores = s.section_scores(questions, found, lines)
-    top = s.ranked_documents(scores).select("question_id", "doc_id")
-    best = s.best_sections(scores.where("tier > 0 OR volume > 0"), SERVED_SECTIONS).join(top, ["question_id", "doc_id"], "left_semi")
+    top = s.best_documents(questions, found, lines)
+    found, lines = s.of_documents(found, top), s.of_documents(lines, top)
+    scores = s.section_scores(questions, found, lines).join(top, ["question_id", "doc_id"], "left_semi")
+    best = s.best_sections(scores, SERVED_SECTIONS)
     named = found.select("doc_id", "place", F.concat(F.lit("[§"), "section_id", F.lit(" "), "title", F.lit(" (¶"), "start_line", F.lit(")]")).alias("cite"))
     bodies = section_heads(lines, found, most_lines).join(named, ["doc_id", "place"])
     cut = F.when(F.col("n") > most_lines, F.lit(f"\n[section truncated after {most_lines} lines]")).otherwise("")

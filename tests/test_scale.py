@@ -70,3 +70,32 @@ def test_questions_go_to_the_sections(spark, sf):
     # from titles to grades: rows are a pair of a question and a title until the last join
     text = plan(q["d17_heading_grades"](spark, sf))
     assert not re.search(r"Exchange hashpartitioning\(question_id#\w+, doc_id", text)
+
+
+@pytest.mark.parametrize("name", ["d19_section_scores", "d20_best_sections", "d22_ranked_documents"])
+def test_scores_shuffle_no_pairs(name, spark, sf):
+    """From the sections' lines on, no pair of a question and a section is sent around; only the ranked heads of d22 are."""
+    text = plan(catalog.queries()[name](spark, sf)).split("\n")
+    explode = next(i for i, line in enumerate(text) if "Generate explode" in line)
+    sent = [line for line in text[:explode] if "Exchange" in line]
+    assert len(sent) == (1 if name == "d22_ranked_documents" else 0)
+    assert all("question_id" in line and "doc_id" not in line for line in sent) and (not sent or any("WindowGroupLimit" in line and "Partial" in line for line in text[:explode]))
+
+
+def test_keywords_are_counted_as_by_the_join(spark, monkeypatch):
+    """Questions that go to every task count what the join of many questions counts: inside words, none overlapping another, in the question's order."""
+    from tallyworks.operators import substrings as u
+
+    asked = spark.createDataFrame([(1, ["abcd", "bcdef", "topic"]), (2, ["bcdef", "abcd"]), (3, []), (4, ["aaaa"])], "question_id long, keywords array<string>")
+    rows = [(1, ["abcdef bcdef", "nothing", "topics: topictopic_abcd"]), (2, []), (3, ["aaaaaaaaa aaaa", "aaaa", "a-abcd"]), (4, None), (5, [None, "bcd efg"])]
+    texts = spark.createDataFrame(rows, "id long, texts array<string>")
+    order = lambda df: sorted((r.id, r.question_id, r.n, r.lines) for r in df.collect())
+    few = order(u.keyword_sums(asked, texts))
+    assert few == [(1, 1, 6, 2), (1, 2, 3, 2), (3, 1, 1, 1), (3, 2, 1, 1), (3, 4, 4, 2)]
+    for most in ("AT_ONCE", "REMEMBERED"):
+        hits, ids, lines = u._Hits([list(r.keywords) for r in asked.collect()]), [1, 2, 3, 4], [r[1] for r in rows]
+        monkeypatch.setattr(u, most, 1)
+        told = u.count_keywords(u.pa.array(lines, u.pa.list_(u.pa.string())), hits, ids).to_pylist()
+        assert sorted((i + 1, *x) for i, t in enumerate(told) for x in zip(t["question_id"], t["n"], t["lines"])) == few
+    monkeypatch.setattr(u, "FEW", 1)
+    assert order(u.keyword_sums(asked, texts)) == few
