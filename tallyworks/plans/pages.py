@@ -49,14 +49,13 @@ _HITS = f"{_LINE_HITS}, hits AS (SELECT question_id, doc_id, line_no, n AS words
 _VQ = duckdb("v_doc_lines", "v_headed_lines", "v_questions")
 
 
-def _hits(spark, sf_dir):
-    questions = view(spark, sf_dir, "v_questions").select("question_id", s.keywords(F.col("question")).alias("keywords"))
-    return g.line_search(questions, lines(spark, sf_dir), _found(spark, sf_dir))
+def _asked(spark, sf_dir):
+    return s.asked_keywords(view(spark, sf_dir, "v_questions"))
 
 
 @add("d21_line_search", _VQ + f", {_HEADS}, {_SECT}, {_HITS} SELECT h.*, s.place FROM hits h LEFT JOIN sect s ON s.doc_id = h.doc_id AND h.line_no BETWEEN s.start_line AND s.end_line")
 def d21(spark, sf_dir):
-    return _hits(spark, sf_dir)
+    return g.line_search(_asked(spark, sf_dir), lines(spark, sf_dir), _found(spark, sf_dir))
 
 
 @add(
@@ -64,7 +63,7 @@ def d21(spark, sf_dir):
     _VQ + f", {_HITS} SELECT question_id, count(*) AS hits, count(DISTINCT doc_id) AS documents, string_agg(concat(doc_id, ':', line_no), ',' ORDER BY r) FILTER (WHERE r <= 24) AS first FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY doc_id, line_no) AS r FROM hits) x GROUP BY question_id",
 )
 def d10(spark, sf_dir):
-    return g.search_summary(_hits(spark, sf_dir))
+    return g.search_summary(_asked(spark, sf_dir), lines(spark, sf_dir))
 
 
 @add("d23_grep", _V + " SELECT doc_id, line_no, line, CAST(hit AS INT) AS hit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS hit FROM v_headed_lines WHERE regexp_matches(line, 'Part [0-9]+$')) x WHERE hit <= 5")

@@ -99,3 +99,14 @@ def test_keywords_are_counted_as_by_the_join(spark, monkeypatch):
         assert sorted((i + 1, *x) for i, t in enumerate(told) for x in zip(t["question_id"], t["n"], t["lines"])) == few
     monkeypatch.setattr(u, "FEW", 1)
     assert order(u.keyword_sums(asked, texts)) == few
+
+
+@pytest.mark.parametrize("name", ["d10_search_summary", "d21_line_search"])
+def test_line_search_shuffles_no_hits(name, spark, sf):
+    """A line meets its section before the questions; hits are counted by document, and only heads are ranked."""
+    text = plan(catalog.queries()[name](spark, sf)).split("\n")
+    for i, line in enumerate(text):
+        if "Exchange" in line and "question_id" in line:
+            assert "doc_id" not in line and "line_no" not in line
+    if name == "d21_line_search":
+        assert not [line for line in text[: next(i for i, line in enumerate(text) if "Generate explode" in line)] if "Exchange" in line or "Join" in line]
