@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +103,31 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
+def give_back() -> None:
+    """Return memory that a Python worker has freed to the system: Arrow's pool and the C library keep it else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(function):
+    """``function`` over batches; when it has ended, what it has freed goes back to the system.
+
+    A worker waits for its next task, maybe of a stage without Python, beside
+    an executor that needs the memory.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand on the executors."""
+    """``df.mapInArrow`` with this package at hand on the executors and ``giving_back``."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(giving_back(function), schema)

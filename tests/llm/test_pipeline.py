@@ -84,3 +84,33 @@ def test_stages_take_odd_rows(spark, sf):
         if name == "mixing":
             assert {r.doc_id for r in got} <= {3, None} and {(r.size, r.doc, r.class_id, r["rank"]) for r in got} == {(1, 2, 3, "k")}
         assert stage(spark, df.where("false"), sf).count() == 0
+
+
+def test_workers_give_freed_memory_back(spark):
+    """A worker that has held a large batch keeps little of it while it waits for its next task."""
+    from tallyworks.llm.common import map_arrow
+
+    def held() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def first(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            texts = [b"x" * 1000 * (i % 7 + 1) for i in range(40_000)]
+            column = pa.array(texts)
+            yield pa.RecordBatch.from_pydict({"pid": [__import__("os").getpid()], "n": [held()]})
+            del texts, column
+
+    def later(batches):
+        import pyarrow as pa
+
+        now = held()
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [__import__("os").getpid()], "n": [now]})
+
+    one = spark.range(1).coalesce(1)
+    before = map_arrow(one, first, "pid long, n long").collect()[0]
+    after = [r for _ in range(8) for r in map_arrow(one, later, "pid long, n long").collect() if r.pid == before.pid]
+    assert before.n > 250e6 and after and min(r.n for r in after) < before.n - 200e6
