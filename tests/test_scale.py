@@ -110,3 +110,38 @@ def test_line_search_shuffles_no_hits(name, spark, sf):
             assert "doc_id" not in line and "line_no" not in line
     if name == "d21_line_search":
         assert not [line for line in text[: next(i for i, line in enumerate(text) if "Generate explode" in line)] if "Exchange" in line or "Join" in line]
+
+
+def test_recurrences_meet_heads_only(spark, sf):
+    """A signal meets the heads of its value's records: no window ranks pairs of a signal and a record."""
+    text = plan(catalog.queries()["m06_recurrences"](spark, sf)).split("\n")
+    assert not [line for line in text[: next(i for i, line in enumerate(text) if "Join" in line)] if "Window" in line]
+
+
+@pytest.mark.parametrize("versions, owned, span", [(True, True, 200), (True, True, 6), (True, False, 50), (False, True, 60), (False, False, 60)])
+def test_recurrences_by_brute_force(spark, versions, owned, span):
+    """Heads of values and of blocks of time leave the first records that hold at a signal's time and aren't its session's."""
+    import random
+
+    from tallyworks.operators import mining as m
+
+    rng = random.Random(1)
+    records = []
+    for _ in range(300):
+        made, text = rng.randrange(-20, span), rng.choice("abc") * 2 + rng.choice("xyz") * 2 + rng.choice("xyz")
+        until = None if rng.random() < 0.15 else made + int(rng.random() ** 3 * span)
+        records.append((f"r{rng.randrange(40):02}", text, f"s{rng.randrange(6)}" if rng.random() < 0.9 else None, made, until))
+    keys = {(f"s{rng.randrange(8)}", "path", v) for v in ("aa", "bb", "cc", "xx", "yyz", "aaxx", "q") for _ in range(20)}
+    signals = [(*k, rng.randrange(-5, span + 30)) for k in sorted(keys)]
+    want = {}
+    for session, kind, value, begun in signals:
+        best = {}
+        for record, text, of, made, until in records:
+            if value in text and made < begun and not (versions and until is not None and begun > until) and not (owned and of == session):
+                best[record] = min(best.get(record, made), made)
+        if best:
+            want[session, kind, value] = sorted(best, key=lambda x: (best[x], x))[: m.MATCHED]
+    columns = ["id", "text", *["session_id"] * owned, "made", *["until"] * versions]
+    told = spark.createDataFrame(records, "id string, text string, session_id string, made long, until long").select(*columns)
+    asked = spark.createDataFrame(signals, "session_id string, kind string, value string, begun long")
+    assert {(r.session_id, r.kind, r.value): list(r.matched) for r in m.recurrences(asked, told).collect()} == want
