@@ -145,3 +145,12 @@ def test_recurrences_by_brute_force(spark, versions, owned, span):
     told = spark.createDataFrame(records, "id string, text string, session_id string, made long, until long").select(*columns)
     asked = spark.createDataFrame(signals, "session_id string, kind string, value string, begun long")
     assert {(r.session_id, r.kind, r.value): list(r.matched) for r in m.recurrences(asked, told).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["a13_entity_gate", "a14_gates", "a17_audit_rows", "a17_distil_job", "m01_gate_verdicts"])
+def test_a_raw_text_is_read_once_by_each_vocabulary(name, spark, sf):
+    """The side of a vocabulary is a column that the distillate and the gates share; a log is split into lines once."""
+    text = plan(catalog.queries()[name](spark, sf))
+    for side in (r"\\berror TS", "build: Done", "npm ERR!"):
+        assert len(re.findall(r"RLIKE\(raw#\d+, [^\n]*?" + re.escape(side.replace("\\\\", "\\")), text)) <= 1, side
+    assert len(re.findall(r"split\(raw#", text)) <= 1
