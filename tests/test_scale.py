@@ -154,3 +154,19 @@ def test_a_raw_text_is_read_once_by_each_vocabulary(name, spark, sf):
     for side in (r"\\berror TS", "build: Done", "npm ERR!"):
         assert len(re.findall(r"RLIKE\(raw#\d+, [^\n]*?" + re.escape(side.replace("\\\\", "\\")), text)) <= 1, side
     assert len(re.findall(r"split\(raw#", text)) <= 1
+
+
+def test_hits_are_sorted_once_for_their_number_and_once_for_the_zoom(spark, sf, duck, monkeypatch):
+    """Hits are shuffled once, without their text, and many of them are dealt to more tasks; the rows stay those of the SQL."""
+    from conftest import compare
+    from tallyworks.plans import views
+
+    text = plan(catalog.queries()["a25_text_zoom"](spark, sf)).split("\n")
+    join = next(i for i, line in enumerate(text) if "HashJoin" in line or "MergeJoin" in line)
+    shuffles = [i for i, line in enumerate(text[:join]) if "Exchange" in line]
+    assert len(shuffles) == 1 and len([line for line in text[: shuffles[0]] if " Sort [" in line]) == 2
+    assert not [line for line in text[shuffles[0] :] if "concat(" in line]
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 500)
+    query = catalog.queries()["a25_text_zoom"](spark, sf)
+    assert "REPARTITION_BY_NUM" in plan(query)
+    compare(query, catalog.oracle_sql()["a25_text_zoom"], duck)
