@@ -37,19 +37,21 @@ def extents(lines: DataFrame) -> DataFrame:
     Methods have extents of their own inside a class's. Blank lines count
     nowhere; the last declaration ends with the file's last line of text. Only
     lines as little indented as some declaration of their file are put in order,
-    once per such depth.
+    once per such depth. The lines are read once: all windows are of one shuffle by path.
     """
-    text = lines.where(F.trim(F.col("line"), F.lit(" \t")) != "").withColumn("depth", F.length(F.regexp_extract("line", r"^[ \t]*", 0)))
-    exported, plain = F.regexp_extract("line", p.DECLARATION, 2), F.regexp_extract(F.trim(F.col("line"), F.lit(" \t")), p.PLAIN_DECLARATION, 2)
-    named = text.withColumn("name", F.when(exported != "", exported).otherwise(plain))
-    last = text.groupBy("path").agg(F.max("line_no").alias("last"))
-    levels = named.where("name <> ''").select("path", F.col("depth").alias("level")).distinct()
-    marks = named.join(levels, "path").where("depth <= level")
+    bare, line = F.trim(F.col("line"), F.lit(" \t")), F.col("line")
+    text = lines.where(F.col("path").isNotNull() & (bare != ""))
+    exported, plain = F.nullif(F.regexp_extract(line, p.DECLARATION, 2), F.lit("")), F.nullif(F.regexp_extract(bare, p.PLAIN_DECLARATION, 2), F.lit(""))
+    depth = F.length(line) - F.length(F.ltrim(line, F.lit(" \t")))
+    text = text.select("path", "line_no", depth.alias("depth"), F.coalesce(exported, plain).alias("name"), F.when(bare.rlike(CLOSERS), depth).alias("closes"))
+    file = Window.partitionBy("path")
+    levels = F.collect_set(F.when(F.col("name").isNotNull(), F.col("depth"))).over(file)
+    marks = text.select("*", F.max("line_no").over(file).alias("last"), levels.alias("levels"))
+    marks = marks.select("path", "line_no", "depth", "name", "closes", "last", F.explode("levels").alias("level")).where("depth <= level")
     order = Window.partitionBy("path", "level").orderBy("line_no")
-    nxt = F.lead(F.struct("line_no", F.trim(F.col("line"), F.lit(" \t")).rlike(CLOSERS).alias("closes"), "depth")).over(order)
-    marks = marks.withColumn("next", nxt).where("name <> '' AND depth = level").join(last, "path")
-    closed = F.col("next.closes") & (F.col("next.depth") == F.col("depth"))
-    end = F.when(F.col("next").isNull(), F.col("last")).when(closed, F.col("next.line_no")).otherwise(F.col("next.line_no") - 1)
+    marks = marks.withColumns({"next": F.lead("line_no").over(order), "closed": F.lead("closes").over(order) == F.col("depth")})
+    marks = marks.where("name IS NOT NULL AND depth = level")
+    end = F.when(F.col("next").isNull(), F.col("last")).when(F.col("closed"), F.col("next")).otherwise(F.col("next") - 1)
     return marks.select("path", "name", F.col("line_no").alias("start_line"), end.cast("int").alias("end_line"))
 
 

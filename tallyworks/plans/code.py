@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as p
 from ..operators import code as c
 from .registry import Registry
-from .views import duckdb, view
+from .views import duckdb, spread, table, view
 
 R = Registry()
 add = R.add
@@ -70,4 +70,4 @@ def d28(spark, sf_dir):
  FROM nxt LEFT JOIN txt t ON t.path = nxt.path AND t.line_no = n""",
 )
 def d27_extents(spark, sf_dir):
-    return c.extents(lines(spark, sf_dir))
+    return c.extents(spread(lines(spark, sf_dir), table(spark, sf_dir, "lineitem").count(), "path"))

@@ -170,3 +170,44 @@ def test_hits_are_sorted_once_for_their_number_and_once_for_the_zoom(spark, sf,
     query = catalog.queries()["a25_text_zoom"](spark, sf)
     assert "REPARTITION_BY_NUM" in plan(query)
     compare(query, catalog.oracle_sql()["a25_text_zoom"], duck)
+
+
+def test_extents_read_the_lines_once(spark, sf, duck, monkeypatch):
+    """No join of a file's lines with its depths and its last line, which read all lines three times; many lines are dealt to more tasks."""
+    from conftest import compare
+    from tallyworks.plans import views
+
+    text = plan(catalog.queries()["d27_extents"](spark, sf))
+    assert "Join" not in text and text.count("FileScan") == 1
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 500)
+    query = catalog.queries()["d27_extents"](spark, sf)
+    assert "REPARTITION_BY_NUM" in plan(query)
+    compare(query, catalog.oracle_sql()["d27_extents"], duck)
+
+
+def test_extents_by_brute_force(spark):
+    """Nested, unindented and closing lines, tabs, blank lines, files without a declaration or a name."""
+    import random
+    import re
+
+    from tallyworks.functions import patterns
+    from tallyworks.operators import code
+
+    rng = random.Random(2)
+    said = ["export const a = 1", "export async function f()", "class C:", "def g():", "call()", "}", "});", "]", "", "　x", "# export const b"]
+    texts = {f"f{k}": [rng.choice(["", " ", "  ", "\t", "\t ", "    "]) + rng.choice(said) for _ in range(rng.randrange(1, 60))] for k in range(60)}
+    texts |= {"none": ["x", "  y"], "blank": ["", " \t"]}
+    want = set()
+    for path, lines in texts.items():
+        rows = [(i + 1, len(t) - len(t.lstrip(" \t")), t) for i, t in enumerate(lines) if t.strip(" \t")]
+        for at, (line_no, depth, t) in enumerate(rows):
+            exported, plain = re.search(patterns.DECLARATION, t, re.A), re.search(patterns.PLAIN_DECLARATION, t.strip(" \t"), re.A)
+            if exported or plain:
+                after = next((r for r in rows[at + 1 :] if r[1] <= depth), None)
+                end = rows[-1][0] if after is None else after[0] if after[1] == depth and re.match(code.CLOSERS, after[2].strip(" \t")) else after[0] - 1
+                want.add((path, (exported or plain)[2], line_no, end))
+    rows = [(path, i + 1, t) for path, lines in texts.items() for i, t in enumerate(lines)] + [("f1", 99, None), (None, 1, "class C:")]
+    got = code.extents(spark.createDataFrame(rows, "path string, line_no int, line string"))
+    assert dict(got.dtypes)["end_line"] == "int"
+    found = sorted(tuple(r) for r in got.collect())
+    assert found == sorted(want) and len(want) > 300
