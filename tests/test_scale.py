@@ -45,6 +45,39 @@ def test_contradictions_are_made_once(spark, sf):
     assert not [line for line in above if "Exchange" in line or "Aggregate" in line]
 
 
+def test_contradictions_are_pairs_of_arrays(spark, monkeypatch):
+    """The pairs by brute force; they come an array of sessions at a time, in order of their last event, and no session is sent more than once."""
+    import itertools
+    import random
+
+    from tallyworks.operators import mining as m
+
+    monkeypatch.setattr(m, "SPREAD", 2)
+    monkeypatch.setattr(m, "BLOCK", 7)
+    monkeypatch.setattr(m, "FEW_RECORDS", 3)
+    rng = random.Random(3)
+    records = [(f"r{k}", "error-fix", rng.choice("tu"), rng.randrange(100), rng.sample([f"s{n}" for n in range(60)], rng.randrange(4))) for k in range(60)]
+    records += [(f"z{k}", "zoom-hotspot", rng.choice(["f.ts", "src/f.ts", "g.ts"]), rng.randrange(100), []) for k in range(30)]
+    failures = [(f"s{rng.randrange(60)}", rng.randrange(120), rng.choice("tuv")) for _ in range(200)]
+    zooms = [(f"s{rng.randrange(60)}", rng.randrange(120), "src/f.ts") for _ in range(80)]
+    last = {}
+    for kind, rows in (("error-fix", failures), ("zoom-hotspot", zooms)):
+        for session, seq, target in rows:
+            last[kind, target, session] = max(last.get((kind, target, session), -1), seq)
+    fits = lambda target, path: f"/{path}".endswith(f"/{target}") or f"/{target}".endswith(f"/{path}")
+    want = sorted((i, s) for i, kind, target, seq, counted in records for (k, t, s), n in last.items() if k == kind and (t == target if k == "error-fix" else fits(target, t)) and n > seq and s not in counted)
+    found = m.contradictions(
+        spark.createDataFrame(records, "id string, type string, target string, graduated_seq long, counted array<string>"),
+        spark.createDataFrame(failures, "session_id string, seq long, signature string"), spark.createDataFrame(zooms, "session_id string, seq long, path string"),
+    )
+    got = [(r.id, r.session_id) for r in found.collect()]
+    assert sorted(got) == want and len(want) > 1000
+    of = {i: (kind, target if kind == "error-fix" else "src/f.ts") for i, kind, target, *_ in records}
+    for i, run in itertools.groupby(got, lambda x: x[0]):
+        ends = [last[(*of[i], s)] for _, s in run]
+        assert len(ends) <= 14 and sum(a < b for a, b in zip(ends, ends[1:])) <= 1
+
+
 def test_contradicted_records_need_no_pairs(spark):
     """The last sessions of a target tell which records are contradicted; those counted before don't."""
     from tallyworks.operators import mining as m
