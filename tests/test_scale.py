@@ -115,6 +115,86 @@ def test_scores_shuffle_no_pairs(name, spark, sf):
     assert all("question_id" in line and "doc_id" not in line for line in sent) and (not sent or any("WindowGroupLimit" in line and "Partial" in line for line in text[:explode]))
 
 
+@pytest.mark.parametrize("name", ["d19_section_scores", "d20_best_sections", "d22_ranked_documents"])
+def test_scores_are_put_together_in_arrays(name, spark, sf):
+    """Rows of questions and sections aren't grouped or joined, and the lines are sent once by document after their sections are known."""
+    text = plan(catalog.queries()[name](spark, sf)).split("\n")
+    explode = next(i for i, line in enumerate(text) if "Generate explode" in line)
+    assert not [line for line in text[:explode] if "Aggregate" in line or "Join" in line]
+    union = next(i for i, line in enumerate(text) if "Union" in line)
+    assert len([line for line in text[explode:union] if "Exchange" in line]) == 1
+
+
+def test_scores_in_arrays_are_those_of_the_join(spark, sf, monkeypatch):
+    """Titles, references of several sections, keywords in and over one another: more than WIDE questions meet the sections by joins."""
+    from pyspark.sql import functions as F
+    from tallyworks.operators import scoring
+    from tallyworks.operators import sections as s
+    from tallyworks.plans.sections import _asked
+    from tallyworks.plans.sections import lines as lines_of
+
+    asked, found = _asked(spark, sf)
+    more = [(1001, "Explain Section 2 and §1 of topic 3 part 6, otherwise sec. 2"), (1002, "topicpart part topics ents mentes"), (1003, ""), (1004, None), (1005, "Section 1 topic")]
+    asked = asked.where("question_id < 12").unionByName(spark.createDataFrame(more, "question_id long, question string").select(*[F.col(c).cast(k).alias(c) for c, k in asked.dtypes]))
+    keep = "doc_id % 4 = 1"
+    # numbers say nothing of a section here: references meet titles, of which several are alike
+    found = found.where(keep).withColumn("title", F.when(F.col("place") % 3 == 0, F.concat(F.lit("Section 2 "), "title")).otherwise(F.col("title")))
+    found = found.withColumn("section_id", F.when(F.col("place") % 2 == 0, F.lit("2")).when(F.col("place") % 3 == 0, F.lit("x")).otherwise(F.col("section_id"))).localCheckpoint()
+    lines = lines_of(spark, sf).where(keep)
+
+    def told():
+        each = (s.section_scores(asked, found, lines), s.sections_of_each(asked, found, lines, 2), s.documents_of_each(asked, found, lines, 3))
+        return [(df.dtypes, sorted(tuple(r) for r in df.select(sorted(df.columns)).collect())) for df in each]
+
+    mine = told()
+    monkeypatch.setattr(scoring, "WIDE", 0)
+    theirs = told()
+    for (kinds, rows), (kinds_, rows_) in zip(mine, theirs):
+        assert sorted(kinds) == sorted(kinds_) and rows == rows_ and rows
+
+
+def test_scores_in_arrays_of_any_bound(monkeypatch):
+    """Bounds of a task's memory change no row, and keywords count as a pattern of all of a question's finds them."""
+    import random
+    import re
+
+    import pyarrow as pa
+    from tallyworks.operators import scoring
+
+    rng = random.Random(4)
+    parts = ["abab", "baba", "abab", "cdcd", "dcdc", "abcd", "aaaa", "aa", "b"]
+    word = lambda n: "".join(rng.choice(parts) for _ in range(rng.randrange(1, n)))
+    asked = []
+    for i in range(70):
+        keywords = list(dict.fromkeys(w for w in (word(3) for _ in range(rng.randrange(6))) if len(w) >= 4))
+        asked.append((i, keywords, f" {word(2)} topic ", ["topic", word(2)], [(rng.choice([None, "part"]), rng.choice("12"), [word(2), "own"])]))
+    docs = []
+    for d in range(30):
+        key = lambda: {"label": rng.choice([None, "part"]), "number": rng.choice("123")}
+        docs.append((d, [{"place": n + 1, "phrase": rng.choice(["topic", "topic abab", "the", None]), "by_id": rng.random() < 0.5, "keys": [key()], "own": [word(2), "own"], "texts": [" ".join(word(4) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(4))]} for n in range(rng.randrange(1, 7))]))
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("phrase", pa.string()), ("by_id", pa.bool_()), ("keys", pa.list_(pa.struct([("label", pa.string()), ("number", pa.string())]))), ("own", pa.list_(pa.string())), ("texts", pa.list_(pa.string()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([x for _, x in docs], kind)], ["doc_id", "sections"])
+
+    def told():
+        each = []
+        for rows, more in ((scoring.section_rows, ()), (scoring.best_rows, (2,)), (scoring.document_rows, (3,))):
+            each.append(sorted((int(q), d, *(int(x[j]) for x in columns)) for q, d, *columns in rows(scoring.Scorer(asked), [batch], *more) for j, q in enumerate(q)))
+        return each
+
+    want = told()
+    count = {}
+    for d, sections in docs:
+        for s in sections:
+            for i, keywords, *_ in asked:
+                each = [len(re.findall("|".join(keywords), line)) for line in s["texts"]] if keywords else []
+                count[i, d, s["place"]] = (sum(each), sum(n > 0 for n in each))
+    assert {(q, d, place): (n, hits) for q, d, place, _, _, n, hits in want[0] if n} == {k: v for k, v in count.items() if v[0]}
+    for name, value in (("CELLS", 1), ("CELLS", 300), ("WORDS", 1), ("VECTOR_CELLS", 1), ("TITLES", 1), ("RANKED", 1), ("TOLD", 1), ("FEW_HOLDERS", 0)):
+        with monkeypatch.context() as m:
+            m.setattr(scoring, name, value)
+            assert told() == want
+
+
 def test_keywords_are_counted_as_by_the_join(spark, monkeypatch):
     """Questions that go to every task count what the join of many questions counts: inside words, none overlapping another, in the question's order."""
     from tallyworks.operators import substrings as u
