@@ -125,6 +125,18 @@ def test_scores_are_put_together_in_arrays(name, spark, sf):
     assert len([line for line in text[explode:union] if "Exchange" in line]) == 1
 
 
+def test_sections_read_the_lines_once(spark):
+    """Headings aren't joined to their lines, and sections are those of the join; a preamble's text is cut within white space."""
+    from tallyworks.operators import sections as s
+
+    texts = {1: "  " + "x" * 79 + " y\n\n1. Costs\nalpha\n \n2.1 Terms\nfee\n\n", 2: "\n\nANNEX A\nExample 5: Widgets\n(b) Letters", 3: "", 4: "no heading in here.\n", 5: "1. Costs\n1. Costs"}
+    lines = spark.createDataFrame([(d, i + 1, line) for d, t in texts.items() for i, line in enumerate(t.split("\n"))] + [(6, 1, None)], "doc_id long, line_no int, line string")
+    found = s.plain_sections(lines)
+    assert "Join" not in plan(found)
+    theirs = s.sections(lines, s.headings(lines))
+    assert found.dtypes == theirs.dtypes and sorted(map(str, found.collect())) == sorted(map(str, theirs.collect())) and found.count() == 7
+
+
 def test_scores_in_arrays_are_those_of_the_join(spark, sf, monkeypatch):
     """Titles, references of several sections, keywords in and over one another: more than WIDE questions meet the sections by joins."""
     from pyspark.sql import functions as F
